@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,13 @@ from tickloom.session import pin_utc
 
 DEC = "decimal(18,8)"
 
+# Order priorities stand for strategy kinds.
+KINDS = {
+    "1-URGENT": "momentum", "2-HIGH": "mean_reversion", "3-MEDIUM": "ema_crossover",
+    "4-NOT SPECIFIED": "volatility_breakout", "5-LOW": "quant_momentum",
+}
+KIND_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table with its times as UTC timestamps."""
@@ -78,9 +87,16 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines are summed per order first (partial aggregation), so the join moves one row per order.
     """
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    gross = cents * (5 - F.round(F.col("l_discount") * 100).cast("bigint"))
+    fees = cents * F.round(F.col("l_tax") * 100).cast("bigint")
+
+    def scaled(total: Column, unit: str) -> Column:
+        return (F.sum(total).cast("decimal(18,0)") * F.lit(Decimal(unit))).cast("decimal(18,5)")
+
     line = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sum((F.col("l_extendedprice") * (0.05 - F.col("l_discount"))).cast("decimal(18,4)")).cast("decimal(18,4)").alias("pnl_gross"),
-        F.sum((F.col("l_extendedprice") * F.col("l_tax") * 0.1).cast("decimal(18,4)")).cast("decimal(18,4)").alias("fees_paid"),
+        scaled(gross, "0.0001").alias("pnl_gross"),
+        scaled(fees, "0.00001").alias("fees_paid"),
         F.sum(F.col("l_quantity").cast("decimal(18,4)")).cast("decimal(18,4)").alias("quantity"),
     )
     days = 1 + F.col("o_orderkey") % 30
@@ -90,7 +106,9 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("o_orderkey").alias("position_id"),
             F.concat(F.lit("i"), (F.col("o_custkey") % 5).cast("string")).alias("instrument"),
-            F.col("o_orderpriority").alias("strategy_id"),
+            F.concat(F.lit("desk::"), F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("o_orderpriority"))).alias(
+                "strategy_id"
+            ),
             F.lit("buy").alias("side"),
             F.col("o_orderdate").alias("opened_at"),
             (F.col("o_orderdate") + F.make_dt_interval(days=days.cast("int"))).alias("closed_at"),
@@ -98,21 +116,60 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             "quantity",
             "pnl_gross",
             "fees_paid",
-            (F.col("pnl_gross") - F.col("fees_paid")).cast("decimal(18,4)").alias("pnl_net"),
-            (F.col("fees_paid") * 2).cast("decimal(18,4)").alias("spread_paid"),
-            (F.col("fees_paid") * 3).cast("decimal(18,4)").alias("slippage_paid"),
+            (F.col("pnl_gross") - F.col("fees_paid")).cast("decimal(18,5)").alias("pnl_net"),
+            (F.col("fees_paid") * 2).cast("decimal(18,5)").alias("spread_paid"),
+            (F.col("fees_paid") * 3).cast("decimal(18,5)").alias("slippage_paid"),
         )
     )
 
 
-TRADES_SQL = """line AS (
-  SELECT l_orderkey, sum(CAST(l_extendedprice * (0.05::DOUBLE - l_discount) AS DECIMAL(18,4))) AS pnl_gross,
-         sum(CAST(l_extendedprice * l_tax * 0.1::DOUBLE AS DECIMAL(18,4))) AS fees_paid,
+TRADES_SQL = f"""line AS (
+  SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (5 - CAST(round(l_discount * 100) AS BIGINT))) AS DECIMAL(18,0)) * 0.0001::DECIMAL(5,4) AS pnl_gross,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT)) AS DECIMAL(18,0)) * 0.00001::DECIMAL(6,5) AS fees_paid,
          sum(CAST(l_quantity AS DECIMAL(18,4))) AS quantity
   FROM lineitem GROUP BY l_orderkey),
  trades AS (
-  SELECT o_orderkey AS position_id, 'i' || CAST(o_custkey % 5 AS VARCHAR) AS instrument, o_orderpriority AS strategy_id,
+  SELECT o_orderkey AS position_id, 'i' || CAST(o_custkey % 5 AS VARCHAR) AS instrument, 'desk::' || {KIND_SQL} AS strategy_id,
          'buy' AS side, o_orderdate AS opened_at, o_orderdate + to_days(CAST(1 + o_orderkey % 30 AS INTEGER)) AS closed_at,
          quantity, pnl_gross, fees_paid, pnl_gross - fees_paid AS pnl_net,
          fees_paid * 2 AS spread_paid, fees_paid * 3 AS slippage_paid
   FROM orders JOIN line ON o_orderkey = l_orderkey)"""
+
+
+INITIAL_CASH = 100_000.0
+
+
+def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One equity snapshot per closed trade and instrument, on 100 000 of cash."""
+    from tickloom.operators.series import running
+
+    t = closed_trades(spark, sf_dir)
+    path = running(t, ["instrument"], ["closed_at", "position_id"], {"_net": ("sum", F.col("pnl_net"))})
+    return path.select(
+        "instrument",
+        F.col("closed_at").alias("ts"),
+        F.col("position_id").alias("seq"),
+        (F.col("_net") + F.lit(100_000)).cast("double").alias("equity"),
+        (F.col("_net").cast("double") / INITIAL_CASH).alias("return_pct"),
+    )
+
+
+EQUITY_SQL = f"""{TRADES_SQL},
+ equity AS (
+  SELECT instrument, closed_at AS ts, position_id AS seq,
+   CAST(100000 + sum(pnl_net) OVER (PARTITION BY instrument ORDER BY closed_at, position_id) AS DOUBLE) AS equity FROM trades)"""
+
+
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (instrument, strategy) is evaluated at each month start after a trade opened."""
+    t = closed_trades(spark, sf_dir)
+    months = t.select("instrument", F.date_trunc("month", "opened_at").alias("m")).distinct()
+    pairs = t.select("instrument", "strategy_id").distinct()
+    return months.join(pairs, "instrument").select("instrument", "strategy_id", (F.col("m") + F.make_ym_interval(F.lit(0), F.lit(1))).alias("as_of"))
+
+
+EVALUATIONS_SQL = f"""{TRADES_SQL},
+ evaluations AS (
+  SELECT m.instrument, strategy_id, m + INTERVAL 1 MONTH AS as_of
+  FROM (SELECT DISTINCT instrument, date_trunc('month', opened_at)::TIMESTAMP AS m FROM trades) m
+  JOIN (SELECT DISTINCT instrument, strategy_id FROM trades) USING (instrument))"""
