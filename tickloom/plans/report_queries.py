@@ -71,9 +71,6 @@ def conform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("conform_rows", conform_rows,
       """SELECT event_id, concat_ws(',', CASE WHEN event_type = 'click' THEN 'symbol' END, CASE WHEN event_type = 'error' THEN 'price' END,
  CASE WHEN value > 100 THEN 'confidence' END, CASE WHEN user_id % 3 = 2 THEN 'timeframe' END) AS violations FROM events""")
-R.add("percentile_linear", lambda s, d: tape(s, d).groupBy("instrument").agg(
-      *[r6(F.percentile(F.col("price").cast("double"), F.lit(p)), f"p{int(p * 1000)}") for p in (0.025, 0.5, 0.975)]),
-      f"WITH {TAPE_SQL} SELECT instrument, round(quantile_cont(CAST(price AS DOUBLE), 0.025), 6) AS p25, round(quantile_cont(CAST(price AS DOUBLE), 0.5), 6) AS p500, round(quantile_cont(CAST(price AS DOUBLE), 0.975), 6) AS p975 FROM tape GROUP BY instrument")
 
 
 def compat(spark: SparkSession, sf_dir: str) -> DataFrame:
