@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ def notional(price: Column, quantity: Column) -> Column:
     return money(price) * money(quantity)
 
 
+def _tick(price: Column, tick: Column) -> Column:
+    zero = F.lit(0).cast(MONEY)
+    return F.when(tick > 0, F.bround(price / F.nullif(tick, zero), 0) * tick).otherwise(price).cast(MONEY)
+
+
 def round_to_tick(price: Column, tick: Column) -> Column:
     """Half-even rounding to the tick; a tick of zero or less leaves the price alone."""
-    p, t = money(price), money(tick)
-    return money(F.when(t > 0, F.bround(p / F.nullif(t, F.lit(0).cast(MONEY)), 0) * t).otherwise(p))
+    return _tick(money(price), money(tick))
 
 
 def floor_to_lot(quantity: Column, lot: Column) -> Column:
@@ -33,10 +39,16 @@ def unrealized_pnl(side: Column, quantity: Column, entry: Column, mark: Column)
     return F.when(side == "sell", -gain).otherwise(gain)
 
 
+def basis_points(value: float) -> Column:
+    """Basis points as an exact decimal fraction."""
+    return F.lit(Decimal(str(value)) / 10_000).cast("decimal(10,8)")
+
+
 def execution_price(side: Column, reference: Column, tick: Column, spread_bps: float, slippage_bps: float) -> Column:
     """Reference moved against the taker by spread and slippage, then tick-rounded."""
-    moved = money(reference) * money(F.lit(spread_bps + slippage_bps) / 10_000)
-    return round_to_tick(F.when(side == "buy", money(reference) + moved).otherwise(money(reference) - moved), tick)
+    base = money(reference)
+    shift = base * basis_points(spread_bps + slippage_bps)
+    return _tick(F.when(side == "buy", base + shift).otherwise(base - shift), money(tick))
 
 
 def execution_costs(
@@ -45,7 +57,7 @@ def execution_costs(
     """Spread and slippage are diagnostics on the reference; the fee is on the executed notional."""
     q = money(quantity)
     return {
-        "spread_cost": money(money(reference) * money(F.lit(spread_bps) / 10_000)) * q,
-        "slippage_cost": money(money(reference) * money(F.lit(slippage_bps) / 10_000)) * q,
-        "fee": money(F.lit(taker_fee)) * money(money(executed) * q),
+        "spread_cost": money(reference) * basis_points(spread_bps) * q,
+        "slippage_cost": money(reference) * basis_points(slippage_bps) * q,
+        "fee": money(executed) * q * F.lit(Decimal(str(taker_fee))).cast("decimal(10,8)"),
     }

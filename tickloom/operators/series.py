@@ -39,12 +39,12 @@ def as_columns(order: Order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def choose_layout(df: DataFrame, keys: Keys, layout: str = "auto") -> str:
+def choose_layout(df: DataFrame, keys: Keys, layout: str = "auto", limit: int = PLAIN_LIMIT) -> str:
     """Plain windows while the largest key is small, blocks beyond (one pre-aggregated count)."""
     if layout != "auto":
         return layout
     biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return "plain" if (biggest or 0) <= PLAIN_LIMIT else "blocks"
+    return "plain" if (biggest or 0) <= limit else "blocks"
 
 
 def small_side(df: DataFrame) -> DataFrame:

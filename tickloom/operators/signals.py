@@ -24,14 +24,16 @@ def direction(long: Column, short: Column) -> Column:
     return F.when(long, LONG).when(short, SHORT)
 
 
-def _finish(df: DataFrame, kind: str, entry: Column, confidence: Column, exit_long: Column, metadata: Column) -> DataFrame:
+def _finish(df: DataFrame, kind: str, entry: Column, confidence: Column, exit_long: Column | None, metadata: Column) -> DataFrame:
+    """``exit_long`` is None for strategies that never look at their position."""
     return df.select(
         *KEYS,
         F.lit(kind).alias("strategy_id"),
         F.col("close_time").alias("ts"),
         entry.alias("entry"),
         clamp(confidence).alias("confidence"),
-        F.coalesce(exit_long, F.lit(False)).alias("exit_long"),
+        F.lit(exit_long is not None).alias("manages_exit"),
+        F.coalesce(exit_long if exit_long is not None else F.lit(False), F.lit(False)).alias("exit_long"),
         F.to_json(metadata).alias("metadata"),
     )
 
@@ -48,7 +50,7 @@ def ema_crossover(candles: DataFrame, *, fast: int = 12, slow: int = 26, layout:
     ready = framed(scanned, KEYS, ORDER, lambda df, w: df.withColumn("prev_diff", F.lag("diff").over(w)), back=1, layout=layout)
     entry = direction((F.col("prev_diff") <= 0) & (F.col("diff") > 0), (F.col("prev_diff") >= 0) & (F.col("diff") < 0))
     confidence = F.coalesce(ratio(F.abs("diff"), F.abs("slow_ema")), F.lit(0.0))
-    return _finish(ready, "ema_crossover", entry, confidence, F.lit(False), F.struct("fast_ema", "slow_ema"))
+    return _finish(ready, "ema_crossover", entry, confidence, None, F.struct("fast_ema", "slow_ema"))
 
 
 def momentum(candles: DataFrame, *, lookback: int = 10, threshold: float = 0.01, layout: str = "auto") -> DataFrame:
@@ -63,7 +65,7 @@ def momentum(candles: DataFrame, *, lookback: int = 10, threshold: float = 0.01,
     r = F.col("lookback_return")
     strong = F.abs(r) >= threshold
     return _finish(
-        ready, "momentum", direction(strong & (r > 0), strong & (r <= 0)), F.abs(r) / (threshold * 5), F.lit(False),
+        ready, "momentum", direction(strong & (r > 0), strong & (r <= 0)), F.abs(r) / (threshold * 5), None,
         F.struct("lookback_return"),
     )
 
@@ -77,7 +79,7 @@ def mean_reversion(candles: DataFrame, *, window: int = 20, entry_z: float = 2.0
     z = F.col("z_score")
     far = F.abs(z) >= entry_z
     return _finish(
-        ready, "mean_reversion", direction(far & (z <= 0), far & (z > 0)), F.abs(z) / (entry_z * 2), F.lit(False),
+        ready, "mean_reversion", direction(far & (z <= 0), far & (z > 0)), F.abs(z) / (entry_z * 2), None,
         F.struct("z_score", "mean", "stddev"),
     )
 
