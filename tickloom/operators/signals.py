@@ -48,6 +48,10 @@ def ema_crossover(candles: DataFrame, *, fast: int = 12, slow: int = 26, layout:
     # The scan sums in another order than a one-by-one recursion; below this the two averages are equal.
     scanned = scanned.withColumn("diff", F.when(F.abs(gap) <= F.abs("slow_ema") * 1e-12, 0.0).otherwise(gap))
     ready = framed(scanned, KEYS, ORDER, lambda df, w: df.withColumn("prev_diff", F.lag("diff").over(w)), back=1, layout=layout)
+    return crossover_rows(ready)
+
+
+def crossover_rows(ready: DataFrame) -> DataFrame:
     entry = direction((F.col("prev_diff") <= 0) & (F.col("diff") > 0), (F.col("prev_diff") >= 0) & (F.col("diff") < 0))
     confidence = F.coalesce(ratio(F.abs("diff"), F.abs("slow_ema")), F.lit(0.0))
     return _finish(ready, "ema_crossover", entry, confidence, None, F.struct("fast_ema", "slow_ema"))
@@ -61,7 +65,10 @@ def momentum(candles: DataFrame, *, lookback: int = 10, threshold: float = 0.01,
         return df.withColumn("_first", F.when(F.count("close").over(frame) == lookback, F.first("close").over(frame)))
 
     ready = framed(as_doubles(candles), KEYS, ORDER, build, back=lookback, layout=layout)
-    ready = ready.withColumn("lookback_return", ratio(F.col("close") - F.col("_first"), F.col("_first")))
+    return momentum_rows(ready.withColumn("lookback_return", ratio(F.col("close") - F.col("_first"), F.col("_first"))), threshold)
+
+
+def momentum_rows(ready: DataFrame, threshold: float = 0.01) -> DataFrame:
     r = F.col("lookback_return")
     strong = F.abs(r) >= threshold
     return _finish(
@@ -75,7 +82,10 @@ def mean_reversion(candles: DataFrame, *, window: int = 20, entry_z: float = 2.0
         return df.withColumns({"mean": sma(F.col("close"), w, window), "stddev": stddev(F.col("close"), w, window)})
 
     ready = framed(as_doubles(candles), KEYS, ORDER, build, back=window, layout=layout)
-    ready = ready.withColumn("z_score", ratio(F.col("close") - F.col("mean"), F.col("stddev")))
+    return reversion_rows(ready.withColumn("z_score", ratio(F.col("close") - F.col("mean"), F.col("stddev"))), entry_z)
+
+
+def reversion_rows(ready: DataFrame, entry_z: float = 2.0) -> DataFrame:
     z = F.col("z_score")
     far = F.abs(z) >= entry_z
     return _finish(
@@ -117,7 +127,10 @@ def quant_momentum(
 
 def volatility_breakout(features: DataFrame, *, min_relative_volume: float = 1.5, layout: str = "auto") -> DataFrame:
     """Expansion is against the latest earlier *known* bandwidth."""
-    known = previous_known(features, "bandwidth", layout=layout)
+    return breakout_rows(previous_known(features, "bandwidth", layout=layout), min_relative_volume)
+
+
+def breakout_rows(known: DataFrame, min_relative_volume: float = 1.5) -> DataFrame:
     b = F.col("percent_b")
     ready = (F.col("bandwidth") > F.col("prev_bandwidth")) & (F.col("relative_volume") >= min_relative_volume)
     overshoot = F.when(b > 1, b - 1).when(b < 0, -b)
