@@ -128,6 +128,8 @@ def ledger_rows(candles: DataFrame, candidates: DataFrame, instruments: DataFram
             "_buy": execution_price(F.lit("buy"), reference, F.col("tick"), config.spread_bps, config.slippage_bps),
             "_sell": execution_price(F.lit("sell"), reference, F.col("tick"), config.spread_bps, config.slippage_bps),
             "_ref": money(reference),
+            # Set by a strategy switch (``streaming.jobs.admit``): the position goes before anything else happens.
+            "force_exit": F.lit(False),
         }
     )
 
@@ -137,7 +139,7 @@ def _e8(name: str) -> Column:
 
 
 FOLD_COLUMNS = (
-    "open_s", "close_s", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "quantity", "size_reason", "close", "_buy", "_sell", "_ref", "_worth",
+    "open_s", "close_s", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "quantity", "size_reason", "close", "_buy", "_sell", "_ref", "_worth", "force_exit",
 )
 EVENT_DDL = (
     "event string, instrument string, strategy_id string, opened_at timestamp, at timestamp, reason string, quantity double, entry_price double, exit_price double,"
@@ -233,13 +235,18 @@ def _replay(book: _Book, rows: pd.DataFrame, equity: bool) -> tuple[list, list]:
             for key in [k for k in book.pending if k[0] == instrument]:
                 events.append(book.fill(key, book.pending.pop(key), prices, open_s))
         if book.open:
-            for key, position in book.open.items():
-                if key[0] == instrument:
-                    position[6] = close
-                    reason = book.past_limit(position, close)
-                    if reason:
+            forced = {row[3] for row in bar if row[14]}
+            for key, position in list(book.open.items()):
+                if key[0] != instrument:
+                    continue
+                position[6] = close
+                reason = "strategy_switch" if key[1] in forced else book.past_limit(position, close)
+                if reason:
+                    events.append(("exit", *key, None, close_s, reason, position[0], position[1], None, None, None, None, None, None))
+                    if at_close:
+                        events.append(book.fill(key, -1, prices, close_s))
+                    else:
                         book.pending[key] = -1
-                        events.append(("exit", *key, None, close_s, reason, position[0], position[1], None, None, None, None, None, None))
         for row in bar:
             _, _, _, strategy, entry, manages, leave, quantity, size_reason = row[:9]
             key = (instrument, strategy)
@@ -249,7 +256,7 @@ def _replay(book: _Book, rows: pd.DataFrame, equity: bool) -> tuple[list, list]:
                     book.pending[key] = -1
                     events.append(("exit", *key, None, close_s, "signal", book.open[key][0], book.open[key][1], None, None, None, None, None, None))
             elif entry is None or (held and manages):
-                continue
+                pass
             elif held:
                 events.append(("reject", *key, None, close_s, "position_already_open", None, None, None, None, None, None, None, None))
             elif entry == "short":
@@ -340,7 +347,7 @@ def run_ledger(rows: DataFrame, keys: Sequence[str] = ("portfolio",), config: Ri
     keys = list(keys)
     layout = choose_layout(rows, keys, layout, FOLD_ROWS)
     lean = _blocks(rows, keys, layout, block_bars).select(
-        *dict.fromkeys([*keys, "_block", "instrument", "strategy_id", "entry", "manages_exit", "exit_long"]),
+        *dict.fromkeys([*keys, "_block", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "force_exit"]),
         F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"),
         *[_e8(c) for c in ("quantity", "close", "_buy", "_sell", "_ref")], "size_reason", "order_value",
     )

@@ -191,20 +191,23 @@ def robot_stream(rows: DataFrame, config: RiskConfig = RiskConfig(fill="close"))
     """Decisions, trades and equity rows of every robot; ``rows`` are ``ledger_rows`` with ``robot_id``."""
     use_rocksdb(rows.sparkSession)
     lean = rows.select(
-        "robot_id", F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"), "instrument", "strategy_id", "entry", "manages_exit", "exit_long",
+        "robot_id", F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"), "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "force_exit",
         _e8("quantity"), _e8("close"), *[_e8(c).alias(f"px{c}") for c in ("_buy", "_sell", "_ref")], "size_reason", F.col("order_value").cast("string").alias("value"),
     )
     return lean.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=RobotProcessor(config), outputStructType=STEP, outputMode="Append", timeMode="None")
 
 
 def admit(rows: DataFrame, disabled: DataFrame, selection: DataFrame | None = None) -> DataFrame:
-    """Take away the long entries of disabled strategies and of those not selected for their robot."""
+    """Take away the long entries of disabled strategies and of those not selected for their robot;
+    positions of the latter are to be closed."""
     off = rows.join(disabled.select("strategy_id", F.lit(True).alias("_off")), "strategy_id", "left")
-    barred = F.coalesce("_off", F.lit(False))
+    barred, force = F.coalesce("_off", F.lit(False)), F.lit(False)
     if selection is not None:
         off = off.join(selection.select("robot_id", F.col("selected").alias("_selected")), "robot_id", "left")
-        barred = barred | F.coalesce(F.col("_selected") != F.col("strategy_id"), F.lit(False))
-    return off.withColumn("entry", F.when((F.col("entry") == "long") & barred, F.lit(None)).otherwise(F.col("entry"))).select(*rows.columns)
+        force = F.coalesce(F.col("_selected") != F.col("strategy_id"), F.lit(False))
+        barred = barred | force
+    entry = F.when((F.col("entry") == "long") & barred, F.lit(None)).otherwise(F.col("entry"))
+    return off.withColumns({"entry": entry, "force_exit": force}).select(*rows.columns)
 
 
 QUOTED = S.table(("symbol", _S), ("uid", _L), ("timestamp_ms", _L), ("status", _S), *[(n, _D) for n in S.GRID_FEATURES])
