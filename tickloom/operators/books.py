@@ -127,7 +127,7 @@ def _opening_levels(updates: DataFrame) -> DataFrame:
     last = last.select(*level, "_block", "_s.quantity", "_s.segment", F.lead("_block").over(later).alias("_until"))
     ends = updates.groupBy("symbol", "_block").agg(F.max("segment").alias("segment"))
     follow = ends.withColumn("_next", F.lead("_block").over(Window.partitionBy("symbol").orderBy("_block")))
-    reach = follow.groupBy("symbol", "segment").agg(F.max_by("_next", "_block").alias("_beyond"))
+    reach = follow.groupBy("symbol", "segment").agg(F.coalesce(F.max_by("_next", "_block"), F.max("_block")).alias("_beyond"))
     live = last.join(ends, ["symbol", "_block", "segment"], "left_semi").join(reach, ["symbol", "segment"]).filter("quantity > 0")
     until = F.least("_until", "_beyond")
     spread = live.withColumn("_block", F.explode(F.when(until > F.col("_block"), F.sequence(F.col("_block") + 1, until))))

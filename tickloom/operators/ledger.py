@@ -174,7 +174,8 @@ class _Book:
 
     def fill(self, key: tuple[str, str], quantity: int, row: tuple, at: int) -> tuple | None:
         buy, sell, ref = row
-        costs = [ref * abs(quantity) * c for c in (self.spread, self.slip)]
+        size = quantity if quantity > 0 else self.open[key][0]
+        costs = [ref * size * c for c in (self.spread, self.slip)]
         if quantity > 0:
             fee = buy * quantity * self.fee
             self.cash -= buy * quantity * 10**6 + fee
