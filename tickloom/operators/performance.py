@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import running
+from tickloom.session import stable
 
 CENTS = "decimal(38,8)"
 
@@ -123,6 +124,8 @@ def max_drawdown_pct(equity: DataFrame, keys: Sequence[str], ts: str = "ts", tie
 def equity_report(equity: DataFrame, keys: Sequence[str], initial: float, ts: str = "ts", tie: str = "seq", layout: str = "auto") -> DataFrame:
     """Net return, daily figures, monthly and annual returns and drawdown on one row per key."""
     names = {"ts": ts, "tie": tie}
+    # Five aggregates read the curve.
+    equity = stable(equity.select(*keys, ts, tie, "equity", "return_pct"))
     last = equity.groupBy(*keys).agg(F.max_by("return_pct", F.struct(ts, tie)).cast("double").alias("net_return_pct"))
     daily = daily_summary(daily_returns(equity, keys, initial, **names), keys)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.draws import REPLICATES, next_starts, replicate_states
@@ -101,15 +101,26 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, layo
 
 def spearman(long: DataFrame, keys: Sequence[str] = ("symbol",), layout: str = "auto") -> DataFrame:
     g = group_keys(keys)
+    # Ranks of both sides are joined back to the samples.
+    long = stable(long.select(*g, "x", "y"))
+    layout = choose_layout(long, g, layout)
     ranked = average_ranks(average_ranks(long, g, "x", "_rx", layout), g, "y", "_ry", layout)
     return ranked.groupBy(*g).agg(pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], layout: str) -> DataFrame:
+    """Positions and group sizes ``_n``; in the plain layout both come from one exchange."""
+    layout = choose_layout(df, keys, layout)
+    if layout == "plain":
+        return positions(df, keys, order, layout).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return positions(df, keys, order, layout).join(sizes, list(keys))
+
+
 def deciles(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "auto") -> DataFrame:
     """Mean y of ten slices [d*n/10, (d+1)*n/10) in x order (time breaks ties); groups of ten or more."""
     g = group_keys(keys)
-    sizes = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 10")
-    placed = positions(long, g, ["x", ts], layout).join(sizes, g)
+    placed = _placed(long, g, ["x", ts], layout).filter("_n >= 10")
     # Smallest d with p <= (d+1)*n/10 in integer division, for the 1-based position p.
     slice_ = F.expr(f"(10 * {POS} - 1) div _n")
     means = [F.avg(F.when(F.col("_d") == d, F.col("y"))).alias(f"decile_{d + 1}") for d in range(10)]
@@ -120,8 +131,7 @@ def deciles(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "times
 def split_half(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "auto") -> DataFrame:
     """Pearson of the first floor(n/2) samples in time and of the rest."""
     g = group_keys(keys)
-    sizes = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    placed = positions(long, g, [ts], layout).join(sizes, g)
+    placed = _placed(long, g, [ts], layout)
     early = F.col(POS) <= F.expr("_n div 2")
 
     def half(cond: Column) -> Column:
@@ -147,8 +157,7 @@ def round_trip_cost(grid: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataF
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], layout: str = "auto") -> DataFrame:
     """Linear-interpolated percentiles at index p*(n-1), from exact positions."""
     known = df.filter(F.col(value).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = positions(known.select(*keys, value), keys, [value], layout).join(sizes, list(keys))
+    placed = _placed(known.select(*keys, value), keys, [value], layout)
     parts = []
     for name, p in points.items():
         index = F.lit(p) * (F.col("_n") - 1)

@@ -30,10 +30,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def tape_layout(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> str:
+    """Layout for anything derived from the tape, from a count of its one key column."""
+    from tickloom.operators.series import choose_layout
+
+    events = load(spark, sf_dir, "events")
+    return choose_layout(events.select(F.lit("all").alias("k")) if pooled else events.select(F.col("event_type").alias("k")), ["k"])
+
+
 def tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame:
-    """events as trades: one instrument per event type, or all in one."""
+    """events as trades: one instrument per event type, or all in one. A price is positive."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return load(spark, sf_dir, "events").select(
+    return load(spark, sf_dir, "events").filter("value > 0").select(
         (F.lit("all") if pooled else F.col("event_type")).alias("instrument"),
         "ts",
         F.col("event_id").alias("trade_id"),
@@ -47,7 +55,7 @@ TAPE_SQL = """tape AS (
   SELECT event_type AS instrument, ts, event_id AS trade_id, CAST(value AS DECIMAL(18,8)) AS price,
          CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS DECIMAL(18,8)) AS quantity,
          event_type IN ('click', 'purchase', 'view') AS is_buy
-  FROM events)"""
+  FROM events WHERE value > 0)"""
 
 
 def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h", *, pooled: bool = False) -> DataFrame:
@@ -139,12 +147,12 @@ TRADES_SQL = f"""line AS (
 INITIAL_CASH = 100_000.0
 
 
-def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def equity(spark: SparkSession, sf_dir: str, layout: str = "auto") -> DataFrame:
     """One equity snapshot per closed trade and instrument, on 100 000 of cash."""
     from tickloom.operators.series import running
 
     t = closed_trades(spark, sf_dir)
-    path = running(t, ["instrument"], ["closed_at", "position_id"], {"_net": ("sum", F.col("pnl_net"))})
+    path = running(t, ["instrument"], ["closed_at", "position_id"], {"_net": ("sum", F.col("pnl_net"))}, layout=layout)
     return path.select(
         "instrument",
         F.col("closed_at").alias("ts"),
@@ -160,9 +168,8 @@ EQUITY_SQL = f"""{TRADES_SQL},
    CAST(100000 + sum(pnl_net) OVER (PARTITION BY instrument ORDER BY closed_at, position_id) AS DOUBLE) AS equity FROM trades)"""
 
 
-def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evaluations(t: DataFrame) -> DataFrame:
     """Every (instrument, strategy) is evaluated at each month start after a trade opened."""
-    t = closed_trades(spark, sf_dir)
     months = t.select("instrument", F.date_trunc("month", "opened_at").alias("m")).distinct()
     pairs = t.select("instrument", "strategy_id").distinct()
     return months.join(pairs, "instrument").select("instrument", "strategy_id", (F.col("m") + F.make_ym_interval(F.lit(0), F.lit(1))).alias("as_of"))

@@ -9,7 +9,7 @@ from tickloom.operators import candles as C
 from tickloom.operators import features as X
 from tickloom.operators import signals as S
 from tickloom.operators.series import Recursion, recursions
-from tickloom.plans.adapters import bars, bars_sql, r6, us
+from tickloom.plans.adapters import bars, bars_sql, r6, tape_layout, us
 from tickloom.plans.registry import Registry
 
 R = Registry()
@@ -67,7 +67,7 @@ ARRIVALS_SQL = f"""{bars_sql('1h')},
 
 
 def audited(spark, sf_dir):
-    return C.audit(arrivals(spark, sf_dir), "1h")
+    return C.audit(arrivals(spark, sf_dir), "1h", layout=tape_layout(spark, sf_dir))
 
 
 def placed_rows(df: DataFrame, *extra: str) -> DataFrame:
@@ -89,7 +89,7 @@ R.add("validation_report", lambda s, d: C.validation_report(audited(s, d)).drop(
 def gate(spark, sf_dir):
     """Pooled and per-type bars behind the strict gate: only complete series pass."""
     both = bars(spark, sf_dir, "1h").unionByName(bars(spark, sf_dir, "1h", pooled=True)).withColumn("seq", F.unix_seconds("open_time"))
-    report = C.validation_report(C.audit(both, "1h"))
+    report = C.validation_report(C.audit(both, "1h", layout=tape_layout(spark, sf_dir, pooled=True)))
     kept, skipped = C.strict_gate(both, report)
     passed = kept.groupBy("instrument").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("missing"))
     return passed.unionByName(skipped.select("instrument", "rows", F.col("total_missing").alias("missing")))
@@ -161,7 +161,7 @@ def gated(expr: str, n: int, col: str = "close") -> str:
 def feature_query(*columns: str):
     """Column pruning keeps only the frames these columns need."""
     recursive = bool({"ema", "atr", "rsi", "ewma_volatility"} & set(columns))
-    return lambda s, d: X.feature_series(bars(s, d, "1h"), recursive=recursive).select(*KEY, *[r6(c) for c in columns])
+    return lambda s, d: X.feature_series(bars(s, d, "1h"), recursive=recursive, layout=tape_layout(s, d)).select(*KEY, *[r6(c) for c in columns])
 
 
 def feature_sql(*exprs: str, ctes: str = "", source: str = "bars") -> str:
@@ -173,7 +173,7 @@ def r(expr: str, name: str) -> str:
 
 
 R.add("rolling_window",
-      lambda s, d: X.indicator(bars(s, d, "1h"), lambda df, w: df.withColumns(X.rolling_stats(F.col("close"), w, 20)), reach=20).select(
+      lambda s, d: X.indicator(bars(s, d, "1h"), lambda df, w: df.withColumns(X.rolling_stats(F.col("close"), w, 20)), reach=20, layout=tape_layout(s, d)).select(
           *KEY, *[r6(f"roll_{c}") for c in ("sum", "mean", "stddev", "first", "last")]),
       feature_sql(r(f"sum(close) {frame(20)}", "roll_sum"), r(f"avg(close) {frame(20)}", "roll_mean"), r(f"stddev_pop(close) {frame(20)}", "roll_stddev"),
                   r(f"first_value(close) {frame(20)}", "roll_first"), r(f"last_value(close) {frame(20)}", "roll_last")))
@@ -234,7 +234,7 @@ R.add("feat_atr", feature_query("atr"), scanned_sql(["atr"], [r("atr.v", "atr")]
 R.add("feat_rsi", feature_query("rsi"), scanned_sql(["gain", "loss"], [r(RSI, "rsi")]))
 R.add("feat_ewma_vol", feature_query("ewma_volatility"), scanned_sql(["variance"], [r("sqrt(variance.v)", "ewma_volatility")]))
 R.add("wilder_average",
-      lambda s, d: recursions(X.as_doubles(bars(s, d, "1h")), X.KEYS, X.ORDER, {"wilder": Recursion(F.col("volume"), 1 / 14, seed_rows=14)}).select(*KEY, r6("wilder")),
+      lambda s, d: recursions(X.as_doubles(bars(s, d, "1h")), X.KEYS, X.ORDER, {"wilder": Recursion(F.col("volume"), 1 / 14, seed_rows=14)}, tape_layout(s, d)).select(*KEY, r6("wilder")),
       f"WITH RECURSIVE {bars_sql('1h')}, {scan_sql('wilder', 'volume', 1 / 14, 'bars', 1, 14)} SELECT bars.instrument, close_s * 1000000 AS close_time_us, round(wilder.v, 6) AS wilder FROM bars LEFT JOIN wilder USING (instrument, rn)")
 R.add("affine_scan",
       lambda s, d: recursions(X.as_doubles(bars(s, d, "1h")), X.KEYS, X.ORDER, {"fast": X.ema(F.col("close"), 12), "slow": X.ema(F.col("close"), 26)},
@@ -252,7 +252,7 @@ R.add("feature_snapshot", feature_query("sma", "zscore", "percent_b", "reg_r2",
  {r(RSI, 'rsi')}, {r('atr.v', 'atr')}
  FROM prev LEFT JOIN gain ON gain.instrument = prev.instrument AND gain.rn = prev.rn
  LEFT JOIN loss ON loss.instrument = prev.instrument AND loss.rn = prev.rn LEFT JOIN atr ON atr.instrument = prev.instrument AND atr.rn = prev.rn""")
-R.add("feature_series", lambda s, d: X.feature_series(bars(s, d, "1h")).groupBy("instrument").agg(
+R.add("feature_series", lambda s, d: X.feature_series(bars(s, d, "1h"), layout=tape_layout(s, d)).groupBy("instrument").agg(
       F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in ("ret_60", "sma", "rsi", "atr", "autocorrelation", "ewma_volatility")]),
       f"""WITH {bars_sql('1h')}, n AS (SELECT instrument, count(*) AS rows FROM bars GROUP BY instrument)
  SELECT instrument, rows, greatest(rows - 60, 0) AS n_ret_60, greatest(rows - 19, 0) AS n_sma, greatest(rows - 14, 0) AS n_rsi,
@@ -269,11 +269,15 @@ def candidate_rows(df: DataFrame) -> DataFrame:
 
 
 def baseline(fn):
-    return lambda s, d: signal_rows(fn(bars(s, d, "1h")))
+    return lambda s, d: signal_rows(fn(bars(s, d, "1h"), layout=tape_layout(s, d)))
 
 
 def quantitative(fn, recursive: bool = False):
-    return lambda s, d: candidate_rows(fn(X.feature_series(bars(s, d, "1h"), recursive=recursive)))
+    def query(s: SparkSession, d: str) -> DataFrame:
+        layout = tape_layout(s, d)
+        return candidate_rows(fn(X.feature_series(bars(s, d, "1h"), recursive=recursive, layout=layout), layout=layout))
+
+    return query
 
 
 MR_SQL = f""", mr AS (SELECT *, {Z} AS z FROM bars)"""

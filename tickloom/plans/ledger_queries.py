@@ -9,7 +9,7 @@ from tickloom.functions import money as M
 from tickloom.operators import ledger as L
 from tickloom.operators import signals as S
 from tickloom.operators import sweep as W
-from tickloom.plans.adapters import TRADES_SQL, bars, bars_sql, closed_trades, load, r6, us
+from tickloom.plans.adapters import TRADES_SQL, bars, bars_sql, closed_trades, load, r6, tape_layout, us
 from tickloom.plans.candle_queries import frame, gated
 from tickloom.plans.registry import Registry
 from tickloom.plans.report_queries import INSTRUMENTS_SQL, POSITIONS_SQL, dims, instruments, marks, positions
@@ -107,7 +107,7 @@ CONFIG = L.RiskConfig(max_daily_loss=60.0)
 def replay(spark: SparkSession, sf_dir: str, config: L.RiskConfig = CONFIG) -> L.Ledger:
     """Momentum on each event type, one portfolio per instrument."""
     b = bars(spark, sf_dir, "1h")
-    rows = L.ledger_rows(b, S.momentum(b), units(b.select("instrument").distinct()), config)
+    rows = L.ledger_rows(b, S.momentum(b, layout=tape_layout(spark, sf_dir)), units(b.select("instrument").distinct()), config)
     return L.run_ledger(rows.withColumn("portfolio", F.col("instrument")), config=config)
 
 

@@ -19,10 +19,13 @@ from tickloom.plans.adapters import (
     closed_trades,
     equity,
     evaluations,
+    load,
     r6,
+    tape_layout,
     us,
 )
 from tickloom.plans.registry import Registry
+from tickloom.session import stable
 
 R = Registry()
 COUNTS = ("total_trades", "winners", "losers")
@@ -59,7 +62,7 @@ R.add("perf_trades", lambda s, d: report_columns(P.performance(closed_trades(s,
 R.add("perf_group",
       lambda s, d: report_columns(P.performance(closed_trades(s, d).withColumn("day_us", F.unix_micros("closed_at")), ["instrument", "day_us"]), "instrument", "day_us"),
       f"WITH {TRADES_SQL}, {performance_sql('instrument, epoch_us(closed_at) AS day_us')} {report_sql('instrument', 'day_us')}")
-R.add("perf_max_drawdown", lambda s, d: P.max_drawdown(closed_trades(s, d)).select("strategy_id", r6("max_drawdown")),
+R.add("perf_max_drawdown", lambda s, d: P.max_drawdown(closed_trades(s, d), layout=layout_of(s, d)).select("strategy_id", r6("max_drawdown")),
       f"""WITH {TRADES_SQL}, c AS (SELECT *, sum(pnl_net) OVER (PARTITION BY strategy_id ORDER BY closed_at, position_id) AS cum FROM trades),
  p AS (SELECT *, greatest(max(cum) OVER (PARTITION BY strategy_id ORDER BY closed_at, position_id), 0) AS peak FROM c)
  SELECT strategy_id, round(CAST(max(peak - cum) AS DOUBLE), 6) AS max_drawdown FROM p GROUP BY strategy_id""")
@@ -76,13 +79,13 @@ def period_rows(df: DataFrame) -> DataFrame:
 
 PERIOD_ROWS = "SELECT instrument, epoch_us(p) AS period_us, round(e, 6) AS equity, round(r, 6) AS return_pct FROM rets"
 for name, unit, fn in (("eq_daily", "day", P.daily_returns), ("eq_monthly", "month", P.monthly_returns), ("eq_annual", "year", P.annual_returns)):
-    R.add(name, lambda s, d, fn=fn: period_rows(fn(equity(s, d), ["instrument"], INITIAL_CASH)), f"WITH {EQUITY_SQL}, {period_sql(unit)} {PERIOD_ROWS}")
+    R.add(name, lambda s, d, fn=fn: period_rows(fn(equity(s, d, layout_of(s, d)), ["instrument"], INITIAL_CASH)), f"WITH {EQUITY_SQL}, {period_sql(unit)} {PERIOD_ROWS}")
 FALL_SQL = """fall AS (SELECT instrument, equity, greatest(max(equity) OVER (PARTITION BY instrument ORDER BY ts, seq), 0) AS peak FROM equity),
  dd AS (SELECT instrument, greatest(coalesce(max((peak - equity) / nullif(peak, 0)), 0), 0) AS v FROM fall GROUP BY instrument)"""
-R.add("eq_max_drawdown_pct", lambda s, d: P.max_drawdown_pct(equity(s, d), ["instrument"]).select("instrument", r6("max_drawdown_pct")),
+R.add("eq_max_drawdown_pct", lambda s, d: P.max_drawdown_pct(equity(s, d, layout_of(s, d)), ["instrument"], layout=layout_of(s, d)).select("instrument", r6("max_drawdown_pct")),
       f"WITH {EQUITY_SQL}, {FALL_SQL} SELECT instrument, round(v, 6) AS max_drawdown_pct FROM dd")
 R.add("eq_report",
-      lambda s, d: P.equity_report(equity(s, d), ["instrument"], INITIAL_CASH).select(
+      lambda s, d: P.equity_report(equity(s, d, layout_of(s, d)), ["instrument"], INITIAL_CASH, layout=layout_of(s, d)).select(
           "instrument", r6("net_return_pct"), r6("average_daily_return_pct"), "positive_days", "negative_days", "flat_days", r6("max_drawdown_pct"),
           F.size("monthly_returns").cast("long").alias("months"), F.size("annual_returns").cast("long").alias("years")),
       f"""WITH {EQUITY_SQL}, {FALL_SQL}, {period_sql('day')},
@@ -100,12 +103,14 @@ METRICS = ("win_rate", "net_pnl", "profit_factor", "expectancy", "max_drawdown")
 
 def layout_of(spark: SparkSession, sf_dir: str) -> str:
     """One size check for the whole selection chain: no later table has more rows per instrument
-    than it has trades."""
-    return choose_layout(closed_trades(spark, sf_dir), ["instrument"])
+    than there are orders of its customers."""
+    return choose_layout(load(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("k")), ["k"])
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.metrics_as_of(evaluations(spark, sf_dir), closed_trades(spark, sf_dir), layout_of(spark, sf_dir))
+    # Trades feed both the running statistics and the list of evaluations.
+    t = stable(closed_trades(spark, sf_dir))
+    return J.metrics_as_of(evaluations(t), t, layout_of(spark, sf_dir))
 
 
 METRICS_SQL = f"""{EVALUATIONS_SQL},
@@ -258,8 +263,9 @@ R.add("signal_gate", gated,
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = X.feature_series(bars(spark, sf_dir, "1h"), recursive=False)
-    return J.classify_regime(J.with_previous_bandwidth(f)).select("instrument", us("close_time"), "regime", r6("regime_strength"), "regime_rule")
+    layout = tape_layout(spark, sf_dir)
+    f = X.feature_series(bars(spark, sf_dir, "1h"), recursive=False, layout=layout)
+    return J.classify_regime(J.with_previous_bandwidth(f, layout=layout)).select("instrument", us("close_time"), "regime", r6("regime_strength"), "regime_rule")
 
 
 from tickloom.plans.candle_queries import AC, LAGGED, M, R2, RV, SD, gated as gate_n  # noqa: E402
