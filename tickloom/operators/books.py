@@ -44,19 +44,32 @@ def _side(is_bid: bool, order: str) -> Column:
     return F.transform(F.array_sort(F.array_compact(F.collect_list(level))), lambda x: F.struct(x.price.alias("price"), x.quantity.alias("quantity")))
 
 
+def _once(rows: DataFrame, key: Sequence[str], order: str, clock: str) -> DataFrame:
+    """Repeated copies of a level row fall away before anything is collected."""
+    return rows.groupBy(*dict.fromkeys([*key, "is_bid", order, "price", "quantity"])).agg(F.min(clock).alias(clock))
+
+
 def regroup_deltas(rows: DataFrame, order: str = "level_index") -> DataFrame:
     """Long delta rows back to one row per update (an update's levels are one exchange message)."""
-    return rows.groupBy("symbol", "first_update_id", "final_update_id").agg(
+    key = ["symbol", "first_update_id", "final_update_id"]
+    return _once(rows, key, order, "event_time_ms").groupBy(*key).agg(
         F.min("event_time_ms").alias("event_time_ms"), _side(True, order).alias("bids"), _side(False, order).alias("asks")
     )
 
 
 def rebuild_snapshots(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("symbol", "last_update_id").agg(
+    key = ["symbol", "last_update_id"]
+    return _once(rows, key, "level_index", "captured_at_ms").groupBy(*key).agg(
         F.min("captured_at_ms").alias("captured_at_ms"), _side(True, "level_index").alias("bids"), _side(False, "level_index").alias("asks")
     )
 
 
+def load_events(trades: DataFrame, deltas: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tick-lake rows of any symbols and days to (sequenced book events, trade tape)."""
+    tape = trades.select("symbol", F.col("exchange_trade_id").cast("long").alias("trade_id"), "timestamp_ms", "quantity", "is_buy")
+    return sequence(merge_events(rebuild_snapshots(snapshots), regroup_deltas(deltas, "price"))), tape
+
+
 # --- sequencing -------------------------------------------------------------------------------
 def merge_events(snapshots: DataFrame, deltas: DataFrame) -> DataFrame:
     """Snapshots and deltas as one table; deltas up to the earliest snapshot of a symbol are dropped."""

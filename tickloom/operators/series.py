@@ -62,9 +62,11 @@ def positions(df: DataFrame, keys: Keys, order: Order, layout: str = "auto", nam
     layout = choose_layout(df, keys, layout)
     if layout == "plain":
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*as_columns(order))).cast("long"))
-    sort = [F.col(k) for k in keys] + as_columns(order)
+    # The row id only lets a run of equal rows be cut between tasks; any order among them will do.
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    sort = [F.col(k) for k in keys] + as_columns(order) + [F.col("_tie")]
+    ranged = tied.repartitionByRange(*sort).sortWithinPartitions(*sort).drop("_tie")
     # The slot holds (task, row in task); the checkpoint fixes it, so a lost executor cannot renumber rows.
-    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     fixed = stable(ranged.withColumn("_slot", F.monotonically_increasing_id()))
     fixed = fixed.withColumn("_slice", F.shiftright("_slot", 33))
     runs = fixed.groupBy(*keys, "_slice").agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n"))

@@ -223,7 +223,8 @@ def dispatch(rows: DataFrame, instances: DataFrame, allowed: DataFrame | None =
 
 
 def strategies_for_instrument(instances: DataFrame) -> DataFrame:
-    return instances.groupBy("symbol").agg(F.sort_array(F.collect_set("id")).alias("strategy_ids"))
+    """Reverse index: one row per (symbol, instance), so a crowded symbol is never one list."""
+    return instances.select("symbol", F.col("id").alias("strategy_id")).distinct()
 
 
 def compatibility(pairs: DataFrame) -> DataFrame:

@@ -341,5 +341,20 @@ def instance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("strat_instances", instance_rows,
       """SELECT s_name AS id, n_name AS symbol, 'matched' AS outcome FROM supplier JOIN nation ON s_nationkey = n_nationkey
  UNION ALL SELECT s_name, r_name, 'skipped' FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-R.add("strategies_for_instrument", lambda s, d: S.strategies_for_instrument(S.expand_instances(*instances(s, d))[0]).select("symbol", F.concat_ws(",", "strategy_ids").alias("ids")),
-      "SELECT n_name AS symbol, string_agg(s_name, ',' ORDER BY s_name) AS ids FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+R.add("strategies_for_instrument", lambda s, d: S.strategies_for_instrument(S.expand_instances(*instances(s, d))[0]),
+      "SELECT DISTINCT n_name AS symbol, s_name AS strategy_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+
+
+def dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades as kind-level rows fanned out to the instances allowed to see them."""
+    i, _ = instances(spark, sf_dir)
+    owners = i.select("id", "kind", F.element_at("symbols", 1).alias("symbol"))
+    symbol = F.concat(F.lit("NATION_"), (F.col("position_id") % 25).cast("string"))
+    rows = closed_trades(spark, sf_dir).select("position_id", F.substring_index("strategy_id", "::", -1).alias("strategy_id"), symbol.alias("instrument"))
+    allowed = load(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_name").alias("id"))
+    return S.dispatch(rows, owners, allowed).select("position_id", "strategy_id")
+
+
+R.add("dispatch_ids", dispatched,
+      f"""WITH {TRADES_SQL}, o AS (SELECT s_name AS id, CASE WHEN s_acctbal > 5000 THEN 'momentum' ELSE 'mean_reversion' END AS kind, n_name AS symbol FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0)
+ SELECT position_id, id AS strategy_id FROM trades JOIN o ON o.kind = split_part(strategy_id, '::', 2) AND o.symbol = 'NATION_' || CAST(position_id % 25 AS VARCHAR)""")

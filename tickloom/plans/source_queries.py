@@ -235,3 +235,15 @@ def append_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("ops_table_append", append_trip, f"WITH {TRADES_SQL} SELECT strategy_id, count(*) AS rows, round(CAST(sum(pnl_net) AS DOUBLE), 6) AS net FROM trades GROUP BY 1")
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rebuilt from the stored level rows of all days."""
+    path = ticks(spark, sf_dir)
+    seq, tape_ = B.load_events(*[K.read_ticks(spark, path, kind) for kind in ("trades", "book_deltas", "book_snapshots")])
+    book = seq.select("uid", F.col("kind").cast("long").alias("kind"), "segment")
+    return book.unionByName(tape_.select(F.col("trade_id").alias("uid"), F.lit(2).cast("long").alias("kind"), F.lit(0).cast("long").alias("segment")))
+
+
+R.add("load_day_events", reloaded,
+      f"WITH {BQ.FEED_SQL} SELECT uid, CASE WHEN snap THEN 0 ELSE 1 END::BIGINT AS kind, seg AS segment FROM ev UNION ALL SELECT uid, 2, 0 FROM feed")
