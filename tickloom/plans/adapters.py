@@ -83,6 +83,20 @@ def us(column: str, name: str | None = None) -> Column:
     return F.unix_micros(F.col(column)).alias(name or f"{column}_us")
 
 
+class Columns:
+    """A list of output columns, made when it is read: importing a module needs no session.
+
+    A name ending in ``_us`` stands for a time in epoch microseconds.
+    """
+
+    def __init__(self, *names: str) -> None:
+        self.names = names
+
+    def __iter__(self):
+        for name in self.names:
+            yield us(name.removesuffix("_us")) if name.endswith("_us") else F.col(name)
+
+
 def r6(column: str | Column, name: str | None = None) -> Column:
     """Six-decimal double for comparison, without a negative zero."""
     c = F.col(column) if isinstance(column, str) else column

@@ -9,11 +9,11 @@ from tickloom.operators import candles as C
 from tickloom.operators import features as X
 from tickloom.operators import signals as S
 from tickloom.operators.series import Recursion, recursions
-from tickloom.plans.adapters import bars, bars_sql, r6, tape_layout, us
+from tickloom.plans.adapters import Columns, bars, bars_sql, r6, tape_layout, us
 from tickloom.plans.registry import Registry
 
 R = Registry()
-KEY = ["instrument", us("close_time")]
+KEY = Columns("instrument", "close_time_us")
 SQL_KEY = "instrument, close_s * 1000000 AS close_time_us"
 
 

@@ -14,6 +14,7 @@ from tickloom.plans.adapters import (
     EVALUATIONS_SQL,
     INITIAL_CASH,
     TRADES_SQL,
+    Columns,
     bars,
     bars_sql,
     closed_trades,
@@ -146,7 +147,7 @@ HELD_SQL = f"""{CLASSIFIED_SQL},
  held AS (
   SELECT n.* EXCLUDE (state, reason), n.state AS proposed_state, m.held AS state, m.c AS confirmations,
    CASE WHEN m.c > 0 THEN 'transition_pending' ELSE n.reason END AS reason FROM numbered n JOIN machine m USING (instrument, strategy_id, k))"""
-PAIR = ["instrument", "strategy_id", us("as_of")]
+PAIR = Columns("instrument", "strategy_id", "as_of_us")
 PAIR_SQL = "instrument, strategy_id, epoch_us(as_of) AS as_of_us"
 R.add("judge_metrics_asof", lambda s, d: metrics(s, d).select(*PAIR, "trades", *[r6(c) for c in METRICS]),
       f"WITH {METRICS_SQL} SELECT {PAIR_SQL}, trades, {', '.join(f'round({c}, 6) AS {c}' for c in METRICS)} FROM metrics")
@@ -207,7 +208,7 @@ SELECTION_SQL = f"""{SELECTED_SQL},
  selections AS (
   SELECT s.* EXCLUDE (selection_reason), c.held AS selected, c.c AS waiting, CASE WHEN c.c > 0 THEN 'selection_pending' ELSE s.selection_reason END AS selection_reason
   FROM steps s JOIN chooser c USING (context, k))"""
-SLOT = ["context", us("as_of")]
+SLOT = Columns("context", "as_of_us")
 R.add("regime_affinity", lambda s, d: candidates(s, d).select("context", "strategy_id", us("as_of"), "regime", r6("fit_score")),
       f"WITH RECURSIVE {CANDIDATES_SQL} SELECT context, strategy_id, epoch_us(as_of) AS as_of_us, regime, round(fit_score, 6) AS fit_score FROM candidates")
 R.add("judge_select", lambda s, d: J.select_strategy(candidates(s, d)).select(*SLOT, "regime", "proposed", "bootstrap", "selection_reason"),
