@@ -312,3 +312,30 @@ R.add("strat_volatility_breakout", quantitative(S.volatility_breakout),
  e AS (SELECT *, CASE WHEN bw > pbw AND rv >= 1.5 AND b > 1 THEN 'long' WHEN bw > pbw AND rv >= 1.5 AND b < 0 THEN 'short' END AS entry FROM g)
  SELECT instrument, close_s * 1000000 AS ts_us, entry, CASE WHEN entry IS NOT NULL THEN round(least(CASE WHEN b > 1 THEN b - 1 ELSE -b END / 0.5, 1), 6) END AS confidence,
  b IS NULL OR b BETWEEN 0 AND 1 AS exit_long FROM e""")
+
+
+# --- user strategies ------------------------------------------------------------------------------
+def volume_spike(candles: DataFrame, *, layout: str = "auto") -> DataFrame:
+    """A strategy written outside the catalogue: long on twice the usual volume, short on half of it."""
+    def build(df: DataFrame, w) -> DataFrame:
+        return df.withColumn("relative", X.relative_volume(F.col("volume"), w, 20))
+
+    ready = X.indicator(candles, build, reach=20, layout=layout)
+    x = F.col("relative")
+    return ready.select(
+        *X.KEYS, F.lit("volume_spike").alias("strategy_id"), F.col("close_time").alias("ts"), S.direction(x >= 2, x <= 0.5).alias("entry"), F.lit(1.0).alias("confidence"),
+        F.lit(False).alias("manages_exit"), F.lit(False).alias("exit_long"), F.to_json(F.struct("relative")).alias("metadata"))
+
+
+def plugged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if "volume_spike" not in S.CATALOG:
+        S.register(S.StrategyKind("volume_spike", "user", "candles", (S.LONG, S.SHORT), volume_spike))
+    try:
+        b = bars(spark, sf_dir, "1h")
+        return signal_rows(S.candidates(b, b, ["volume_spike"], tape_layout(spark, sf_dir)))
+    finally:
+        S.CATALOG.pop("volume_spike", None)
+
+
+R.add("udf_surface", plugged,
+      f"WITH {bars_sql('1h')}, f AS (SELECT *, {RV} AS x FROM bars) SELECT instrument, close_s * 1000000 AS ts_us, CASE WHEN x >= 2 THEN 'long' ELSE 'short' END AS direction, 1.0::DOUBLE AS confidence FROM f WHERE x >= 2 OR x <= 0.5")

@@ -87,6 +87,11 @@ R.add("pnl_realized", lambda s, d: L.realized(closed_trades(s, d), ["instrument"
  SELECT instrument, round(CAST(sum(pnl_net) AS DOUBLE), 6) AS realized_pnl, round(coalesce(CAST(sum(pnl_net) FILTER (date_trunc('day', closed_at) = today) AS DOUBLE), 0), 6) AS realized_today FROM trades JOIN n USING (instrument) GROUP BY 1""")
 
 
+R.add("pnl_realized_today", lambda s, d: L.realized(closed_trades(s, d), ["strategy_id"]).select("strategy_id", r6("realized_today")),
+      f"""WITH {TRADES_SQL}, n AS (SELECT strategy_id, max(date_trunc('day', closed_at)) AS today FROM trades GROUP BY 1)
+ SELECT strategy_id, round(coalesce(CAST(sum(pnl_net) FILTER (date_trunc('day', closed_at) = today) AS DOUBLE), 0), 6) AS realized_today FROM trades JOIN n USING (strategy_id) GROUP BY 1""")
+
+
 def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Portfolios of one customer group each; saved open counts are those of the first half of the month."""
     p = positions(spark, sf_dir).withColumn("portfolio", F.col("instrument"))

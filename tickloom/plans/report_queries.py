@@ -40,7 +40,9 @@ R.add("round_to_tick", lambda s, d: instruments(s, d).select("id", r6(M.round_to
  THEN cents // tick_cents + 1 ELSE cents // tick_cents END * tick_cents / 100.0::DOUBLE, 6) AS rounded FROM instruments""")
 R.add("floor_to_lot", lambda s, d: instruments(s, d).select("id", r6(M.floor_to_lot(F.col("quantity"), F.col("lot")), "floored")),
       f"WITH {INSTRUMENTS_SQL} SELECT id, round(CAST(floor(quantity * 1000) AS BIGINT) // lot_mills * lot_mills / 1000.0::DOUBLE, 6) AS floored FROM instruments")
-R.add("assign_instrument_id", lambda s, d: instruments(s, d).select("symbol").distinct().select("symbol", X.name_uuid(F.col("symbol")).alias("instrument_id")))
+R.add("assign_instrument_id", lambda s, d: instruments(s, d).select("id", X.name_uuid(F.col("symbol")).alias("instrument_id")),
+      f"""WITH h AS (SELECT p_partkey AS id, sha1(unhex('{X.ID_NAMESPACE.replace('-', '')}') || encode(p_brand)) AS d FROM part)
+ SELECT id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab89ab89ab89ab', CAST(('0x' || substr(d, 17, 1)) AS INTEGER) + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS instrument_id FROM h""")
 R.add("exclude_test_rows", lambda s, d: load(s, d, "customer").withColumn("strategy_id", F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("smoke-test-"), "c_name")).otherwise(F.col("c_name")))
       .filter(~X.is_test_strategy(F.col("strategy_id"))).select("c_custkey", "strategy_id"),
       "SELECT c_custkey, c_name AS strategy_id FROM customer WHERE c_mktsegment <> 'BUILDING'")
@@ -138,6 +140,9 @@ SNAPSHOTS_SQL = """snapshots AS (
 R.add("unrealized_pnl", lambda s, d: Q.open_positions(positions(s, d), marks(s, d), dims(s, d)).select("position_id", r6("unrealized_pnl")),
       f"""WITH {POSITIONS_SQL} SELECT position_id, round(CASE WHEN side = 'sell' THEN -1 ELSE 1 END * (price - entry_price) * CAST(quantity AS DOUBLE), 6) AS unrealized_pnl
  FROM positions LEFT JOIN marks USING (instrument) WHERE status = 'open'""")
+R.add("pnl_unrealized", lambda s, d: Q.open_positions(positions(s, d), marks(s, d), dims(s, d)).groupBy("instrument").agg(r6(F.coalesce(F.sum("unrealized_pnl").cast("double"), F.lit(0.0)), "unrealized_pnl")),
+      f"""WITH {POSITIONS_SQL} SELECT instrument, round(coalesce(sum(CASE WHEN side = 'sell' THEN -1 ELSE 1 END * (price - entry_price) * CAST(quantity AS DOUBLE)), 0), 6) AS unrealized_pnl
+ FROM positions LEFT JOIN marks USING (instrument) WHERE status = 'open' GROUP BY instrument""")
 R.add("q_open_positions", lambda s, d: Q.open_positions(positions(s, d), marks(s, d), dims(s, d)).select("position_id", "symbol", r6("mark"), r6("entry_notional"), r6("delta_pct")),
       f"""WITH {POSITIONS_SQL} SELECT position_id, coalesce(symbol, '?') AS symbol, round(price, 6) AS mark, round(entry_price * CAST(quantity AS DOUBLE), 6) AS entry_notional,
  round(CASE WHEN entry_price = 0 THEN 0 ELSE (price - entry_price) / entry_price * 100 END, 6) AS delta_pct
@@ -276,6 +281,10 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("encode_evaluation", lambda s, d: Q.decode_evaluations(payloads(s, d)).select("evaluation_id", F.col("payload_version").cast("long").alias("version"), F.size("decisions").cast("long").alias("n"), "regime"),
       f"""WITH RECURSIVE {T.CANDIDATES_SQL}, c AS (SELECT context || '@' || CAST(epoch_us(as_of) AS VARCHAR) AS evaluation_id, count(*) AS n, any_value(regime) AS regime FROM candidates GROUP BY ALL)
  SELECT evaluation_id, 2::BIGINT AS version, n, regime FROM c UNION ALL SELECT evaluation_id, 1::BIGINT, n, NULL FROM c""")
+R.add("decode_evaluation", lambda s, d: Q.decode_evaluations(payloads(s, d)).groupBy("payload_version", F.coalesce("regime", F.lit("unknown")).alias("regime")).agg(
+      F.count(F.lit(1)).alias("evaluations"), F.sum(F.size("decisions")).alias("decisions")).withColumn("payload_version", F.col("payload_version").cast("long")),
+      f"""WITH RECURSIVE {T.CANDIDATES_SQL}, c AS (SELECT context, as_of, any_value(regime) AS regime, count(*) AS n FROM candidates GROUP BY ALL)
+ SELECT 2::BIGINT AS payload_version, regime, count(*) AS evaluations, CAST(sum(n) AS BIGINT) AS decisions FROM c GROUP BY regime UNION ALL SELECT 1, 'unknown', count(*), CAST(sum(n) AS BIGINT) FROM c""")
 R.add("q_decision_rows", lambda s, d: Q.decision_rows(payloads(s, d)).select("evaluation_id", F.col("payload_version").cast("long").alias("version"), "strategy_id", "state", "reason", "trades"),
       f"""WITH RECURSIVE {T.CANDIDATES_SQL}, c AS (SELECT context || '@' || CAST(epoch_us(as_of) AS VARCHAR) AS evaluation_id, strategy_id, state, reason, trades FROM candidates)
  SELECT evaluation_id, v AS version, strategy_id, state, reason, trades FROM c CROSS JOIN (VALUES (1::BIGINT), (2::BIGINT)) x(v)""")

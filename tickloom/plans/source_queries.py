@@ -150,6 +150,15 @@ def grid_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.read_grid(spark, path).groupBy("symbol").agg(F.count(F.lit(1)).alias("points"), F.count("trade_imbalance").alias("with_tape"), r6(F.avg("mid_price"), "mid"))
 
 
+def grid_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.plans.research_queries import grid
+
+    path = scratch_path(spark, "grid")
+    K.write_grid(grid(spark, sf_dir), path)
+    return K.read_grid(spark, path).select("symbol", "timestamp_ms", r6("mid_price"), r6("volume_delta"))
+
+
+R.add("scan_feature_grid", grid_scan, f"WITH {bars_sql('15m')} SELECT instrument AS symbol, open_s * 1000 AS timestamp_ms, round(close, 6) AS mid_price, CASE WHEN volume > 60 THEN round(volume - 100, 6) END AS volume_delta FROM bars")
 R.add("sink_feature_grid", grid_trip, f"WITH {bars_sql('15m')} SELECT instrument AS symbol, count(*) AS points, count(*) FILTER (volume > 60) AS with_tape, round(avg(close), 6) AS mid FROM bars GROUP BY 1")
 
 
@@ -184,6 +193,17 @@ def report_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("sink_experiment_report", report_trip, f'WITH {DIAGNOSED_SQL} SELECT symbol, w AS "window", strategy_id, n AS total_trades, round(net, 6) AS net_pnl FROM diagnosed')
 
 
+def reports_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored reports graded again, as a later process would."""
+    path = scratch_path(spark, "reports")
+    reports = trade_reports(spark, sf_dir)
+    K.write_reports(reports, path)
+    return W.diagnostics(K.read_reports(spark, path, reports.schema)).groupBy("class").agg(F.count(F.lit(1)).alias("runs"))
+
+
+R.add("scan_reports", reports_scanned, f"WITH {DIAGNOSED_SQL} SELECT class, count(*) AS runs FROM diagnosed GROUP BY 1")
+
+
 def csv_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed trades through CSV; the note holds quotes, commas and a line break."""
     path = scratch_path(spark, "trades-csv")
