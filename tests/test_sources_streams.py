@@ -112,3 +112,21 @@ def test_streamed_features_continue_across_batches(spark):
     columns = ["ret_60", "sma", "zscore", "percent_b", "reg_r2", "autocorrelation", "ema", "atr", "rsi", "ewma_volatility"]
     pick = lambda df: rows(df.select("close_time", *[F.round(c, 8).alias(c) for c in columns]))
     assert pick(spark.read.parquet(sink)) == pick(X.feature_series(spark.createDataFrame(bars, DDL)))
+
+
+def test_streamed_candidates_equal_the_batch_ones(spark):
+    from tickloom.operators import signals as G
+
+    rng = random.Random(12)
+    bars, price = [], 100.0
+    for i in range(120):
+        price *= 1 + rng.gauss(0, 0.015)
+        bars.append(minute(i, round(price, 4), 50 + rng.randint(0, 300)))
+    df = spark.createDataFrame(bars, DDL)
+    source, sink = scratch_path(spark, "source"), scratch_path(spark, "sink")
+    df.write.parquet(source)
+    stream = J.feature_stream(spark.readStream.schema(df.schema).parquet(source))
+    J.start(stream, J.candidate_sink(sink), scratch_path(spark, "progress")).awaitTermination()
+    pick = lambda d: rows(d.filter("entry IS NOT NULL OR exit_long").select("strategy_id", "ts", "entry", "exit_long", "manages_exit", F.round("confidence", 8)))
+    expect = pick(G.candidates(df, X.feature_series(df)))
+    assert pick(spark.read.parquet(sink)) == expect and len({r[0] for r in expect}) == 6

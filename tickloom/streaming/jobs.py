@@ -148,8 +148,11 @@ def feature_stream(candles: DataFrame, config: FeatureConfig = FeatureConfig(),
     return grouped.transformWithStateInPandas(statefulProcessor=FeatureProcessor(config), outputStructType=FEATURES, outputMode="Append", timeMode="None", initialState=initial)
 
 
-def candidate_stream(features: DataFrame) -> DataFrame:
-    """Candidates of all six kinds; every part reads the same streamed feature rows."""
+def candidate_rows(features: DataFrame) -> DataFrame:
+    """Candidates of all six kinds from one batch of streamed features.
+
+    Six readers of a stream would each keep the indicator state again; a batch is read six times instead.
+    """
     ready = features.withColumns({"z_score": F.col("zscore"), "mean": F.col("sma")})
     parts = [
         G.crossover_rows(ready), G.momentum_rows(ready), G.reversion_rows(ready), G.statistical_mean_reversion(ready), G.quant_momentum(ready), G.breakout_rows(ready),
@@ -160,6 +163,15 @@ def candidate_stream(features: DataFrame) -> DataFrame:
     return out
 
 
+def candidate_sink(path: str) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        candidate_rows(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
+    return write
+
+
 _S, _D, _L, _TS = T.StringType(), T.DoubleType(), T.LongType(), T.TimestampType()
 STEP = S.table(
     ("robot_id", _S), ("event", _S), ("instrument", _S), ("strategy_id", _S), ("opened_at", _TS), ("at", _TS), ("reason", _S), ("quantity", _D), ("entry_price", _D), ("exit_price", _D),
