@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import repetition
+from tickloom.llm import language, repetition
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -16,3 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("op1_quality_rules", op1_quality_rules)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+R.add("op3_language_id", op3_language_id)
