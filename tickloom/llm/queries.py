@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, repetition
+from tickloom.llm import language, packing, repetition
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -23,3 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("op3_language_id", op3_language_id)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+R.add("op4_best_fit_packing", op4_best_fit_packing)
