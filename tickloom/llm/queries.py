@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, packing, repetition
+from tickloom.llm import language, packing, repetition, simhash
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -31,3 +31,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("op4_best_fit_packing", op4_best_fit_packing)
+
+
+def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+R.add("op10_simhash_neardup", op10_simhash_neardup)
