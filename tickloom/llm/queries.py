@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, packing, repetition, simhash
+from tickloom.llm import language, licences, linededup, packing, repetition, simhash, tokencount
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -33,6 +33,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("op4_best_fit_packing", op4_best_fit_packing)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+R.add("op7_token_counts", op7_token_counts)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+R.add("op8_line_dedup", op8_line_dedup)
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+R.add("op9_license_scans", op9_license_scans)
+
+
 def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
