@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, licences, linededup, packing, repetition, simhash, tokencount
+from tickloom.llm import language, licences, linededup, packing, repetition, secrets, simhash, tokencount, topk
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -33,6 +33,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("op4_best_fit_packing", op4_best_fit_packing)
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+R.add("op5_exact_topk", op5_exact_topk, topk.SQL)
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+R.add("op6_secret_scans", op6_secret_scans, secrets.sql())
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
