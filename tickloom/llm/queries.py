@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, licences, linededup, packing, repetition, secrets, simhash, tokencount, topk
+from tickloom.llm import language, licences, linededup, mixing, packing, repetition, secrets, simhash, tokencount, topk
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("op1_quality_rules", op1_quality_rules)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.domain_labels(table(spark, sf_dir, "labels"))
+    return mixing.report(table(spark, sf_dir, "documents"), labels, mixing.TARGETS)
+
+
+R.add("op2_source_mixing", op2_source_mixing)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 

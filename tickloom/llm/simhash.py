@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tickloom.llm.common import map_slices, raw_texts
 from tickloom.session import stable
@@ -28,6 +28,8 @@ SEED = 42
 TILE = 2048
 #: Rows of one tile compared at once with the whole other tile.
 ROWS = 256
+#: Stands for a null doc_id; sorts after all others.
+NO_ID = 2**63 - 1
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -150,6 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stable(large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
 
 
+def _named(groups: DataFrame, radius: int, tile: int) -> DataFrame:
+    """fp, first, root of ``groups`` (fp, first): the fingerprint that names the component of each."""
+    roots = components(links(groups.select("fp"), radius, tile))
+    return groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (smallest doc_id reachable) of every row of ``docs`` (doc_id, text).
 
@@ -157,9 +165,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     ids are null. Repeated rows each give a row; an empty table gives none.
     """
     marked = stable(fingerprints(docs))
-    groups = stable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(groups.select("fp"), radius, tile))
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _named(stable(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius, tile)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: one row, of its smallest doc_id.
+
+    A null id stands for a component only if all its ids are null. Of several rows with that id and fingerprint the
+    one of smallest text stays. The fingerprints are computed once more in the pass that reads the rows.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(t) for t in raw_texts(batch)], pa.int64())], names=schema.names)
+
+    marked = fingerprints(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    named = _named(stable(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius, tile)
+    heads = named.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("head")).select(F.col("head.first").alias("__id"), F.col("head.fp").alias("__fp"))
+    rows = map_slices(docs, work, schema).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    one = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("text"))).filter("__turn = 1")
+    return one.join(heads, ["__id", "__fp"], "left_semi").select(docs.columns)
