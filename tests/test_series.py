@@ -18,6 +18,7 @@ def walk(spark):
     rng = random.Random(7)
     data = [("hot", i // 3, i, rng.random() * 10, None if rng.random() < 0.3 else rng.random()) for i in range(700)]
     data += [(f"k{i % 7}", i, i, rng.random(), None if rng.random() < 0.5 else 1.0 * i) for i in range(120)]
+    data += [(None, i // 2, i, rng.random(), None if rng.random() < 0.5 else 1.0 * i) for i in range(90)]
     rng.shuffle(data)
     return spark.createDataFrame(data, "k string, t long, id long, v double, o double").repartition(5).cache()
 
@@ -96,9 +97,9 @@ def test_as_of_takes_latest_at_or_before(spark):
 
 
 def test_layout_is_chosen_by_the_largest_key(walk, monkeypatch):
-    assert S.choose_layout(walk, ["k"]) == "plain"
+    assert S.measured_layout(walk, ["k"]) == "plain"
     monkeypatch.setattr(S, "PLAIN_LIMIT", 100)
-    assert S.choose_layout(walk, ["k"], limit=100) == "blocks"
+    assert S.measured_layout(walk, ["k"], limit=100) == "blocks"
 
 
 def test_plain_plan_has_one_exchange(walk):
@@ -107,3 +108,40 @@ def test_plain_plan_has_one_exchange(walk):
 
     plan = S.framed(walk, ["k"], ["t", "id"], build, back=19, layout="plain")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_null_keys_stay_in_both_layouts(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), (None, 1, 5.0), (None, 2, 7.0)], "k string, t long, v double")
+    want = [("a", 1, 1.0), ("a", 2, 3.0), (None, 1, 5.0), (None, 2, 12.0)]
+    for layout in ("plain", "blocks"):
+        got = S.running(df, ["k"], ["t"], {"s": ("sum", F.col("v"))}, layout=layout, block_rows=1)
+        assert sorted(((r.k, r.t, r.s) for r in got.collect()), key=str) == sorted(want, key=str)
+    found = S.as_of(df, df.select("k", "t", F.col("v").alias("w")), ["k"], "t", "t", ["w"])
+    assert sorted(((r.k, r.v, r.w) for r in found.collect()), key=str) == sorted([(k, v, v) for k, _, v in df.collect()], key=str)
+
+
+def test_frames_and_seeds_longer_than_a_block(spark):
+    df = spark.createDataFrame([("a", i, float(i % 7)) for i in range(5000)], "k string, t long, v double").repartition(3)
+
+    def build(d, w):
+        return d.withColumn("s", F.sum("v").over(w.rowsBetween(-299, 0)))
+
+    plain, blocks = (S.framed(df, ["k"], ["t"], build, back=299, layout=layout, block_rows=100) for layout in ("plain", "blocks"))
+    assert rows(plain.select("t", "s")) == rows(blocks.select("t", "s"))
+    slow = S.Recursion(F.col("v"), 2 / 3001, seed_rows=3000)
+    got = {r.t: (r.slow, r.fast) for r in S.recursions(df, ["k"], ["t"], {"slow": slow, "fast": S.Recursion(F.col("v"), 0.5)}).collect()}
+    state, fast = None, None
+    for i in range(5000):
+        x = float(i % 7)
+        fast = x if fast is None else fast + 0.5 * (x - fast)
+        state = sum(float(j % 7) for j in range(3000)) / 3000 if i == 2999 else None if i < 2999 else state + 2 / 3001 * (x - state)
+        assert got[i][1] == pytest.approx(fast) and (got[i][0] is None if state is None else got[i][0] == pytest.approx(state))
+
+
+def test_operators_start_no_job_in_the_plain_layout(walk, spark):
+    tracker, group = spark.sparkContext.statusTracker(), "no-job"
+    spark.sparkContext.setJobGroup(group, group)
+    S.running(walk, ["k"], ["t", "id"], {"s": ("sum", F.col("v"))}, layout="plain")
+    S.as_of(walk, walk.select("k", "t", "id", "o"), ["k"], "t", "t", ["o"], ["id"], layout="plain")
+    assert tracker.getJobIdsForGroup(group) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

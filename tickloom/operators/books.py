@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.stats import ratio
-from tickloom.operators.series import POS, choose_layout, framed, positions, running
+from tickloom.operators.series import POS, framed, positions, running
 from tickloom.session import stable
 
 KEYS = ("symbol",)
@@ -80,7 +80,7 @@ def merge_events(snapshots: DataFrame, deltas: DataFrame) -> DataFrame:
     return s.unionByName(d)
 
 
-def sequence(events: DataFrame, layout: str = "auto") -> DataFrame:
+def sequence(events: DataFrame, layout: str = "blocks") -> DataFrame:
     """Order book events by update id and label what happens to each.
 
     ``status``: snapshot, applied, stale (already covered), gap (ids are missing before it), broken
@@ -89,7 +89,6 @@ def sequence(events: DataFrame, layout: str = "auto") -> DataFrame:
     the one before it.
     """
     order = ["uid", "kind", "first_uid"]
-    layout = choose_layout(events, KEYS, layout)
     placed = positions(events, KEYS, order, layout)
     linked = framed(placed, KEYS, order, lambda d, w: d.withColumn("last_uid", F.lag("uid").over(w)), back=1, layout=layout)
     levels = F.size("bids") + F.size("asks")
@@ -315,12 +314,23 @@ def micro_series(book: DataFrame, trades: DataFrame, window_seconds: int = WINDO
     )
 
 
+def tape_series(sequenced: DataFrame, trades: DataFrame, window_seconds: int = WINDOW_SECONDS, layout: str = "blocks") -> DataFrame:
+    """The three tape features after every applied book event: they need its time only, so no book is folded."""
+    none = [F.lit(None).cast("decimal(18,8)").alias(n) for n in TAPE]
+    b = sequenced.filter(F.col("status").isin("snapshot", "applied")).select(
+        "symbol", F.col("eff_ms").alias("_t"), F.lit(1).alias("_slot"), F.col(POS).alias("_seq"), *none, F.struct("uid", "ms").alias("_row"))
+    t = trades.select("symbol", F.col("timestamp_ms").alias("_t"), F.lit(2).alias("_slot"), F.col("trade_id").cast("long").alias("_seq"), *_tape_columns(), F.lit(None).cast(b.schema["_row"].dataType).alias("_row"))
+    seen = sliding_sums(b.unionByName(t), window_seconds * 1000, TAPE, F.col("_row").isNotNull(), layout)
+    out = seen.select("symbol", F.col("_row.uid").alias("uid"), F.col("_row.ms").alias("timestamp_ms"), *TAPE.values())
+    return out.withColumns(tape_features(window_seconds)).drop(*TAPE.values())
+
+
 def align_up(ms: Column, step_ms: int) -> Column:
     return (F.ceil(ms / F.lit(step_ms)) * step_ms).cast("long")
 
 
 def feature_grid(
-    sequenced: DataFrame, book: DataFrame, trades: DataFrame, step_seconds: float = GRID_SECONDS, window_seconds: int = WINDOW_SECONDS, layout: str = "auto"
+    sequenced: DataFrame, book: DataFrame, trades: DataFrame, step_seconds: float = GRID_SECONDS, window_seconds: int = WINDOW_SECONDS, layout: str = "blocks"
 ) -> DataFrame:
     """Features at every grid point between the first and last event, last known state carried on.
 
@@ -329,7 +339,6 @@ def feature_grid(
     points before the first snapshot or while the book is broken.
     """
     step = int(step_seconds * 1000)
-    layout = choose_layout(sequenced.select("symbol").unionAll(trades.select("symbol")), KEYS, layout)
     state = F.struct(F.lit(True).alias("seeded"), *QUOTES)
     known = book.select("symbol", POS, state.alias("_state"))
     lost = F.struct(F.lit(False).alias("seeded"), *[F.lit(None).cast("double").alias(q) for q in QUOTES])

@@ -147,7 +147,7 @@ def update_summary(merged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def audit(candles: DataFrame, timeframe: str, *, seq: str = "seq", keys: Sequence[str] = KEYS, layout: str = "auto") -> DataFrame:
+def audit(candles: DataFrame, timeframe: str, *, seq: str = "seq", keys: Sequence[str] = KEYS, layout: str = "blocks") -> DataFrame:
     """Mark each row with the checks below, in arrival order ``seq`` (unique per key).
 
     ``is_duplicate``: open time already seen. ``is_out_of_order``: not later than the latest accepted

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.stats import ratio
-from tickloom.operators.series import Recursion, choose_layout, framed, positions, recursions, running
+from tickloom.operators.series import Recursion, framed, positions, recursions, running
 
 KEYS = ("instrument", "timeframe")
 ORDER = ("close_time",)
@@ -155,7 +155,7 @@ def as_doubles(candles: DataFrame) -> DataFrame:
 
 
 def feature_series(
-    candles: DataFrame, config: FeatureConfig = FeatureConfig(), *, keys: Sequence[str] = KEYS, layout: str = "auto", recursive: bool = True
+    candles: DataFrame, config: FeatureConfig = FeatureConfig(), *, keys: Sequence[str] = KEYS, layout: str = "blocks", recursive: bool = True
 ) -> DataFrame:
     """One row per closed candle with all indicator families.
 
@@ -163,7 +163,6 @@ def feature_series(
     """
     c = config
     bars = as_doubles(candles)
-    layout = choose_layout(bars, keys, layout)
     placed = positions(bars, keys, ORDER, layout)
     close, volume = F.col("close"), F.col("volume")
 
@@ -208,7 +207,7 @@ def feature_series(
     ).drop("_prev_close", "_row", "_past_return", "_gain", "_loss", "_variance", "_pos")
 
 
-def previous_known(features: DataFrame, column: str, *, keys: Sequence[str] = KEYS, layout: str = "auto") -> DataFrame:
+def previous_known(features: DataFrame, column: str, *, keys: Sequence[str] = KEYS, layout: str = "blocks") -> DataFrame:
     """Append the latest earlier non-NULL value of a column."""
     return running(features, keys, ORDER, {f"prev_{column}": ("last", F.col(column))}, inclusive=False, layout=layout)
 
@@ -217,7 +216,7 @@ Family = Callable[[DataFrame, object], DataFrame]
 
 
 def indicator(
-    candles: DataFrame, build: Family, *, reach: int, keys: Sequence[str] = KEYS, layout: str = "auto"
+    candles: DataFrame, build: Family, *, reach: int, keys: Sequence[str] = KEYS, layout: str = "blocks"
 ) -> DataFrame:
     """A user-chosen subset of frame indicators: ``build(df, window)`` over closed candles."""
     return framed(as_doubles(candles), keys, ORDER, build, back=reach, layout=layout)

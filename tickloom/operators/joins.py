@@ -21,7 +21,7 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str | Sequence[str], *, outer:
 
 def interval_latest(
     spans: DataFrame, points: DataFrame, keys: Sequence[str], start: str, end: str, at: str, values: Sequence[str],
-    *, slack_seconds: int = 1, tie: Sequence[str] = (), prefix: str = "", layout: str = "auto",
+    *, slack_seconds: int = 1, tie: Sequence[str] = (), prefix: str = "", layout: str = "blocks",
 ) -> DataFrame:
     """Latest point within [start - slack, end + slack] of each span.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.money import execution_price, floor_to_lot, money, notional, round_to_tick
-from tickloom.operators.series import POS, choose_layout, framed, positions, running
+from tickloom.operators.series import POS, framed, positions, running
 from tickloom.session import stable
 
 UNIT = 10**22  # money inside a fold: whole numbers of 1e-22, so nothing is rounded
@@ -106,7 +106,7 @@ def order_rejects(orders: DataFrame, config: RiskConfig = RiskConfig()) -> DataF
     return orders.withColumns({"execution_price": price, "reject": reject})
 
 
-def next_bar_fills(decided: DataFrame, keys: Sequence[str] = ("instrument", "timeframe"), layout: str = "auto") -> DataFrame:
+def next_bar_fills(decided: DataFrame, keys: Sequence[str] = ("instrument", "timeframe"), layout: str = "blocks") -> DataFrame:
     """Append the open and open time of the next bar; NULL on the last one, whose orders are dropped."""
     def build(d: DataFrame, w) -> DataFrame:
         return d.withColumns({"fill_price": F.lead("open").over(w), "fill_time": F.lead("open_time").over(w)})
@@ -343,10 +343,9 @@ def _blocks(rows: DataFrame, keys: Sequence[str], layout: str, block_bars: int)
     return stable(began.withColumn("_block", F.expr(f"(_began - 1) div {block_bars}")).drop(POS, "_new", "_began"))
 
 
-def run_ledger(rows: DataFrame, keys: Sequence[str] = ("portfolio",), config: RiskConfig = RiskConfig(), *, layout: str = "auto", block_bars: int = BLOCK_BARS) -> Ledger:
+def run_ledger(rows: DataFrame, keys: Sequence[str] = ("portfolio",), config: RiskConfig = RiskConfig(), *, layout: str = "blocks", block_bars: int = BLOCK_BARS) -> Ledger:
     """Replay every portfolio; ``rows`` come from ``ledger_rows`` plus the portfolio keys."""
     keys = list(keys)
-    layout = choose_layout(rows, keys, layout, FOLD_ROWS)
     lean = _blocks(rows, keys, layout, block_bars).select(
         *dict.fromkeys([*keys, "_block", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "force_exit"]),
         F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import running
+from tickloom.operators.series import POS, placed_once, running
 from tickloom.session import stable
 
 CENTS = "decimal(38,8)"
@@ -56,21 +56,22 @@ def performance(positions: DataFrame, keys: Sequence[str] = ("strategy_id",)) ->
     return closed_only(positions).groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
 
 
-def drawdown_path(positions: DataFrame, keys: Sequence[str], tie: str = "position_id", layout: str = "auto") -> DataFrame:
+def drawdown_path(positions: DataFrame, keys: Sequence[str], tie: str = "position_id", layout: str = "blocks") -> DataFrame:
     """Running net, its peak (never below 0) and the distance to it, in close order."""
     order = ["closed_at", tie]
     net = F.coalesce(F.col("pnl_net"), F.lit(0)).cast("decimal(18,8)")
-    path = running(closed_only(positions), keys, order, {"cumulative_net": ("sum", net)}, layout=layout)
+    closed = placed_once(closed_only(positions), keys, order, layout)
+    path = running(closed, keys, order, {"cumulative_net": ("sum", net)}, layout=layout)
     path = running(path, keys, order, {"_top": ("max", F.col("cumulative_net"))}, layout=layout)
     peak = F.greatest(F.col("_top"), F.lit(0).cast("decimal(28,8)"))
-    return path.withColumn("peak", peak).withColumn("drawdown", peak - F.col("cumulative_net")).drop("_top")
+    return path.withColumn("peak", peak).withColumn("drawdown", peak - F.col("cumulative_net")).drop("_top", POS)
 
 
-def max_drawdown(positions: DataFrame, keys: Sequence[str] = ("strategy_id",), tie: str = "position_id", layout: str = "auto") -> DataFrame:
+def max_drawdown(positions: DataFrame, keys: Sequence[str] = ("strategy_id",), tie: str = "position_id", layout: str = "blocks") -> DataFrame:
     return drawdown_path(positions, keys, tie, layout).groupBy(*keys).agg(F.max("drawdown").cast("double").alias("max_drawdown"))
 
 
-def with_drawdown(positions: DataFrame, keys: Sequence[str] = ("strategy_id",), tie: str = "position_id", layout: str = "auto") -> DataFrame:
+def with_drawdown(positions: DataFrame, keys: Sequence[str] = ("strategy_id",), tie: str = "position_id", layout: str = "blocks") -> DataFrame:
     return performance(positions, keys).join(max_drawdown(positions, keys, tie, layout), list(keys))
 
 
@@ -113,7 +114,7 @@ def daily_summary(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def max_drawdown_pct(equity: DataFrame, keys: Sequence[str], ts: str = "ts", tie: str = "seq", layout: str = "auto") -> DataFrame:
+def max_drawdown_pct(equity: DataFrame, keys: Sequence[str], ts: str = "ts", tie: str = "seq", layout: str = "blocks") -> DataFrame:
     """Over every snapshot, not only day ends."""
     path = running(equity, keys, [ts, tie], {"_peak": ("max", F.col("equity"))}, layout=layout)
     peak = F.greatest(F.col("_peak").cast("double"), F.lit(0.0))
@@ -121,7 +122,7 @@ def max_drawdown_pct(equity: DataFrame, keys: Sequence[str], ts: str = "ts", tie
     return path.groupBy(*keys).agg(F.greatest(F.coalesce(F.max(fall), F.lit(0.0)), F.lit(0.0)).alias("max_drawdown_pct"))
 
 
-def equity_report(equity: DataFrame, keys: Sequence[str], initial: float, ts: str = "ts", tie: str = "seq", layout: str = "auto") -> DataFrame:
+def equity_report(equity: DataFrame, keys: Sequence[str], initial: float, ts: str = "ts", tie: str = "seq", layout: str = "blocks") -> DataFrame:
     """Net return, daily figures, monthly and annual returns and drawdown on one row per key."""
     names = {"ts": ts, "tie": tie}
     # Five aggregates read the curve.

@@ -167,11 +167,11 @@ def trade_context(trades: DataFrame, decisions: DataFrame) -> DataFrame:
     return first_match(out, entries, ["strategy_id", "opened_at"], long_entry, ["id"], ["direction", "confidence"], "entry_")
 
 
-def cumulative_pnl(trades: DataFrame, keys: Sequence[str], layout: str = "auto") -> DataFrame:
+def cumulative_pnl(trades: DataFrame, keys: Sequence[str], layout: str = "blocks") -> DataFrame:
     return running(trades, keys, ["closed_at", "position_id"], {"cumulative_pnl": ("sum", F.col("pnl_net"))}, layout=layout)
 
 
-def trade_export(trades: DataFrame, evaluations: DataFrame, strategy_switches: DataFrame, context: Sequence[str], layout: str = "auto") -> DataFrame:
+def trade_export(trades: DataFrame, evaluations: DataFrame, strategy_switches: DataFrame, context: Sequence[str], layout: str = "blocks") -> DataFrame:
     """Trades with the evaluation in force at entry and the latest switch around their life."""
     judged = as_of(trades, evaluations, context, "opened_at", "evaluated_at", ["evaluated_at", "selected", "regime"], ["evaluation_id"], prefix="judge_", layout=layout)
     return interval_latest(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.draws import REPLICATES, next_starts, replicate_states
 from tickloom.functions.stats import pearson, ratio
-from tickloom.operators.series import POS, choose_layout, positions, running
+from tickloom.operators.series import POS, positions, running, same_key_join
 from tickloom.session import stable
 
 # Features with a direction flag, default horizons, and the cost model.
@@ -88,7 +88,7 @@ def basic_statistics(long: DataFrame, keys: Sequence[str] = ("symbol",), step_se
     ).drop("_hits")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, layout: str = "auto") -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, layout: str = "blocks") -> DataFrame:
     """1-based ranks where ties share their mean rank.
 
     Ranks come from counts of distinct values, so ties shrink before anything is sorted.
@@ -96,28 +96,26 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, layo
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     ranked = running(counts, keys, [value], {"_below": ("sum", F.col("_ties"))}, inclusive=False, layout=layout)
     rank = F.coalesce(F.col("_below"), F.lit(0)) + (F.col("_ties") + 1) / 2.0
-    return df.join(ranked.select(*keys, value, rank.cast("double").alias(out)), [*keys, value])
+    return same_key_join(df, ranked.select(*keys, value, rank.cast("double").alias(out)), [*keys, value])
 
 
-def spearman(long: DataFrame, keys: Sequence[str] = ("symbol",), layout: str = "auto") -> DataFrame:
+def spearman(long: DataFrame, keys: Sequence[str] = ("symbol",), layout: str = "blocks") -> DataFrame:
     g = group_keys(keys)
     # Ranks of both sides are joined back to the samples.
     long = stable(long.select(*g, "x", "y"))
-    layout = choose_layout(long, g, layout)
     ranked = average_ranks(average_ranks(long, g, "x", "_rx", layout), g, "y", "_ry", layout)
     return ranked.groupBy(*g).agg(pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], layout: str) -> DataFrame:
     """Positions and group sizes ``_n``; in the plain layout both come from one exchange."""
-    layout = choose_layout(df, keys, layout)
     if layout == "plain":
         return positions(df, keys, order, layout).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return positions(df, keys, order, layout).join(sizes, list(keys))
+    return same_key_join(positions(df, keys, order, layout), sizes, list(keys))
 
 
-def deciles(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "auto") -> DataFrame:
+def deciles(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "blocks") -> DataFrame:
     """Mean y of ten slices [d*n/10, (d+1)*n/10) in x order (time breaks ties); groups of ten or more."""
     g = group_keys(keys)
     placed = _placed(long, g, ["x", ts], layout).filter("_n >= 10")
@@ -128,7 +126,7 @@ def deciles(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "times
     return out.withColumn("decile_spread", F.col("decile_10") - F.col("decile_1"))
 
 
-def split_half(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "auto") -> DataFrame:
+def split_half(long: DataFrame, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", layout: str = "blocks") -> DataFrame:
     """Pearson of the first floor(n/2) samples in time and of the rest."""
     g = group_keys(keys)
     placed = _placed(long, g, [ts], layout)
@@ -154,7 +152,7 @@ def round_trip_cost(grid: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataF
     )
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], layout: str = "auto") -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], layout: str = "blocks") -> DataFrame:
     """Linear-interpolated percentiles at index p*(n-1), from exact positions."""
     known = df.filter(F.col(value).isNotNull())
     placed = _placed(known.select(*keys, value), keys, [value], layout)
@@ -275,11 +273,10 @@ def block_bootstrap(
 
 
 def analyze(
-    grid: DataFrame, horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", step_seconds: int = 1, layout: str = "auto"
+    grid: DataFrame, horizons: Sequence[int] = HORIZONS, keys: Sequence[str] = ("symbol",), ts: str = "timestamp_ms", step_seconds: int = 1, layout: str = "blocks"
 ) -> DataFrame:
     """All features x horizons of every key: one statistics row each."""
     g = group_keys(keys)
-    layout = choose_layout(grid, keys, layout)
     # Five statistics read the samples; the join behind them runs once.
     returns = stable(forward_returns(grid, horizons, keys, ts))
     long = unpivot_features(returns, [*keys, ts, "horizon", "y"])

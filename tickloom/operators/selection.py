@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.stats import clamp
 from tickloom.functions.text import strategy_kind
 from tickloom.operators.performance import closed_only
-from tickloom.operators.series import POS, as_of, choose_layout, framed, positions, running
+from tickloom.operators.series import POS, as_of, framed, placed_once, positions, running
 
 PAIR = ("instrument", "strategy_id")
 
@@ -37,7 +37,7 @@ class RegimeThresholds:
     min_relative_volume: float = 1.5
 
 
-def metrics_as_of(evaluations: DataFrame, trades: DataFrame, layout: str = "auto", tie: str = "position_id") -> DataFrame:
+def metrics_as_of(evaluations: DataFrame, trades: DataFrame, layout: str = "blocks", tie: str = "position_id") -> DataFrame:
     """Performance of the pair's trades closed at or before each evaluation's ``as_of``.
 
     Running aggregates on the trades and one as-of merge: every trade is read once, however many
@@ -46,9 +46,8 @@ def metrics_as_of(evaluations: DataFrame, trades: DataFrame, layout: str = "auto
     closed = closed_only(trades)
     net = F.coalesce(F.col("pnl_net"), F.lit(0)).cast("decimal(18,8)")
     order = ["closed_at", tie]
-    layout = choose_layout(closed, PAIR, layout)
     path = running(
-        closed,
+        placed_once(closed, PAIR, order, layout),
         PAIR,
         order,
         {
@@ -117,7 +116,7 @@ def damped(
     bypass: Column | None = None,
     revive: bool = False,
     out: str = "held",
-    layout: str = "auto",
+    layout: str = "blocks",
 ) -> DataFrame:
     """Hold a value until ``confirmations`` equal proposals in a row ask for the change.
 
@@ -128,7 +127,6 @@ def damped(
     a bypass, so this too is a matter of the few rows before. ``waiting`` counts unconfirmed
     proposals.
     """
-    layout = choose_layout(df, keys, layout)
     placed = positions(df, keys, order, layout).withColumn("_by", F.coalesce(bypass, F.lit(False)) if bypass is not None else F.lit(False))
     packed = F.struct(F.col(proposed).alias("v"), F.col("_by").alias("by"))
 
@@ -160,7 +158,7 @@ def damped(
     )
 
 
-def held_states(decisions: DataFrame, t: Thresholds = Thresholds(), layout: str = "auto") -> DataFrame:
+def held_states(decisions: DataFrame, t: Thresholds = Thresholds(), layout: str = "blocks") -> DataFrame:
     """Per-pair damping of ``state``; a waiting change shows as ``transition_pending``."""
     held = damped(decisions, PAIR, ["as_of"], "state", confirmations=t.min_confirmations, out="_held_state", layout=layout)
     reason = F.when(F.col("waiting") > 0, "transition_pending").otherwise(F.col("reason"))
@@ -201,7 +199,7 @@ def classify_regime(features: DataFrame, t: RegimeThresholds = RegimeThresholds(
     ).drop("_r")
 
 
-def with_previous_bandwidth(features: DataFrame, keys: Sequence[str] = ("instrument", "timeframe"), layout: str = "auto") -> DataFrame:
+def with_previous_bandwidth(features: DataFrame, keys: Sequence[str] = ("instrument", "timeframe"), layout: str = "blocks") -> DataFrame:
     return framed(features, keys, ["close_time"], lambda d, w: d.withColumn("prev_bandwidth", F.lag("bandwidth").over(w)), back=1, layout=layout)
 
 
@@ -285,7 +283,7 @@ def select_strategy(decisions: DataFrame, keys: Sequence[str] = ("context", "as_
     )
 
 
-def held_selection(proposals: DataFrame, confirmations: int = 3, layout: str = "auto") -> DataFrame:
+def held_selection(proposals: DataFrame, confirmations: int = 3, layout: str = "blocks") -> DataFrame:
     """Damp the selection per context; an uncertain regime is not damped."""
     held = damped(
         proposals, ["context"], ["as_of"], "proposed", confirmations=confirmations, bypass=F.col("regime") == "uncertain",
@@ -294,7 +292,7 @@ def held_selection(proposals: DataFrame, confirmations: int = 3, layout: str = "
     return held.withColumn("selection_reason", F.when(F.col("waiting") > 0, "selection_pending").otherwise(F.col("selection_reason")))
 
 
-def switches(selections: DataFrame, layout: str = "auto") -> DataFrame:
+def switches(selections: DataFrame, layout: str = "blocks") -> DataFrame:
     """Rows where the selection differs from the one before (never the first row of a context)."""
     now = F.struct(F.col("selected").alias("v"))
     seen = framed(selections, ["context"], ["as_of"], lambda d, w: d.withColumn("_before", F.lag(now).over(w)), back=1, layout=layout)

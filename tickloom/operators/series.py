@@ -9,8 +9,9 @@ rows are cut into fixed-size blocks of consecutive positions, and
 * a running aggregate gets one carry row per block (``running``),
 * a linear recursion gets the decayed ends of the few blocks before it (``recursions``).
 
-``layout="auto"`` measures the largest key first and keeps the plain one-exchange window while
-that key fits ``PLAIN_LIMIT`` rows.
+Blocks are the default. A caller that knows its keys to be small (``measured_layout`` counts them
+on a base table) may ask for ``layout="plain"``, one exchange and one sort; both give the same rows,
+those with NULL keys included: every join here is null-safe.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,27 +42,31 @@ def as_columns(order: Order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def choose_layout(df: DataFrame, keys: Keys, layout: str = "auto", limit: int = PLAIN_LIMIT) -> str:
-    """Plain windows while the largest key is small, blocks beyond (one pre-aggregated count)."""
-    if layout != "auto":
-        return layout
+def measured_layout(df: DataFrame, keys: Keys, limit: int = PLAIN_LIMIT) -> str:
+    """For callers: ``plain`` if the largest key of a base table is small, else ``blocks``. One pre-aggregated count."""
     biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return "plain" if (biggest or 0) <= limit else "blocks"
 
 
+def same_key_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the result has the keys once, from ``left``."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    match = reduce(and_, [left[k].eqNullSafe(other[f"_r_{k}"]) for k in on])
+    return left.join(other, match, how).drop(*[f"_r_{k}" for k in on])
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Broadcast hint for an already materialised table, but only after counting it."""
     return F.broadcast(df) if df.count() <= SMALL_TABLE_ROWS else df
 
 
-def positions(df: DataFrame, keys: Keys, order: Order, layout: str = "auto", name: str = POS) -> DataFrame:
+def positions(df: DataFrame, keys: Keys, order: Order, layout: str = "blocks", name: str = POS) -> DataFrame:
     """Append the exact 1-based position of each row inside its key.
 
     A table that already carries ``_pos`` is taken as it is, so several operators share one placing.
     """
     if name in df.columns:
         return df
-    layout = choose_layout(df, keys, layout)
     if layout == "plain":
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*as_columns(order))).cast("long"))
     # The row id only lets a run of equal rows be cut between tasks; any order among them will do.
@@ -73,12 +80,17 @@ def positions(df: DataFrame, keys: Keys, order: Order, layout: str = "auto", nam
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = stable(runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
     return (
-        fixed.join(small_side(runs), [*keys, "_slice"])
+        same_key_join(fixed, small_side(runs), [*keys, "_slice"])
         .withColumn(name, F.col("_before") + F.col("_slot") - F.col("_first") + 1)
         .drop("_slot", "_slice", "_first", "_before")
     )
 
 
+def placed_once(df: DataFrame, keys: Keys, order: Order, layout: str) -> DataFrame:
+    """For several block operators in a row: their positions, found once. The plain layout needs none."""
+    return positions(df, keys, order, layout) if layout == "blocks" else df
+
+
 def framed(
     df: DataFrame,
     keys: Keys,
@@ -87,15 +99,14 @@ def framed(
     *,
     back: int = 0,
     ahead: int = 0,
-    layout: str = "auto",
+    layout: str = "blocks",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``build(df, window)`` where no frame reaches more than ``back``/``ahead`` rows."""
-    layout = choose_layout(df, keys, layout)
     if layout == "plain":
         return build(df, Window.partitionBy(*keys).orderBy(*as_columns(order)))
-    if max(back, ahead) > block_rows:
-        raise ValueError("a frame may not be longer than a block")
+    # A block is longer than any frame, so a frame meets the next or the last block only.
+    block_rows = max(block_rows, back, ahead)
     placed = positions(df, keys, order, "blocks")
     home = F.expr(f"({POS} - 1) div {block_rows}")
     within = F.expr(f"({POS} - 1) % {block_rows}")
@@ -136,7 +147,7 @@ def running(
     specs: Mapping[str, tuple[str, Column]],
     *,
     inclusive: bool = True,
-    layout: str = "auto",
+    layout: str = "blocks",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Running sum / max / min / count / last non-NULL over all rows up to here.
@@ -144,7 +155,6 @@ def running(
     ``inclusive=False`` leaves the current row out. ``specs`` maps an output name to
     ``(kind, value)``.
     """
-    layout = choose_layout(df, keys, layout)
     end = 0 if inclusive else -1
     if layout == "plain":
         w = Window.partitionBy(*keys).orderBy(*as_columns(order)).rowsBetween(Window.unboundedPreceding, end)
@@ -171,7 +181,7 @@ def running(
     )
     inside = Window.partitionBy(*keys, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, end)
     local = valued.select("*", *[_IN_BLOCK[kind](F.col(f"_v_{name}")).over(inside).alias(name) for name, (kind, _) in specs.items()])
-    joined = local.join(carries, [*keys, BLOCK])
+    joined = same_key_join(local, carries, [*keys, BLOCK])
     for name, (kind, _) in specs.items():
         joined = joined.withColumn(name, _merge(kind, F.col(f"_c_{name}"), F.col(name)))
     extra = [f"_{part}_{name}" for name in specs for part in ("v", "c")]
@@ -200,7 +210,7 @@ def _span(specs: Mapping[str, Recursion]) -> int:
 
 
 def recursions(
-    df: DataFrame, keys: Keys, order: Order, specs: Mapping[str, Recursion], layout: str = "auto", span: int | None = None
+    df: DataFrame, keys: Keys, order: Order, specs: Mapping[str, Recursion], layout: str = "blocks", span: int | None = None
 ) -> DataFrame:
     """Evaluate linear recursions (EMA, Wilder, EWMA) with window sums only.
 
@@ -209,9 +219,14 @@ def recursions(
     the decay is below the smallest double, so nothing representable is lost. Rows before the seed
     is complete are NULL.
     """
-    span = span or _span(specs)
-    if any(s.first > span for s in specs.values()):
-        raise ValueError("the seed must fit the first sub-block")
+    first = max(s.first for s in specs.values())
+    if span is None and first > _span(specs) and len(specs) > 1:
+        # A long seed needs long sub-blocks, in which a fast recursion would leave the double range: one at a time.
+        placed = positions(df, keys, order, layout)
+        for n, s in specs.items():
+            placed = recursions(placed, keys, order, {n: s}, layout)
+        return placed if POS in df.columns else placed.drop(POS)
+    span = max(span or _span(specs), first)
     placed = positions(df, keys, order, layout)
     placed = placed.select("*", *[s.value.cast("double").alias(f"_x_{n}") for n, s in specs.items()])
     placed = placed.withColumn("_sub", F.expr(f"({POS} - 1) div {span}")).withColumn("_i", F.expr(f"({POS} - 1) % {span}"))
@@ -239,7 +254,7 @@ def recursions(
             for n, s in specs.items()
         ]
     )
-    joined = local.join(carried, [*keys, "_sub"], "left")
+    joined = same_key_join(local, carried, [*keys, "_sub"], "left")
     for n, s in specs.items():
         carry = F.coalesce(F.col(f"_c_{n}"), F.lit(0.0)) * F.pow(F.lit(1.0 - s.alpha), i + 1)
         joined = joined.withColumn(n, F.when(pos >= s.first, F.col(n) + carry))
@@ -258,7 +273,7 @@ def as_of(
     tie: Sequence[str] = (),
     *,
     prefix: str = "",
-    layout: str = "auto",
+    layout: str = "blocks",
 ) -> DataFrame:
     """Latest right row at or before each left row, by a merge of both sides instead of a join.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.stats import clamp, ratio
 from tickloom.operators.features import KEYS, ORDER, as_doubles, ema, previous_known, sma, stddev
-from tickloom.operators.series import choose_layout, framed, positions, recursions
+from tickloom.operators.series import framed, positions, recursions
 
 LONG, SHORT, FLAT = "long", "short", "flat"
 
@@ -38,10 +38,9 @@ def _finish(df: DataFrame, kind: str, entry: Column, confidence: Column, exit_lo
     )
 
 
-def ema_crossover(candles: DataFrame, *, fast: int = 12, slow: int = 26, layout: str = "auto") -> DataFrame:
+def ema_crossover(candles: DataFrame, *, fast: int = 12, slow: int = 26, layout: str = "blocks") -> DataFrame:
     """Sign change of fast minus slow EMA; no warm-up, so bar two can fire."""
     bars = as_doubles(candles)
-    layout = choose_layout(bars, KEYS, layout)
     placed = positions(bars, KEYS, ORDER, layout)
     scanned = recursions(placed, KEYS, ORDER, {"fast_ema": ema(F.col("close"), fast), "slow_ema": ema(F.col("close"), slow)}, layout)
     gap = F.col("fast_ema") - F.col("slow_ema")
@@ -57,7 +56,7 @@ def crossover_rows(ready: DataFrame) -> DataFrame:
     return _finish(ready, "ema_crossover", entry, confidence, None, F.struct("fast_ema", "slow_ema"))
 
 
-def momentum(candles: DataFrame, *, lookback: int = 10, threshold: float = 0.01, layout: str = "auto") -> DataFrame:
+def momentum(candles: DataFrame, *, lookback: int = 10, threshold: float = 0.01, layout: str = "blocks") -> DataFrame:
     """Return over a window of ``lookback`` closes, that is lookback - 1 bars."""
 
     def build(df: DataFrame, w) -> DataFrame:
@@ -77,7 +76,7 @@ def momentum_rows(ready: DataFrame, threshold: float = 0.01) -> DataFrame:
     )
 
 
-def mean_reversion(candles: DataFrame, *, window: int = 20, entry_z: float = 2.0, layout: str = "auto") -> DataFrame:
+def mean_reversion(candles: DataFrame, *, window: int = 20, entry_z: float = 2.0, layout: str = "blocks") -> DataFrame:
     def build(df: DataFrame, w) -> DataFrame:
         return df.withColumns({"mean": sma(F.col("close"), w, window), "stddev": stddev(F.col("close"), w, window)})
 
@@ -102,7 +101,7 @@ def statistical_mean_reversion(
     overbought: float = 70.0,
     oversold: float = 30.0,
     max_autocorrelation: float = 0.3,
-    layout: str = "auto",
+    layout: str = "blocks",
 ) -> DataFrame:
     z, rsi = F.col("zscore"), F.col("rsi")
     calm = F.col("autocorrelation") <= max_autocorrelation
@@ -114,7 +113,7 @@ def statistical_mean_reversion(
 
 
 def quant_momentum(
-    features: DataFrame, *, min_r2: float = 0.6, exit_r2: float = 0.3, min_relative_volume: float = 1.0, layout: str = "auto"
+    features: DataFrame, *, min_r2: float = 0.6, exit_r2: float = 0.3, min_relative_volume: float = 1.0, layout: str = "blocks"
 ) -> DataFrame:
     r2, slope = F.col("reg_r2"), F.col("reg_slope")
     ready = (r2 >= min_r2) & (F.col("relative_volume") >= min_relative_volume)
@@ -125,7 +124,7 @@ def quant_momentum(
     )
 
 
-def volatility_breakout(features: DataFrame, *, min_relative_volume: float = 1.5, layout: str = "auto") -> DataFrame:
+def volatility_breakout(features: DataFrame, *, min_relative_volume: float = 1.5, layout: str = "blocks") -> DataFrame:
     """Expansion is against the latest earlier *known* bandwidth."""
     return breakout_rows(previous_known(features, "bandwidth", layout=layout), min_relative_volume)
 
@@ -184,7 +183,7 @@ def catalog_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, category string, directions array<string>, params map<string,double>")
 
 
-def candidates(candles: DataFrame, features: DataFrame, kinds: Sequence[str] | None = None, layout: str = "auto") -> DataFrame:
+def candidates(candles: DataFrame, features: DataFrame, kinds: Sequence[str] | None = None, layout: str = "blocks") -> DataFrame:
     """Candidate rows of several kinds; the feature table is computed once by the caller."""
     out = None
     for kind in kinds or list(CATALOG):

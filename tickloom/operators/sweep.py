@@ -11,7 +11,6 @@ from tickloom.operators import candles as C
 from tickloom.operators.features import FeatureConfig, feature_series
 from tickloom.operators.ledger import Ledger, RiskConfig, ledger_rows, run_ledger
 from tickloom.operators.performance import complete, equity_report, max_drawdown, performance
-from tickloom.operators.series import choose_layout
 from tickloom.operators.signals import CATALOG, candidates
 from tickloom.session import stable
 
@@ -31,7 +30,7 @@ def windowed(candles: DataFrame) -> DataFrame:
     return cut.withColumn("instrument", F.concat_ws("@", "symbol", "window"))
 
 
-def strict(slices: DataFrame, timeframe: str, layout: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
+def strict(slices: DataFrame, timeframe: str, layout: str = "blocks") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of clean slices, skipped slices, validation report)."""
     audited = C.audit(slices.withColumn("seq", F.unix_micros("open_time")), timeframe, keys=SLICE, layout=layout)
     report = C.validation_report(audited, SLICE)
@@ -41,10 +40,9 @@ def strict(slices: DataFrame, timeframe: str, layout: str = "auto") -> tuple[Dat
 
 def run(
     candles: DataFrame, instruments: DataFrame, timeframe: str, kinds: Sequence[str] | None = None, config: RiskConfig = RiskConfig(),
-    features: FeatureConfig = FeatureConfig(), layout: str = "auto", block_bars: int | None = None,
+    features: FeatureConfig = FeatureConfig(), layout: str = "blocks", block_bars: int | None = None,
 ) -> tuple[Ledger, DataFrame, DataFrame]:
     """(ledger of all runs, clean slices, validation report)."""
-    layout = choose_layout(candles, C.KEYS, layout)
     kept, _, report = strict(windowed(candles), timeframe, layout)
     kept = stable(kept)
     table = stable(feature_series(kept, features, layout=layout))
@@ -53,11 +51,11 @@ def run(
     ready = ledger_rows(kept, rows, dims, config)
     extra = {"block_bars": block_bars} if block_bars else {}
     # One portfolio per run, so its rows are at most those of its slice.
-    ledger = run_ledger(stable(ready), RUN, config, layout="auto" if layout == "plain" else layout, **extra)
+    ledger = run_ledger(stable(ready), RUN, config, layout=layout, **extra)
     return ledger, kept, report
 
 
-def experiment_reports(ledger: Ledger, slices: DataFrame, report: DataFrame, config: RiskConfig = RiskConfig(), kinds: Sequence[str] | None = None, layout: str = "auto") -> DataFrame:
+def experiment_reports(ledger: Ledger, slices: DataFrame, report: DataFrame, config: RiskConfig = RiskConfig(), kinds: Sequence[str] | None = None, layout: str = "blocks") -> DataFrame:
     """One row per run: performance, equity, benchmark and data quality; runs without trades too."""
     cash = config.initial_cash
     keys = matrix(slices.select(*SLICE).distinct(), kinds)

@@ -32,10 +32,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tape_layout(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> str:
     """Layout for anything derived from the tape, from a count of its one key column."""
-    from tickloom.operators.series import choose_layout
+    from tickloom.operators.series import measured_layout
 
     events = load(spark, sf_dir, "events")
-    return choose_layout(events.select(F.lit("all").alias("k")) if pooled else events.select(F.col("event_type").alias("k")), ["k"])
+    return measured_layout(events.select(F.lit("all").alias("k")) if pooled else events.select(F.col("event_type").alias("k")), ["k"])
 
 
 def tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame:
@@ -161,7 +161,7 @@ TRADES_SQL = f"""line AS (
 INITIAL_CASH = 100_000.0
 
 
-def equity(spark: SparkSession, sf_dir: str, layout: str = "auto") -> DataFrame:
+def equity(spark: SparkSession, sf_dir: str, layout: str = "blocks") -> DataFrame:
     """One equity snapshot per closed trade and instrument, on 100 000 of cash."""
     from tickloom.operators.series import running
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import books as B
-from tickloom.operators.series import choose_layout
+from tickloom.operators.series import measured_layout
 from tickloom.plans.adapters import load, r6
 from tickloom.plans.registry import Registry
 
@@ -55,7 +55,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_of(spark: SparkSession, sf_dir: str) -> str:
     """One size check on the raw feed serves every query built on it."""
-    return choose_layout(feed(spark, sf_dir), B.KEYS)
+    return measured_layout(feed(spark, sf_dir), B.KEYS)
 
 
 def sequenced(spark: SparkSession, sf_dir: str, *, lossy: bool = False) -> DataFrame:
@@ -123,7 +123,7 @@ R.add("book_event_merge", lambda s, d: sequenced(s, d).select("uid", F.col("kind
 R.add("book_seed", lambda s, d: sequenced(s, d).groupBy("segment").agg(F.count_if(F.col("status") == "snapshot").alias("snapshots"), F.count_if(F.col("status") == "applied").alias("applied"), F.min("uid").alias("seeded_by")),
       f"WITH {FEED_SQL} SELECT seg AS segment, 1::BIGINT AS snapshots, count(*) - 1 AS applied, min(uid) AS seeded_by FROM ev GROUP BY seg")
 # Every delta sent twice: the second copy is covered already.
-R.add("book_stale_drop", lambda s, d: B.sequence(B.merge_events(snapshots(s, d), deltas(s, d).unionByName(deltas(s, d)))).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+R.add("book_stale_drop", lambda s, d: B.sequence(B.merge_events(snapshots(s, d), deltas(s, d).unionByName(deltas(s, d))), layout_of(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n")),
       f"WITH {FEED_SQL}, c AS (SELECT count(*) FILTER (snap) AS s, count(*) FILTER (NOT snap) AS d FROM ev) SELECT 'snapshot' AS status, s AS n FROM c UNION ALL SELECT 'applied', d FROM c UNION ALL SELECT 'stale', d FROM c")
 R.add("book_gap_detect", lambda s, d: B.gaps(sequenced(s, d, lossy=True)).select("expected", "got", "at_ms"),
       f"""WITH {FEED_SQL}, kept AS (SELECT *, lag(uid) OVER (ORDER BY uid) AS prev FROM ev WHERE event_type <> 'error'),
@@ -171,10 +171,17 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("ofi_increment", lambda s, d: B.with_flow(book(s, d), ["_pos"], layout_of(s, d)).select("uid", r6("ofi")), f"WITH {STATE_SQL}, {flow_sql('quote', 'uid')} SELECT uid, ofi FROM flow")
-for query_name, feature_names in (
-    ("tape_imbalance", ("trade_imbalance",)), ("tape_volume_delta", ("volume_delta",)), ("tape_intensity", ("trade_intensity",)), ("ofi_rolling", ("order_flow_imbalance",)), ("micro_series", NAMES),
+
+
+def tape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.tape_series(sequenced(spark, sf_dir), trades(spark, sf_dir), WINDOW, layout_of(spark, sf_dir))
+
+
+for query_name, feature_names, source in (
+    ("tape_imbalance", ("trade_imbalance",), tape_features), ("tape_volume_delta", ("volume_delta",), tape_features), ("tape_intensity", ("trade_intensity",), tape_features),
+    ("ofi_rolling", ("order_flow_imbalance",), series), ("micro_series", NAMES, series),
 ):
-    R.add(query_name, lambda s, d, n=feature_names: series(s, d).select("uid", "timestamp_ms", *[r6(c) for c in n]), f"WITH {SERIES_SQL} SELECT uid, timestamp_ms, {rounded(*feature_names)} FROM series")
+    R.add(query_name, lambda s, d, n=feature_names, f=source: f(s, d).select("uid", "timestamp_ms", *[r6(c) for c in n]), f"WITH {SERIES_SQL} SELECT uid, timestamp_ms, {rounded(*feature_names)} FROM series")
 R.add("replay_day_job", lambda s, d: B.replay_summary(series(s, d)).select("rows", r6("average_spread_pct"), r6("last_mid")),
       f"WITH {SERIES_SQL} SELECT count(*) AS rows, round(avg(spread_pct), 6) AS average_spread_pct, round(max_by(mid_price, uid), 6) AS last_mid FROM series")
 R.add("grid_align", lambda s, d: feed(s, d).select("event_id", B.align_up(F.col("ms"), 1000).alias("aligned")), "SELECT event_id, CAST(ceil((epoch_us(ts) // 1000) / 1000.0) AS BIGINT) * 1000 AS aligned FROM events")

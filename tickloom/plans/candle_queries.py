@@ -315,7 +315,7 @@ R.add("strat_volatility_breakout", quantitative(S.volatility_breakout),
 
 
 # --- user strategies ------------------------------------------------------------------------------
-def volume_spike(candles: DataFrame, *, layout: str = "auto") -> DataFrame:
+def volume_spike(candles: DataFrame, *, layout: str = "blocks") -> DataFrame:
     """A strategy written outside the catalogue: long on twice the usual volume, short on half of it."""
     def build(df: DataFrame, w) -> DataFrame:
         return df.withColumn("relative", X.relative_volume(F.col("volume"), w, 20))

@@ -43,16 +43,26 @@ def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumns(M.execution_costs(F.col("price"), F.col("buy"), F.col("quantity"), 2.0, 3.0, 0.001))
 
 
-def moved(sign: str) -> str:
+def moved_cents(sign: str) -> str:
     """Half-even tick rounding of cents * (1 +- 5 bp) on integers: 20000 parts of a cent."""
     n, t = f"(cents::HUGEINT * (2000 {sign} 1))", "(tick_cents * 2000)"
-    return f"round(CASE WHEN 2 * ({n} % {t}) > {t} OR (2 * ({n} % {t}) = {t} AND ({n} // {t}) % 2 = 1) THEN {n} // {t} + 1 ELSE {n} // {t} END * tick_cents / 100.0::DOUBLE, 6)"
+    return f"CASE WHEN 2 * ({n} % {t}) > {t} OR (2 * ({n} % {t}) = {t} AND ({n} // {t}) % 2 = 1) THEN {n} // {t} + 1 ELSE {n} // {t} END * tick_cents"
+
+
+def moved(sign: str) -> str:
+    return f"round({moved_cents(sign)} / 100.0::DOUBLE, 6)"
+
+
+def six(units: str, scale: int) -> str:
+    """An exact number of 1e-``scale``, half up to six decimals."""
+    unit = 10 ** (scale - 6)
+    return f"(({units} + {unit // 2}) // {unit}) / 1000000.0::DOUBLE"
 
 
 R.add("exec_price", lambda s, d: costed(s, d).select("id", r6("buy"), r6("sell")), f"WITH {INSTRUMENTS_SQL} SELECT id, {moved('+')} AS buy, {moved('-')} AS sell FROM instruments")
 R.add("exec_costs", lambda s, d: costed(s, d).select("id", r6("spread_cost"), r6("slippage_cost"), r6("fee")),
-      f"""WITH {INSTRUMENTS_SQL} SELECT id, round(CAST(price * quantity AS DOUBLE) * 0.0002::DOUBLE, 6) AS spread_cost, round(CAST(price * quantity AS DOUBLE) * 0.0003::DOUBLE, 6) AS slippage_cost,
- round({moved('+')} * CAST(quantity AS DOUBLE) * 0.001::DOUBLE, 6) AS fee FROM instruments""")
+      f"""WITH {INSTRUMENTS_SQL}, sizes AS (SELECT *, CAST(round(quantity * 10000) AS HUGEINT) AS n FROM instruments)
+ SELECT id, {six('cents * n * 2', 10)} AS spread_cost, {six('cents * n * 3', 10)} AS slippage_cost, {six(f"({moved_cents('+')}) * n", 9)} AS fee FROM sizes""")
 
 
 def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import features as X
 from tickloom.operators import performance as P
 from tickloom.operators import selection as J
-from tickloom.operators.series import choose_layout
+from tickloom.operators.series import measured_layout
 from tickloom.plans.adapters import (
     EQUITY_SQL,
     EVALUATIONS_SQL,
@@ -105,7 +105,7 @@ METRICS = ("win_rate", "net_pnl", "profit_factor", "expectancy", "max_drawdown")
 def layout_of(spark: SparkSession, sf_dir: str) -> str:
     """One size check for the whole selection chain: no later table has more rows per instrument
     than there are orders of its customers."""
-    return choose_layout(load(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("k")), ["k"])
+    return measured_layout(load(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("k")), ["k"])
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
