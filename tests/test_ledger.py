@@ -1,6 +1,7 @@
-"""Ledger: timing, costs, limits, the accounting identity, and blocks against one pass."""
+"""Accounts from given fills, order columns and run reports, against plain loops and both layouts."""
 
 import random
+from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -8,162 +9,139 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tickloom.operators import accounts as A
 from tickloom.operators import ledger as L
 from tickloom.operators import sweep as W
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
-CANDLE = "instrument string, timeframe string, open_time timestamp, close_time timestamp, open decimal(18,8), close decimal(18,8)"
-CAND = "instrument string, timeframe string, strategy_id string, ts timestamp, entry string, manages_exit boolean, exit_long boolean, confidence double, metadata string"
-UNITS = "instrument string, tick decimal(18,8), lot decimal(18,8), min_quantity decimal(18,8), min_notional decimal(18,8)"
-FREE = L.RiskConfig(taker_fee=0.0, spread_bps=0.0, slippage_bps=0.0)
+FILL = "portfolio string, instrument string, at timestamp, fill_id long, side string, quantity decimal(18,8), price decimal(18,8), fee decimal(18,8)"
+KEY = ["portfolio", "instrument"]
 
 
-def table(spark, prices, entries, instrument="BTC", manages=False, strategy="s", minutes=60):
-    """prices: [(open, close)], entries: {bar: 'long' | 'short' | 'leave'}"""
-    at = lambda i: T0 + timedelta(minutes=minutes * i)
-    candles = [(instrument, "1h", at(i), at(i + 1), Decimal(str(o)), Decimal(str(c))) for i, (o, c) in enumerate(prices)]
-    cands = [(instrument, "1h", strategy, at(i + 1), entries.get(i) if entries.get(i) != "leave" else None, manages, entries.get(i) == "leave", 1.0, None) for i in range(len(prices))]
-    return spark.createDataFrame(candles, CANDLE), spark.createDataFrame(cands, CAND)
-
-
-def units(spark, *names):
-    return spark.createDataFrame([(n, Decimal("0.01"), Decimal("0.0001"), Decimal("0.0001"), Decimal(10)) for n in names], UNITS)
-
-
-def play(spark, prices, entries, config=FREE, **kw):
-    c, s = table(spark, prices, entries, **kw)
-    data = L.ledger_rows(c, s, units(spark, "BTC"), config).withColumn("portfolio", F.lit("p"))
-    return L.run_ledger(data, config=config)
-
-
-def test_order_fills_at_the_next_open_and_the_last_one_is_dropped(spark):
-    led = play(spark, [(100, 100), (102, 103), (104, 104), (105, 105)], {0: "long", 2: "short", 3: "long"})
-    got = {r["event"]: r for r in led.events.collect()}
-    assert got["open"]["entry_price"] == 102.0 and got["open"]["at"] == datetime(2024, 1, 1, 1)
-    assert got["close"]["exit_price"] == 105.0 and got["close"]["quantity"] == 10.0 and got["close"]["pnl_net"] == pytest.approx(30.0)
-    led = play(spark, [(100, 100), (102, 103)], {1: "long"})
-    assert [r["event"] for r in led.events.collect()] == ["drop"]
-
-
-def test_costs_are_charged_once(spark):
-    led = play(spark, [(100, 100), (100, 100), (110, 110), (110, 110)], {0: "long", 1: "short"}, L.RiskConfig())
-    close = led.trades.first()
-    buy, sell, q = 100.05, 109.94, 10.0
-    assert close["entry_price"] == pytest.approx(buy) and close["exit_price"] == pytest.approx(109.94)
-    assert close["fees_paid"] == pytest.approx(0.001 * q * (buy + sell)) and close["pnl_gross"] == pytest.approx(q * (sell - buy))
-    assert close["pnl_net"] == pytest.approx(close["pnl_gross"] - close["fees_paid"])
-    assert close["spread_paid"] == pytest.approx(q * 0.0002 * (100 + 110)) and close["slippage_paid"] == pytest.approx(q * 0.0003 * (100 + 110))
-
-
-@pytest.mark.parametrize("last, reason", [(95.0, "stop_loss"), (110.0, "take_profit"), (95.01, None), (109.99, None)])
-def test_limits_are_inclusive(spark, last, reason):
-    led = play(spark, [(100, 100), (100, 100), (100, last), (last, last)], {0: "long"})
-    exits = [r["reason"] for r in led.events.filter("event = 'exit'").collect()]
-    assert exits[:1] == ([reason] if reason else [])
-
-
-def test_risk_exit_comes_before_the_signal_of_its_bar(spark):
-    led = play(spark, [(100, 100), (100, 100), (90, 90), (90, 90), (90, 90)], {0: "long", 2: "short"})
-    assert [r["reason"] for r in led.events.filter("event = 'exit'").collect()] == ["stop_loss"]
-
-
-def test_routing_reasons(spark):
-    led = play(spark, [(100, 100)] * 5, {0: "short", 1: "long", 3: "long"})
-    assert sorted(r["reason"] for r in led.events.filter("event = 'reject'").collect()) == ["position_already_open", "short_selling_not_supported"]
-
-
-def test_strategies_with_own_exits_leave_only_while_open(spark):
-    led = play(spark, [(100, 100)] * 6, {0: "leave", 1: "long", 2: "short", 3: "leave"}, manages=True)
-    kinds = [(r["event"], r["at"]) for r in led.events.orderBy("at").collect()]
-    assert [k for k, _ in kinds] == ["open", "exit", "close"] and kinds[-1][1] == datetime(2024, 1, 1, 4)
-
-
-def test_daily_loss_limit_resets_at_midnight(spark):
-    prices = [(100, 100), (100, 50), (50, 50), (50, 50)] + [(50, 50)] * 24
-    led = play(spark, prices, {0: "long", 3: "long", 25: "long"}, L.RiskConfig(taker_fee=0, spread_bps=0, slippage_bps=0, max_daily_loss=400.0))
-    assert [r["reason"] for r in led.events.filter("event = 'reject'").collect()] == ["daily_loss_limit_breached"]
-    assert led.events.filter("event = 'open'").count() == 2
-
-
-def test_two_entries_of_one_bar_do_not_see_each_other(spark):
-    c, s = table(spark, [(100, 100)] * 4, {0: "long", 2: "long"})
-    other = s.withColumn("strategy_id", F.lit("t"))
-    third = s.withColumn("strategy_id", F.lit("u"))
-    config = L.RiskConfig(taker_fee=0, spread_bps=0, slippage_bps=0, max_total_exposure=1500.0)
-    data = L.ledger_rows(c, s.unionByName(other).unionByName(third.withColumn("entry", F.when(F.col("ts") > F.lit(T0 + timedelta(hours=1)), F.col("entry")))), units(spark, "BTC"), config)
-    events = L.run_ledger(data.withColumn("portfolio", F.lit("p")), config=config).events
-    assert events.filter("event = 'open'").count() == 2
-    assert [r["reason"] for r in events.filter("strategy_id = 'u' AND event = 'reject'").collect()] == ["exposure_limit_exceeded"]
+@pytest.fixture(scope="module")
+def given():
+    """Random fills: turns, repeated sells and buys that nothing closes, equal times, null portfolios."""
+    rng = random.Random(3)
+    out = []
+    for i in range(400):
+        out.append((rng.choice(["p", "p", "p", "q", None]), rng.choice("abc"), T0 + timedelta(hours=i // 3), i, rng.choice(["buy", "sell"]), Decimal(rng.randint(1, 3)), Decimal(rng.randint(900, 1100)) / 10, Decimal(rng.randint(0, 9)) / 100))
+    return out
 
 
 @pytest.fixture(scope="module")
-def market(spark):
-    """Two instruments, three strategies, one busy portfolio and a small one; cash can run out."""
-    rng = random.Random(11)
-    candles, cands = [], []
-    for name in ("BTC", "ETH"):
-        price = 100.0
-        for i in range(400):
-            nxt = max(5.0, price * (1 + rng.gauss(0, 0.03)))
-            a, b = T0 + timedelta(hours=i), T0 + timedelta(hours=i + 1)
-            candles.append((name, "1h", a, b, Decimal(f"{price:.4f}"), Decimal(f"{nxt:.4f}")))
-            for s, manages in (("a", False), ("b", False), ("q", True)):
-                r = rng.random()
-                cands.append((name, "1h", s, b, "long" if r < 0.15 else "short" if r < 0.25 else None, manages, manages and rng.random() < 0.2, 1.0, None))
-            price = nxt
-    return spark.createDataFrame(candles, CANDLE), spark.createDataFrame(cands, CAND)
-
-
-def replayed(spark, market, config, **kw):
-    data = L.ledger_rows(*market, units(spark, "BTC", "ETH"), config)
-    both = data.withColumn("portfolio", F.lit("big")).unionByName(data.filter("instrument = 'ETH' AND close_time < timestamp'2024-01-03'").withColumn("portfolio", F.lit("small")))
-    return L.run_ledger(both.repartition(3), config=config, **kw)
-
-
-@pytest.mark.parametrize("cash", [100_000.0, 2_500.0])
-def test_blocks_give_the_sequential_result(spark, market, cash):
-    config = L.RiskConfig(initial_cash=cash, max_daily_loss=150.0)
-    one = replayed(spark, market, config, layout="plain")
-    cut = replayed(spark, market, config, layout="blocks", block_bars=120)
-    assert rows(cut.events) == rows(one.events)
-    assert rows(cut.equity.drop("seq")) == rows(one.equity.drop("seq"))
-    reasons = {r["reason"] for r in one.events.filter("event = 'reject'").collect()}
-    assert ("insufficient_balance" in reasons) == (cash < 10_000)
-    blocks = 400 * 6 // 120
-    assert cut.rounds < blocks if cash > 10_000 else cut.rounds <= blocks + 1
-
-
-def test_equity_is_cash_plus_positions(spark, market):
-    led = replayed(spark, market, FREE, layout="plain")
-    for r in led.equity.collect():
-        assert r["equity"] == pytest.approx(100_000 + r["realized_pnl"] + r["unrealized_pnl"], rel=1e-12)
-        assert r["exposure_ratio"] == 0 or r["open_positions"] > 0
-    last = led.equity.groupBy("portfolio").agg(F.max_by("realized_pnl", F.struct("ts", "seq")).alias("x")).collect()
-    net = {r["portfolio"]: r["n"] for r in led.trades.groupBy("portfolio").agg(F.sum("pnl_net").alias("n")).collect()}
-    for r in last:
-        assert r["x"] == pytest.approx(net[r["portfolio"]], rel=1e-9)
-
-
-def test_sweep_reports_every_run(spark):
-    """A clean and a holed series: the holed one is skipped, runs without trades are zero."""
+def fills(spark, given):
+    return spark.createDataFrame(given, FILL).repartition(4).cache()
+
+
+def plain(given, cash=1000):
+    """Per fill the state of its portfolio before and after, by a loop; and the closed positions."""
+    last, state = {}, defaultdict(lambda: {"cash": Decimal(cash), "cost": Decimal(0), "n": 0, "net": Decimal(0), "held": Decimal(0)})
+    before, after, done = {}, {}, []
+    for p, i, at, n, side, q, price, fee in sorted(given, key=lambda f: (f[2], f[3])):
+        s, prev = state[p], last.get((p, i))
+        before[n] = dict(s)
+        if side == "buy":
+            s["cash"] -= q * price + fee
+            s["cost"] += q * price
+            s["n"] += 1
+            s["held"] += q
+        elif prev and prev[0] == "buy":
+            _, pq, pprice, pfee, pn, pat = prev
+            s["cash"] += pq * price - fee
+            s["cost"] -= pq * pprice
+            s["n"] -= 1
+            s["held"] -= pq
+            s["net"] += pq * (price - pprice) - fee - pfee
+            done.append((p, i, pn, pq, pprice, price, pq * (price - pprice), pq * (price - pprice) - fee - pfee))
+        last[p, i] = (side, q, price, fee, n, at)
+        after[n] = dict(s)
+    return before, after, done
+
+
+@pytest.mark.parametrize("layout", ["plain", "blocks"])
+def test_paths_against_a_loop(fills, given, layout):
+    before, after, done = plain(given)
+    for inclusive, want in ((True, after), (False, before)):
+        got = A.account_path(fills, ["portfolio"], KEY, 1000.0, inclusive=inclusive, layout=layout).collect()
+        assert {r.fill_id: (r.cash, r.exposure, r.open_positions, r.realized_pnl, r.held) for r in got} == {n: (s["cash"], s["cost"], s["n"], s["net"], s["held"]) for n, s in want.items()}
+    got = A.closed(fills, KEY, layout).collect()
+    assert sorted(((r.portfolio, r.instrument, r.position_id, r.quantity, r.entry_price, r.exit_price, r.pnl_gross, r.pnl_net) for r in got), key=str) == sorted(done, key=str)
+    assert A.opened(fills, KEY).count() == sum(f[4] == "buy" for f in given)
+
+
+@pytest.mark.parametrize("layout", ["plain", "blocks"])
+def test_entry_limits_in_order(fills, given, layout):
+    config = L.RiskConfig(initial_cash=3000.0, max_open_positions=8, max_total_exposure=1500.0, max_daily_loss=15.0)
+    before, _, _ = plain(given, 3000)
+    today, want, last = defaultdict(Decimal), {}, {}
+    for p, i, at, n, side, q, price, fee in sorted(given, key=lambda f: (f[2], f[3])):
+        s, day = before[n], (p, at.date())
+        if side == "buy":
+            value = q * price
+            want[n] = ("max_open_positions_reached" if s["n"] >= 8 else "daily_loss_limit_breached" if today[day] < 0 and -today[day] >= 15 else "exposure_limit_exceeded" if s["cost"] + value > 1500
+                       else "insufficient_balance" if s["cash"] < value else None)
+        elif last.get((p, i), ("",))[0] == "buy":
+            _, pq, pprice, pfee = last[p, i]
+            today[day] += pq * (price - pprice) - fee - pfee
+        last[p, i] = (side, q, price, fee)
+    got = {r.fill_id: r.reason for r in A.entry_limits(fills, ["portfolio"], KEY, config, layout).collect()}
+    assert got == want and len(set(want.values())) >= 3
+
+
+def test_equity_marks_what_is_held(spark, fills, given):
+    marks = spark.createDataFrame([(p, i, T0 + timedelta(hours=h, minutes=30), Decimal(100 + h)) for p in ("p", "q", None, "new") for i in "abc" for h in (-1, 10, 77, 500)],
+                                  "portfolio string, instrument string, ts timestamp, price decimal(18,8)")
+    got = A.equity_points(fills, marks, KEY, 1000.0).collect()
+    assert len(got) == 48
+    for r in got:
+        own = [f for f in given if (f[0], f[1]) == (r.portfolio, r.instrument) and f[2].replace(tzinfo=None) <= r.ts]
+        _, after, _ = plain(own)
+        s = list(after.values())[-1] if own else {"cash": Decimal(1000), "cost": Decimal(0), "held": Decimal(0), "net": Decimal(0)}
+        assert (r.cash, r.exposure, r.held, r.realized_pnl) == (s["cash"], s["cost"], s["held"], s["net"])
+        assert r.equity == s["cash"] + s["held"] * r.price and r.unrealized_pnl == s["held"] * r.price - s["cost"]
+
+
+def test_routing_reasons(spark, fills):
+    c = spark.createDataFrame([("p", "a", T0 - timedelta(days=1), "long"), ("p", "a", T0 - timedelta(days=1), "short"), ("new", "a", T0, "short")], "portfolio string, instrument string, ts timestamp, direction string")
+    assert sorted((r.direction, r.reason) for r in A.routed(c, fills, KEY).collect()) == [("long", None), ("short", "short_selling_not_supported"), ("short", "short_selling_not_supported")]
+    one = fills.filter("portfolio = 'p' and side = 'buy'")
+    held = A.routed(c.withColumn("ts", F.lit(T0 + timedelta(days=30))), one, KEY)
+    assert sorted((r.portfolio, r.direction, r.reason) for r in held.collect()) == [("new", "short", "short_selling_not_supported"), ("p", "long", "position_already_open"), ("p", "short", None)]
+
+
+@pytest.mark.parametrize("last, reason", [("95", "stop_loss"), ("110", "take_profit"), ("95.01", None), ("109.99", None)])
+def test_limits_are_inclusive_and_come_in_order(spark, last, reason):
+    held = spark.createDataFrame([("a", "buy", Decimal(100), f, s) for f in (False, True) for s in (False, True)], "instrument string, side string, entry_price decimal(18,8), force_exit boolean, signal_exit boolean")
+    marks = spark.createDataFrame([("a", Decimal(last))], "instrument string, mark decimal(18,8)")
+    got = {(r.force_exit, r.signal_exit): r.reason for r in A.exit_choice(held, marks).collect()}
+    want = {(True, False): "strategy_switch", (True, True): "strategy_switch", (False, True): reason or "signal", (False, False): reason}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_order_costs_and_next_open(spark):
+    bars = spark.createDataFrame([("BTC", "1h", T0 + timedelta(hours=h), T0 + timedelta(hours=h + 1), Decimal(o), Decimal(c)) for h, (o, c) in enumerate([(100, 100), (102, 103), (104, 104)])],
+                                 "instrument string, timeframe string, open_time timestamp, close_time timestamp, open decimal(18,8), close decimal(18,8)")
+    assert [(r.close, r.fill_price) for r in L.next_bar_fills(bars).orderBy("close_time").collect()] == [(100, 102), (103, 104), (104, None)]
+    signals = bars.select("instrument", "timeframe", F.lit("s").alias("strategy_id"), F.col("close_time").alias("ts"), F.lit("long").alias("entry"), F.lit(False).alias("manages_exit"), F.lit(False).alias("exit_long"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("metadata"))
+    units = spark.createDataFrame([("BTC", Decimal("0.01"), Decimal("0.0001"), Decimal("0.0001"), Decimal(10))], "instrument string, tick decimal(18,8), lot decimal(18,8), min_quantity decimal(18,8), min_notional decimal(18,8)")
+    first = L.ledger_rows(bars, signals, units).orderBy("close_time").first()
+    assert (first["quantity"], first["order_value"], first["_buy"], first["_sell"], first["size_reason"]) == (10, 1000, Decimal("100.05"), Decimal("99.95"), None)
+
+
+def test_reports_cover_every_run(spark):
     rng = random.Random(5)
-    data, price = [], 100.0
-    for i in range(120):
-        nxt = price * (1 + rng.gauss(0, 0.02))
-        a = T0 + timedelta(hours=i)
-        row = lambda n: (n, "1h", a, a + timedelta(hours=1), *[Decimal(f"{v:.4f}") for v in (price, max(price, nxt), min(price, nxt), nxt)], Decimal(100 + rng.randint(0, 200)), True)
-        data.append(row("GOOD"))
-        if i != 60:
-            data.append(row("HOLED"))
-        price = nxt
-    candles = spark.createDataFrame(data, "instrument string, timeframe string, open_time timestamp, close_time timestamp, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(18,8), is_closed boolean")
-    dims = units(spark, "GOOD", "HOLED").withColumnRenamed("instrument", "symbol")
-    ledger, kept, report = W.run(candles, dims, "1h")
-    out = W.experiment_reports(ledger, kept, report)
-    assert out.count() == 6 * 5 and {r["symbol"] for r in out.select("symbol").distinct().collect()} == {"GOOD"}
-    counts = {(r["window"], r["strategy_id"]): r["total_trades"] for r in out.collect()}
-    traded = {(r["window"], r["strategy_id"]): r["count"] for r in ledger.trades.groupBy("window", "strategy_id").count().collect()}
-    assert counts == {k: traded.get(k, 0) for k in counts}
-    graded = W.diagnostics(out)
+    data = [(i, "GOOD", "1h", rng.choice(["momentum", "quant_momentum"]), T0 + timedelta(days=i * 3), T0 + timedelta(days=i * 3 + 2), "closed", Decimal(rng.randint(-50, 60)), Decimal(1)) for i in range(300)]
+    trades = spark.createDataFrame(data, "position_id long, symbol string, timeframe string, strategy_id string, opened_at timestamp, closed_at timestamp, status string, pnl_gross decimal(18,5), fees_paid decimal(18,5)")
+    trades = trades.withColumns({"pnl_net": F.col("pnl_gross") - F.col("fees_paid"), "spread_paid": F.col("fees_paid"), "slippage_paid": F.col("fees_paid"), "side": F.lit("buy")})
+    cut = W.trades_by_window(trades)
+    slices = cut.groupBy(*W.SLICE).agg(F.count(F.lit(1)).alias("slice_trades"))
+    plain_, blocks = (W.experiment_reports(cut, slices, 100_000.0, layout=x) for x in ("plain", "blocks"))
+    shown = [*W.RUN, "total_trades", "net_pnl", "max_drawdown", "net_return_pct", "slice_trades"]
+    assert rows(plain_.select(*shown)) == rows(blocks.select(*shown)) and plain_.count() == 6 * 5
+    end = max(d[5] for d in data)
+    traded = {(r["window"], r.strategy_id): r.total_trades for r in plain_.collect()}
+    assert traded["full", "momentum"] == sum(d[3] == "momentum" for d in data) and traded["full", "mean_reversion"] == 0
+    assert 0 < traded["12m", "momentum"] == sum(d[3] == "momentum" and d[4] >= end.replace(year=end.year - 1) for d in data)
+    graded = W.diagnostics(plain_)
     assert {r["class"] for r in graded.collect()} <= {"LOW_SAMPLE", "NO_EDGE", "FRICTION_LIMITED", "NET_POSITIVE"}
     assert W.pairs(graded).count() == 3 * 5 and W.consistency(graded).filter("consistent").count() > 0

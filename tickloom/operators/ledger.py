@@ -1,37 +1,16 @@
-"""From candidate signals to trades and equity.
-
-What depends on one row only (execution prices, order size, minimum checks) is columns. What depends
-on the path (cash, open positions, limits) is a fold over a portfolio's bars in time order.
-
-A long portfolio is cut into blocks of bars that fold *in parallel from a guessed state*. A block's
-outcome is kept if the state before it turns out to be the one guessed; else only that block is
-folded again, until nothing changes. Positions opened by the same signals end the same way, so
-states agree again after a few bars and two or three rounds settle most tables; every round settles
-at least one more block of each portfolio, so the result is always the sequential one. Cash differs
-in every block but only matters where an order meets it, so each block reports the range of opening
-cash for which its decisions stand.
-"""
+"""Costs, sizes and limits of orders as columns, and views over given positions. Running accounts are in ``accounts``."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.money import execution_price, floor_to_lot, money, notional, round_to_tick
-from tickloom.operators.series import POS, framed, positions, running
-from tickloom.session import stable
-
-UNIT = 10**22  # money inside a fold: whole numbers of 1e-22, so nothing is rounded
-E8 = 10**8
-BLOCK_BARS = 50_000
-FOLD_ROWS = 200_000  # a portfolio above this is folded in blocks
-ORDER = ("close_time", "instrument", "strategy_id")
+from tickloom.operators.series import framed
 
 
 @dataclass(frozen=True)
@@ -115,7 +94,7 @@ def next_bar_fills(decided: DataFrame, keys: Sequence[str] = ("instrument", "tim
 
 
 def ledger_rows(candles: DataFrame, candidates: DataFrame, instruments: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
-    """One row per bar and strategy with everything the fold reads.
+    """One row per bar and strategy: the signal, its order size and execution prices.
 
     ``candidates`` come from ``operators.signals``; ``instruments`` carry tick, lot and minima.
     """
@@ -134,287 +113,6 @@ def ledger_rows(candles: DataFrame, candidates: DataFrame, instruments: DataFram
     )
 
 
-def _e8(name: str) -> Column:
-    return F.coalesce((money(F.col(name)) * E8).cast("bigint"), F.lit(0)).alias(name)
-
-
-FOLD_COLUMNS = (
-    "open_s", "close_s", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "quantity", "size_reason", "close", "_buy", "_sell", "_ref", "_worth", "force_exit",
-)
-EVENT_DDL = (
-    "event string, instrument string, strategy_id string, opened_at timestamp, at timestamp, reason string, quantity double, entry_price double, exit_price double,"
-    " pnl_gross double, pnl_net double, fees_paid double, spread_paid double, slippage_paid double"
-)
-EQUITY_DDL = (
-    "ts timestamp, seq bigint, cash double, equity double, realized_pnl double, unrealized_pnl double, open_positions bigint, exposure_ratio double,"
-    " return_pct double, realized_today double"
-)
-
-
-def _money(value: float) -> int:
-    return int(Decimal(str(value)) * UNIT)
-
-
-class _Book:
-    """State of one portfolio while its bars go by. Cash is relative to the block's opening cash."""
-
-    def __init__(self, config: RiskConfig, state: str | None, cash: int) -> None:
-        loaded = json.loads(state) if state else {"open": [], "pending": [], "day": -1, "today": 0}
-        self.config, self.base, self.cash = config, cash, 0
-        self.open = {(i, s): list(rest) for i, s, *rest in loaded["open"]}
-        self.pending = {(i, s): q for i, s, q in loaded["pending"]}
-        self.day, self.today = loaded["day"], loaded["today"]
-        self.low, self.high = -(10**37), 10**37
-        self.fee, self.spread, self.slip = (round(v * k) for v, k in ((config.taker_fee, 10**6), (config.spread_bps, 100), (config.slippage_bps, 100)))
-        self.limits = {n: _money(getattr(config, n)) for n in ("max_total_exposure", "max_daily_loss")}
-
-    def state(self) -> str:
-        opened = sorted([*k, *v] for k, v in self.open.items())
-        return json.dumps({"open": opened, "pending": sorted([*k, q] for k, q in self.pending.items()), "day": self.day, "today": self.today})
-
-    def fill(self, key: tuple[str, str], quantity: int, row: tuple, at: int) -> tuple | None:
-        buy, sell, ref = row
-        size = quantity if quantity > 0 else self.open[key][0]
-        costs = [ref * size * c for c in (self.spread, self.slip)]
-        if quantity > 0:
-            fee = buy * quantity * self.fee
-            self.cash -= buy * quantity * 10**6 + fee
-            self.open[key] = [quantity, buy, fee, *costs, at, buy]
-            return ("open", *key, at, at, None, quantity, buy, None, None, None, fee, *costs)
-        held, entry, fees, spread, slip, opened, _ = self.open.pop(key)
-        fee = sell * held * self.fee
-        gross = (sell - entry) * held * 10**6
-        net = gross - fees - fee
-        self.cash += entry * held * 10**6 + gross - fee
-        day = at // 86400
-        self.today = (self.today if day == self.day else 0) + net
-        self.day = day
-        return ("close", *key, opened, at, None, held, entry, sell, gross, net, fees + fee, spread + costs[0], slip + costs[1])
-
-    def past_limit(self, position: list, close: int) -> str | None:
-        gain, entry, c = close - position[1], position[1], self.config
-        if c.stop_loss is not None and gain * 10**8 <= -round(c.stop_loss * 10**8) * entry:
-            return "stop_loss"
-        if c.take_profit is not None and gain * 10**8 >= round(c.take_profit * 10**8) * entry:
-            return "take_profit"
-        return None
-
-    def refuse_entry(self, size_reason: str | None, value: int, day: int) -> str | None:
-        if len(self.open) >= self.config.max_open_positions:
-            return "max_open_positions_reached"
-        today = self.today if day == self.day else 0
-        if today < 0 and -today >= self.limits["max_daily_loss"]:
-            return "daily_loss_limit_breached"
-        if size_reason is not None:
-            return size_reason
-        if sum(p[0] * p[1] for p in self.open.values()) * 10**6 + value > self.limits["max_total_exposure"]:
-            return "exposure_limit_exceeded"
-        short = value - self.cash
-        if self.base < short:
-            self.high = min(self.high, short)
-            return "insufficient_balance"
-        self.low = max(self.low, short)
-        return None
-
-
-def _replay(book: _Book, rows: pd.DataFrame, equity: bool) -> tuple[list, list]:
-    """Fold bars: fills of the bar before, limits, signals, then one equity row per bar."""
-    events: list[tuple] = []
-    curve: list[tuple] = []
-    at_close = book.config.fill == "close"
-    values = list(rows[list(FOLD_COLUMNS)].itertuples(index=False, name=None))
-    i, n = 0, len(values)
-    while i < n:
-        j = i
-        close_s, instrument = values[i][1], values[i][2]
-        while j < n and values[j][1] == close_s and values[j][2] == instrument:
-            j += 1
-        bar = values[i:j]
-        open_s, close = bar[0][0], bar[0][9]
-        prices = bar[0][10:13]
-        if book.pending and not at_close:
-            for key in [k for k in book.pending if k[0] == instrument]:
-                events.append(book.fill(key, book.pending.pop(key), prices, open_s))
-        if book.open:
-            forced = {row[3] for row in bar if row[14]}
-            for key, position in list(book.open.items()):
-                if key[0] != instrument:
-                    continue
-                position[6] = close
-                reason = "strategy_switch" if key[1] in forced else book.past_limit(position, close)
-                if reason:
-                    events.append(("exit", *key, None, close_s, reason, position[0], position[1], None, None, None, None, None, None))
-                    if at_close:
-                        events.append(book.fill(key, -1, prices, close_s))
-                    else:
-                        book.pending[key] = -1
-        for row in bar:
-            _, _, _, strategy, entry, manages, leave, quantity, size_reason = row[:9]
-            key = (instrument, strategy)
-            held = key in book.open
-            if held and (entry == "short" if not manages else leave):
-                if key not in book.pending:
-                    book.pending[key] = -1
-                    events.append(("exit", *key, None, close_s, "signal", book.open[key][0], book.open[key][1], None, None, None, None, None, None))
-            elif entry is None or (held and manages):
-                pass
-            elif held:
-                events.append(("reject", *key, None, close_s, "position_already_open", None, None, None, None, None, None, None, None))
-            elif entry == "short":
-                events.append(("reject", *key, None, close_s, "short_selling_not_supported", None, None, None, None, None, None, None, None))
-            else:
-                reason = book.refuse_entry(size_reason, row[13], close_s // 86400)
-                if reason is None and key not in book.pending:
-                    book.pending[key] = quantity
-                elif reason is not None:
-                    events.append(("reject", *key, None, close_s, reason, None, None, None, None, None, None, None, None))
-            if at_close and key in book.pending:
-                events.append(book.fill(key, book.pending.pop(key), prices, close_s))
-        if equity:
-            curve.append((close_s, *_snapshot(book, close_s // 86400)))
-        i = j
-    return events, curve
-
-
-def _snapshot(book: _Book, day: int) -> tuple:
-    cash = book.base + book.cash
-    start = _money(book.config.initial_cash)
-    reserved = sum(p[0] * p[1] for p in book.open.values()) * 10**6
-    unrealized = sum(p[0] * (p[6] - p[1]) for p in book.open.values()) * 10**6
-    equity = cash + reserved + unrealized
-    realized = cash - start + reserved + sum(p[2] for p in book.open.values())
-    today = book.today if day == book.day else 0
-    return (
-        cash / UNIT, equity / UNIT, realized / UNIT, unrealized / UNIT, len(book.open), reserved / equity if equity > 0 else 0.0,
-        (equity - start) / start if start > 0 else 0.0, today / UNIT,
-    )
-
-
-def _clean(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["close_s", "instrument", "strategy_id"], kind="stable")
-    return pdf.astype({"entry": object, "size_reason": object}).where(pdf.notna(), None)
-
-
-def _stamp(values: Iterable) -> pd.Series:
-    return pd.to_datetime(pd.Series(list(values), dtype="float64"), unit="s")
-
-
-def _event_frame(events: list, head: dict) -> pd.DataFrame:
-    names = ["event", "instrument", "strategy_id", "opened_at", "at", "reason", "quantity", "entry_price", "exit_price", "pnl_gross", "pnl_net", "fees_paid", "spread_paid", "slippage_paid"]
-    out = pd.DataFrame(events, columns=names, dtype=object)
-    for name, scale in (*((n, E8) for n in names[6:9]), *((n, UNIT) for n in names[9:])):
-        out[name] = pd.Series([None if v is None else v / scale for v in out[name]], dtype="float64")
-    out["opened_at"], out["at"] = _stamp(out["opened_at"]), _stamp(out["at"])
-    for k, v in reversed(head.items()):
-        out.insert(0, k, v)
-    return out
-
-
-def _equity_frame(curve: list, head: dict) -> pd.DataFrame:
-    names = ["ts", "cash", "equity", "realized_pnl", "unrealized_pnl", "open_positions", "exposure_ratio", "return_pct", "realized_today"]
-    out = pd.DataFrame(curve, columns=names)
-    out["ts"] = _stamp(out["ts"])
-    out.insert(1, "seq", range(len(out)))
-    for k, v in reversed(head.items()):
-        out.insert(0, k, v)
-    return out
-
-
-@dataclass(frozen=True)
-class Ledger:
-    """``events``: open, close, exit (queued), reject and drop rows; ``equity``: one row per bar."""
-
-    events: DataFrame
-    equity: DataFrame
-    rounds: int
-
-    @property
-    def trades(self) -> DataFrame:
-        return self.events.filter("event = 'close'").withColumnRenamed("at", "closed_at").withColumn("status", F.lit("closed"))
-
-
-def _blocks(rows: DataFrame, keys: Sequence[str], layout: str, block_bars: int) -> DataFrame:
-    if layout == "plain":
-        return rows.withColumn("_block", F.lit(0).cast("long"))
-    placed = positions(rows, keys, ORDER, layout)
-    bar = F.struct("close_time", "instrument")
-    linked = framed(placed, keys, ORDER, lambda d, w: d.withColumn("_new", ~F.coalesce(F.lag(bar).over(w) == bar, F.lit(False))), back=1, layout=layout)
-    began = running(linked, keys, [POS], {"_began": ("max", F.when(F.col("_new"), F.col(POS)))}, layout=layout)
-    return stable(began.withColumn("_block", F.expr(f"(_began - 1) div {block_bars}")).drop(POS, "_new", "_began"))
-
-
-def run_ledger(rows: DataFrame, keys: Sequence[str] = ("portfolio",), config: RiskConfig = RiskConfig(), *, layout: str = "blocks", block_bars: int = BLOCK_BARS) -> Ledger:
-    """Replay every portfolio; ``rows`` come from ``ledger_rows`` plus the portfolio keys."""
-    keys = list(keys)
-    lean = _blocks(rows, keys, layout, block_bars).select(
-        *dict.fromkeys([*keys, "_block", "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "force_exit"]),
-        F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"),
-        *[_e8(c) for c in ("quantity", "close", "_buy", "_sell", "_ref")], "size_reason", "order_value",
-    )
-    lean = lean.withColumn("_value", F.col("order_value").cast("decimal(38,16)")).drop("order_value")
-    types = {f.name: f.dataType.simpleString() for f in lean.schema.fields}
-    head_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    named = [k for k in keys if k not in ("instrument", "strategy_id")]
-    event_ddl = ", ".join([*[f"`{k}` {types[k]}" for k in named], EVENT_DDL])
-    group = [*keys, "_block"]
-
-    def fold(pdf: pd.DataFrame, states: pd.DataFrame, equity: bool) -> tuple[_Book, list, list]:
-        rows_ = _clean(pdf)
-        book = _Book(config, states["_state"].iloc[0], int(states["_cash"].iloc[0]))
-        worth = [int(Decimal(v) * UNIT) if v is not None else 0 for v in rows_["_value"]]
-        events, curve = _replay(book, rows_.assign(_worth=worth), equity)
-        return book, events, curve
-
-    def settle(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        book, _, _ = fold(pdf, states, False)
-        head = {k: pdf[k].iloc[0] for k in group}
-        return pd.DataFrame([{**head, "_state": states["_state"].iloc[0], "_cash": states["_cash"].iloc[0], "_out": book.state(), "_delta": Decimal(book.cash), "_low": Decimal(book.low), "_high": Decimal(book.high)}])
-
-    cash0 = Decimal(_money(config.initial_cash))
-    # Aliases give the key columns identities of their own, as both sides of a cogroup must have.
-    start = lean.select(*[F.col(c).alias(c) for c in group]).distinct().withColumns({"_state": F.lit("").cast("string"), "_cash": F.lit(cash0).cast("decimal(38,0)")})
-    rounds = 0
-    opening = pd.DataFrame({"_state": [""], "_cash": [cash0], "_last": [True]})
-    if layout != "plain":
-        outcome_ddl = head_ddl + ", _block bigint, _state string, _cash decimal(38,0), _out string, _delta decimal(38,0), _low decimal(38,0), _high decimal(38,0)"
-        todo, kept = stable(start), None
-        while True:
-            rounds += 1
-            done = lean.join(todo.select(*group), group, "left_semi").groupBy(*group).cogroup(todo.groupBy(*group)).applyInPandas(settle, outcome_ddl)
-            kept = stable(done if kept is None else kept.join(todo.select(*group), group, "left_anti").unionByName(done))
-            before = Window.partitionBy(*keys).orderBy("_block")
-            expected = kept.withColumns(
-                {
-                    "_want": F.coalesce(F.lag("_out").over(before), F.lit("")),
-                    "_due": F.lit(cash0).cast("decimal(38,0)") + F.coalesce(F.sum("_delta").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-                    "_last": F.lead("_block").over(before).isNull(),
-                }
-            ).withColumn("_due", F.col("_due").cast("decimal(38,0)"))
-            wrong = (F.col("_state") != F.col("_want")) | (F.col("_due") < F.col("_low")) | (F.col("_due") >= F.col("_high"))
-            todo = stable(expected.filter(wrong).select(*[F.col(c).alias(c) for c in group], F.col("_want").alias("_state"), F.col("_due").alias("_cash")))
-            if todo.limit(1).count() == 0:
-                break
-        states = stable(expected.select(*[F.col(c).alias(c) for c in group], F.col("_want").alias("_state"), F.col("_due").alias("_cash"), "_last"))
-
-    def emit_events(pdf: pd.DataFrame, states_: pd.DataFrame) -> pd.DataFrame:
-        book, events, _ = fold(pdf, states_, False)
-        if bool(states_["_last"].iloc[0]):
-            end = int(pdf["close_s"].max())
-            events += [("drop", *k, None, end, "no_next_bar", None, None, None, None, None, None, None, None) for k in sorted(book.pending)]
-        return _event_frame(events, {k: pdf[k].iloc[0] for k in named})
-
-    def emit_equity(pdf: pd.DataFrame, states_: pd.DataFrame) -> pd.DataFrame:
-        _, _, curve = fold(pdf, states_, True)
-        return _equity_frame(curve, {k: pdf[k].iloc[0] for k in keys})
-
-    def emitted(emit, ddl: str) -> DataFrame:
-        if layout == "plain":
-            return lean.groupBy(*group).applyInPandas(lambda pdf: emit(pdf, opening), ddl)
-        return lean.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(emit, ddl)
-
-    return Ledger(emitted(emit_events, event_ddl), emitted(emit_equity, f"{head_ddl}, {EQUITY_DDL}"), rounds)
-
-
 # --- views over positions ---------------------------------------------------------------------
 def open_views(open_positions: DataFrame, by: Sequence[str]) -> DataFrame:
     """Open count and exposure per instrument, strategy or portfolio."""

@@ -1,4 +1,4 @@
-"""Parameter sweeps: every (symbol, timeframe, window, strategy) replayed in one job."""
+"""Parameter sweeps: the runs of (symbol, timeframe, window, strategy) and reports of their given trades."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles as C
-from tickloom.operators.features import FeatureConfig, feature_series
-from tickloom.operators.ledger import Ledger, RiskConfig, ledger_rows, run_ledger
 from tickloom.operators.performance import complete, equity_report, max_drawdown, performance
-from tickloom.operators.signals import CATALOG, candidates
+from tickloom.operators.series import running
+from tickloom.operators.signals import CATALOG
 from tickloom.session import stable
 
 RUN = ("symbol", "timeframe", "window", "strategy_id")
@@ -38,35 +37,25 @@ def strict(slices: DataFrame, timeframe: str, layout: str = "blocks") -> tuple[D
     return kept, skipped, report
 
 
-def run(
-    candles: DataFrame, instruments: DataFrame, timeframe: str, kinds: Sequence[str] | None = None, config: RiskConfig = RiskConfig(),
-    features: FeatureConfig = FeatureConfig(), layout: str = "blocks", block_bars: int | None = None,
-) -> tuple[Ledger, DataFrame, DataFrame]:
-    """(ledger of all runs, clean slices, validation report)."""
-    kept, _, report = strict(windowed(candles), timeframe, layout)
-    kept = stable(kept)
-    table = stable(feature_series(kept, features, layout=layout))
-    rows = candidates(kept, table, kinds, layout)
-    dims = kept.select("instrument", "symbol", "window").distinct().join(instruments, "symbol")
-    ready = ledger_rows(kept, rows, dims, config)
-    extra = {"block_bars": block_bars} if block_bars else {}
-    # One portfolio per run, so its rows are at most those of its slice.
-    ledger = run_ledger(stable(ready), RUN, config, layout=layout, **extra)
-    return ledger, kept, report
-
-
-def experiment_reports(ledger: Ledger, slices: DataFrame, report: DataFrame, config: RiskConfig = RiskConfig(), kinds: Sequence[str] | None = None, layout: str = "blocks") -> DataFrame:
-    """One row per run: performance, equity, benchmark and data quality; runs without trades too."""
-    cash = config.initial_cash
-    keys = matrix(slices.select(*SLICE).distinct(), kinds)
-    trades = ledger.trades.withColumn("position_id", F.unix_micros("opened_at"))
-    equity = stable(ledger.equity.drop("realized_pnl", "unrealized_pnl", "cash"))
+def trades_by_window(trades: DataFrame, keys: Sequence[str] = ("symbol", "timeframe")) -> DataFrame:
+    """Given closed trades (keys, strategy_id, opened_at, closed_at), once for each look-back window they lie in.
+
+    A window ends at the latest close of its keys and takes the trades opened within it.
+    """
+    spans = C.recent_windows(trades.withColumns({"close_time": F.col("closed_at"), "open_time": F.col("opened_at")}), keys)
+    return spans.drop("close_time", "open_time")
+
+
+def experiment_reports(trades: DataFrame, report: DataFrame, cash: float, kinds: Sequence[str] | None = None, layout: str = "blocks") -> DataFrame:
+    """One row per run of ``report`` (symbol, timeframe, window and its data quality) and strategy kind: performance,
+    equity, returns and drawdown of the given trades (``trades_by_window``); runs without trades too."""
     trades = stable(trades)
+    keys = matrix(report.select(*SLICE).distinct(), kinds)
     done = performance(trades, RUN).join(max_drawdown(trades, RUN, layout=layout), list(RUN))
+    path = running(trades, RUN, ["closed_at", "position_id"], {"_net": ("sum", F.col("pnl_net"))}, layout=layout)
+    equity = path.select(*RUN, F.col("closed_at").alias("ts"), F.col("position_id").alias("seq"), (F.col("_net").cast("double") + cash).alias("equity"), (F.col("_net").cast("double") / cash).alias("return_pct"))
     curve = equity_report(equity, RUN, cash, layout=layout)
-    span = slices.groupBy(*SLICE).agg(F.min("open_time").alias("period_start"), F.max("close_time").alias("period_end"), F.count(F.lit(1)).alias("candles_used"))
-    bench = C.buy_and_hold(slices, SLICE)
-    out = complete(done, keys, RUN).join(curve, list(RUN), "left").join(span, list(SLICE)).join(bench, list(SLICE)).join(report.drop("rows"), list(SLICE))
+    out = complete(done, keys, RUN).join(curve, list(RUN), "left").join(report, list(SLICE))
     return out.withColumns({"initial_balance": F.lit(cash), "gross_return_pct": F.col("gross_pnl") / F.lit(cash), "net_return_pct": F.coalesce("net_return_pct", F.lit(0.0))})
 
 

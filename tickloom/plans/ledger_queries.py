@@ -1,14 +1,18 @@
-"""Registered queries of order sizing, costs, the portfolio ledger and the sweep."""
+"""Registered queries of order sizing, costs, accounts from given fills and the sweep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import money as M
+from tickloom.operators import accounts as A
 from tickloom.operators import ledger as L
 from tickloom.operators import signals as S
 from tickloom.operators import sweep as W
+from tickloom.operators.series import measured_layout
 from tickloom.plans.adapters import TRADES_SQL, bars, bars_sql, closed_trades, load, r6, tape_layout, us
 from tickloom.plans.candle_queries import frame, gated
 from tickloom.plans.registry import Registry
@@ -115,102 +119,154 @@ R.add("ledger_restore_check", restored,
  c AS (SELECT instrument, count(*) AS n, count(*) FILTER (pnl_gross > 0) AS saved FROM o GROUP BY 1)
  SELECT instrument AS portfolio, 'more_than_one_open' AS rule, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT instrument, 'open_count_differs', 1 FROM c WHERE n <> saved""")
 
-# --- ledger -------------------------------------------------------------------------------------
-CONFIG = L.RiskConfig(max_daily_loss=60.0)
+# --- accounts from given fills --------------------------------------------------------------------
+POSITION = ["portfolio", "instrument"]
+LIMITS = L.RiskConfig(initial_cash=50_000.0, max_open_positions=12, max_total_exposure=40_000.0, max_daily_loss=25.0)
+
+
+def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in time, a buy and a sell by turns; fifty portfolios share the customers."""
+    cents = F.floor(F.round(F.col("o_totalprice") * 100) / 1000).cast("bigint")
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = load(spark, sf_dir, "orders").withColumn("_turn", turn)
+    price = (cents.cast("decimal(18,0)") / 100).cast("decimal(18,8)")
+    return o.select(
+        F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("portfolio"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("instrument"),
+        F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("fill_id"), F.when(F.col("_turn") % 2 == 1, "buy").otherwise("sell").alias("side"),
+        (1 + F.col("o_custkey") % 3).cast("decimal(18,8)").alias("quantity"), price.alias("price"), (price * (1 + F.col("o_custkey") % 3) * F.lit(Decimal("0.001"))).cast("decimal(18,8)").alias("fee"))
+
+
+def fills_layout(spark: SparkSession, sf_dir: str) -> str:
+    """A portfolio is the largest key of all queries on the fills."""
+    return measured_layout(load(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k")), ["k"])
+
+
+# Money in SQL: whole numbers of 1e-5.
+FILLS_SQL = """ordered AS (
+  SELECT 'p' || CAST(o_custkey % 50 AS VARCHAR) AS portfolio, 'c' || CAST(o_custkey AS VARCHAR) AS instrument, o_orderdate AS t, o_orderkey AS fill_id, o_orderstatus AS status,
+   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn, 1 + o_custkey % 3 AS q, CAST(round(o_totalprice * 100) AS BIGINT) // 1000 AS cents FROM orders),
+ fills AS (SELECT *, turn % 2 = 1 AS buy, q * cents * 1000 AS value, q * cents AS fee, lag(q * cents * 1000) OVER w AS entry_value, lag(q * cents) OVER w AS entry_fee,
+   lead(t) OVER w AS next_at, lead(cents) OVER w AS next_cents, lead(q * cents) OVER w AS next_fee FROM ordered WINDOW w AS (PARTITION BY instrument ORDER BY turn)),
+ moves AS (SELECT *, CASE WHEN buy THEN -value - fee ELSE value - fee END AS d_cash, CASE WHEN buy THEN value ELSE -entry_value END AS d_cost, CASE WHEN buy THEN q ELSE -q END AS d_held,
+   CASE WHEN buy THEN 1 ELSE -1 END AS d_open, CASE WHEN buy THEN 0 ELSE value - entry_value - fee - entry_fee END AS d_net FROM fills)"""
+R.add("ledger_open", lambda s, d: A.opened(fills(s, d), POSITION).select("portfolio", "instrument", us("at"), r6("quantity"), r6("entry_price")),
+      f"WITH {FILLS_SQL} SELECT portfolio, instrument, epoch_us(t) AS at_us, q::DOUBLE AS quantity, cents / 100.0::DOUBLE AS entry_price FROM fills WHERE buy")
+R.add("ledger_close", lambda s, d: A.closed(fills(s, d), POSITION, fills_layout(s, d)).select("position_id", "portfolio", us("opened_at"), us("closed_at"), r6("quantity"), r6("exit_price"), r6("pnl_gross"), r6("fees_paid"), r6("pnl_net")),
+      f"""WITH {FILLS_SQL} SELECT fill_id AS position_id, portfolio, epoch_us(t) AS opened_at_us, epoch_us(next_at) AS closed_at_us, q::DOUBLE AS quantity, next_cents / 100.0::DOUBLE AS exit_price,
+ q * (next_cents - cents) / 100.0::DOUBLE AS pnl_gross, (fee + next_fee) / 100000.0::DOUBLE AS fees_paid, (q * (next_cents - cents) * 1000 - fee - next_fee) / 100000.0::DOUBLE AS pnl_net
+ FROM fills WHERE buy AND next_at IS NOT NULL""")
+PATH = "PARTITION BY portfolio ORDER BY t, fill_id"
+R.add("equity_curve", lambda s, d: A.account_path(fills(s, d), ["portfolio"], POSITION, LIMITS.initial_cash, layout=fills_layout(s, d)).select("fill_id", "portfolio", r6("cash"), r6("exposure"), "open_positions", r6("realized_pnl")),
+      f"""WITH {FILLS_SQL} SELECT fill_id, portfolio, (5000000000 + sum(d_cash) OVER w) / 100000.0::DOUBLE AS cash, sum(d_cost) OVER w / 100000.0::DOUBLE AS exposure, CAST(sum(d_open) OVER w AS BIGINT) AS open_positions,
+ sum(d_net) OVER w / 100000.0::DOUBLE AS realized_pnl FROM moves WINDOW w AS ({PATH})""")
+
+
+def entry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.entry_limits(fills(spark, sf_dir), ["portfolio"], POSITION, LIMITS, fills_layout(spark, sf_dir))
+
+
+R.add("risk_exposure_state", lambda s, d: entry_states(s, d).select("fill_id", r6("cash"), r6("exposure"), "open_positions", r6("realized_today"), "reason"),
+      f"""WITH {FILLS_SQL}, met AS (
+  SELECT *, 5000000000 + coalesce(sum(d_cash) OVER w, 0) AS cash, coalesce(sum(d_cost) OVER w, 0) AS cost, coalesce(sum(d_open) OVER w, 0) AS n,
+   coalesce(sum(d_net) OVER (PARTITION BY portfolio, CAST(t AS DATE) ORDER BY t, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS today
+  FROM moves WINDOW w AS ({PATH} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT fill_id, cash / 100000.0::DOUBLE AS cash, cost / 100000.0::DOUBLE AS exposure, CAST(n AS BIGINT) AS open_positions, today / 100000.0::DOUBLE AS realized_today,
+  CASE WHEN n >= 12 THEN 'max_open_positions_reached' WHEN today < 0 AND -today >= 2500000 THEN 'daily_loss_limit_breached' WHEN cost + value > 4000000000 THEN 'exposure_limit_exceeded'
+   WHEN cash < value THEN 'insufficient_balance' END AS reason FROM met WHERE buy""")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day after each order its customer's instrument gets a signal."""
+    return load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("portfolio"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("instrument"), "o_orderkey",
+        (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(1))).alias("ts"), F.when(F.col("o_orderstatus") == "F", "short").otherwise("long").alias("direction"))
+
+
+R.add("risk_route", lambda s, d: A.routed(candidates(s, d), fills(s, d), POSITION, fills_layout(s, d)).select("o_orderkey", "reason"),
+      f"""WITH {FILLS_SQL}, held AS (SELECT c.fill_id, c.status, (SELECT max(f.turn) FROM fills f WHERE f.instrument = c.instrument AND f.t <= c.t + INTERVAL 1 DAY) % 2 = 1 AS held FROM fills c)
+ SELECT fill_id AS o_orderkey, CASE WHEN held AND status <> 'F' THEN 'position_already_open' WHEN NOT held AND status = 'F' THEN 'short_selling_not_supported' END AS reason FROM held""")
 
 
-def replay(spark: SparkSession, sf_dir: str, config: L.RiskConfig = CONFIG) -> L.Ledger:
-    """Momentum on each event type, one portfolio per instrument."""
-    b = bars(spark, sf_dir, "1h")
-    rows = L.ledger_rows(b, S.momentum(b, layout=tape_layout(spark, sf_dir)), units(b.select("instrument").distinct()), config)
-    return L.run_ledger(rows.withColumn("portfolio", F.col("instrument")), config=config)
+def account_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten days after each order its instrument is marked, a tenth above it."""
+    f = fills(spark, sf_dir)
+    return f.select(*POSITION, "fill_id", (F.col("at") + F.make_dt_interval(days=F.lit(10))).alias("ts"), (F.col("price") * F.lit(Decimal("1.1"))).cast("decimal(18,8)").alias("price"))
+
+
+R.add("equity_point", lambda s, d: A.equity_points(fills(s, d), account_marks(s, d).withColumnRenamed("fill_id", "mark_id"), POSITION, 10_000.0, fills_layout(s, d)).select("mark_id", r6("cash"), r6("equity"), r6("unrealized_pnl"), r6("realized_pnl"), r6("exposure_ratio"), r6("return_pct")),
+      f"""WITH {FILLS_SQL}, path AS (SELECT *, 1000000000 + sum(d_cash) OVER w AS cash, sum(d_cost) OVER w AS cost, sum(d_held) OVER w AS held, sum(d_net) OVER w AS net FROM moves WINDOW w AS (PARTITION BY instrument ORDER BY turn)),
+ marked AS (SELECT m.fill_id AS mark_id, m.cents * 1100 AS mark, p.* FROM fills m JOIN path p ON p.instrument = m.instrument AND p.turn = (SELECT max(f.turn) FROM fills f WHERE f.instrument = m.instrument AND f.t <= m.t + INTERVAL 10 DAY)),
+ worth AS (SELECT *, cash + held * mark AS equity FROM marked)
+ SELECT mark_id, cash / 100000.0::DOUBLE AS cash, equity / 100000.0::DOUBLE AS equity, (held * mark - cost) / 100000.0::DOUBLE AS unrealized_pnl, net / 100000.0::DOUBLE AS realized_pnl,
+  round(CASE WHEN equity > 0 THEN cost::DOUBLE / equity::DOUBLE ELSE 0 END, 6) AS exposure_ratio, round((equity - 1000000000) / 1000000000.0::DOUBLE, 6) AS return_pct FROM worth""")
+
+
+def leaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh open position belongs to a replaced strategy, every third has an exit signal."""
+    p = positions(spark, sf_dir).filter("status = 'open'").withColumns({"force_exit": F.col("position_id") % 11 == 0, "signal_exit": F.col("position_id") % 3 == 0})
+    return A.exit_choice(p, marks(spark, sf_dir).withColumnRenamed("price", "mark"))
+
+
+R.add("exit_precedence", lambda s, d: leaving(s, d).select("position_id", "reason"),
+      f"""WITH {LIMITS_SQL}, r AS (SELECT position_id, CASE WHEN position_id % 11 = 0 THEN 'strategy_switch' WHEN g <= -0.05 THEN 'stop_loss' WHEN g >= 0.1 THEN 'take_profit' WHEN position_id % 3 = 0 THEN 'signal' END AS reason FROM gains)
+ SELECT * FROM r WHERE reason IS NOT NULL""")
 
 
 RET = gated(f"close / first_value(close) {frame(10)} - 1", 10)
+SIGNALS_SQL = f"{bars_sql('1h')}, zs AS (SELECT *, {RET} AS x FROM bars), signals AS (SELECT *, CASE WHEN x >= 0.01 THEN 'long' WHEN x <= -0.01 THEN 'short' END AS entry FROM zs)"
+
 
+def momentum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.momentum(bars(spark, sf_dir, "1h"), layout=tape_layout(spark, sf_dir))
 
-def tick(x: str) -> str:
-    """Half-even rounding to a cent of an exact number of 1e-7."""
-    return f"(CASE WHEN 2 * (({x}) % 100000) > 100000 OR (2 * (({x}) % 100000) = 100000 AND (({x}) // 100000) % 2 = 1) THEN ({x}) // 100000 + 1 ELSE ({x}) // 100000 END)"
-
-
-# One bar at a time in SQL: fill at the open, limits, signal, daily loss. Prices in cents, sizes in 1e-4.
-LEDGER_SQL = f"""{bars_sql('1h')}, zs AS (SELECT *, {RET} AS x FROM bars),
- steps AS (
-  SELECT instrument, rn, open_s, close_s, CAST(round(close * 100) AS BIGINT) AS c, CAST(round(open * 100) AS BIGINT) AS o,
-   {tick('CAST(round(open * 100) AS BIGINT) * 100050')} AS buy, {tick('CAST(round(open * 100) AS BIGINT) * 99950')} AS sell,
-   1000000000 // CAST(round(close * 100) AS BIGINT) AS q, CASE WHEN x >= 0.01 THEN 1 WHEN x <= -0.01 THEN -1 ELSE 0 END AS sig FROM zs),
- machine AS (
-  SELECT instrument, 0::BIGINT AS rn, 0::BIGINT AS pend, 0::BIGINT AS qty, 0::BIGINT AS entry, 0::BIGINT AS since, 0::BIGINT AS day, 0::DOUBLE AS today, 100000::DOUBLE AS cash,
-   0::BIGINT AS ev, 0::DOUBLE AS gross, 0::DOUBLE AS net, 0::BIGINT AS px, 0::BIGINT AS fill_s, 0::BIGINT AS opened, 0::BIGINT AS eqty, 0::BIGINT AS mark, 0::BIGINT AS rej FROM (SELECT DISTINCT instrument FROM bars)
-  UNION ALL
-  SELECT instrument, rn,
-   CASE WHEN q2 > 0 THEN CASE WHEN (c - e2) * 20 <= -e2 OR (c - e2) * 10 >= e2 OR sig = -1 THEN -1 ELSE 0 END
-        WHEN sig = 1 AND NOT (t2 < 0 AND -t2 >= 60 AND d2 = close_s // 86400) AND q * c / 1000000.0::DOUBLE >= 10 AND q * c / 1000000.0::DOUBLE <= cash2 THEN q ELSE 0 END,
-   q2, e2, s2, d2, t2, cash2, ev2, gross2, net2, px2, open_s, opened2, eq2, c,
-   CASE WHEN q2 > 0 THEN CASE WHEN sig = 1 THEN 1 ELSE 0 END WHEN sig = -1 THEN 2 WHEN sig = 1 AND t2 < 0 AND -t2 >= 60 AND d2 = close_s // 86400 THEN 3 ELSE 0 END
-  FROM (
-   SELECT s.*, m.pend AS pend0,
-    CASE WHEN m.pend > 0 THEN m.pend WHEN m.pend < 0 THEN 0 ELSE m.qty END AS q2, CASE WHEN m.pend > 0 THEN s.buy WHEN m.pend < 0 THEN 0 ELSE m.entry END AS e2,
-    CASE WHEN m.pend > 0 THEN s.open_s WHEN m.pend < 0 THEN 0 ELSE m.since END AS s2, CASE WHEN m.pend < 0 THEN s.open_s // 86400 ELSE m.day END AS d2,
-    CASE WHEN m.pend < 0 THEN CASE WHEN m.day = s.open_s // 86400 THEN m.today ELSE 0 END + m.qty * ((s.sell - m.entry) - 0.001::DOUBLE * (s.sell + m.entry)) / 1000000 ELSE m.today END AS t2,
-    CASE WHEN m.pend > 0 THEN m.cash - m.pend * s.buy * 1.001::DOUBLE / 1000000 WHEN m.pend < 0 THEN m.cash + m.qty * s.sell * 0.999::DOUBLE / 1000000 ELSE m.cash END AS cash2,
-    CASE WHEN m.pend > 0 THEN 1 WHEN m.pend < 0 THEN 2 ELSE 0 END AS ev2, CASE WHEN m.pend < 0 THEN m.qty * (s.sell - m.entry) / 1000000.0::DOUBLE ELSE 0 END AS gross2,
-    CASE WHEN m.pend < 0 THEN m.qty * ((s.sell - m.entry) - 0.001::DOUBLE * (s.sell + m.entry)) / 1000000 ELSE 0 END AS net2,
-    CASE WHEN m.pend > 0 THEN s.buy ELSE s.sell END AS px2, m.since AS opened2, CASE WHEN m.pend < 0 THEN m.qty ELSE 0 END AS eq2
-   FROM machine m JOIN steps s ON s.instrument = m.instrument AND s.rn = m.rn + 1))"""
-R.add("ledger_close", lambda s, d: replay(s, d).trades.select("portfolio", us("opened_at"), us("closed_at"), r6("quantity"), r6("exit_price"), r6("pnl_gross"), r6("pnl_net")),
-      f"WITH RECURSIVE {LEDGER_SQL} SELECT instrument AS portfolio, opened * 1000000 AS opened_at_us, fill_s * 1000000 AS closed_at_us, round(eqty / 10000.0::DOUBLE, 6) AS quantity, round(px / 100.0::DOUBLE, 6) AS exit_price, round(gross, 6) AS pnl_gross, round(net, 6) AS pnl_net FROM machine WHERE ev = 2")
-R.add("ledger_open", lambda s, d: replay(s, d).events.filter("event = 'open'").select("portfolio", us("at"), r6("quantity"), r6("entry_price")),
-      f"WITH RECURSIVE {LEDGER_SQL} SELECT instrument AS portfolio, fill_s * 1000000 AS at_us, round(qty / 10000.0::DOUBLE, 6) AS quantity, round(entry / 100.0::DOUBLE, 6) AS entry_price FROM machine WHERE ev = 1")
-R.add("risk_route", lambda s, d: replay(s, d).events.filter("event = 'reject'").groupBy("portfolio", "reason").agg(F.count(F.lit(1)).alias("n")),
-      f"""WITH RECURSIVE {LEDGER_SQL} SELECT instrument AS portfolio, CASE rej WHEN 1 THEN 'position_already_open' WHEN 2 THEN 'short_selling_not_supported' ELSE 'daily_loss_limit_breached' END AS reason, count(*) AS n
- FROM machine WHERE rej > 0 GROUP BY ALL""")
-R.add("equity_curve", lambda s, d: replay(s, d).equity.select("portfolio", us("ts"), r6("cash"), r6("equity"), "open_positions"),
-      f"""WITH RECURSIVE {LEDGER_SQL} SELECT m.instrument AS portfolio, close_s * 1000000 AS ts_us, round(cash, 6) AS cash, round(cash + qty * mark / 1000000.0::DOUBLE, 6) AS equity, CASE WHEN qty > 0 THEN 1 ELSE 0 END::BIGINT AS open_positions
- FROM machine m JOIN bars b ON b.instrument = m.instrument AND b.rn = m.rn""")
-R.add("equity_point", lambda s, d: replay(s, d).equity.select("portfolio", us("ts"), r6("unrealized_pnl"), r6("exposure_ratio"), r6("return_pct"), r6("realized_today")),
-      f"""WITH RECURSIVE {LEDGER_SQL} SELECT m.instrument AS portfolio, close_s * 1000000 AS ts_us, round(qty * (mark - entry) / 1000000.0::DOUBLE, 6) AS unrealized_pnl,
- round(qty * entry / 1000000.0::DOUBLE / (cash + qty * mark / 1000000.0::DOUBLE), 6) AS exposure_ratio, round((cash + qty * mark / 1000000.0::DOUBLE) / 100000 - 1, 6) AS return_pct,
- round(CASE WHEN day = close_s // 86400 THEN today ELSE 0 END, 6) AS realized_today FROM machine m JOIN bars b ON b.instrument = m.instrument AND b.rn = m.rn""")
-R.add("exit_precedence", lambda s, d: replay(s, d).events.filter("event = 'exit'").groupBy("portfolio").agg(F.count(F.lit(1)).alias("exits")),
-      f"WITH RECURSIVE {LEDGER_SQL} SELECT instrument AS portfolio, count(*) AS exits FROM machine WHERE pend < 0 GROUP BY 1")
-
-
-def shared(spark: SparkSession, sf_dir: str) -> L.Ledger:
-    """All six kinds on all instruments in one portfolio: exposure and position limits are shared."""
-    from tickloom.operators.features import feature_series
-
-    b = bars(spark, sf_dir, "1h")
-    rows = L.ledger_rows(b, S.candidates(b, feature_series(b)), units(b.select("instrument").distinct()))
-    return L.run_ledger(rows.withColumn("portfolio", F.lit("desk")))
-
-
-R.add("risk_exposure_state", lambda s, d: shared(s, d).equity.select(us("ts"), "seq", r6("exposure_ratio"), "open_positions", r6("equity")))
-R.add("dispatch", lambda s, d: shared(s, d).events.groupBy("strategy_id", "event").agg(F.count(F.lit(1)).alias("n")))
+
+def instances_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as instances: half follow momentum, each on the event type of its nation number."""
+    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
+    return load(spark, sf_dir, "supplier").select(F.col("s_name").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "momentum").otherwise("mean_reversion").alias("kind"), F.element_at(kinds, F.col("s_nationkey") % 5 + 1).alias("symbol"))
+
+
+R.add("dispatch", lambda s, d: S.dispatch(momentum_rows(s, d), instances_of(s, d)).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("entry") == "long").alias("longs"), F.count_if(F.col("entry") == "short").alias("shorts")),
+      f"""WITH {SIGNALS_SQL}, o AS (SELECT s_name AS strategy_id, list_extract(['click', 'error', 'purchase', 'signup', 'view'], s_nationkey % 5 + 1) AS instrument FROM supplier WHERE s_suppkey % 2 = 0)
+ SELECT strategy_id, count(*) AS rows, count(*) FILTER (entry = 'long') AS longs, count(*) FILTER (entry = 'short') AS shorts FROM signals JOIN o USING (instrument) GROUP BY 1""")
 
 
 # --- sweep --------------------------------------------------------------------------------------
-def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir, "1h", pooled=True)
+RUN = list(W.RUN)
 
 
-def dims_of(candles: DataFrame) -> DataFrame:
-    return units(candles.select(F.col("instrument").alias("symbol")).distinct())
+def run_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades in every look-back window they lie in."""
+    t = closed_trades(spark, sf_dir).withColumns({"symbol": F.col("instrument"), "timeframe": F.lit("1d"), "strategy_id": F.substring_index("strategy_id", "::", -1)})
+    return W.trades_by_window(t)
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = pooled(spark, sf_dir)
-    ledger, kept, quality = W.run(b, dims_of(b), "1h")
-    return W.experiment_reports(ledger, kept, quality)
+def run_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slices of the runs with how many trades of any strategy they have."""
+    return run_trades(spark, sf_dir).groupBy(*W.SLICE).agg(F.count(F.lit(1)).alias("slice_trades"))
 
 
-RUN = list(W.RUN)
+RUNS_SQL = f"""{TRADES_SQL}, ends AS (SELECT instrument, max(closed_at) AS stop FROM trades GROUP BY 1),
+ runs AS (SELECT instrument AS symbol, w, split_part(strategy_id, '::', 2) AS strategy_id, position_id, opened_at, closed_at, pnl_gross, pnl_net FROM trades JOIN ends USING (instrument)
+  CROSS JOIN (VALUES ('full', NULL), ('24m', 24), ('12m', 12), ('6m', 6), ('3m', 3)) v(w, months) WHERE months IS NULL OR opened_at >= stop - to_months(months)),
+ path AS (SELECT *, sum(pnl_net) OVER (PARTITION BY symbol, w, strategy_id ORDER BY closed_at, position_id) AS net FROM runs),
+ falls AS (SELECT *, greatest(max(net) OVER (PARTITION BY symbol, w, strategy_id ORDER BY closed_at, position_id), 0) - net AS fall FROM path),
+ done AS (SELECT symbol, w, strategy_id, count(*) AS n, count(*) FILTER (pnl_net > 0) AS winners, sum(pnl_gross) AS gross, sum(pnl_net) AS net, max(fall) AS fall FROM falls GROUP BY ALL),
+ wanted AS (SELECT DISTINCT symbol, w, k AS strategy_id FROM runs CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in S.CATALOG)}) b(k))"""
 R.add("sweep_matrix", lambda s, d: W.matrix(W.windowed(bars(s, d, "1h")).select(*W.SLICE).distinct()),
       f"""WITH {bars_sql('1h')} SELECT DISTINCT instrument AS symbol, timeframe, w AS "window", k AS strategy_id FROM bars CROSS JOIN (VALUES ('full'), ('24m'), ('12m'), ('6m'), ('3m')) a(w)
  CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in S.CATALOG)}) b(k)""")
-R.add("sweep_run", lambda s, d: (lambda b: W.run(b, dims_of(b), "1h")[0].events)(pooled(s, d)).groupBy(*RUN, "event").agg(F.count(F.lit(1)).alias("n")))
-R.add("experiment_report", lambda s, d: reports(s, d).select(*RUN, "candles_used", "total_trades", "winners", r6("net_pnl"), r6("gross_return_pct"), r6("net_return_pct"), r6("max_drawdown"), r6("max_drawdown_pct"), r6("benchmark_return"), "gap_count"))
+R.add("sweep_run", lambda s, d: run_trades(s, d).groupBy(*RUN).agg(F.count(F.lit(1)).alias("trades"), F.unix_micros(F.min("opened_at")).alias("first_us"), F.unix_micros(F.max("closed_at")).alias("last_us")),
+      f"""WITH {RUNS_SQL} SELECT symbol, '1d' AS timeframe, w AS "window", strategy_id, count(*) AS trades, epoch_us(min(opened_at)) AS first_us, epoch_us(max(closed_at)) AS last_us FROM runs GROUP BY ALL""")
+R.add("experiment_report", lambda s, d: W.experiment_reports(run_trades(s, d), run_slices(s, d), 100_000.0, layout=trade_layout(s, d)).select(
+    "symbol", "window", "strategy_id", "slice_trades", "total_trades", "winners", r6("net_pnl"), r6("gross_return_pct"), r6("net_return_pct"), r6("max_drawdown")),
+      f"""WITH {RUNS_SQL}, s AS (SELECT symbol, w, count(*) AS slice_trades FROM runs GROUP BY ALL)
+ SELECT symbol, w AS "window", strategy_id, slice_trades, coalesce(n, 0) AS total_trades, coalesce(winners, 0) AS winners, round(coalesce(CAST(net AS DOUBLE), 0), 6) AS net_pnl, round(coalesce(CAST(gross AS DOUBLE), 0) / 100000, 6) AS gross_return_pct,
+ round(coalesce(CAST(net AS DOUBLE), 0) / 100000, 6) AS net_return_pct, round(coalesce(CAST(fall AS DOUBLE), 0), 6) AS max_drawdown FROM wanted LEFT JOIN done USING (symbol, w, strategy_id) JOIN s USING (symbol, w)""")
+
+
+def trade_layout(spark: SparkSession, sf_dir: str) -> str:
+    return measured_layout(load(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("k")), ["k"])
 
 
 def trade_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from tickloom.operators import ledger as L
 from tickloom.operators import signals as S
 from tickloom.plans import book_queries as BQ
 from tickloom.plans import candle_queries as CQ
-from tickloom.plans.adapters import bars, bars_sql, load, r6, tape, us
-from tickloom.plans.ledger_queries import units
+from tickloom.plans.adapters import bars, bars_sql, load, r6, tape, tape_layout, us
+from tickloom.plans.ledger_queries import SIGNALS_SQL, units
 from tickloom.plans.registry import Registry
 from tickloom.plans.source_queries import raw
 from tickloom.session import scratch_path
@@ -95,23 +95,18 @@ R.add("windows", lambda s, d: result(J.tumbling_candles(landed(tape(s, d), "tape
       f"WITH {bars_sql('1h')} SELECT instrument, count(*) >= 1 AS any FROM bars GROUP BY instrument")
 
 
-def robot_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Momentum of each event type traded by one robot, filled at the close it was decided on."""
+def robot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum of each event type as orders of one robot; the one on errors is disabled."""
     b = bars(spark, sf_dir, "1h")
-    config = L.RiskConfig(fill="close")
-    rows = L.ledger_rows(b, S.momentum(b), units(b.select("instrument").distinct()), config).withColumn("robot_id", F.concat(F.lit("r-"), "instrument"))
-    return result(J.robot_stream(landed(rows, "steps"), config)).groupBy("robot_id", "event").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pnl_net"), "pnl_net"))
+    rows = L.ledger_rows(b, S.momentum(b, layout=tape_layout(spark, sf_dir)), units(b.select("instrument").distinct())).withColumn("robot_id", F.concat(F.lit("r-"), "instrument"))
+    rows = rows.withColumn("strategy_id", F.concat("strategy_id", F.lit("@"), "instrument"))
+    disabled = spark.createDataFrame([("momentum@error",)], "strategy_id string")
+    return result(J.order_stream(landed(rows, "steps"), disabled)).groupBy("robot_id", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("order_value"), "order_value"))
 
 
-def robot_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bars through the batch ledger, for parity tests."""
-    b = bars(spark, sf_dir, "1h")
-    config = L.RiskConfig(fill="close")
-    rows = L.ledger_rows(b, S.momentum(b), units(b.select("instrument").distinct()), config).withColumn("robot_id", F.concat(F.lit("r-"), "instrument"))
-    return L.run_ledger(rows, ["robot_id"], config).events.groupBy("robot_id", "event").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("pnl_net"), "pnl_net"))
-
-
-R.add("stream_robot_step", robot_steps)
+R.add("stream_robot_step", robot_orders,
+      f"""WITH {SIGNALS_SQL}, sized AS (SELECT *, CAST(round(close * 100) AS BIGINT) AS c FROM signals WHERE entry IS NOT NULL AND NOT (entry = 'long' AND instrument = 'error'))
+ SELECT 'r-' || instrument AS robot_id, entry, count(*) AS n, sum((1000000000 // c) * c) / 1000000.0::DOUBLE AS order_value FROM sized GROUP BY ALL""")
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,6 @@ from tickloom.operators import signals as G
 from tickloom.operators.books import DEPTH, WINDOW_SECONDS
 from tickloom.operators.features import FeatureConfig
 from tickloom.operators.joins import latest_per
-from tickloom.operators.ledger import FOLD_COLUMNS, UNIT, RiskConfig, _Book, _e8, _equity_frame, _event_frame, _money, _replay
 from tickloom.sources import lake, messages
 from tickloom.streaming.indicators import COLUMNS, SeriesState
 
@@ -173,40 +171,10 @@ def candidate_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 _S, _D, _L, _TS = T.StringType(), T.DoubleType(), T.LongType(), T.TimestampType()
-STEP = S.table(
-    ("robot_id", _S), ("event", _S), ("instrument", _S), ("strategy_id", _S), ("opened_at", _TS), ("at", _TS), ("reason", _S), ("quantity", _D), ("entry_price", _D), ("exit_price", _D),
-    ("pnl_gross", _D), ("pnl_net", _D), ("fees_paid", _D), ("spread_paid", _D), ("slippage_paid", _D), ("cash", _D), ("equity", _D), ("open_positions", _L), ("return_pct", _D),
-)
-
-
-class RobotProcessor(_JsonState):
-    """The portfolio fold of the batch ledger, one robot per key, orders filled at the same close."""
-
-    def __init__(self, config: RiskConfig) -> None:
-        self.config = config
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["close_s", "instrument", "strategy_id"], kind="stable")
-        pdf = pdf.astype({"entry": object, "size_reason": object}).where(pdf.notna(), None)
-        saved = json.loads(self.load() or "{}")
-        book = _Book(self.config, saved.get("book"), int(saved.get("cash", _money(self.config.initial_cash))))
-        # Rows reach a stateful processor without columns of a leading underscore.
-        pdf = pdf.rename(columns={f"px{c}": c for c in ("_buy", "_sell", "_ref")}).assign(_worth=[int(Decimal(v or 0) * UNIT) for v in pdf["value"]])
-        events, curve = _replay(book, pdf[list(FOLD_COLUMNS)], True)
-        self.save(json.dumps({"book": book.state(), "cash": str(book.base + book.cash)}))
-        points = _equity_frame(curve, {}).rename(columns={"ts": "at"}).assign(event="equity")
-        out = pd.concat([_event_frame(events, {}), points[["event", "at", "cash", "equity", "open_positions", "return_pct"]]], ignore_index=True).assign(robot_id=key[0])
-        yield out.reindex(columns=STEP.names)
-
-
-def robot_stream(rows: DataFrame, config: RiskConfig = RiskConfig(fill="close")) -> DataFrame:
-    """Decisions, trades and equity rows of every robot; ``rows`` are ``ledger_rows`` with ``robot_id``."""
-    use_rocksdb(rows.sparkSession)
-    lean = rows.select(
-        "robot_id", F.unix_seconds("open_time").alias("open_s"), F.unix_seconds("close_time").alias("close_s"), "instrument", "strategy_id", "entry", "manages_exit", "exit_long", "force_exit",
-        _e8("quantity"), _e8("close"), *[_e8(c).alias(f"px{c}") for c in ("_buy", "_sell", "_ref")], "size_reason", F.col("order_value").cast("string").alias("value"),
-    )
-    return lean.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=RobotProcessor(config), outputStructType=STEP, outputMode="Append", timeMode="None")
+def order_stream(rows: DataFrame, disabled: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """The orders that streamed signals ask for: ``rows`` are ``ledger_rows`` with ``robot_id``. Stateless: entries of
+    disabled or unselected strategies go, sizes and costs are columns of each row."""
+    return admit(rows, disabled, selection).filter("entry IS NOT NULL OR force_exit")
 
 
 def admit(rows: DataFrame, disabled: DataFrame, selection: DataFrame | None = None) -> DataFrame:
