@@ -39,7 +39,7 @@ def candles_from_trades(
             F.max("price").alias("high"),
             F.min("price").alias("low"),
             F.max_by("price", at).alias("close"),
-            F.sum("quantity").cast("decimal(18,8)").alias("volume"),
+            F.sum("quantity").cast("decimal(38,8)").alias("volume"),
         )
         .withColumn("timeframe", F.lit(timeframe))
         .withColumn("close_time", F.col("open_time") + F.make_dt_interval(secs=F.lit(seconds)))
@@ -64,7 +64,7 @@ def resample(candles: DataFrame, source: str, target: str, *, keys: Sequence[str
             F.max("high").alias("high"),
             F.min("low").alias("low"),
             F.max_by("close", at).alias("close"),
-            F.sum("volume").cast("decimal(18,8)").alias("volume"),
+            F.sum("volume").cast("decimal(38,8)").alias("volume"),
             F.count(F.lit(1)).alias("_bars"),
         )
         .filter(F.col("_bars") == width // step)
@@ -94,7 +94,7 @@ def derive_timeframes(candles: DataFrame, source: str = "1m", targets: Sequence[
             F.max("high").alias("high"),
             F.min("low").alias("low"),
             F.max_by("close", at).alias("close"),
-            F.sum("volume").cast("decimal(18,8)").alias("volume"),
+            F.sum("volume").cast("decimal(38,8)").alias("volume"),
             F.count(F.lit(1)).alias("_bars"),
         )
         .filter(F.col("_bars") * step == F.col("width"))

@@ -82,6 +82,23 @@ def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", F.lit(None).cast("string").alias("offending_column")).unionByName(bad.select("event_id", "offending_column"))
 
 
+def poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw feed, and every event once more as a trade: errors with nine decimals, views of 10^11, clicks of 10^31."""
+    e = load(spark, sf_dir, "events")
+    price = F.when(F.col("event_type") == "error", "1.123456789").otherwise(F.lit("2.50000000000"))
+    size = F.when(F.col("event_type") == "view", "100000000000").when(F.col("event_type") == "click", "1" + "0" * 31).otherwise(F.lit("1e2"))
+    payload = F.to_json(F.struct(F.lit("AAAUSDT").alias("s"), F.col("event_id").alias("t"), price.alias("p"), size.alias("q"), F.unix_millis("ts").alias("T"), F.lit(True).alias("m")))
+    return raw(spark, sf_dir).unionByName(e.select(F.lit("x@trade").alias("stream"), payload.alias("payload"), F.col("ts").alias("received_at")))
+
+
+R.add("parse_quarantine", lambda s, d: N.quarantine(poisoned(s, d)),
+      """SELECT route, count(*) AS messages, count(*) FILTER (bad) AS malformed FROM (
+ SELECT CASE event_type WHEN 'view' THEN 'book_deltas' WHEN 'purchase' THEN 'book_ticker' WHEN 'signup' THEN 'klines' ELSE 'trades' END AS route, event_type = 'error' AS bad FROM events
+ UNION ALL SELECT 'trades', event_type IN ('error', 'click') FROM events) GROUP BY 1 UNION ALL SELECT 'unknown', 0, 0""")
+R.add("exact_volumes", lambda s, d: N.route(poisoned(s, d))["trades"].groupBy("is_buy").agg(F.count(F.lit(1)).alias("trades"), F.sum("quantity").cast("string").alias("volume")),
+      """SELECT is_buy, count(*) AS trades, CAST(CAST(sum(q) AS DECIMAL(38,8)) AS VARCHAR) AS volume FROM (
+ SELECT user_id % 2 <> 0 AS is_buy, CAST(json_extract_string(props, '$.k') AS DECIMAL(38,8)) AS q FROM events WHERE event_type = 'click'
+ UNION ALL SELECT false, CAST(CASE WHEN event_type = 'view' THEN 100000000000 ELSE 100 END AS DECIMAL(38,8)) FROM events WHERE event_type NOT IN ('error', 'click')) GROUP BY 1""")
 R.add("decimal_scale_guard", guarded, "SELECT event_id, CASE WHEN event_type = 'error' THEN 'quantity' END AS offending_column FROM events")
 
 
@@ -104,6 +121,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> str:
     K.append_ticks("trades", t.filter("is_buy"), path)
     K.append_ticks("trades", t.filter("NOT is_buy"), path)
     K.append_ticks("book_deltas", B.flatten_levels(BQ.deltas(spark, sf_dir), ["symbol", "first_update_id", "final_update_id", "event_time_ms"]), path)
+    q = BQ.feed(spark, sf_dir)
+    one = F.lit(1).cast("decimal(38,8)")
+    K.append_ticks("book_ticker", q.select("symbol", F.col("event_id").alias("update_id"), *[one.alias(c) for c in ("bid_price", "bid_qty", "ask_price", "ask_qty")], F.col("ms").alias("timestamp_ms")), path)
     K.append_ticks("book_snapshots", B.flatten_levels(BQ.snapshots(spark, sf_dir), ["symbol", "last_update_id", "captured_at_ms"]), path)
     return path
 
@@ -113,11 +133,11 @@ DAYS = "SELECT '{}' AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {} AS row
 
 def tick_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = ticks(spark, sf_dir)
-    parts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_deltas", "book_snapshots")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_ticker", "book_deltas", "book_snapshots")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-R.add("sink_tick_lake", tick_trip, " UNION ALL ".join((DAYS.format("trades", "count(*)", ""), DAYS.format("book_deltas", "count(*)", "WHERE event_type <> 'signup'"), DAYS.format("book_snapshots", "count(*) * 10", "WHERE event_type = 'signup'"))))
+R.add("sink_tick_lake", tick_trip, " UNION ALL ".join((DAYS.format("trades", "count(*)", ""), DAYS.format("book_ticker", "count(*)", ""), DAYS.format("book_deltas", "count(*)", "WHERE event_type <> 'signup'"), DAYS.format("book_snapshots", "count(*) * 10", "WHERE event_type = 'signup'"))))
 R.add("scan_tick_day", lambda s, d: K.in_day_order("trades", K.read_ticks(s, ticks(s, d), "trades", "ALL", "2024-01-10")).select("exchange_trade_id", "timestamp_ms", r6("quantity")),
       "SELECT CAST(event_id AS VARCHAR) AS exchange_trade_id, epoch_us(ts) // 1000 AS timestamp_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'")
 

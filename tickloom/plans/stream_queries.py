@@ -11,21 +11,33 @@ from tickloom.operators import ledger as L
 from tickloom.operators import signals as S
 from tickloom.plans import book_queries as BQ
 from tickloom.plans import candle_queries as CQ
-from tickloom.plans.adapters import bars, bars_sql, load, r6, tape, tape_layout, us
+from tickloom.plans.adapters import TAPE_SQL, bars, bars_sql, load, r6, tape, tape_layout, us
 from tickloom.plans.ledger_queries import SIGNALS_SQL, units
 from tickloom.plans.registry import Registry
 from tickloom.plans.source_queries import raw
 from tickloom.session import scratch_path
+from tickloom.sources import lake as K
 from tickloom.streaming import jobs as J
 
 R = Registry()
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """A table written out and read again as a stream."""
+def landed(df: DataFrame, name: str, *later: DataFrame) -> DataFrame:
+    """A table written out and read again as a stream; with ``later`` tables, one batch each, in their order."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    df.write.parquet(path) if not later else None
+    for part in (df, *later) if later else ():
+        # One file a part, so that a batch is a part.
+        part.coalesce(1).write.mode("append").parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if later else reader).parquet(path)
+
+
+def halves(df: DataFrame, clock: str) -> tuple[DataFrame, DataFrame]:
+    """The rows before the middle of the table's time, and the others."""
+    ends = df.agg(F.min(F.unix_micros(clock)), F.max(F.unix_micros(clock))).first()
+    early = F.unix_micros(clock) < ((ends[0] or 0) + (ends[1] or 0)) // 2
+    return df.filter(early), df.filter(~early)
 
 
 def played(stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]] = J.table_sink) -> str:
@@ -46,14 +58,44 @@ def twice(df: DataFrame) -> DataFrame:
 
 
 KLINES = "SELECT 'AAAUSDT' AS instrument, ms * 1000 AS open_time_us, round(v, 6) AS close FROM (SELECT *, CAST(value AS DOUBLE) AS v, epoch_us(ts) // 1000 AS ms FROM events) WHERE event_type = 'signup'"
-R.add("stream_candles", lambda s, d: result(J.candle_stream(landed(raw(s, d), "raw"))).select("instrument", us("open_time"), r6("close")), KLINES)
-R.add("stream_closed_dedup", lambda s, d: CQ.sized(result(J.closed_once(landed(twice(bars(s, d, "1h")), "bars")))), f"WITH {bars_sql('1h')} {CQ.ohlc_sql()}")
+
+
+def two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kline feed, and the same a second time as five-minute bars."""
+    one = raw(spark, sf_dir)
+    five = one.withColumn("payload", F.regexp_replace("payload", '"i":"1m"', '"i":"5m"'))
+    return result(J.candle_union([J.candle_stream(landed(one, "raw")), J.candle_stream(landed(five, "raw"))]))
+
+
+def repeated_and_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the bars first, then all of them: every bar of the first half is two weeks late."""
+    b = bars(spark, sf_dir, "1h")
+    return result(J.closed_once(landed(halves(b, "open_time")[1], "bars", b)))
+
+
+R.add("stream_candles", lambda s, d: two_feeds(s, d).select("instrument", "timeframe", us("open_time"), r6("close")), f"SELECT instrument, timeframe, open_time_us, close FROM ({KLINES}) CROSS JOIN (VALUES ('1m'), ('5m')) t(timeframe)")
+R.add("stream_closed_dedup", lambda s, d: CQ.sized(repeated_and_late(s, d)), f"WITH {bars_sql('1h')} {CQ.ohlc_sql()}")
+
+
+def late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth tick of the second half comes after all others; an hour is allowed."""
+    t = tape(spark, sf_dir)
+    early, rest = halves(t, "ts")
+    path = played(landed(early, "ticks", rest.filter("trade_id % 10 <> 0"), rest.filter("trade_id % 10 = 0")), lambda p: J.late_sink(p, "ts", 3600))
+    return spark.read.parquet(f"{path}/rows").select("instrument", F.lit(False).alias("late")).unionByName(spark.read.parquet(f"{path}/late").select("instrument", F.lit(True).alias("late")))
+
+
+R.add("late_data", lambda s, d: late_ticks(s, d).groupBy("instrument", "late").agg(F.count(F.lit(1)).alias("n")),
+      f"""WITH {TAPE_SQL}, m AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS mid FROM tape),
+ parted AS (SELECT *, epoch_us(ts) >= mid AND trade_id % 10 = 0 AS last FROM tape, m), mark AS (SELECT max(ts) AS newest FROM parted WHERE NOT last)
+ SELECT instrument, last AND ts < newest - INTERVAL 1 HOUR AS late, count(*) AS n FROM parted, mark GROUP BY ALL""")
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, order = ["instrument"], ["close_time"]
-    path = played(landed(bars(spark, sf_dir, "1h").select("instrument", "close_time", "close"), "bars"), lambda p: J.keyed_sink(p, keys, order))
-    return J.read_keyed(spark, path, keys, order).select("instrument", us("close_time"), r6("close"))
+    early, rest = halves(bars(spark, sf_dir, "1h").select("instrument", "close_time", "close"), "close_time")
+    path = played(landed(rest, "bars", early), lambda p: J.keyed_sink(p, keys, order))
+    return J.read_keyed(spark, path).select("instrument", us("close_time"), r6("close"))
 
 
 R.add("stream_marks", marks, f"WITH {bars_sql('1h')} SELECT instrument, max(close_s) * 1000000 AS close_time_us, round(max_by(close, close_s), 6) AS close FROM bars GROUP BY instrument")
@@ -78,7 +120,7 @@ def per_robot(df: DataFrame) -> DataFrame:
 R.add("stream_route", lambda s, d: per_robot(result(J.route_to_robots(landed(bars(s, d, "1h"), "bars"), robots(s, d)))), ROUTED_SQL)
 R.add("stream_hot_reload", lambda s, d: per_robot(s.read.parquet(played(landed(bars(s, d, "1h"), "bars"), lambda p: J.routed_sink(p, lambda: robots(s, d))))), ROUTED_SQL)
 SHOWN = ("sma", "zscore", "percent_b", "reg_r2", "rsi", "atr")
-R.add("stream_features", lambda s, d: result(J.feature_stream(landed(bars(s, d, "1h"), "bars"))).select("instrument", us("close_time"), *[r6(c) for c in SHOWN]), CQ.R.sql["feature_snapshot"])
+R.add("stream_features", lambda s, d: result(J.feature_stream(landed(*(lambda h: (h[0], "bars", h[1]))(halves(bars(s, d, "1h"), "open_time"))))).select("instrument", us("close_time"), *[r6(c) for c in SHOWN]), CQ.R.sql["feature_snapshot"])
 HALF = "timestamp'2024-01-16'"
 
 
@@ -91,8 +133,18 @@ def warmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R.add("stream_warmup", warmed,
       f"WITH {bars_sql('1h')}, f AS (SELECT *, {CQ.gated(CQ.M, 20)} AS sma, {CQ.Z} AS z FROM bars) SELECT instrument, close_s * 1000000 AS close_time_us, round(sma, 6) AS sma, round(z, 6) AS zscore FROM f WHERE open_s >= 1705363200")
-R.add("windows", lambda s, d: result(J.tumbling_candles(landed(tape(s, d), "tape"), 3600)).groupBy("instrument").agg(F.count(F.lit(1)).alias("bars")).select("instrument", (F.col("bars") >= 1).alias("any")),
-      f"WITH {bars_sql('1h')} SELECT instrument, count(*) >= 1 AS any FROM bars GROUP BY instrument")
+
+
+def tumbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of the streamed tape in three batches; the last holds one later tick, which closes them all."""
+    t = tape(spark, sf_dir)
+    early, rest = halves(t, "ts")
+    end = t.agg((F.max("ts") + F.make_dt_interval(days=F.lit(2))).alias("ts")).withColumns({c: F.lit("end" if c == "instrument" else None).cast(t.schema[c].dataType) for c in t.columns if c != "ts"}).select(*t.columns)
+    return result(J.tumbling_candles(landed(early, "tape", rest, end), 3600))
+
+
+R.add("windows", lambda s, d: tumbled(s, d).select("instrument", us("open_time"), r6("open"), r6("high"), r6("low"), r6("close"), r6("volume")),
+      f"WITH {bars_sql('1h')} SELECT instrument, open_s * 1000000 AS open_time_us, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars")
 
 
 def robot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +162,12 @@ R.add("stream_robot_step", robot_orders,
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = played(landed(raw(spark, sf_dir), "raw"), J.tick_sink)
-    counts = [spark.read.parquet(f"{path}/{kind}").groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_ticker", "book_deltas")]
+    early, rest = halves(raw(spark, sf_dir), "received_at")
+    path = played(landed(early, "raw", rest), J.tick_sink)
+    # A day of the streamed lake is compacted between the stream and the reading.
+    day = K.read_ticks(spark, path, "trades").agg(F.min("date").cast("string")).first()[0]
+    K.compact_day(spark, path, "AAAUSDT", day)
+    counts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_ticker", "book_deltas")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 

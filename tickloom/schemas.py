@@ -21,7 +21,7 @@ _S, _L, _I, _D, _B, _TS = (
     T.TimestampType(),
 )
 
-LEVELS = T.ArrayType(table(("price", MONEY), ("quantity", MONEY)))
+LEVELS = T.ArrayType(table(("price", AT_REST), ("quantity", AT_REST)))
 
 CANDLES = table(
     ("open_time", _L), ("close_time", _L), ("open", AT_REST), ("high", AT_REST), ("low", AT_REST),

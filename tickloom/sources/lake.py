@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, StructType
 
 from tickloom import schemas as S
-from tickloom.session import scratch_path
+from tickloom.sources.messages import fits_scale
 
+FILES_PER_DAY = 4
 FILE_BYTES = 512 * 1024 * 1024
 # The order rows of a kind are read in.
 DAY_ORDER = {
@@ -33,12 +35,42 @@ def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names right below a folder; none if it is not there."""
+    if not exists(spark, path):
+        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(target).getParent())
+    if not system.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def exact(df: DataFrame, column: str) -> Column:
+    """The column at rest scale; a value of more than eight decimals is refused, not rounded."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, DecimalType) or kind.scale <= 8:
+        return F.col(column).cast(S.AT_REST).alias(column)
+    refused = F.raise_error(F.concat(F.lit(f"more than eight decimals in {column}: "), F.col(column).cast("string"))).cast(S.AT_REST)
+    return F.when(F.col(column).isNull() | fits_scale(F.col(column)), F.col(column).cast(S.AT_REST)).otherwise(refused).alias(column)
+
+
 # --- candles ----------------------------------------------------------------------------------
 def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Snappy Parquet by symbol and timeframe; times as epoch milliseconds, prices at rest scale."""
     rows = candles.select(
         F.unix_millis("open_time").alias("open_time"), F.unix_millis("close_time").alias("close_time"),
-        *[F.col(c).cast(S.AT_REST).alias(c) for c in ("open", "high", "low", "close", "volume")], F.col("instrument").alias("symbol"), "timeframe",
+        *[exact(candles, c) for c in ("open", "high", "low", "close", "volume")], F.col("instrument").alias("symbol"), "timeframe",
     )
     # No exchange: a series may be spread over files, and one hot symbol must not end in one task.
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(path)
@@ -49,7 +81,7 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     rows = scan(spark, path, S.CANDLES)
     return rows.select(
         F.col("symbol").alias("instrument"), "timeframe", F.timestamp_millis("open_time").alias("open_time"), F.timestamp_millis("close_time").alias("close_time"),
-        *[F.col(c).cast(S.MONEY).alias(c) for c in ("open", "high", "low", "close", "volume")], F.lit(True).alias("is_closed"),
+        *[F.col(c).cast(S.MONEY).alias(c) for c in ("open", "high", "low", "close")], "volume", F.lit(True).alias("is_closed"),
     )
 
 
@@ -59,16 +91,23 @@ def tick_rows(kind: str, rows: DataFrame) -> DataFrame:
     schema = S.TICK_KINDS[kind]
     clock = next(f.name for f in schema.fields if f.name.endswith("_ms"))
     dated = rows.withColumn("date", F.to_date(F.timestamp_millis(clock)))
-    return dated.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return dated.select(*[exact(dated, f.name) if f.dataType == S.AT_REST else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def append_ticks(kind: str, rows: DataFrame, path: str) -> None:
-    tick_rows(kind, rows).write.mode("append").partitionBy("symbol", "date").parquet(f"{path}/{kind}")
+def append_ticks(kind: str, rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows as one batch folder of each symbol and day. A batch written again under its name replaces itself.
+
+    Rows are dealt by symbol, day and a bounded salt first: a few files a day, and no task with a whole hot symbol.
+    """
+    stored = tick_rows(kind, rows).withColumn("batch", F.lit(batch or f"a-{uuid.uuid4().hex}"))
+    dealt = stored.repartition("symbol", "date", F.pmod(F.xxhash64(*S.TICK_KINDS[kind].names), F.lit(FILES_PER_DAY)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date", "batch").parquet(f"{path}/{kind}")
 
 
-def read_ticks(spark: SparkSession, path: str, kind: str, symbol: str | None = None, date: str | None = None) -> DataFrame:
+def read_ticks(spark: SparkSession, path: str, kind: str, symbol: str | None = None, date: str | None = None, *, with_files: bool = False) -> DataFrame:
     """Pruned scan; no order is imposed, downstream operators sort by what they need."""
     rows = scan(spark, f"{path}/{kind}", S.TICK_KINDS[kind])
+    rows = rows.select(*S.TICK_KINDS[kind].names, *(["_metadata"] if with_files else []))
     rows = rows if symbol is None else rows.filter(F.col("symbol") == symbol)
     return rows if date is None else rows.filter(F.col("date") == F.lit(date).cast("date"))
 
@@ -81,26 +120,33 @@ def in_day_order(kind: str, rows: DataFrame) -> DataFrame:
 def compact_day(spark: SparkSession, path: str, symbol: str, date: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Rewrite one symbol's day into as few files as its size allows; one row per kind.
 
-    Staged first, then swapped in by a partition overwrite, so a reader sees either the old files or
-    the new ones and never both. A day that is compact already is left alone.
+    The new batch is staged beside the table; then exactly the batch folders that were read go and the staged one is
+    moved in, so what others append meanwhile stays. A day that is compact already is left alone. A reader should not
+    read the day between the two steps.
     """
     summary = []
     for kind in S.TICK_KINDS:
-        day = read_ticks(spark, path, kind, symbol, date)
-        files = day.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count(F.lit(1)), F.sum("file_size")).first() if exists(spark, f"{path}/{kind}") else (0, 0)
-        before, size = files[0], files[1] or 0
+        if not exists(spark, f"{path}/{kind}"):
+            summary.append((kind, 0, 0, 0, False))
+            continue
+        day = read_ticks(spark, path, kind, symbol, date, with_files=True)
+        files = day.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n")).collect()  # the files of one symbol's day
+        before, size, count = len(files), sum(f.file_size for f in files), sum(f.n for f in files)
         wanted = max(1, -(-size // file_bytes))
         if before <= wanted:
-            summary.append((kind, before, before, day.count() if before else 0, False))
+            summary.append((kind, before, before, count, False))
             continue
-        staged = scratch_path(spark, f"compact-{kind}")
+        batch = f"c-{uuid.uuid4().hex}"
+        staged = f"{path.rstrip('/')}/_staged/{kind}-{batch}"
         order = [F.col(c).desc() if c == "is_bid" else F.col(c) for c in DAY_ORDER[kind]]
-        spread = day.coalesce(1) if wanted == 1 else day.repartitionByRange(wanted, *order)
-        spread.sortWithinPartitions(*order).write.partitionBy("symbol", "date").parquet(staged)
-        settled = spark.read.schema(S.TICK_KINDS[kind]).parquet(staged)
-        settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").parquet(f"{path}/{kind}")
-        after = read_ticks(spark, path, kind, symbol, date)
-        summary.append((kind, before, after.select("_metadata.file_path").distinct().count(), after.count(), True))
+        rows = spark.read.schema(S.TICK_KINDS[kind]).option("basePath", f"{path}/{kind}").parquet(*[f.file_path for f in files]).select(*S.TICK_KINDS[kind].names)
+        spread = rows.coalesce(1) if wanted == 1 else rows.repartitionByRange(wanted, *order)
+        spread.sortWithinPartitions(*order).drop("symbol", "date").write.parquet(staged)
+        home = files[0].file_path.rsplit("/", 2)[0]
+        for folder in {f.file_path.rsplit("/", 1)[0] for f in files}:
+            remove(spark, folder)
+        move(spark, staged, f"{home}/batch={batch}")
+        summary.append((kind, before, wanted, count, True))
     return spark.createDataFrame(summary, "kind string, files_before long, files_after long, rows long, rewritten boolean")
 
 

@@ -16,7 +16,11 @@ WIDE = "decimal(38,18)"
 
 
 def number(text: Column) -> Column:
-    return text.try_cast(WIDE)
+    """Exact number at rest scale; NULL (so quarantined) if it has more than eight decimals or no room."""
+    stored = text.try_cast(AT_REST)
+    # Digits beyond the eighth decimal, or an exponent that hides some.
+    finer = text.rlike(r"\.\d{8}\d*[1-9]") | (text.rlike("[eE]") & ~F.coalesce(text.try_cast(WIDE) == stored, F.lit(False)))
+    return F.when(~finer, stored)
 
 
 def fits_scale(value: Column, scale: int = 8) -> Column:
@@ -89,8 +93,10 @@ def trades(raw: DataFrame) -> DataFrame:
 
 
 def levels(path: str) -> Column:
+    """Price levels; NULL if one of them is unreadable, so that the message is quarantined and not cut."""
     pairs = F.from_json(F.get_json_object("payload", path), "array<array<string>>")
-    return F.transform(pairs, lambda x: F.struct(number(F.try_element_at(x, F.lit(1))).cast("decimal(18,8)").alias("price"), number(F.try_element_at(x, F.lit(2))).cast("decimal(18,8)").alias("quantity")))
+    read = F.transform(pairs, lambda x: F.struct(number(F.try_element_at(x, F.lit(1))).alias("price"), number(F.try_element_at(x, F.lit(2))).alias("quantity")))
+    return F.when(F.forall(read, lambda x: x.price.isNotNull() & x.quantity.isNotNull()), read)
 
 
 def depth_deltas(raw: DataFrame) -> DataFrame:
@@ -121,16 +127,28 @@ def route_of(stream: Column) -> Column:
     return route
 
 
+PARSERS = {
+    "trades": (trades, ["symbol", "price", "quantity", "timestamp_ms", "is_buy"]),
+    "book_ticker": (book_tickers, ["symbol", "update_id", "bid_price", "ask_price"]),
+    "book_deltas": (depth_deltas, ["symbol", "first_update_id", "final_update_id", "bids", "asks"]),
+    "klines": (ws_klines, ["symbol", "open_time", *PRICES, "is_closed"]),
+}
+
+
 def route(raw: DataFrame) -> dict[str, DataFrame]:
-    """Each kind's parsed table; unknown streams and malformed messages are left out."""
+    """Each kind's parsed table; unknown streams and malformed messages are left out and counted by ``quarantine``."""
     tagged = raw.withColumn("_route", route_of(F.col("stream")))
-    parsers = {
-        "trades": (trades, ["symbol", "price", "quantity", "timestamp_ms", "is_buy"]),
-        "book_ticker": (book_tickers, ["symbol", "update_id", "bid_price", "ask_price"]),
-        "book_deltas": (depth_deltas, ["symbol", "first_update_id", "final_update_id"]),
-        "klines": (ws_klines, ["symbol", "open_time", "close", "is_closed"]),
-    }
-    return {name: valid(parse(tagged.filter(F.col("_route") == name)), required) for name, (parse, required) in parsers.items()}
+    return {name: valid(parse(tagged.filter(F.col("_route") == name)), required) for name, (parse, required) in PARSERS.items()}
+
+
+def quarantine(raw: DataFrame) -> DataFrame:
+    """route, messages, malformed: what ``route`` takes and leaves out, unknown streams included."""
+    tagged = raw.withColumn("_route", route_of(F.col("stream")))
+    out = tagged.filter("_route IS NULL").agg(F.lit("unknown").alias("route"), F.count(F.lit(1)).alias("messages"), F.count(F.lit(1)).alias("malformed"))
+    for name, (parse, required) in PARSERS.items():
+        counts = parse_report(parse(tagged.filter(F.col("_route") == name)), required)
+        out = out.unionByName(counts.select(F.lit(name).alias("route"), "messages", "malformed"))
+    return out
 
 
 # What an instrument gets when a filter is absent or unreadable.

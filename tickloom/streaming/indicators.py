@@ -60,7 +60,8 @@ class SeriesState:
         out.update(self._bands(tail(c.bollinger_period), close, c.bollinger_k))
         out["roc"] = _safe((close - closes[-1 - c.roc_period]) * 100, closes[-1 - c.roc_period]) if n > c.roc_period else None
         out.update(self._line(tail(c.regression_period)))
-        logs = [math.log(b / a) for a, b in zip(closes, closes[1:])]
+        # A return needs two positive closes; others are skipped.
+        logs = [math.log(b / a) for a, b in zip(closes, closes[1:]) if a > 0 and b > 0]
         out["autocorrelation"] = self._lagged(logs[-c.autocorrelation_period:], c.autocorrelation_lag) if len(logs) >= c.autocorrelation_period else None
         out["realized_volatility"] = _spread(logs[-c.realized_volatility_period:]) if len(logs) >= c.realized_volatility_period else None
         out["relative_volume"] = _safe(volume, _mean(self.volumes)) if len(self.volumes) == c.relative_volume_period else None
@@ -73,7 +74,8 @@ class SeriesState:
             loss = self._scan("loss", max(before - close, 0.0), 1 / c.rsi_period, c.rsi_period)
             if gain is not None and loss is not None:
                 out["rsi"] = 50.0 if gain == loss == 0 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-            out["ewma_volatility"] = math.sqrt(self._scan("variance", logs[-1] ** 2, 1 - c.ewma_lambda) or 0.0)
+            if before > 0 and close > 0:
+                out["ewma_volatility"] = math.sqrt(self._scan("variance", math.log(close / before) ** 2, 1 - c.ewma_lambda) or 0.0)
         out["fast_ema"], out["slow_ema"] = self._scan("fast", close, 2 / 13), self._scan("slow", close, 2 / 27)
         out["prev_diff"], out["diff"] = self.prev_diff, out["fast_ema"] - out["slow_ema"]
         self.prev_diff = out["diff"]

@@ -1,6 +1,6 @@
 """Structured Streaming twins of the batch operators.
 
-Candles carry a ten-minute watermark and ticks one of five seconds. Keyed state lives in the state
+Nothing is dropped for being late unless the caller gives a delay; ``late_sink`` keeps and counts late rows. Keyed state lives in the state
 store; sinks are ``foreachBatch`` writers that overwrite their own batch, so a batch that runs again
 leaves the same result.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from datetime import timedelta
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +27,9 @@ from tickloom.operators.joins import latest_per
 from tickloom.sources import lake, messages
 from tickloom.streaming.indicators import COLUMNS, SeriesState
 
-CANDLE_WATERMARK = "10 minutes"
 TICK_WATERMARK = "5 seconds"
-# Candles fed before going live, and seconds between two flushes.
+# Fixed value: candles fed before going live.
 WARMUP_BARS = 50
-FLUSH_SECONDS = 300
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -47,20 +47,58 @@ def raw_stream(spark: SparkSession, path: str, files_per_batch: int | None = Non
 def candle_stream(raw: DataFrame) -> DataFrame:
     """Kline messages of every timeframe as one candle feed."""
     k = messages.route(raw)["klines"]
-    return k.withColumnRenamed("symbol", "instrument").withColumns({c: F.col(c).cast(S.MONEY) for c in messages.PRICES})
+    return k.withColumnRenamed("symbol", "instrument").withColumns({c: F.col(c).cast(S.AT_REST) for c in messages.PRICES})
 
 
-def closed_once(candles: DataFrame) -> DataFrame:
-    """Closed candles only, each bar once even if a reconnect repeats it."""
-    return candles.filter("is_closed").withWatermark("close_time", CANDLE_WATERMARK).dropDuplicatesWithinWatermark(["instrument", "timeframe", "open_time"])
+BAR_KEY = ["instrument", "timeframe", "open_time"]
 
 
-def tumbling_candles(trades: DataFrame, seconds: int) -> DataFrame:
-    """Bars from a trade stream; a bar appears once the watermark has passed its end."""
+def closed_once(candles: DataFrame, delay: str | None = None) -> DataFrame:
+    """Closed candles only, each bar once even if a reconnect repeats it.
+
+    Bars are remembered for good, so none is too late, however far apart instruments are. With ``delay`` the memory is
+    bounded by it; feed such a stream through ``late_sink`` first, which keeps and counts what comes later.
+    """
+    closed = candles.filter("is_closed")
+    return closed.dropDuplicates(BAR_KEY) if delay is None else closed.withWatermark("close_time", delay).dropDuplicatesWithinWatermark(BAR_KEY)
+
+
+def candle_union(feeds: list[DataFrame]) -> DataFrame:
+    """The feeds of several timeframes as one stream."""
+    return reduce(DataFrame.unionByName, feeds)
+
+
+def late_sink(path: str, clock: str, seconds: float) -> Callable[[DataFrame, int], None]:
+    """Rows of a batch to ``rows``; those more than ``seconds`` older than the newest of the batches before to ``late``.
+
+    Nothing is dropped: ``late`` is a table to count and to merge from. The marks of earlier batches are kept, so a
+    batch that runs again parts its rows alike.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        known = lake.scan(spark, f"{path}/mark", T.StructType([T.StructField("newest", T.TimestampType()), T.StructField("batch", T.LongType())]))
+        mark = known.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        newest = batch.agg(F.max(clock)).first()[0]
+        late = F.lit(False) if mark is None else F.coalesce(F.col(clock) < F.lit(mark - timedelta(seconds=seconds)), F.lit(False))
+        batch.filter(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        seen = [x for x in (mark, newest) if x is not None]
+        spark.createDataFrame([(max(seen) if seen else None,)], "newest timestamp").write.mode("overwrite").parquet(f"{path}/mark/batch={batch_id}")
+        batch.unpersist()
+
+    return write
+
+
+def tumbling_candles(trades: DataFrame, seconds: int, delay: str = TICK_WATERMARK) -> DataFrame:
+    """Bars from a trade stream; a bar appears once the watermark has passed its end.
+
+    Trades later than ``delay`` are not in their bar: part them by ``late_sink`` first, which keeps and counts them.
+    """
     at = F.struct("ts", "trade_id")
     w = F.window("ts", f"{seconds} seconds")
     return (
-        trades.withWatermark("ts", TICK_WATERMARK)
+        trades.withWatermark("ts", delay)
         .groupBy("instrument", w.alias("w"))
         .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"))
         .select("instrument", F.col("w.start").alias("open_time"), F.col("w.end").alias("close_time"), "open", "high", "low", "close", "volume")
@@ -94,7 +132,8 @@ class _JsonState(StatefulProcessor):
 
 
 class FeatureProcessor(_JsonState):
-    """Advances the indicators of one (instrument, timeframe); bars at or before the last one are skipped."""
+    """Advances the indicators of one (instrument, timeframe). The last bar again is skipped; an older one comes out
+    marked ``late``, without features."""
 
     def __init__(self, config: FeatureConfig) -> None:
         self.config = config
@@ -105,11 +144,13 @@ class FeatureProcessor(_JsonState):
         out = []
         for row in pdf.sort_values("close_time").to_dict("records"):
             ms = int(row["close_time"].timestamp() * 1000)
+            if ms < state.last_ms:
+                out.append((*(row[c] for c in BAR), *[None] * len(COLUMNS), True))
             if ms <= state.last_ms:
                 continue
             state.last_ms = ms
             features = state.advance(row["high"], row["low"], row["close"], row["volume"], self.config)
-            out.append((*(row[c] for c in BAR), *(features[c] for c in COLUMNS)))
+            out.append((*(row[c] for c in BAR), *(features[c] for c in COLUMNS), False))
         self.save(json.dumps(asdict(state)))
         return out
 
@@ -117,12 +158,12 @@ class FeatureProcessor(_JsonState):
         self._run(initial)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(self._run(pd.concat(list(rows))), columns=[*BAR, *COLUMNS])
+        yield pd.DataFrame(self._run(pd.concat(list(rows))), columns=[*BAR, *COLUMNS, "late"])
 
 
 BAR = ("instrument", "timeframe", "open_time", "close_time", "open", "high", "low", "close", "volume")
 _BAR_TYPES = [T.StringType(), T.StringType(), T.TimestampType(), T.TimestampType(), *[T.DoubleType()] * 5]
-FEATURES = T.StructType([*[T.StructField(n, t) for n, t in zip(BAR, _BAR_TYPES)], *[T.StructField(n, T.DoubleType()) for n in COLUMNS]])
+FEATURES = T.StructType([*[T.StructField(n, t) for n, t in zip(BAR, _BAR_TYPES)], *[T.StructField(n, T.DoubleType()) for n in COLUMNS], T.StructField("late", T.BooleanType())])
 
 
 def _bars(candles: DataFrame) -> DataFrame:
@@ -151,7 +192,7 @@ def candidate_rows(features: DataFrame) -> DataFrame:
 
     Six readers of a stream would each keep the indicator state again; a batch is read six times instead.
     """
-    ready = features.withColumns({"z_score": F.col("zscore"), "mean": F.col("sma")})
+    ready = features.filter("NOT late").drop("late").withColumns({"z_score": F.col("zscore"), "mean": F.col("sma")})
     parts = [
         G.crossover_rows(ready), G.momentum_rows(ready), G.reversion_rows(ready), G.statistical_mean_reversion(ready), G.quant_momentum(ready), G.breakout_rows(ready),
     ]
@@ -204,10 +245,11 @@ class BookProcessor(_JsonState):
         s = json.loads(text) if text else {"bids": [], "asks": [], "last": None, "eff": 0, "tape": [], "flow": [], "best": None}
         sides = {"bids": dict(map(tuple, s["bids"])), "asks": dict(map(tuple, s["asks"]))}
         out = []
-        for row in pd.concat(list(rows)).sort_values(["t", "kind", "uid"], kind="stable").to_dict("records"):
-            if row["kind"] == 2:
-                s["tape"].append([int(row["t"]), row["quantity"], bool(row["is_buy"])])
-                continue
+        given = pd.concat(list(rows))
+        tape = given[given["kind"] == 2].sort_values("t", kind="stable")
+        s["tape"] += [[int(t), q, bool(up)] for t, q, up in zip(tape["t"], tape["quantity"], tape["is_buy"])]
+        # Book events follow their ids, whatever their stamps say; a row sees only trades before its own time.
+        for row in given[given["kind"] != 2].sort_values(["uid", "kind"], kind="stable").to_dict("records"):
             status = self._apply(s, sides, row)
             if status == "stale":
                 continue
@@ -288,20 +330,32 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n[2:]) for n in lake.children(spark, path) if n.startswith("v=") and lake.exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def keyed_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Latest row per key of each batch; readers merge batches with ``read_keyed``."""
+    """The latest row of every key as one table: each batch writes a new version of it, readers take the newest.
+
+    A batch that runs again starts from the version before it. The version before the last stays for readers under way.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}")) if before else batch
+        latest_per(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        for old in before[:-1]:
+            lake.remove(spark, f"{path}/v={old}")
 
     return write
 
 
-def read_keyed(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    return latest_per(spark.read.parquet(path), keys, order).drop("batch")
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
 
 
 def tick_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Routed messages of a batch to the tick lake, one folder per kind and batch."""
+    """Routed messages of a batch to the tick lake that ``lake.read_ticks`` and ``lake.compact_day`` use; a batch that runs again replaces itself."""
     from tickloom.operators.books import flatten_levels
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -309,7 +363,7 @@ def tick_sink(path: str) -> Callable[[DataFrame, int], None]:
         parts = messages.route(batch)
         deltas = flatten_levels(parts["book_deltas"], ["symbol", "first_update_id", "final_update_id", "event_time_ms"])
         for kind, rows in (("trades", parts["trades"]), ("book_ticker", parts["book_ticker"]), ("book_deltas", deltas)):
-            lake.tick_rows(kind, rows).write.mode("overwrite").partitionBy("symbol", "date").parquet(f"{path}/{kind}/batch={batch_id}")
+            lake.append_ticks(kind, rows, path, f"s-{batch_id}")
         batch.unpersist()
 
     return write
