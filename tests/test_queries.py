@@ -52,3 +52,8 @@ def test_flagship_has_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_listing_without_the_training_data_operators():
+    code = "import sys; sys.modules['tickloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 190 and not any(n.startswith('op1_') for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])

@@ -130,3 +130,95 @@ def test_streamed_candidates_equal_the_batch_ones(spark):
     pick = lambda d: rows(d.filter("entry IS NOT NULL OR exit_long").select("strategy_id", "ts", "entry", "exit_long", "manages_exit", F.round("confidence", 8)))
     expect = pick(G.candidates(df, X.feature_series(df)))
     assert pick(spark.read.parquet(sink)) == expect and len({r[0] for r in expect}) == 6
+
+
+def test_late_rows_are_kept_and_counted(spark):
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    source, sink, progress = (scratch_path(spark, n) for n in ("source", "sink", "progress"))
+    ddl = "id long, ts timestamp"
+    for part in ([(1, 0), (2, 100)], [(3, 95), (4, 200), (5, 10)], [(6, 140), (7, 139), (8, None)]):
+        spark.createDataFrame([(i, None if s is None else t0 + timedelta(seconds=s)) for i, s in part], ddl).coalesce(1).write.mode("append").parquet(source)
+        J.start(spark.readStream.schema(ddl).parquet(source), J.late_sink(sink, "ts", 60), progress).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{sink}/late").collect()) == [5, 7]
+    assert sorted(r.id for r in spark.read.parquet(f"{sink}/rows").collect()) == [1, 2, 3, 4, 6, 8]
+
+
+def test_closed_bars_are_never_too_late(spark):
+    bars = [minute(i, 100.0 + i) for i in range(60)]
+    source, sink, progress = (scratch_path(spark, n) for n in ("source", "sink", "progress"))
+    schema = spark.createDataFrame(bars, DDL).schema
+    for part in (bars[30:], bars[:31], bars[:5]):
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
+        J.start(J.closed_once(spark.readStream.schema(schema).parquet(source)), J.table_sink(sink), progress).awaitTermination()
+    assert rows(spark.read.parquet(sink).select("open_time")) == rows(spark.createDataFrame(bars, DDL).select("open_time"))
+
+
+def test_late_bars_come_out_marked(spark):
+    bars = [minute(i, 100.0 + i) for i in range(40)]
+    source, sink, progress = (scratch_path(spark, n) for n in ("source", "sink", "progress"))
+    schema = spark.createDataFrame(bars, DDL).schema
+    for part in (bars[10:], [bars[3], bars[39]]):
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
+        J.start(J.feature_stream(spark.readStream.schema(schema).parquet(source)), J.table_sink(sink), progress).awaitTermination()
+    out = spark.read.parquet(sink)
+    assert out.filter("NOT late").count() == 30 and [r.close for r in out.filter("late").collect()] == [103.0]
+
+
+def test_streamed_features_skip_prices_without_logarithm(spark):
+    prices = [100.0 + i for i in range(30)] + [0.0] + [110.0 + i for i in range(40)]
+    source, sink = scratch_path(spark, "source"), scratch_path(spark, "sink")
+    df = spark.createDataFrame([minute(i, p) for i, p in enumerate(prices)], DDL)
+    df.write.parquet(source)
+    J.start(J.feature_stream(spark.readStream.schema(df.schema).parquet(source)), J.table_sink(sink), scratch_path(spark, "progress")).awaitTermination()
+    assert spark.read.parquet(sink).count() == len(prices)
+
+
+def test_poison_messages_are_quarantined(spark):
+    good, at = '{"s":"A","t":1,"T":9000,"p":"1.5","q":"%s","m":true}', datetime(2024, 1, 1)
+    deep = '{"s":"A","U":1,"u":2,"b":[["1","2"],["%s","1"]],"a":[]}'
+    raw = spark.createDataFrame(
+        [("x@trade", good % q, at) for q in ("1.12345678", "1.123456789", "1.1234567800", "20000000000", "1e-9", "1e2", "1" + "0" * 40)]
+        + [("x@depth", deep % p, at) for p in ("3", "20000000000.5", "1.123456789", "x")], schemas.RAW_MESSAGES)
+    tables = M.route(raw)
+    assert sorted(r.quantity for r in tables["trades"].collect()) == [Decimal("1.12345678"), Decimal("1.12345678"), Decimal(100), Decimal(20000000000)]
+    assert sorted(r.bids[1].price for r in tables["book_deltas"].collect()) == [Decimal(3), Decimal("20000000000.5")]
+    assert {r.route: (r.messages, r.malformed) for r in M.quarantine(raw).collect()} == {"trades": (7, 3), "book_deltas": (4, 2), "klines": (0, 0), "book_ticker": (0, 0), "unknown": (0, 0)}
+
+
+def test_sinks_refuse_nine_decimals(spark):
+    rows_ = spark.createDataFrame([("A", 1, Decimal("1.123456789"))], "symbol string, ms long, price decimal(38,18)")
+    ticks = rows_.select("symbol", F.lit("1").alias("exchange_trade_id"), "price", F.lit(1).cast("decimal(38,8)").alias("quantity"), F.lit(True).alias("is_buy"), F.col("ms").alias("timestamp_ms"))
+    with pytest.raises(Exception, match="more than eight decimals in price"):
+        K.append_ticks("trades", ticks, scratch_path(spark, "ticks"))
+    kept = scratch_path(spark, "ticks")
+    K.append_ticks("trades", ticks.withColumn("price", F.lit("1.12345678").cast("decimal(38,18)")), kept)
+    assert K.read_ticks(spark, kept, "trades").first().price == Decimal("1.12345678")
+
+
+def test_large_volumes_resample(spark):
+    from tickloom.operators import candles as C
+
+    big = [(*minute(i, 1.0)[:-2], Decimal(9_000_000_000), True) for i in range(5)]
+    assert C.resample(spark.createDataFrame(big, DDL), "1m", "5m").first().volume == 45_000_000_000
+
+
+def test_compaction_removes_only_what_it_read(spark, monkeypatch):
+    path = scratch_path(spark, "ticks")
+    one = lambda i: spark.createDataFrame([("A", str(i), Decimal(1), Decimal(1), True, 1000 + i)], "symbol string, exchange_trade_id string, price decimal(38,8), quantity decimal(38,8), is_buy boolean, timestamp_ms long")
+    for i in range(3):
+        K.append_ticks("trades", one(i), path)
+    K.append_ticks("trades", one(2), path, "s-7")
+    K.append_ticks("trades", one(3), path, "s-7")
+    move = K.move
+
+    def late_append(session, source, target):
+        K.append_ticks("trades", one(9), path)
+        move(session, source, target)
+
+    monkeypatch.setattr(K, "move", late_append)
+    done = {r.kind: (r.files_before, r.files_after, r.rows, r.rewritten) for r in K.compact_day(spark, path, "A", "1970-01-01").collect()}
+    assert done["trades"] == (4, 1, 4, True)
+    assert sorted(r.exchange_trade_id for r in K.read_ticks(spark, path, "trades").collect()) == ["0", "1", "2", "3", "9"]
+    monkeypatch.undo()
+    again = {r.kind: (r.files_before, r.rewritten) for r in K.compact_day(spark, path, "A", "1970-01-01").collect()}
+    assert again["trades"] == (2, True) and K.read_ticks(spark, path, "trades").count() == 5

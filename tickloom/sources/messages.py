@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from tickloom.schemas import AT_REST
 
-WIDE = "decimal(38,18)"
 
 
 def number(text: Column) -> Column:
     """Exact number at rest scale; NULL (so quarantined) if it has more than eight decimals or no room."""
     stored = text.try_cast(AT_REST)
     # Digits beyond the eighth decimal, or an exponent that hides some.
-    finer = text.rlike(r"\.\d{8}\d*[1-9]") | (text.rlike("[eE]") & ~F.coalesce(text.try_cast(WIDE) == stored, F.lit(False)))
+    finer = text.rlike(r"\.\d{8}\d*[1-9]") | (text.rlike("[eE]") & ~F.coalesce(text.try_cast("double") == stored.cast("double"), F.lit(False)))
     return F.when(~finer, stored)
 
 
