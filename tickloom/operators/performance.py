@@ -75,6 +75,12 @@ def with_drawdown(positions: DataFrame, keys: Sequence[str] = ("strategy_id",),
     return performance(positions, keys).join(max_drawdown(positions, keys, tie, layout), list(keys))
 
 
+def rollup(positions: DataFrame, as_of: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Statistics by strategy, ``keys`` and UTC day of close of what was closed by ``as_of``, stamped with it: rows to append."""
+    known = closed_only(positions).filter(F.col("closed_at") <= as_of).withColumn("day_us", F.unix_micros(F.date_trunc("day", "closed_at")))
+    return performance(known, [*keys, "strategy_id", "day_us"]).withColumn("as_of_us", F.unix_micros(as_of))
+
+
 def complete(report: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys without a single closed trade still get a row of zeros."""
     counts = {f.name for f in report.schema.fields if f.name not in keys and f.name != "profit_factor"}

@@ -119,7 +119,7 @@ def timeline(decisions: DataFrame, instruments: DataFrame, signals: DataFrame, o
     wanted_orders, wanted_signals = top.select("order_id").filter("order_id IS NOT NULL"), top.select("signal_id").filter("signal_id IS NOT NULL")
 
     def cut(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-        return table.join(F.broadcast(keys), key, "left_semi")
+        return table.join(keys, key, "left_semi")
 
     return recent(
         top.join(cut(signals, wanted_signals, "signal_id"), "signal_id", "left")

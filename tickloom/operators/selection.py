@@ -301,9 +301,13 @@ def switches(selections: DataFrame, layout: str = "blocks") -> DataFrame:
 
 
 def positions_to_close(open_positions: DataFrame, candidates: DataFrame, selections: DataFrame) -> DataFrame:
-    """Open positions of a context's candidates other than its selected one (all if it has none)."""
+    """Open positions of a context's candidates other than its selected one (all if it has none).
+
+    Of a history of selections the latest of each context counts.
+    """
+    now = selections.groupBy("context").agg(F.max_by(F.struct("as_of", "selected"), "as_of").alias("_s")).select("context", "_s.as_of", "_s.selected")
     owned = open_positions.join(candidates.select("context", "instrument", "strategy_id"), ["instrument", "strategy_id"])
-    return owned.join(selections.select("context", "as_of", "selected"), "context").filter(
+    return owned.join(now, "context").filter(
         ~F.col("strategy_id").eqNullSafe(F.col("selected"))
     )
 

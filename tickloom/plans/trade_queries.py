@@ -26,6 +26,8 @@ from tickloom.plans.adapters import (
     us,
 )
 from tickloom.plans.registry import Registry
+from tickloom.session import scratch_path
+from tickloom.sources import lake as K
 from tickloom.session import stable
 
 R = Registry()
@@ -63,6 +65,22 @@ R.add("perf_trades", lambda s, d: report_columns(P.performance(closed_trades(s,
 R.add("perf_group",
       lambda s, d: report_columns(P.performance(closed_trades(s, d).withColumn("day_us", F.unix_micros("closed_at")), ["instrument", "day_us"]), "instrument", "day_us"),
       f"WITH {TRADES_SQL}, {performance_sql('instrument, epoch_us(closed_at) AS day_us')} {report_sql('instrument', 'day_us')}")
+
+
+def rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends of the strategies' figures by robot and UTC day of close: as of the middle of the closes, and of their end."""
+    t = closed_trades(spark, sf_dir)
+    ends = t.agg(F.min(F.unix_micros("closed_at")), F.max(F.unix_micros("closed_at"))).first()
+    path = scratch_path(spark, "rollup")
+    for as_of in (((ends[0] or 0) + (ends[1] or 0)) // 2, ends[1] or 0):
+        K.append_table(P.rollup(t, F.timestamp_micros(F.lit(as_of)), ["instrument"]), path, ["as_of_us"])
+    return report_columns(spark.read.parquet(path), "instrument", "strategy_id", "day_us", "as_of_us")
+
+
+R.add("perf_rollup", rolled_up,
+      f"""WITH {TRADES_SQL}, e AS (SELECT (epoch_us(min(closed_at)) + epoch_us(max(closed_at))) // 2 AS mid, epoch_us(max(closed_at)) AS stop FROM trades),
+ runs AS (SELECT t.*, epoch_us(date_trunc('day', closed_at)::TIMESTAMP) AS day_us, a AS as_of_us FROM trades t, (SELECT unnest([mid, stop]) AS a FROM e) WHERE epoch_us(closed_at) <= a),
+ {performance_sql('instrument, strategy_id, day_us, as_of_us', 'runs')} {report_sql('instrument', 'strategy_id', 'day_us', 'as_of_us')}""")
 R.add("perf_max_drawdown", lambda s, d: P.max_drawdown(closed_trades(s, d), layout=layout_of(s, d)).select("strategy_id", r6("max_drawdown")),
       f"""WITH {TRADES_SQL}, c AS (SELECT *, sum(pnl_net) OVER (PARTITION BY strategy_id ORDER BY closed_at, position_id) AS cum FROM trades),
  p AS (SELECT *, greatest(max(cum) OVER (PARTITION BY strategy_id ORDER BY closed_at, position_id), 0) AS peak FROM c)
@@ -226,16 +244,11 @@ R.add("judge_switches", lambda s, d: J.switches(selections(s, d), layout_of(s, d
  SELECT context, epoch_us(as_of) AS as_of_us, previous, selected FROM l WHERE k > 1 AND selected IS DISTINCT FROM previous""")
 
 
-def latest_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.max_by(F.struct("as_of", "selected"), "as_of").alias("x")
-    return selections(spark, sf_dir).groupBy("context").agg(best).select("context", "x.as_of", "x.selected")
-
-
 def to_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions opened in the latest month stand for the open ones."""
     t = closed_trades(spark, sf_dir)
     pairs = t.select(F.col("instrument").alias("context"), "instrument", "strategy_id").distinct()
-    return J.positions_to_close(t.drop("as_of"), pairs, latest_selection(spark, sf_dir)).filter("closed_at >= as_of").select("context", "position_id")
+    return J.positions_to_close(t.drop("as_of"), pairs, selections(spark, sf_dir)).filter("closed_at >= as_of").select("context", "position_id")
 
 
 R.add("judge_positions_to_close", to_close,
