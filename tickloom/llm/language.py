@@ -7,7 +7,7 @@ counted over the buckets of the landmarks. Landmarks and fit rows are the rows o
 linear in presence lets landmarks and weights be multiplied out once, so a batch of texts is scored as presence
 matrix x weight matrix.
 
-Three scans (choose ids; sets of the chosen rows; predict), no shuffle of texts. What is sent to the tasks is bounded
+Four scans (count labels; choose ids; sets of the chosen rows; predict), no shuffle of texts. What is sent to the tasks is bounded
 by the landmarks: at most 3 x 2^18 buckets by languages.
 """
 
@@ -27,6 +27,8 @@ LANDMARKS = 32
 RIDGE = 1e-2
 #: More distinct labels than this are refused; it bounds what the driver reads.
 MAX_LANGUAGES = 1000
+#: Rows kept by the hash threshold for each one wanted, on average.
+SPARE = 4
 #: Texts whose presence rows are held at once.
 BLOCK = 256
 FOLDS, HELD_OUT = 4, 2
@@ -131,9 +133,18 @@ def fit(docs: DataFrame, label: str = "lang", fit_rows: int = FIT_ROWS, landmark
     The fit reads, per language, the ``fit_rows`` rows of smallest id hash. The driver gets their sets of buckets.
     """
     known = docs.select("doc_id", F.col(label).alias("language"), "text").filter("doc_id is not null and text is not null and language is not null")
+    narrow = known.select("doc_id", "language", F.xxhash64("doc_id").alias("place"))
+    sizes = {r.language: r["count"] for r in narrow.groupBy("language").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: {label} is no language column")
+    if not sizes:
+        return solve([], landmarks, ridge)
+    # A hash threshold leaves some rows more than are wanted of each language, whatever the table's size; the exact
+    # choice among them is then a window over a bounded group. An id counts once, however many rows it has.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SPARE * fit_rows / n))])
+    within = F.pmod(F.col("place"), F.lit(1 << 30)) < F.try_element_at(share, F.col("language")) * float(1 << 30)
     order = Window.partitionBy("language").orderBy("place", "doc_id")
-    chosen = (known.select("doc_id", "language", F.xxhash64("doc_id").alias("place")).withColumn("turn", F.row_number().over(order))
-              .filter(F.col("turn") <= fit_rows).select("doc_id").distinct())
+    ids = narrow.filter(within).distinct().withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= fit_rows).select("doc_id").distinct().collect()
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -143,11 +154,8 @@ def fit(docs: DataFrame, label: str = "lang", fit_rows: int = FIT_ROWS, landmark
         own = [(x % (ORDERS << BITS)).astype(np.int32) for x in np.split(each, cuts)]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "language": batch.column("language"), "buckets": [x.tobytes() for x in own]}).filter(pa.array(has))
 
-    ids = chosen.limit(MAX_LANGUAGES * fit_rows + 1).collect()
-    if len(ids) > MAX_LANGUAGES * fit_rows:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels: {label} is no language column")
     # One row an id and label, whatever a hot id holds.
-    rows = known.filter(F.col("doc_id").isin([r.doc_id for r in ids])).dropDuplicates(["doc_id", "language"])
+    rows = known.filter(F.col("doc_id").isin([r.doc_id for r in ids])).groupBy("doc_id", "language").agg(F.min("text").alias("text"))
     found = map_slices(rows, sets, "doc_id long, language string, buckets binary").collect()
     found = sorted(found, key=lambda r: (r.language, r.doc_id))
     return solve([(r.language, np.frombuffer(r.buckets, dtype=np.int32)) for r in found], landmarks, ridge)
