@@ -25,6 +25,8 @@ class Rule(NamedTuple):
 
 
 RULE_VERSION = 1
+#: Tasks that share the paths of one blob.
+SALTS = 16
 # The base rules, in the order of their kinds.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ""),
@@ -82,6 +84,13 @@ def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             .select("blob", "number", "kind", (F.col("end") - F.col("size")).alias("start"), "end"))
 
 
+def _onto_paths(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """``paths`` left-joined with ``found`` on ``__blob``; a blob of very many paths is dealt to ``SALTS`` tasks."""
+    dealt = paths.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["__blob", "__salt"], "left").drop("__salt")
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,
          rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings of all blobs, ledger, findings by path) after the rows of ``versions`` (path columns, text).
@@ -99,7 +108,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame
         entries = ledger.select("blob", "rule_version").unionByName(entries)
     paths = versions.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
     now = found.filter(F.col("rule_version") == rule_version).select(F.col("blob").alias("__blob"), F.struct("number", "kind", "start", "end").alias("span"))
-    return found, entries, paths.join(now, "__blob", "left").withColumnRenamed("__blob", "blob")
+    return found, entries, _onto_paths(paths, now).withColumnRenamed("__blob", "blob")
 
 
 def _joined(spans: Column) -> Column:
@@ -118,11 +127,11 @@ def report(docs: DataFrame) -> DataFrame:
     found = findings(unseen(docs))
     spans = F.array_sort(F.collect_list(F.struct("start", "number", "kind", "end")))
     by_blob = found.groupBy("blob").agg(spans.alias("found"))
-    by_path = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    by_path = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("__blob"))
     own = by_blob.select(
-        "blob", *[_number_of(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)],
+        F.col("blob").alias("__blob"), *[_number_of(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)],
         _joined(F.filter("found", lambda s: s.number < len(BASE))).alias("base"), _joined(F.col("found")).alias("spans"))
-    return by_path.join(own, "blob", "left").select(
+    return _onto_paths(by_path, own).select(
         "doc_id", *[F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
