@@ -25,7 +25,7 @@ from tickloom.session import stable
 CAPACITY = 2048
 END_ID = 0
 #: Bounds of the search: fillings tried at a step, nodes of their enumeration, steps in all. Any stop leaves the incumbent.
-BRANCHES, FILLING_NODES, STEPS = 3, 400, 20_000
+BRANCHES, FILLING_NODES, STEPS = 3, 400, 6_000
 #: Pieces of one length numbered in one window group.
 BUCKET_ROWS = 50_000
 

@@ -45,9 +45,10 @@ class Encoder:
                 self.known[word] = None
             else:
                 plain.append(word)
-        for at in range(0, len(plain), JOINED):
-            part = plain[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        parts = [plain[at:at + JOINED] for at in range(0, len(plain), JOINED)]
+        # The fast form leaves out offsets and token texts; the bytes of each id tell where a word ends.
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(part) for part in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
             ends = np.cumsum([len(w.encode()) + 1 for w in part])
             stops = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             held, last = ids.tobytes(), 0
