@@ -152,6 +152,28 @@ def test_licences_against_plain(spark):
     assert licences.scan(docs.limit(0)).count() == 0 and licences.scan(odd_docs(spark)).count() == 2 * len(ODD)
 
 
+def test_licences_of_many_notices(spark):
+    lines = {name: line for name, (line, _) in licences.TEMPLATES.items()}
+    notices = [n for n in lines if n.endswith("-notice")]
+    made = {1: list(lines), 2: [*notices, "reserved"], 3: list(reversed(lines)), 4: [*lines] * 3}
+    rows = [(10 + i, t) for i, t, _ in texts()] + [(i, "\n\n".join(lines[n] for n in names)) for i, names in made.items()]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, names in made.items():
+        assert set(names) <= set(got[i].labels.split(",")), i
+
+
+def test_licences_beside_stray_votes():
+    # A stray vote before an alignment that is shifted in itself does not cut it.
+    index = licences.Index({}, 0)
+    line = index.lines["bsd-notice"]
+    votes = [(at, w) for at, w in enumerate(line) if any(n == "bsd-notice" for n, _ in index.postings.get(w, ()))]
+    body = line[:9] + [b"x"] * 6 + line[9:]
+    for word in {w for _, w in votes}:
+        for gap in range(1, 12):
+            words = [b"y"] * 20 + [word] + [b"y"] * gap + body
+            assert "bsd-notice" in index.scan(words)[1], (word, gap)
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op3_language_id", "op7_token_counts", "op9_license_scans"])
 def test_query_has_every_row(spark, name):
     from tickloom.llm.queries import R

@@ -1,10 +1,10 @@
 """Licence detection with a positional index of rare template words.
 
 One pass counts in how many documents each template word stands (over the whole table). Each template is indexed by
-its words of highest IDF: word -> (template, position). A file's indexed words, its highest-IDF ones first, vote for
-(template, start); votes at neighbouring starts are one alignment, its words are compared at their relative
-positions, and a template counts if enough IDF weight matches and its key phrases stand there word by word. The plain
-phrases are templates too, found through their rarest word and verified in full, at every place.
+its words of highest IDF: word -> (template, position). All indexed words of a file vote for (template, start); votes at
+neighbouring starts are one alignment, its words are compared at their relative positions, and a template counts if
+enough IDF weight matches and its key phrases stand there word by word. The plain phrases are templates too, found
+through their rarest word and verified in full, at every place.
 
 Two scans, no shuffle of texts; only the counts of the template words (a fixed list) reach the driver.
 """
@@ -46,8 +46,8 @@ TEMPLATES = {
         "are met", ["redistribution and use in source and binary forms"]),
 }
 
-#: Indexed words of a template, words of a file that vote, words an alignment may shift, least matched IDF weight.
-INDEXED, VOTING, SHIFT, LEAST = 6, 24, 8, 0.8
+#: Indexed words of a template, words an alignment may shift, least matched IDF weight.
+INDEXED, SHIFT, LEAST = 6, 8, 0.8
 
 #: A-Z to lower case; what is neither a digit, a letter nor beyond ASCII to a space.
 _FOLD = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 0x20 for c in range(0x80)) + bytes(range(0x80, 0x100))
@@ -81,6 +81,9 @@ class Index:
                 for at, word in enumerate(line):
                     if word in rare[:INDEXED]:
                         self.postings[word].append((name, at))
+        held = Counter(name for posts in self.postings.values() for name in {n for n, _ in posts})
+        #: Least votes of an alignment.
+        self.need = {name: min(3, n) for name, n in held.items()}
         self.wanted = frozenset(self.postings) | frozenset(self.anchors)
         self.keys = {name: [k.encode().split() for k in keys] for name, (_, keys) in TEMPLATES.items()}
 
@@ -97,26 +100,29 @@ class Index:
                 if i >= at and words[i - at:i - at + len(line)] == line:
                     places.append((i - at, PHRASES[name]))
         votes: Counter[tuple[str, int]] = Counter()
-        for word in sorted((w for w in where if w in self.postings), key=lambda w: (-self.idf[w], w))[:VOTING]:
-            for name, at in self.postings[word]:
-                votes.update((name, i - at) for i in where[word])
+        for word, at_words in where.items():
+            for name, at in self.postings.get(word, ()):
+                votes.update((name, i - at) for i in at_words)
         scores: dict[str, float] = {}
         by_name: dict[str, list[int]] = defaultdict(list)
         for name, start in votes:
             by_name[name].append(start)
         for name, starts in by_name.items():
-            need = min(3, len({w for w, posts in self.postings.items() if any(n == name for n, _ in posts)}))
             starts.sort()
-            group: list[int] = []
-            for start in [*starts, None]:
-                if group and (start is None or start - group[0] > SHIFT):
-                    if sum(votes[name, s] for s in group) >= need:
-                        found = self._matched(words, name, group)
-                        if found >= LEAST and self._verified(words, name, group):
-                            scores[name] = max(found, scores.get(name, 0.0))
-                    group = []
-                if start is not None:
-                    group.append(start)
+            # Every widest run of starts within SHIFT: a cut elsewhere could part the votes of one alignment.
+            last, held = 0, 0
+            for first, start in enumerate(starts):
+                end = last
+                while end < len(starts) and starts[end] - start <= SHIFT:
+                    held += votes[name, starts[end]]
+                    end += 1
+                if end > last and held >= self.need[name]:
+                    group = starts[first:end]
+                    found = self._matched(words, name, group)
+                    if found >= LEAST and self._verified(words, name, group):
+                        scores[name] = max(found, scores.get(name, 0.0))
+                last = end
+                held -= votes[name, start]
         return sorted(places), scores
 
     def _matched(self, words: list[bytes], name: str, starts: list[int]) -> float:
