@@ -38,6 +38,34 @@ def test_projection_binds(spark):
     assert np.allclose(reached, [1, 0], atol=1e-3) and np.allclose(mixing._rates(np.eye(2), moves), [2, 0], atol=1e-2)
 
 
+@pytest.mark.parametrize("rare, sharp", [(0.01, 8), (0.003, 8), (0.001, 8), (0.0003, 8), (0.003, 3)])
+def test_rare_domain_reaches_its_target(spark, rare, sharp):
+    # Near-hard and softer posteriors; the rare domain's share of the tokens is up to a hundred times below its target.
+    rng = np.random.default_rng(5)
+    n = 20_000
+    own = np.where(np.arange(n) < rare * n, 2, rng.integers(0, 2, n))
+    odds = np.exp(rng.normal(0, 1, (n, 3)) + sharp * np.eye(3)[own])
+    p, tokens, target = odds / odds.sum(axis=1, keepdims=True), rng.integers(10, 1000, n), np.array([0.85, 0.12, 0.03])
+    frame = table(spark, zip(tokens.tolist(), p)).repartition(4).persist()
+    moves, reached = mixing.solve(frame, target)
+    frame.unpersist()
+    rates = mixing._rates(p, moves)
+    assert (rates >= 0).all() and np.abs(reached - target).max() <= mixing.TOLERANCE
+    assert np.allclose((tokens * rates) @ p / tokens.sum(), reached)
+
+
+def test_target_out_of_reach_is_told(spark):
+    # All posteriors are alike: the shares stay in proportion, and the nearest ones are found.
+    moves, reached = mixing.solve(table(spark, [(5, (0.75, 0.25))] * 4), np.array([0.5, 0.5]))
+    assert np.allclose(reached, np.array([0.75, 0.25]) * 0.8)
+    with pytest.raises(RuntimeError):
+        mixing.solve(table(spark, [(10, (1, 0)), (10, (0, 1))]), np.array([0.9, 0.1]), steps=0)
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "good"), (2, "poor")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="no rates reach"):
+        assert mixing.report(docs, labels, {"good": 0.9, "poor": 0.1}).count() == 2
+
+
 def test_solve_without_tokens(spark):
     moves, _ = mixing.solve(table(spark, [(0, (0.5, 0.5))]), np.array([1.0, 0.0]))
     assert len(moves) == 0
