@@ -30,6 +30,14 @@ def test_scan_against_plain(spark):
     assert secrets.report(docs.limit(0)).count() == 0
 
 
+def test_long_logins_in_urls(spark):
+    texts = [f"see https://oauth2accesstoken:{'x' * 300}@host/a", f"ftp://{'u' * 300}:p@h", f"ftp://{'u' * 101}:{'p:' * 5000}@h x://a:b@c", "http://host:80/" + "y" * 300 + "@h", "http://u:" + "y" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [f"url_login:{m.start()}:{m.end()}" for m in re.finditer(r"://[^\s/:@]+:[^\s/@]+@", t)] for i, t in enumerate(texts)}
+    assert [len(want[i]) for i in range(5)] == [1, 1, 2, 0, 0]
+    assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("url_login")] for r in secrets.report(docs).collect()} == want
+
+
 def test_query_equals_its_sql(spark):
     from tickloom.llm.queries import R
 

@@ -24,7 +24,7 @@ class Rule(NamedTuple):
     literal: str
 
 
-RULE_VERSION = 1
+RULE_VERSION = 2
 #: Tasks that share the paths of one blob.
 SALTS = 16
 # The base rules, in the order of their kinds.
@@ -40,9 +40,11 @@ ADDED = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, "eyJ"),
-    Rule("url_login", r"://[^\s/:@]{1,100}:[^\s/@]{1,100}@", 0, 1, "://"),
+    Rule("url_login", r"://[^\s/:@]+:[^\s/@]+@", 0, 1, "://"),
 )
 RULES = BASE + ADDED
+#: Rules of the registered SQL, which is kept as it was given: its user and password have at most 100 characters each.
+SQL_RULES = tuple(r._replace(pattern=r"://[^\s/:@]{1,100}:[^\s/@]{1,100}@") if r.kind == "url_login" else r for r in RULES)
 
 
 def _holds(text: Column, rule: Rule) -> Column:
@@ -140,7 +142,7 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def sql(rules: tuple[Rule, ...] = RULES) -> str:
+def sql(rules: tuple[Rule, ...] = SQL_RULES) -> str:
     """DuckDB SQL of the registered query."""
     parts = []
     for number, rule in enumerate(rules):
