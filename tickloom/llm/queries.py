@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language, licences, linededup, mixing, packing, repetition, secrets, simhash, tokencount, topk
+from tickloom.llm import codes, language, licences, linecrf, linededup, mixing, packing, permuterm, repetition, secrets, simhash, tokencount, topk
 from tickloom.llm.common import table
 from tickloom.plans.registry import Registry
 
@@ -81,3 +81,24 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("op10_simhash_neardup", op10_simhash_neardup)
+
+
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+R.add("op11_quality_classifier", op11_quality_classifier)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"))
+
+
+R.add("op12_spelling_variants", op12_spelling_variants, permuterm.SQL)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+R.add("op13_vector_codes", op13_vector_codes, codes.sql())
