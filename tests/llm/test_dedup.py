@@ -143,7 +143,8 @@ def test_forest_links_what_all_pairs_link(monkeypatch):
     for b in rng.integers(-2**63, 2**63, size=20).tolist():
         for _ in range(30):
             points.add(b)
-            b ^= 1 << int(rng.integers(0, 63))
+            b = (b ^ 1 << int(rng.integers(0, 64))) % 2**64
+            b -= b >> 63 << 64
     points = rng.permutation(np.array(sorted(points), dtype=np.int64))
     monkeypatch.setattr(simhash, "ROWS", 16)
 
@@ -159,7 +160,7 @@ def test_forest_links_what_all_pairs_link(monkeypatch):
             label[max(find(x), find(y))] = min(find(x), find(y))
         return {p: find(p) for p in label}
 
-    true = components([(int(a), int(b)) for a in points for b in points if np.bitwise_count(a ^ b) <= 3])
+    true = components([(int(a), int(b)) for a in points for b in points if ((int(a) ^ int(b)) % 2**64).bit_count() <= 3])
     half = len(points) // 2
     one, two = points[:half], points[half:]
     assert components(simhash.forest(points, None, 3)) == true
@@ -167,6 +168,39 @@ def test_forest_links_what_all_pairs_link(monkeypatch):
     assert len(simhash.forest(points, None, 3)) < len(points)
 
 
+def test_forest_counts_the_top_bit():
+    low = -2**63 + 1
+    assert simhash.forest(np.array([0, low]), None, 3) == simhash.forest(np.array([0]), np.array([low]), 3) == [(0, low)]
+    rng = np.random.default_rng(4)
+    for n in range(1, 4):
+        one = rng.integers(-2**63, 2**63, size=100)
+        two = one.copy()
+        for _ in range(n):
+            two ^= np.left_shift(np.int64(1), rng.integers(0, 64, size=100))
+        linked = {frozenset(p) for p in simhash.forest(one, two, 3)}
+        assert all(a == b or frozenset((a, b)) in linked for a, b in zip(one.tolist(), two.tolist()))
+
+
+#: Two texts whose fingerprints differ in two bits, the top one included.
+def across_the_top_bit():
+    rng = random.Random(11)
+    while True:
+        words = [f"w{rng.randrange(500)}" for _ in range(150)]
+        one = plain_fingerprint(" ".join(words))
+        for at in range(0, 150, 10):
+            other = [*words[:at], f"x{at}", *words[at + 1:]]
+            differ = one ^ plain_fingerprint(" ".join(other))
+            if differ >> 63 and 1 < differ.bit_count() <= 3:
+                return " ".join(words), " ".join(other)
+
+
+def test_texts_across_the_top_bit_are_one_component(spark):
+    one, two = across_the_top_bit()
+    docs = spark.createDataFrame([(4, one), (2, two), (3, "something else altogether here")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {4: 2, 2: 2, 3: 3}
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == [2, 3]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (-5, -5), (300, 301), (300, 302), (301, 302)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -72,6 +72,8 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     """(fingerprint, root) for every fingerprint linked within ``a`` (``b`` None) or between ``a`` and ``b``, roots left out."""
     own = b is None
     other = a if own else b
+    # Counted as unsigned: of a negative number numpy counts the bits of its magnitude.
+    bits, other_bits = a.view(np.uint64), other.view(np.uint64)
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -80,7 +82,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
         return x
 
     for at in range(0, len(a), ROWS):
-        near = np.bitwise_count(a[at:at + ROWS, None] ^ other[None, :]) <= radius
+        near = np.bitwise_count(bits[at:at + ROWS, None] ^ other_bits[None, :]) <= radius
         if own:
             near &= np.arange(len(other))[None, :] > np.arange(at, at + near.shape[0])[:, None]
         rows = np.flatnonzero(near.any(axis=1))
