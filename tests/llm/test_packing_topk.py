@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tickloom.llm import packing, tokens, topk
@@ -108,29 +109,47 @@ def test_packed_table(spark):
 
 
 def plain_top(rows, k=20, every=20):
-    fine = {}
+    fine = []
     for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * float(x))) for x in v]
-            fine[i] = min(fine.get(i, q), q)
+        if v is not None and all(x is not None and np.isfinite(x) for x in v):
+            fine.append((i, [int(np.floor(64 * float(x))) for x in v]))
     out = []
-    for q in (i for i in fine if i % every == 0):
-        score = sorted(((-sum(a * b for a, b in zip(fine[q], fine[c])), c) for c in fine if c != q))[:k]
-        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(score)]
-    return sorted(out)
+    for at, (i, q) in enumerate(fine):
+        if i is not None and i % every == 0:
+            score = sorted((-sum(a * b for a, b in zip(q, v)), c is None, c or 0, n) for n, (c, v) in enumerate(fine) if n != at)[:k]
+            out += [(i, n + 1, None if none else c, -s) for n, (s, none, c, _) in enumerate(score)]
+    return sorted(out, key=str)
 
 
 def test_top_k_against_plain(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 64]) for i in range(150)]
-    rows += [(None, [1.0] * 5), (200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (220, [float("nan")] * 5), (240, [float("inf")] * 5), (260, []), (300, [0.5, -0.25]), (40, rows[40][1]), (60, [-1.0] * 5), (-20, [0.1] * 5)]
+    rows += [(None, [1.0] * 5), (200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (220, [float("nan")] * 5), (240, [float("inf")] * 5), (260, []), (300, [0.5, -0.25]), (40, rows[40][1]), (40, rows[40][1]), (None, rows[40][1]), (60, [-1.0] * 5), (-20, [0.1] * 5)]
     vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     want = plain_top([(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
     for blocks in ({}, {"query_block": 3, "candidate_block": 16}):
-        assert sorted(map(tuple, topk.top_k(vectors, **blocks).collect())) == want
+        assert sorted(map(tuple, topk.top_k(vectors, **blocks).collect()), key=str) == want
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    for factor in (1e5, 1e6, 3e6):
+        rows = [(i, [float(x) * factor for x in rng.normal(size=16)]) for i in range(120)] + [(500 + i, [factor] * 16) for i in range(30)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.top_k(vectors, candidate_block=64).collect()), key=str) == plain_top(rows)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9])], "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_best_takes_earlier_ones_of_equal_scores():
+    scores = np.array([[5, 7, 5, 5, 7, 5, 1], [1, 1, 1, 1, 1, 1, 1]])
+    query, at = topk.best(scores, np.array([1, -1]), 3)
+    assert list(zip(query.tolist(), at.tolist())) == [(0, 0), (0, 2), (0, 4), (1, 0), (1, 1), (1, 2)]
+
+
 def test_sparse_and_dense_terms_add_up():
     rng = np.random.default_rng(3)
     q, c = rng.integers(-9, 9, (20, 12)), rng.integers(-9, 9, (70, 12))

@@ -26,41 +26,50 @@ CANDIDATE_BLOCK = 4096
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, vector (array<long>) of the rows that take part: floor(scale * x) of finite components, x as double.
+    """row, vec_id, vector (array<long>) of the rows that take part: floor(scale * x) of finite components, x as double.
 
-    Null ids, null vectors and vectors holding null or non-finite components take no part. An id given twice counts
-    once, with its smallest vector. Missing components of shorter vectors are zero.
+    Null vectors and vectors holding null or non-finite components take no part. Every other row is a vector of its own
+    (``row``), also where ids repeat or are null. Missing components of shorter vectors are zero. Components whose
+    integer is beyond 64 bits fail the job.
     """
     x = F.col(vector_column).cast("array<double>")
-    fine = F.col(vector_column).isNotNull() & F.col(id_column).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.filter(fine).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    fine = F.col(vector_column).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+    def whole(v):
+        return F.when(F.abs(v * scale) < float(2**63), F.floor(v * scale)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+
+    rows = vectors.filter(fine).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, whole).alias("vector"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def _blocks(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """One row a block: ids (ascending) and the components of its vectors, padded to the longest, as binary."""
+    """One row a block: rows and ids (ascending, nulls last) and the components of its vectors, padded to the longest, as binary."""
 
     def work(group: pa.Table) -> pa.Table:
-        ids = group.column("vec_id").to_numpy()
-        order = np.argsort(ids)
+        known = group.column("vec_id").is_valid().to_numpy()
+        ids, own = group.column("vec_id").fill_null(0).to_numpy(), group.column("row").to_numpy()
+        order = np.lexsort((ids, ~known))
         vectors = [group.column("vector")[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
         width = max(map(len, vectors))
-        held = np.zeros((len(ids), width), dtype=np.int64)
+        held = np.zeros((len(ids), max(width, 1)), dtype=np.int64)
         for r, v in enumerate(vectors):
             held[r, : len(v)] = v
-        small = held.astype(np.int16) if np.abs(held).max(initial=0) < 2**15 else held
-        return pa.table({name: group.column("block").slice(0, 1), f"{name}_ids": [ids[order].tobytes()], f"{name}_rows": [small.tobytes()],
-                         f"{name}_width": pa.array([width], pa.int32()), f"{name}_bytes": pa.array([small.itemsize], pa.int32())})
+        small = held.astype(np.int16) if -(2**15) <= held.min(initial=0) and held.max(initial=0) < 2**15 else held
+        return pa.table({name: group.column("block").slice(0, 1), f"{name}_own": [own[order].tobytes()], f"{name}_ids": [ids[order].tobytes()],
+                         f"{name}_known": pa.array([int(known.sum())], pa.int32()), f"{name}_rows": [small.tobytes()], f"{name}_width": pa.array([max(width, 1)], pa.int32()), f"{name}_bytes": pa.array([small.itemsize], pa.int32())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(work, f"{name} int, {name}_ids binary, {name}_rows binary, {name}_width int, {name}_bytes int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(work, f"{name} int, {name}_own binary, {name}_ids binary, {name}_known int, {name}_rows binary, {name}_width int, {name}_bytes int")
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer scores (query, candidate), one component at a time: the non-zero query rows scatter that component's postings."""
+    """Integer scores (query, candidate), one component at a time: the non-zero query rows scatter that component's postings.
+
+    Sums that might leave 64 bits are taken in Python's integers; a score that does fails the job.
+    """
     width = min(queries.shape[1], candidates.shape[1])
-    reach = width * int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
-    kind = np.int32 if reach < 2**31 else np.int64
+    reach = width * max(map(abs, (int(queries.min(initial=0)), int(queries.max(initial=0))))) * max(map(abs, (int(candidates.min(initial=0)), int(candidates.max(initial=0)))))
+    kind = np.int32 if reach < 2**31 else np.int64 if reach < 2**63 else object
     scores = np.zeros((len(queries), len(candidates)), dtype=kind)
     queries, candidates = queries.astype(kind), candidates.astype(kind)
     room = np.empty(len(candidates), dtype=kind)
@@ -75,30 +84,36 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
                 scores[q] += np.multiply(weights, queries[q, term], out=room)
             else:
                 scores[q, posted] += weights * queries[q, term]
+    if kind is object:
+        if scores.size and max(abs(scores.min()), abs(scores.max())) >= 2**63:
+            raise OverflowError("a score is beyond 64 bits")
+        scores = scores.astype(np.int64)
     return scores
 
 
-def best(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best by score, then smaller id. ``ids`` ascends; the own id is left out."""
-    n = len(ids)
-    # One key for both orders: earlier candidates have the larger rest.
-    key = scores.astype(np.int64) * n + np.arange(n - 1, -1, -1)
-    own = np.searchsorted(ids, query_ids)
-    there = (own < n) & (ids[np.minimum(own, n - 1)] == query_ids)
-    lowest = np.iinfo(np.int64).min
-    key[np.flatnonzero(there), own[there]] = lowest
-    top = np.argpartition(key, n - k, axis=1)[:, n - k:] if n > k else np.tile(np.arange(n), (len(key), 1))
-    rows = np.repeat(np.arange(len(key)), top.shape[1])
-    at = top.ravel()
-    kept = key[rows, at] != lowest
-    rows, at = rows[kept], at[kept]
-    return query_ids[rows], ids[at], scores[rows, at].astype(np.int64)
+def best(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) of each query's k best by score, then earlier candidate. ``own``: the query's own candidate, or -1.
+
+    Selected by score; of those equal to the k-th score the earlier ones are taken.
+    """
+    taking = np.ones(scores.shape, dtype=bool)
+    there = np.flatnonzero(own >= 0)
+    taking[there, own[there]] = False
+    if scores.shape[1] > k + 1:
+        # The own row counts as lowest; with k + 1 others it is never the k-th.
+        ranked = scores.copy()
+        ranked[there, own[there]] = np.iinfo(scores.dtype).min
+        least = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, ranked.shape[1] - k][:, None]
+        above, equal = (ranked > least) & taking, (ranked == least) & taking
+        taking = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1)[:, None]))
+    return np.nonzero(taking)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, **columns: str) -> DataFrame:
-    """query_id, rank, vec_id, score: for every id divisible by ``every`` its k best other rows, ties to the smaller id.
+    """query_id, rank, vec_id, score: for every row whose id is divisible by ``every`` its k best other rows, ties to the smaller id.
 
-    See ``quantised`` for rows that take no part. With fewer candidates than k, all are returned; an empty table gives
+    See ``quantised`` for rows that take no part. Rows with one id are queries and candidates each by itself; null ids
+    are candidates only, and come last among ties. With fewer candidates than k, all are returned; an empty table gives
     no rows.
     """
     rows = stable(quantised(vectors, **columns))
@@ -120,29 +135,33 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, query_block:
                 side = {}
                 for s in ("q", "c"):
                     width, item = (batch.column(f"{s}_{x}")[r].as_py() for x in ("width", "bytes"))
-                    side[s] = (np.frombuffer(batch.column(f"{s}_ids")[r].as_py(), np.int64),
+                    side[s] = (*(np.frombuffer(batch.column(f"{s}_{x}")[r].as_py(), np.int64) for x in ("own", "ids")),
                                np.frombuffer(batch.column(f"{s}_rows")[r].as_py(), np.int16 if item == 2 else np.int64).reshape(-1, width))
-                query, vec, score = best(accumulate(side["q"][1], side["c"][1]), side["q"][0], side["c"][0], k)
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = both.mapInArrow(work, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                (q_rows, q_ids, q_values), (c_rows, c_ids, c_values) = side["q"], side["c"]
+                order = np.argsort(c_rows)
+                spot = order[np.minimum(np.searchsorted(c_rows, q_rows, sorter=order), len(c_rows) - 1)]
+                scores = accumulate(q_values, c_values)
+                query, at = best(scores, np.where(c_rows[spot] == q_rows, spot, -1), k)
+                unknown = at >= batch.column("c_known")[r].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[query]), pa.array(q_ids[query]), pa.array(c_ids[at], mask=unknown), pa.array(scores[query, at].astype(np.int64))],
+                                                 names=["query", "query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(work, "query long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL of the registered query.
 SQL = """
 with valid as (
-  select vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as vector from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0
-), parts as (
-  select vec_id, generate_subscripts(vector, 1) as i, unnest(vector) as v from valid
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as vector from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, cast(sum(q.v * c.v) as bigint) as score
-  from parts q join parts c on q.i = c.i and q.vec_id % 20 = 0 and q.vec_id <> c.vec_id group by all
+  select q.r, q.vec_id as query_id, c.vec_id,
+    cast(coalesce(list_sum(list_transform(list_zip(q.vector, c.vector), lambda z: cast(z[1] as hugeint) * z[2])), 0) as bigint) as score
+  from valid q join valid c on q.vec_id % 20 = 0 and q.r <> c.r
 ), ranked as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as integer) as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
