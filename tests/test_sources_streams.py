@@ -182,7 +182,7 @@ def test_poison_messages_are_quarantined(spark):
     tables = M.route(raw)
     assert sorted(r.quantity for r in tables["trades"].collect()) == [Decimal("1.12345678"), Decimal("1.12345678"), Decimal(100), Decimal(20000000000)]
     assert sorted(r.bids[1].price for r in tables["book_deltas"].collect()) == [Decimal(3), Decimal("20000000000.5")]
-    assert {r.route: (r.messages, r.malformed) for r in M.quarantine(raw).collect()} == {"trades": (7, 3), "book_deltas": (4, 2), "klines": (0, 0), "book_ticker": (0, 0), "unknown": (0, 0)}
+    assert {r.route: (r.messages, r.malformed) for r in M.quarantine(raw).collect()} == {"trades": (7, 3), "book_deltas": (4, 2), "klines": (0, 0), "book_ticker": (0, 0), "book_snapshots": (0, 0), "unknown": (0, 0)}
 
 
 def test_sinks_refuse_nine_decimals(spark):
@@ -200,25 +200,3 @@ def test_large_volumes_resample(spark):
 
     big = [(*minute(i, 1.0)[:-2], Decimal(9_000_000_000), True) for i in range(5)]
     assert C.resample(spark.createDataFrame(big, DDL), "1m", "5m").first().volume == 45_000_000_000
-
-
-def test_compaction_removes_only_what_it_read(spark, monkeypatch):
-    path = scratch_path(spark, "ticks")
-    one = lambda i: spark.createDataFrame([("A", str(i), Decimal(1), Decimal(1), True, 1000 + i)], "symbol string, exchange_trade_id string, price decimal(38,8), quantity decimal(38,8), is_buy boolean, timestamp_ms long")
-    for i in range(3):
-        K.append_ticks("trades", one(i), path)
-    K.append_ticks("trades", one(2), path, "s-7")
-    K.append_ticks("trades", one(3), path, "s-7")
-    move = K.move
-
-    def late_append(session, source, target):
-        K.append_ticks("trades", one(9), path)
-        move(session, source, target)
-
-    monkeypatch.setattr(K, "move", late_append)
-    done = {r.kind: (r.files_before, r.files_after, r.rows, r.rewritten) for r in K.compact_day(spark, path, "A", "1970-01-01").collect()}
-    assert done["trades"] == (4, 1, 4, True)
-    assert sorted(r.exchange_trade_id for r in K.read_ticks(spark, path, "trades").collect()) == ["0", "1", "2", "3", "9"]
-    monkeypatch.undo()
-    again = {r.kind: (r.files_before, r.rewritten) for r in K.compact_day(spark, path, "A", "1970-01-01").collect()}
-    assert again["trades"] == (2, True) and K.read_ticks(spark, path, "trades").count() == 5

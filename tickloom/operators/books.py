@@ -118,6 +118,50 @@ def gaps(sequenced: DataFrame) -> DataFrame:
     return sequenced.filter("status = 'gap'").select("symbol", (F.col("last_uid") + 1).alias("expected"), F.col("first_uid").alias("got"), F.col("ms").alias("at_ms"))
 
 
+def continued(known: DataFrame, snapshots: DataFrame, deltas: DataFrame, layout: str = "blocks") -> DataFrame:
+    """``sequence`` of one more batch of book events, behind what ``known`` says of each symbol (schema ``CONTINUITY``).
+
+    A book in order stands in the batch as an event of its own (``carried``), in id order before what may follow it, so
+    gaps across batches show as those within one. Updates of a book that is broken stay so until a snapshot. ``segment``
+    goes on counting. Snapshots in order whose book was not broken are ``scheduled``.
+    """
+    none = F.array().cast(snapshots.schema["bids"].dataType)
+    shape = ("symbol", "uid", "kind", "first_uid", "ms", "bids", "asks", "carried")
+    events = (
+        snapshots.select("symbol", F.col("last_update_id").alias("uid"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("first_uid"), F.col("captured_at_ms").alias("ms"), "bids", "asks", F.lit(False).alias("carried"))
+        .unionByName(deltas.select("symbol", F.col("final_update_id").alias("uid"), F.lit(1).alias("kind"), F.col("first_update_id").alias("first_uid"), F.col("event_time_ms").alias("ms"), "bids", "asks", F.lit(False).alias("carried")))
+        .unionByName(known.filter("seeded").select("symbol", F.col("last_uid").alias("uid"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("first_uid"), F.col("eff_ms").alias("ms"), none.alias("bids"), none.alias("asks"), F.lit(True).alias("carried")))
+        .select(*shape))
+    before = known.select("symbol", F.col("last_uid").alias("_known_uid"), F.col("segment").alias("_known_segment"), F.col("seeded").alias("_seeded"))
+    seq = sequence(events, layout).join(before, "symbol", "left")
+    counted = F.coalesce(F.col("_known_segment"), F.lit(0)) - F.when(F.col("_seeded"), 1).otherwise(0)
+    # Rows before the carried one are covered by it; those of a broken book wait for a snapshot.
+    status = (F.when(F.col("_seeded") & (F.col("kind") == 1) & (F.col("uid") <= F.col("_known_uid")), "stale")
+              .when(~F.col("_seeded") & (F.col("status") == "unseeded") & (F.col("_known_segment") > 0), "broken").otherwise(F.col("status")))
+    seq = seq.withColumns({"status": status, "_own": F.col("segment")})
+    cut = seq.filter("status = 'gap'").select("symbol", (F.col("_own") + 1).alias("_own"), F.lit(True).alias("_mended")).distinct()
+    goes_on = (F.col("status") == "snapshot") & ~F.col("carried") & F.col("_mended").isNull() & (F.col("_own") > 1)
+    return seq.join(cut, ["symbol", "_own"], "left").withColumns({"scheduled": goes_on, "segment": (F.col("segment") + counted).cast("long")}).drop("_own", "_mended", "_known_uid", "_known_segment", "_seeded")
+
+
+def continuity(known: DataFrame, sequenced: DataFrame) -> DataFrame:
+    """Where each symbol's book stands after the events of ``continued``: what the next batch goes on from."""
+    follows = F.col("status").isin("snapshot", "applied")
+    after = sequenced.groupBy("symbol").agg(
+        F.max(F.when(follows, F.col("uid"))).alias("last_uid"), F.max("segment").alias("segment"),
+        (~F.max_by("status", POS).isin("gap", "broken", "unseeded")).alias("seeded"), F.max("eff_ms").alias("eff_ms"))
+    # A book that only broke in this batch still tells which id it had last.
+    kept = after.join(known.select("symbol", F.col("last_uid").alias("_known")), "symbol", "left").withColumn("last_uid", F.coalesce("last_uid", "_known"))
+    return kept.select(after.columns).unionByName(known.join(after, "symbol", "left_anti").select(after.columns))
+
+
+def desyncs(sequenced: DataFrame) -> DataFrame:
+    """Rows of the desync log: ids missing, and books read again though nothing was missing."""
+    missing = gaps(sequenced).withColumn("kind", F.lit("sequence_gap"))
+    again = sequenced.filter("scheduled").select("symbol", F.lit(None).cast("long").alias("expected"), F.lit(None).cast("long").alias("got"), F.col("ms").alias("at_ms"), F.lit("scheduled_resnapshot").alias("kind"))
+    return missing.unionByName(again)
+
+
 # --- book state -------------------------------------------------------------------------------
 def _updates(sequenced: DataFrame) -> DataFrame:
     """Levels of applied events; an event without levels keeps one empty row."""

@@ -20,7 +20,7 @@ from tickloom.sources import messages as N
 R = Registry()
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Events as combined-stream messages: clicks are trades, views depth updates, purchases tickers,
     sign-ups klines; every error is a trade message cut short."""
     e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("p", F.col("value").cast("decimal(18,2)").cast("string"))
@@ -32,7 +32,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     stream = F.when(kind == "view", "aaausdt@depth@100ms").when(kind == "purchase", "aaausdt@bookTicker").when(kind == "signup", "aaausdt@kline_1m").otherwise("aaausdt@trade")
     payload = F.when(kind == "view", depth).when(kind == "purchase", ticker).when(kind == "signup", kline).when(kind == "error", F.substring(trade, 1, 25)).otherwise(trade)
-    return e.select(stream.alias("stream"), payload.alias("payload"), F.col("ts").alias("received_at"))
+    return e.select(stream.alias("stream"), payload.alias("payload"), F.col("ts").alias("received_at"), *keep)
 
 
 PARSED = "CAST(value AS DOUBLE) AS v, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, epoch_us(ts) // 1000 AS ms"
@@ -94,7 +94,7 @@ def poisoned(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("parse_quarantine", lambda s, d: N.quarantine(poisoned(s, d)),
       """SELECT route, count(*) AS messages, count(*) FILTER (bad) AS malformed FROM (
  SELECT CASE event_type WHEN 'view' THEN 'book_deltas' WHEN 'purchase' THEN 'book_ticker' WHEN 'signup' THEN 'klines' ELSE 'trades' END AS route, event_type = 'error' AS bad FROM events
- UNION ALL SELECT 'trades', event_type IN ('error', 'click') FROM events) GROUP BY 1 UNION ALL SELECT 'unknown', 0, 0""")
+ UNION ALL SELECT 'trades', event_type IN ('error', 'click') FROM events) GROUP BY 1 UNION ALL SELECT 'unknown', 0, 0 UNION ALL SELECT 'book_snapshots', 0, 0""")
 R.add("exact_volumes", lambda s, d: N.route(poisoned(s, d))["trades"].groupBy("is_buy").agg(F.count(F.lit(1)).alias("trades"), F.sum("quantity").cast("string").alias("volume")),
       """SELECT is_buy, count(*) AS trades, CAST(CAST(sum(q) AS DECIMAL(38,8)) AS VARCHAR) AS volume FROM (
  SELECT user_id % 2 <> 0 AS is_buy, CAST(json_extract_string(props, '$.k') AS DECIMAL(38,8)) AS q FROM events WHERE event_type = 'click'
@@ -115,51 +115,79 @@ R.add("sink_candles", lambda s, d: candle_trip(s, d).groupBy("instrument", "time
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> str:
-    """The feed in a tick lake, trades written in two appends."""
+    """The feed in a tick lake, in two commits: events of even numbers, then the others."""
     path = scratch_path(spark, "ticks")
-    t = BQ.trades(spark, sf_dir).select("symbol", F.col("trade_id").cast("string").alias("exchange_trade_id"), F.col("quantity").alias("price"), "quantity", "is_buy", "timestamp_ms")
-    K.append_ticks("trades", t.filter("is_buy"), path)
-    K.append_ticks("trades", t.filter("NOT is_buy"), path)
-    K.append_ticks("book_deltas", B.flatten_levels(BQ.deltas(spark, sf_dir), ["symbol", "first_update_id", "final_update_id", "event_time_ms"]), path)
-    q = BQ.feed(spark, sf_dir)
     one = F.lit(1).cast("decimal(38,8)")
-    K.append_ticks("book_ticker", q.select("symbol", F.col("event_id").alias("update_id"), *[one.alias(c) for c in ("bid_price", "bid_qty", "ask_price", "ask_qty")], F.col("ms").alias("timestamp_ms")), path)
-    K.append_ticks("book_snapshots", B.flatten_levels(BQ.snapshots(spark, sf_dir), ["symbol", "last_update_id", "captured_at_ms"]), path)
+    for rest in range(2):
+        def part(df: DataFrame, uid: str, rest: int = rest) -> DataFrame:
+            return df.filter(F.col(uid) % 2 == rest)
+
+        K.append_all({
+            "trades": part(BQ.trades(spark, sf_dir), "trade_id").select("symbol", F.col("trade_id").cast("string").alias("exchange_trade_id"), F.col("quantity").alias("price"), "quantity", "is_buy", "timestamp_ms"),
+            "book_deltas": B.flatten_levels(part(BQ.deltas(spark, sf_dir), "final_update_id"), ["symbol", "first_update_id", "final_update_id", "event_time_ms"]),
+            "book_ticker": part(BQ.feed(spark, sf_dir), "event_id").select("symbol", F.col("event_id").alias("update_id"), *[one.alias(c) for c in ("bid_price", "bid_qty", "ask_price", "ask_qty")], F.col("ms").alias("timestamp_ms")),
+            "book_snapshots": B.flatten_levels(part(BQ.snapshots(spark, sf_dir), "last_update_id"), ["symbol", "last_update_id", "captured_at_ms"])}, path)
     return path
 
 
-DAYS = "SELECT '{}' AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {} AS rows FROM events {} GROUP BY ALL"
+def busiest_day(spark: SparkSession, sf_dir: str) -> str:
+    """The day with the most events (ties: the first), to compact."""
+    days = load(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).count()
+    return str(days.orderBy(F.desc("count"), "day").first().day)
 
 
-def tick_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ticks(spark, sf_dir)
-    parts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_ticker", "book_deltas", "book_snapshots")]
+BUSIEST = "(SELECT CAST(ts AS DATE) FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def digested(spark: SparkSession, path: str) -> DataFrame:
+    """Every kind by day: how many rows, and sums over all their columns."""
+    parts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind"), F.col("date").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(ids).cast("long").alias("ids"), F.sum(clock).cast("long").alias("times"), r6(F.sum("quantity" if kind != "book_ticker" else "ask_qty"), "sizes"))
+        for kind, ids, clock in (("trades", F.col("exchange_trade_id").cast("long"), "timestamp_ms"), ("book_ticker", F.col("update_id"), "timestamp_ms"),
+                                 ("book_deltas", F.col("final_update_id"), "event_time_ms"), ("book_snapshots", F.col("last_update_id"), "captured_at_ms"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-R.add("sink_tick_lake", tick_trip, " UNION ALL ".join((DAYS.format("trades", "count(*)", ""), DAYS.format("book_ticker", "count(*)", ""), DAYS.format("book_deltas", "count(*)", "WHERE event_type <> 'signup'"), DAYS.format("book_snapshots", "count(*) * 10", "WHERE event_type = 'signup'"))))
+def tick_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(spark, ticks(spark, sf_dir))
+
+
+DIGEST_SQL = """WITH e AS (SELECT event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, epoch_us(ts) // 1000 AS ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ r AS (SELECT 'trades' AS kind, day, event_id, ms, k + 1 AS q FROM e UNION ALL SELECT 'book_ticker', day, event_id, ms, 1 FROM e
+  UNION ALL SELECT 'book_deltas', day, event_id, ms, CASE WHEN k >= 10 THEN k ELSE 0 END FROM e WHERE event_type <> 'signup'
+  UNION ALL SELECT 'book_snapshots', day, event_id, ms, k + i FROM e CROSS JOIN range(1, 6) x(i) CROSS JOIN range(2) y(s) WHERE event_type = 'signup')
+ SELECT kind, day, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(ms) AS BIGINT) AS times, CAST(sum(q) AS DOUBLE) AS sizes FROM r GROUP BY ALL"""
+R.add("sink_tick_lake", tick_trip, DIGEST_SQL)
 R.add("scan_tick_day", lambda s, d: K.in_day_order("trades", K.read_ticks(s, ticks(s, d), "trades", "ALL", "2024-01-10")).select("exchange_trade_id", "timestamp_ms", r6("quantity")),
       "SELECT CAST(event_id AS VARCHAR) AS exchange_trade_id, epoch_us(ts) // 1000 AS timestamp_ms, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS quantity FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'")
 
 
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = ticks(spark, sf_dir)
-    first = K.compact_day(spark, path, "ALL", "2024-01-10").filter("kind = 'trades'")
-    again = K.compact_day(spark, path, "ALL", "2024-01-10").filter("kind = 'trades'")
-    return first.withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2))).select("pass", "rows", "files_after", "rewritten")
+    """The busiest day compacted twice: what each pass found and left."""
+    path, day = ticks(spark, sf_dir), busiest_day(spark, sf_dir)
+    first = K.compact_day(spark, path, "ALL", day)
+    again = K.compact_day(spark, path, "ALL", day)
+    return first.withColumn("pass", F.lit(1)).unionByName(again.withColumn("pass", F.lit(2))).select("pass", "kind", "rows", "files_after", "rewritten")
 
 
 R.add("compact_day", compacted,
-      "SELECT p AS pass, (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10') AS rows, 1::BIGINT AS files_after, p = 1 AS rewritten FROM (VALUES (1), (2)) x(p)")
+      f"""SELECT p AS pass, kind, count(*) AS rows, 1::BIGINT AS files_after, p = 1 AS rewritten FROM events CROSS JOIN (VALUES (1), (2)) x(p)
+ CROSS JOIN (VALUES ('trades', 1), ('book_ticker', 1), ('book_deltas', 1), ('book_snapshots', 10)) y(kind, n), range(10) z(i)
+ WHERE CAST(ts AS DATE) = {BUSIEST} AND i < n AND ((kind IN ('trades', 'book_ticker')) OR (kind = 'book_deltas') = (event_type <> 'signup')) GROUP BY ALL""")
 
 
 def precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole lake after a day was compacted and its last batch came again."""
     path = ticks(spark, sf_dir)
-    K.compact_day(spark, path, "ALL", "2024-01-10")
-    return K.read_ticks(spark, path, "trades").groupBy(F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    last = BQ.trades(spark, sf_dir).select("symbol", F.col("trade_id").cast("string").alias("exchange_trade_id"), F.col("quantity").alias("price"), "quantity", "is_buy", "timestamp_ms")
+    own = scratch_path(spark, "ticks")
+    for _ in range(2):
+        K.append_ticks("trades", last, own, "s-0")
+        K.compact_day(spark, own, "ALL", busiest_day(spark, sf_dir))
+    return digested(spark, path).filter("kind <> 'trades'").unionByName(digested(spark, own))
 
 
-R.add("compacted_precedence", precedence, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows FROM events GROUP BY 1")
+R.add("compacted_precedence", precedence, DIGEST_SQL)
 
 
 def grid_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +234,8 @@ def report_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "reports")
     reports = trade_reports(spark, sf_dir).select(*W.RUN, "total_trades", "net_pnl")
     K.write_reports(reports, path)
-    K.write_json(reports.limit(1).select("net_pnl"), f"{path}/symbol=none/timeframe=none/strategy_id=none/window=none")
+    # A diagnosis of all runs beside them, which readers leave out by its folder.
+    K.write_json(reports.agg(F.sum("net_pnl").alias("net_pnl")), f"{path}/symbol=none/timeframe=none/strategy_id=none/window=none")
     return K.read_reports(spark, path, reports.schema).filter("symbol <> 'none'").select("symbol", "window", "strategy_id", "total_trades", r6("net_pnl"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import ledger as L
@@ -14,7 +15,7 @@ from tickloom.plans import candle_queries as CQ
 from tickloom.plans.adapters import TAPE_SQL, bars, bars_sql, load, r6, tape, tape_layout, us
 from tickloom.plans.ledger_queries import SIGNALS_SQL, units
 from tickloom.plans.registry import Registry
-from tickloom.plans.source_queries import raw
+from tickloom.plans.source_queries import busiest_day, raw
 from tickloom.session import scratch_path
 from tickloom.sources import lake as K
 from tickloom.streaming import jobs as J
@@ -22,15 +23,28 @@ from tickloom.streaming import jobs as J
 R = Registry()
 
 
-def landed(df: DataFrame, name: str, *later: DataFrame) -> DataFrame:
-    """A table written out and read again as a stream; with ``later`` tables, one batch each, in their order."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path) if not later else None
-    for part in (df, *later) if later else ():
-        # One file a part, so that a batch is a part.
-        part.coalesce(1).write.mode("append").parquet(path)
-    reader = df.sparkSession.readStream.schema(df.schema)
-    return (reader.option("maxFilesPerTrigger", 1) if later else reader).parquet(path)
+class Feed:
+    """A table that lands in parts, each written in parallel, and is read as a stream; a part is a micro-batch."""
+
+    def __init__(self, name: str, *parts: DataFrame) -> None:
+        self.spark, self.parts, self.path = parts[0].sparkSession, parts, scratch_path(parts[0].sparkSession, name)
+        self.land(0)
+        self.stream = self.spark.readStream.schema(parts[0].schema).parquet(self.path)
+
+    def land(self, part: int) -> None:
+        self.parts[part].write.mode("append").parquet(self.path)
+
+    def played(self, stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]] = J.table_sink) -> str:
+        """What the sink wrote once every part has come: the query stops after each and goes on where it stood."""
+        path, progress = scratch_path(self.spark, "sink"), scratch_path(self.spark, "progress")
+        for part in range(len(self.parts)):
+            if part:
+                self.land(part)
+            J.start(stream, sink(path), progress).awaitTermination()
+        return path
+
+    def result(self, stream: DataFrame) -> DataFrame:
+        return self.spark.read.schema(stream.schema).parquet(self.played(stream))
 
 
 def halves(df: DataFrame, clock: str) -> tuple[DataFrame, DataFrame]:
@@ -40,37 +54,21 @@ def halves(df: DataFrame, clock: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(early), df.filter(~early)
 
 
-def played(stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]] = J.table_sink) -> str:
-    spark = stream.sparkSession
-    path = scratch_path(spark, "sink")
-    query = J.start(stream, sink(path), scratch_path(spark, "progress"))
-    query.awaitTermination()
-    return path
-
-
-def result(stream: DataFrame) -> DataFrame:
-    path = played(stream)
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
-def twice(df: DataFrame) -> DataFrame:
-    return df.unionByName(df)
-
-
 KLINES = "SELECT 'AAAUSDT' AS instrument, ms * 1000 AS open_time_us, round(v, 6) AS close FROM (SELECT *, CAST(value AS DOUBLE) AS v, epoch_us(ts) // 1000 AS ms FROM events) WHERE event_type = 'signup'"
 
 
 def two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kline feed, and the same a second time as five-minute bars."""
     one = raw(spark, sf_dir)
-    five = one.withColumn("payload", F.regexp_replace("payload", '"i":"1m"', '"i":"5m"'))
-    return result(J.candle_union([J.candle_stream(landed(one, "raw")), J.candle_stream(landed(five, "raw"))]))
+    feeds = [Feed("raw", one), Feed("raw", one.withColumn("payload", F.regexp_replace("payload", '"i":"1m"', '"i":"5m"')))]
+    return feeds[0].result(J.candle_union([J.candle_stream(f.stream) for f in feeds]))
 
 
 def repeated_and_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of the bars first, then all of them: every bar of the first half is two weeks late."""
     b = bars(spark, sf_dir, "1h")
-    return result(J.closed_once(landed(halves(b, "open_time")[1], "bars", b)))
+    feed = Feed("bars", halves(b, "open_time")[1], b)
+    return feed.result(J.closed_once(feed.stream))
 
 
 R.add("stream_candles", lambda s, d: two_feeds(s, d).select("instrument", "timeframe", us("open_time"), r6("close")), f"SELECT instrument, timeframe, open_time_us, close FROM ({KLINES}) CROSS JOIN (VALUES ('1m'), ('5m')) t(timeframe)")
@@ -81,7 +79,8 @@ def late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth tick of the second half comes after all others; an hour is allowed."""
     t = tape(spark, sf_dir)
     early, rest = halves(t, "ts")
-    path = played(landed(early, "ticks", rest.filter("trade_id % 10 <> 0"), rest.filter("trade_id % 10 = 0")), lambda p: J.late_sink(p, "ts", 3600))
+    feed = Feed("ticks", early, rest.filter("trade_id % 10 <> 0"), rest.filter("trade_id % 10 = 0"))
+    path = feed.played(feed.stream, lambda p: J.late_sink(p, "ts", 3600))
     return spark.read.parquet(f"{path}/rows").select("instrument", F.lit(False).alias("late")).unionByName(spark.read.parquet(f"{path}/late").select("instrument", F.lit(True).alias("late")))
 
 
@@ -94,7 +93,8 @@ R.add("late_data", lambda s, d: late_ticks(s, d).groupBy("instrument", "late").a
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, order = ["instrument"], ["close_time"]
     early, rest = halves(bars(spark, sf_dir, "1h").select("instrument", "close_time", "close"), "close_time")
-    path = played(landed(rest, "bars", early), lambda p: J.keyed_sink(p, keys, order))
+    feed = Feed("bars", rest, early)
+    path = feed.played(feed.stream, lambda p: J.keyed_sink(p, keys, order))
     return J.read_keyed(spark, path).select("instrument", us("close_time"), r6("close"))
 
 
@@ -117,22 +117,38 @@ def per_robot(df: DataFrame) -> DataFrame:
     return df.groupBy("robot_id").agg(F.count(F.lit(1)).alias("bars"), F.max(F.unix_micros("close_time")).alias("latest_us"))
 
 
-R.add("stream_route", lambda s, d: per_robot(result(J.route_to_robots(landed(bars(s, d, "1h"), "bars"), robots(s, d)))), ROUTED_SQL)
-R.add("stream_hot_reload", lambda s, d: per_robot(s.read.parquet(played(landed(bars(s, d, "1h"), "bars"), lambda p: J.routed_sink(p, lambda: robots(s, d))))), ROUTED_SQL)
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = Feed("bars", bars(spark, sf_dir, "1h"))
+    return per_robot(feed.result(J.route_to_robots(feed.stream, robots(spark, sf_dir))))
+
+
+def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = Feed("bars", bars(spark, sf_dir, "1h"))
+    return per_robot(spark.read.parquet(feed.played(feed.stream, lambda p: J.routed_sink(p, lambda: robots(spark, sf_dir)))))
+
+
+R.add("stream_route", routed, ROUTED_SQL)
+R.add("stream_hot_reload", reloaded, ROUTED_SQL)
 SHOWN = ("sma", "zscore", "percent_b", "reg_r2", "rsi", "atr")
-R.add("stream_features", lambda s, d: result(J.feature_stream(landed(*(lambda h: (h[0], "bars", h[1]))(halves(bars(s, d, "1h"), "open_time"))))).select("instrument", us("close_time"), *[r6(c) for c in SHOWN]), CQ.R.sql["feature_snapshot"])
-HALF = "timestamp'2024-01-16'"
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = Feed("bars", *halves(bars(spark, sf_dir, "1h"), "open_time"))
+    return feed.result(J.feature_stream(feed.stream)).select("instrument", us("close_time"), *[r6(c) for c in SHOWN])
+
+
+R.add("stream_features", featured, CQ.R.sql["feature_snapshot"])
 
 
 def warmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second half of the month, live, on state warmed up with the fifty bars before it."""
-    b = bars(spark, sf_dir, "1h")
-    live = J.feature_stream(landed(b.filter(f"open_time >= {HALF}"), "bars"), history=b.filter(f"open_time < {HALF}"))
-    return result(live).select("instrument", us("close_time"), r6("sma"), r6("zscore"))
+    """The second half of the table's time, live, on state warmed up with the fifty bars before it."""
+    early, rest = halves(bars(spark, sf_dir, "1h"), "open_time")
+    feed = Feed("bars", rest)
+    return feed.result(J.feature_stream(feed.stream, history=early)).select("instrument", us("close_time"), r6("sma"), r6("zscore"))
 
 
 R.add("stream_warmup", warmed,
-      f"WITH {bars_sql('1h')}, f AS (SELECT *, {CQ.gated(CQ.M, 20)} AS sma, {CQ.Z} AS z FROM bars) SELECT instrument, close_s * 1000000 AS close_time_us, round(sma, 6) AS sma, round(z, 6) AS zscore FROM f WHERE open_s >= 1705363200")
+      f"WITH {bars_sql('1h')}, f AS (SELECT *, {CQ.gated(CQ.M, 20)} AS sma, {CQ.Z} AS z FROM bars) SELECT instrument, close_s * 1000000 AS close_time_us, round(sma, 6) AS sma, round(z, 6) AS zscore FROM f WHERE open_s * 1000000 >= (SELECT (min(open_s) * 1000000 + max(open_s) * 1000000) // 2 FROM bars)")
 
 
 def tumbled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +156,8 @@ def tumbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tape(spark, sf_dir)
     early, rest = halves(t, "ts")
     end = t.agg((F.max("ts") + F.make_dt_interval(days=F.lit(2))).alias("ts")).withColumns({c: F.lit("end" if c == "instrument" else None).cast(t.schema[c].dataType) for c in t.columns if c != "ts"}).select(*t.columns)
-    return result(J.tumbling_candles(landed(early, "tape", rest, end), 3600))
+    feed = Feed("tape", early, rest, end)
+    return feed.result(J.tumbling_candles(feed.stream, 3600))
 
 
 R.add("windows", lambda s, d: tumbled(s, d).select("instrument", us("open_time"), r6("open"), r6("high"), r6("low"), r6("close"), r6("volume")),
@@ -153,7 +170,8 @@ def robot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = L.ledger_rows(b, S.momentum(b, layout=tape_layout(spark, sf_dir)), units(b.select("instrument").distinct())).withColumn("robot_id", F.concat(F.lit("r-"), "instrument"))
     rows = rows.withColumn("strategy_id", F.concat("strategy_id", F.lit("@"), "instrument"))
     disabled = spark.createDataFrame([("momentum@error",)], "strategy_id string")
-    return result(J.order_stream(landed(rows, "steps"), disabled)).groupBy("robot_id", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("order_value"), "order_value"))
+    feed = Feed("steps", rows)
+    return feed.result(J.order_stream(feed.stream, disabled)).groupBy("robot_id", "entry").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("order_value"), "order_value"))
 
 
 R.add("stream_robot_step", robot_orders,
@@ -161,18 +179,52 @@ R.add("stream_robot_step", robot_orders,
  SELECT 'r-' || instrument AS robot_id, entry, count(*) AS n, sum((1000000000 // c) * c) / 1000000.0::DOUBLE AS order_value FROM sized GROUP BY ALL""")
 
 
+def book_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of one book, whose update ids are their numbers: sign-ups are snapshots of a level a side,
+    errors were lost on the way, all others change a level. Clicks are also trades, purchases tickers."""
+    e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("string"))
+    uid, at = F.col("event_id"), F.col("ts").alias("received_at")
+    sides = (F.array(F.array(F.lit("99.5"), "k")), F.array(F.array(F.lit("100.5"), "k")))
+    snapshot = F.to_json(F.struct(uid.alias("lastUpdateId"), sides[0].alias("bids"), sides[1].alias("asks")))
+    depth = F.to_json(F.struct(F.lit("AAAUSDT").alias("s"), uid.alias("U"), uid.alias("u"), sides[0].alias("b"), F.array().cast("array<array<string>>").alias("a")))
+    books = e.filter("event_type <> 'error'").select(
+        F.when(F.col("event_type") == "signup", "aaausdt@snapshot").otherwise("aaausdt@depth@100ms").alias("stream"), F.when(F.col("event_type") == "signup", snapshot).otherwise(depth).alias("payload"), at, uid)
+    both = raw(spark, sf_dir, "event_id").filter(F.col("stream").endswith("@trade") | F.col("stream").endswith("@bookTicker"))
+    return books.unionByName(both)
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early, rest = halves(raw(spark, sf_dir), "received_at")
-    path = played(landed(early, "raw", rest), J.tick_sink)
-    # A day of the streamed lake is compacted between the stream and the reading.
-    day = K.read_ticks(spark, path, "trades").agg(F.min("date").cast("string")).first()[0]
-    K.compact_day(spark, path, "AAAUSDT", day)
-    counts = [K.read_ticks(spark, path, kind).groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("rows")) for kind in ("trades", "book_ticker", "book_deltas")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Three parts of the messages by their numbers into a tick lake, whose busiest day is compacted before it is read:
+    counts and sums of all four kinds, and the log of gaps and of books read again."""
+    m = book_messages(spark, sf_dir)
+    ends = m.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.floor((F.col("event_id") - (ends[0] or 0)) * 3 / ((ends[1] or 0) - (ends[0] or 0) + 1))
+    feed = Feed("raw", *[m.filter(third == n).drop("event_id") for n in range(3)])
+    path = feed.played(feed.stream, J.tick_sink)
+    K.compact_day(spark, path, "AAAUSDT", busiest_day(spark, sf_dir))
+
+    def summed(kind: str, ids: str, what: Column) -> DataFrame:
+        rows = K.read_ticks(spark, path, kind)
+        return rows.groupBy(F.lit(kind).alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(ids).cast("long")).cast("long").alias("ids"), r6(F.sum(what), "amounts"))
+
+    parts = [summed("trades", "exchange_trade_id", F.col("price") * F.col("quantity")), summed("book_ticker", "update_id", F.col("bid_price") + F.col("ask_price")),
+             summed("book_deltas", "final_update_id", F.col("quantity")), summed("book_snapshots", "last_update_id", F.col("price") * F.col("quantity"))]
+    log = K.read_ticks(spark, path, "desync").select("kind", F.lit(1).cast("long").alias("rows"), F.coalesce("got", "at_ms").alias("ids"), r6(F.col("expected"), "amounts"))
+    return reduce(DataFrame.unionByName, [*parts, log])
 
 
 R.add("stream_tick_ingest", ingested,
-      "SELECT CASE event_type WHEN 'click' THEN 'trades' WHEN 'purchase' THEN 'book_ticker' ELSE 'book_deltas' END AS kind, count(*) AS rows FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1")
+      """WITH e AS (SELECT event_id AS uid, event_type, epoch_us(ts) // 1000 AS ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+ b AS (SELECT *, event_type = 'signup' AS snap, lag(uid) OVER (ORDER BY uid) AS prev FROM e WHERE event_type <> 'error'),
+ s AS (SELECT *, count(*) FILTER (snap) OVER (ORDER BY uid) AS seg, NOT snap AND uid > prev + 1 AS miss FROM b),
+ gaps AS (SELECT seg, min(uid) AS uid, min(prev) AS prev FROM s WHERE miss AND seg > 0 GROUP BY seg),
+ log AS (SELECT 'sequence_gap' AS kind, 1::BIGINT AS rows, uid AS ids, (prev + 1)::DOUBLE AS amounts FROM gaps
+  UNION ALL SELECT 'scheduled_resnapshot', 1, ms, NULL FROM s WHERE snap AND seg > 1 AND seg - 1 NOT IN (SELECT seg FROM gaps))
+ SELECT 'trades' AS kind, count(*) AS rows, CAST(sum(uid) AS BIGINT) AS ids, CAST(sum(v * k) AS DOUBLE) AS amounts FROM e WHERE event_type = 'click'
+ UNION ALL SELECT 'book_ticker', count(*), CAST(sum(uid) AS BIGINT), CAST(sum(2 * v + 1) AS DOUBLE) FROM e WHERE event_type = 'purchase'
+ UNION ALL SELECT 'book_deltas', count(*), CAST(sum(uid) AS BIGINT), CAST(sum(k) AS DOUBLE) FROM b WHERE NOT snap
+ UNION ALL SELECT 'book_snapshots', 2 * count(*), CAST(2 * sum(uid) AS BIGINT), CAST(sum(200 * k) AS DOUBLE) FROM b WHERE snap
+ UNION ALL SELECT * FROM log""")
 
 
 def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +239,9 @@ def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-R.add("stream_book_features", lambda s, d: result(J.book_stream(landed(book_events(s, d), "book"), BQ.WINDOW)).filter("status = 'applied'").select("uid", "timestamp_ms", *[r6(n) for n in BQ.NAMES]), BQ.R.sql["micro_series"])
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = Feed("book", book_events(spark, sf_dir))
+    return feed.result(J.book_stream(feed.stream, BQ.WINDOW)).filter("status = 'applied'").select("uid", "timestamp_ms", *[r6(n) for n in BQ.NAMES])
+
+
+R.add("stream_book_features", quoted, BQ.R.sql["micro_series"])

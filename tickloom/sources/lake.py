@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
 from tickloom import schemas as S
+from tickloom.schemas import TICK_KINDS
+from tickloom.sources import commits
 from tickloom.sources.messages import fits_scale
 
+#: Kinds of rows in a lake: ticks, and what the ingest knows of them.
+KINDS = {**TICK_KINDS, "desync": S.DESYNC_ROWS, "continuity": S.CONTINUITY}
 FILES_PER_DAY = 4
 FILE_BYTES = 512 * 1024 * 1024
 # The order rows of a kind are read in.
@@ -48,14 +52,6 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.mkdirs(path(target).getParent())
-    if not system.rename(path(source), path(target)):
-        raise OSError(f"cannot move {source} to {target}")
-
-
 def exact(df: DataFrame, column: str) -> Column:
     """The column at rest scale; a value of more than eight decimals is refused, not rounded."""
     kind = df.schema[column].dataType
@@ -88,28 +84,54 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
 # --- ticks ------------------------------------------------------------------------------------
 def tick_rows(kind: str, rows: DataFrame) -> DataFrame:
     """Rows of a kind in stored form, dated by their event time."""
-    schema = S.TICK_KINDS[kind]
+    schema = KINDS[kind]
     clock = next(f.name for f in schema.fields if f.name.endswith("_ms"))
     dated = rows.withColumn("date", F.to_date(F.timestamp_millis(clock)))
     return dated.select(*[exact(dated, f.name) if f.dataType == S.AT_REST else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def append_ticks(kind: str, rows: DataFrame, path: str, batch: str | None = None) -> None:
-    """Add rows as one batch folder of each symbol and day. A batch written again under its name replaces itself.
+def _write_batch(rows: DataFrame, path: str, kind: str, batch: str) -> list[dict]:
+    """Rows of a kind in stored form as the folders of a new batch, not yet part of the table."""
+    rows.write.partitionBy("symbol", "date").parquet(f"{path}/{kind}/batch={batch}")
+    return commits.written(rows.sparkSession, path, kind, batch)
+
 
-    Rows are dealt by symbol, day and a bounded salt first: a few files a day, and no task with a whole hot symbol.
+def append_all(tables: Mapping[str, DataFrame], path: str, batch: str | None = None, replace: Sequence[str] = ()) -> int | None:
+    """Add rows of several kinds in one commit; its version, or None if the batch is in the table already.
+
+    ``batch``, ``<stream>-<number>``, names a batch of a stream, whose numbers rise: one that comes again, as after a
+    crash, adds nothing, also if its rows were compacted meanwhile. Rows are dealt by symbol, day and a bounded salt
+    first: a few files a day, and no task with a whole hot symbol. Of kinds in ``replace`` the rows before go.
     """
-    stored = tick_rows(kind, rows).withColumn("batch", F.lit(batch or f"a-{uuid.uuid4().hex}"))
-    dealt = stored.repartition("symbol", "date", F.pmod(F.xxhash64(*S.TICK_KINDS[kind].names), F.lit(FILES_PER_DAY)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date", "batch").parquet(f"{path}/{kind}")
+    spark = next(iter(tables.values())).sparkSession
+    app, number = batch.rsplit("-", 1) if batch else (None, None)
+    if app is not None and commits.applied(spark, path, app) >= int(number):
+        return None
+    name = f"w-{uuid.uuid4().hex}"
+    adds = []
+    for kind, rows in tables.items():
+        stored = tick_rows(kind, rows)
+        salt = F.pmod(F.xxhash64(*KINDS[kind].names), F.lit(FILES_PER_DAY))
+        adds += _write_batch(stored.repartition("symbol", "date", salt), path, kind, name)
+    removes = [r.asDict() for r in commits.folders(spark, path).filter(F.col("kind").isin(list(replace))).collect()] if replace else []
+    return commits.commit(spark, path, adds, removes, app, None if number is None else int(number))
+
 
+def append_ticks(kind: str, rows: DataFrame, path: str, batch: str | None = None) -> int | None:
+    """``append_all`` of one kind."""
+    return append_all({kind: rows}, path, batch)
 
-def read_ticks(spark: SparkSession, path: str, kind: str, symbol: str | None = None, date: str | None = None, *, with_files: bool = False) -> DataFrame:
-    """Pruned scan; no order is imposed, downstream operators sort by what they need."""
-    rows = scan(spark, f"{path}/{kind}", S.TICK_KINDS[kind])
-    rows = rows.select(*S.TICK_KINDS[kind].names, *(["_metadata"] if with_files else []))
-    rows = rows if symbol is None else rows.filter(F.col("symbol") == symbol)
-    return rows if date is None else rows.filter(F.col("date") == F.lit(date).cast("date"))
+
+def read_ticks(spark: SparkSession, path: str, kind: str, symbol: str | None = None, date: str | None = None, *, version: int | None = None) -> DataFrame:
+    """The rows that the newest commit (or ``version``) says; symbol and date choose folders in the log, before anything is listed.
+
+    No order is imposed, downstream operators sort by what they need.
+    """
+    live = commits.folders(spark, path, version).filter(F.col("kind") == kind)
+    live = live if symbol is None else live.filter(F.col("symbol") == symbol)
+    live = live if date is None else live.filter(F.col("date") == str(date))
+    # As many names as the reader's own list of folders has.
+    return read_folders(spark, path, kind, live.select("folder").collect())
 
 
 def in_day_order(kind: str, rows: DataFrame) -> DataFrame:
@@ -120,36 +142,46 @@ def in_day_order(kind: str, rows: DataFrame) -> DataFrame:
 def compact_day(spark: SparkSession, path: str, symbol: str, date: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Rewrite one symbol's day into as few files as its size allows; one row per kind.
 
-    The new batch is staged beside the table; then exactly the batch folders that were read go and the staged one is
-    moved in, so what others append meanwhile stays. A day that is compact already is left alone. A reader should not
-    read the day between the two steps.
+    The new files are written beside the old ones and one commit changes between them, for all kinds at once: readers
+    see the day before or after it, a job that is lost leaves the day as it was, and what others append meanwhile stays.
+    If another job has compacted the day meanwhile, its commit holds and this one says ``rewritten`` false. A day that
+    is compact already is left alone. Old files go in ``commits.vacuum``.
     """
-    summary = []
-    for kind in S.TICK_KINDS:
-        if not exists(spark, f"{path}/{kind}"):
-            summary.append((kind, 0, 0, 0, False))
-            continue
-        day = read_ticks(spark, path, kind, symbol, date, with_files=True)
-        files = day.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n")).collect()  # the files of one symbol's day
-        before, size, count = len(files), sum(f.file_size for f in files), sum(f.n for f in files)
-        wanted = max(1, -(-size // file_bytes))
+    day = commits.folders(spark, path).filter((F.col("symbol") == symbol) & (F.col("date") == str(date))).collect()  # the batches of one symbol's day
+    summary, adds, removes = [], [], []
+    batch = f"c-{uuid.uuid4().hex}"
+    for kind in TICK_KINDS:
+        own = [r for r in day if r.kind == kind]
+        before = sum(r.files for r in own)
+        wanted = max(1, -(-sum(r.bytes for r in own) // file_bytes))
+        rows = read_folders(spark, path, kind, own)
         if before <= wanted:
-            summary.append((kind, before, before, count, False))
+            summary.append((kind, before, before, rows.count(), False))
             continue
-        batch = f"c-{uuid.uuid4().hex}"
-        staged = f"{path.rstrip('/')}/_staged/{kind}-{batch}"
         order = [F.col(c).desc() if c == "is_bid" else F.col(c) for c in DAY_ORDER[kind]]
-        rows = spark.read.schema(S.TICK_KINDS[kind]).option("basePath", f"{path}/{kind}").parquet(*[f.file_path for f in files]).select(*S.TICK_KINDS[kind].names)
         spread = rows.coalesce(1) if wanted == 1 else rows.repartitionByRange(wanted, *order)
-        spread.sortWithinPartitions(*order).drop("symbol", "date").write.parquet(staged)
-        home = files[0].file_path.rsplit("/", 2)[0]
-        for folder in {f.file_path.rsplit("/", 1)[0] for f in files}:
-            remove(spark, folder)
-        move(spark, staged, f"{home}/batch={batch}")
-        summary.append((kind, before, wanted, count, True))
+        adds += _write_batch(spread.sortWithinPartitions(*order), path, kind, batch)
+        removes += [r.asDict() for r in own]
+        new = [Row(**a) for a in adds if a["kind"] == kind]
+        count, kept = rows.count(), read_folders(spark, path, kind, new).count()
+        if kept != count:
+            raise OSError(f"{kind} of {symbol}, {date}: {kept} of {count} rows written")
+        summary.append((kind, before, sum(r.files for r in new), count, True))
+    if removes:
+        try:
+            commits.commit(spark, path, adds, removes)
+        except commits.Conflict:
+            summary = [(kind, before, before, count, False) for kind, before, _, count, _ in summary]
     return spark.createDataFrame(summary, "kind string, files_before long, files_after long, rows long, rewritten boolean")
 
 
+def read_folders(spark: SparkSession, path: str, kind: str, own: Sequence[Row]) -> DataFrame:
+    """The rows of these folders of a kind."""
+    if not own:
+        return spark.createDataFrame([], KINDS[kind])
+    return spark.read.schema(KINDS[kind]).option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{r.folder}" for r in own]).select(*KINDS[kind].names)
+
+
 def write_grid(grid: DataFrame, path: str) -> None:
     dated = grid.withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms")))
     dated.select(*S.FEATURE_GRID.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "date").parquet(path)

@@ -115,8 +115,13 @@ def book_tickers(raw: DataFrame) -> DataFrame:
         "timestamp_ms", F.unix_millis("received_at")).drop("received_at")
 
 
+def landed_books(raw: DataFrame) -> DataFrame:
+    """REST books that landed beside the streams as ``<symbol>@snapshot``."""
+    return depth_snapshots(raw.withColumn("symbol", F.upper(F.substring_index("stream", "@", 1))))
+
+
 # Stream-name endings and the table each one feeds.
-ROUTES = {"book_ticker": "@bookTicker", "trades": "@trade", "klines": "@kline"}
+ROUTES = {"book_ticker": "@bookTicker", "trades": "@trade", "klines": "@kline", "book_snapshots": "@snapshot"}
 
 
 def route_of(stream: Column) -> Column:
@@ -130,6 +135,7 @@ PARSERS = {
     "trades": (trades, ["symbol", "price", "quantity", "timestamp_ms", "is_buy"]),
     "book_ticker": (book_tickers, ["symbol", "update_id", "bid_price", "ask_price"]),
     "book_deltas": (depth_deltas, ["symbol", "first_update_id", "final_update_id", "bids", "asks"]),
+    "book_snapshots": (landed_books, ["symbol", "last_update_id", "captured_at_ms", "bids", "asks"]),
     "klines": (ws_klines, ["symbol", "open_time", *PRICES, "is_closed"]),
 }
 

@@ -24,7 +24,7 @@ from tickloom.operators import signals as G
 from tickloom.operators.books import DEPTH, WINDOW_SECONDS
 from tickloom.operators.features import FeatureConfig
 from tickloom.operators.joins import latest_per
-from tickloom.sources import lake, messages
+from tickloom.sources import commits, lake, messages
 from tickloom.streaming.indicators import COLUMNS, SeriesState
 
 TICK_WATERMARK = "5 seconds"
@@ -354,16 +354,28 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
 
 
-def tick_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Routed messages of a batch to the tick lake that ``lake.read_ticks`` and ``lake.compact_day`` use; a batch that runs again replaces itself."""
-    from tickloom.operators.books import flatten_levels
+def tick_sink(path: str, app: str = "s", layout: str = "blocks") -> Callable[[DataFrame, int], None]:
+    """Routed messages of a batch as one commit of the tick lake: all four kinds, the gaps found, and where books stand.
+
+    The state of a symbol is one row, written by the commit of the batch that it is the state after; a batch that runs
+    again finds its commit and adds nothing, one that was lost before its commit left nothing.
+    """
+    from tickloom.operators import books
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if commits.applied(spark, path, app) >= batch_id:
+            return
         batch.persist()
         parts = messages.route(batch)
-        deltas = flatten_levels(parts["book_deltas"], ["symbol", "first_update_id", "final_update_id", "event_time_ms"])
-        for kind, rows in (("trades", parts["trades"]), ("book_ticker", parts["book_ticker"]), ("book_deltas", deltas)):
-            lake.append_ticks(kind, rows, path, f"s-{batch_id}")
+        deltas, snapshots = parts["book_deltas"], parts["book_snapshots"]
+        known = lake.read_ticks(spark, path, "continuity")
+        seen = books.continued(known, snapshots, deltas, layout)
+        lake.append_all({
+            "trades": parts["trades"], "book_ticker": parts["book_ticker"],
+            "book_deltas": books.flatten_levels(deltas, ["symbol", "first_update_id", "final_update_id", "event_time_ms"]),
+            "book_snapshots": books.flatten_levels(snapshots, ["symbol", "last_update_id", "captured_at_ms"]),
+            "desync": books.desyncs(seen), "continuity": books.continuity(known, seen)}, path, f"{app}-{batch_id}", replace=("continuity",))
         batch.unpersist()
 
     return write
