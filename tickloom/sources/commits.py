@@ -29,8 +29,8 @@ from tickloom import schemas as S
 CHECKPOINT_EVERY = 50
 #: A folder is kept so long after the last commit that named it, or, if none did, after its files were written.
 KEPT_HOURS = 24.0
-ENTRY = "version bigint, op string, kind string, folder string, symbol string, date string, files bigint, bytes bigint, app string, app_batch bigint, at_ms bigint"
-FOLDER = ("kind", "folder", "symbol", "date", "files", "bytes")
+ENTRY = "version bigint, op string, kind string, folder string, symbol string, date string, files bigint, app string, app_batch bigint, at_ms bigint"
+FOLDER = ("kind", "folder", "symbol", "date", "files")
 
 
 class Conflict(Exception):
@@ -87,9 +87,9 @@ def entries(spark: SparkSession, path: str, version: int | None = None) -> DataF
 
 
 def folders(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """kind, folder, symbol, date, files, bytes of what the table consists of."""
+    """kind, folder, symbol, date, files of what the table consists of."""
     last = F.max_by(F.struct("op", *FOLDER[2:]), "version").alias("_l")
-    return entries(spark, path, version).filter("folder IS NOT NULL").groupBy("kind", "folder").agg(last).filter("_l.op = 'add'").select("kind", "folder", "_l.symbol", "_l.date", "_l.files", "_l.bytes")
+    return entries(spark, path, version).filter("folder IS NOT NULL").groupBy("kind", "folder").agg(last).filter("_l.op = 'add'").select("kind", "folder", "_l.symbol", "_l.date", "_l.files")
 
 
 def applied(spark: SparkSession, path: str, app: str) -> int:
@@ -100,24 +100,24 @@ def applied(spark: SparkSession, path: str, app: str) -> int:
 
 def written(spark: SparkSession, path: str, kind: str, batch: str) -> list[dict]:
     """The folders of one batch of one kind, as they lie there (a batch has some files a symbol and day)."""
-    _, root, system = _system(spark, f"{path}/{kind}/batch={batch}")
-    if not system.exists(root):
+    root = f"{path}/{kind}/batch={batch}"
+    if not _system(spark, root)[2].exists(_system(spark, root)[1]):
         return []
     found: dict[str, dict] = {}
-    walk = system.listFiles(root, True)
-    while walk.hasNext():
-        status = walk.next()
-        if status.getPath().getName().startswith(("_", ".")):
-            continue
-        day = status.getPath().getParent()
-        folder = f"{kind}/batch={batch}/{day.getParent().getName()}/{day.getName()}"
-        own = found.setdefault(folder, {"kind": kind, "folder": folder, "symbol": unquote(day.getParent().getName().partition("=")[2]),
-                                        "date": unquote(day.getName().partition("=")[2]), "files": 0, "bytes": 0})
+    for name in spark.read.schema("n int").parquet(root).inputFiles():
+        symbol, date = unquote(name).rsplit("/", 3)[1:3]
+        folder = f"{kind}/batch={batch}/{symbol}/{date}"
+        own = found.setdefault(folder, {"kind": kind, "folder": folder, "symbol": unquote(symbol.partition("=")[2]), "date": unquote(date.partition("=")[2]), "files": 0})
         own["files"] += 1
-        own["bytes"] += status.getLen()
     return list(found.values())
 
 
+def size(spark: SparkSession, path: str, folder: str) -> int:
+    """Bytes of the files of one folder."""
+    _, hadoop, system = _system(spark, f"{path}/{folder}")
+    return system.getContentSummary(hadoop).getLength()
+
+
 def commit(spark: SparkSession, path: str, adds: Sequence[dict], removes: Sequence[dict] = (), app: str | None = None, app_batch: int | None = None) -> int | None:
     """Put one commit in place; its version, or None if that batch of ``app`` is in the table already.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
@@ -108,11 +110,14 @@ def append_all(tables: Mapping[str, DataFrame], path: str, batch: str | None = N
     if app is not None and commits.applied(spark, path, app) >= int(number):
         return None
     name = f"w-{uuid.uuid4().hex}"
-    adds = []
-    for kind, rows in tables.items():
-        stored = tick_rows(kind, rows)
+
+    def write(kind: str) -> list[dict]:
         salt = F.pmod(F.xxhash64(*KINDS[kind].names), F.lit(FILES_PER_DAY))
-        adds += _write_batch(stored.repartition("symbol", "date", salt), path, kind, name)
+        return _write_batch(tick_rows(kind, tables[kind]).repartition("symbol", "date", salt), path, kind, name)
+
+    # The kinds are jobs of their own; side by side they fill the cluster better than one after the other.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        adds = [a for own in pool.map(inheritable_thread_target(spark)(write), tables) for a in own]
     removes = [r.asDict() for r in commits.folders(spark, path).filter(F.col("kind").isin(list(replace))).collect()] if replace else []
     return commits.commit(spark, path, adds, removes, app, None if number is None else int(number))
 
@@ -153,7 +158,7 @@ def compact_day(spark: SparkSession, path: str, symbol: str, date: str, file_byt
     for kind in TICK_KINDS:
         own = [r for r in day if r.kind == kind]
         before = sum(r.files for r in own)
-        wanted = max(1, -(-sum(r.bytes for r in own) // file_bytes))
+        wanted = max(1, -(-sum(commits.size(spark, path, r.folder) for r in own) // file_bytes)) if before > 1 else 1
         rows = read_folders(spark, path, kind, own)
         if before <= wanted:
             summary.append((kind, before, before, rows.count(), False))
