@@ -1,4 +1,4 @@
-"""Indicator state of one series, advanced one closed bar at a time inside a streaming task."""
+"""All indicators of one series, one closed bar at a time: what the block operators are held against."""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ from tickloom.operators import candles as C
 from tickloom.operators import features as X
 from tickloom.operators import selection as J
 from tickloom.operators import signals as S
-from tickloom.streaming.indicators import SeriesState
+from plain_indicators import SeriesState
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 DDL = "instrument string, timeframe string, open_time timestamp, close_time timestamp, open decimal(18,8), high decimal(18,8), low decimal(18,8), close decimal(18,8), volume decimal(18,8), is_closed boolean"
@@ -196,3 +196,38 @@ def test_regimes(spark):
     got = J.classify_regime(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, " + ", ".join(f"{n} double" for n in names))).orderBy("i").collect()
     assert [r["regime"] for r in got] == ["trending", "ranging", "volatility_expansion", "ranging", "uncertain", "uncertain"]
     assert got[2]["regime_strength"] == pytest.approx(0.55 + 0.2 * 0.3 + 0.15) and got[1]["regime_strength"] == pytest.approx(0.9)
+
+
+def test_batches_continue_from_a_bounded_state(spark):
+    """Batches of any size give what one run over each whole series gives, and the state does not grow."""
+    rng = random.Random(21)
+    bars = []
+    for key, n in (("A", 210), ("B", 40), ("C", 3)):
+        price = 100.0
+        for i in range(n):
+            price *= 1 + rng.gauss(0, 0.01)
+            bars.append((key, i, price, 50.0 + rng.randint(0, 100)))
+    ddl = "instrument string, timeframe string, open_time timestamp, close_time timestamp, open double, high double, low double, close double, volume double"
+    t0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+    def frame(part):
+        return spark.createDataFrame([(k, "1m", t0 + timedelta(minutes=i), t0 + timedelta(minutes=i + 1), p, p * 1.01, p * 0.99, p, v) for k, i, p, v in part], ddl)
+
+    want = {}
+    for key in "ABC":
+        state = SeriesState()
+        for k, i, p, v in bars:
+            if k == key:
+                want[k, i] = state.advance(p * 1.01, p * 0.99, p, v, X.FeatureConfig())
+    state, seen = spark.createDataFrame([], X.STATE_DDL), 0
+    for n, (a, b) in enumerate(((0, 30), (30, 31), (31, 150), (150, 151), (151, 210))):
+        out, after = X.continued(frame([r for r in bars if a <= r[1] < b]), state, layout="blocks" if n == 2 else "plain")
+        state = after.checkpoint()
+        assert state.count() <= 3 * X.kept_bars(X.FeatureConfig())
+        for r in out.collect():
+            i = round((r.open_time.replace(tzinfo=timezone.utc) - t0).total_seconds()) // 60
+            seen += 1
+            for c in X.STREAMED:
+                expect = want[r.instrument, i][c]
+                assert (r[c] is None) == (expect is None) and (expect is None or r[c] == pytest.approx(expect, rel=1e-7, abs=1e-9)), (r.instrument, i, c, r[c], expect)
+    assert seen == len(bars)

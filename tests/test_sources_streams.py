@@ -107,8 +107,8 @@ def test_streamed_features_continue_across_batches(spark):
     schema = spark.createDataFrame(bars, DDL).schema
     for part in (bars[:30], [*bars[30:60], bars[59]], [bars[59], *bars[60:]]):
         spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
-        stream = J.feature_stream(J.closed_once(spark.readStream.schema(schema).parquet(source)))
-        J.start(stream, J.table_sink(sink), progress).awaitTermination()
+        J.start(J.closed_once(spark.readStream.schema(schema).parquet(source)), J.feature_sink(sink), progress).awaitTermination()
+    sink = f"{sink}/rows"
     columns = ["ret_60", "sma", "zscore", "percent_b", "reg_r2", "autocorrelation", "ema", "atr", "rsi", "ewma_volatility"]
     pick = lambda df: rows(df.select("close_time", *[F.round(c, 8).alias(c) for c in columns]))
     assert pick(spark.read.parquet(sink)) == pick(X.feature_series(spark.createDataFrame(bars, DDL)))
@@ -125,8 +125,8 @@ def test_streamed_candidates_equal_the_batch_ones(spark):
     df = spark.createDataFrame(bars, DDL)
     source, sink = scratch_path(spark, "source"), scratch_path(spark, "sink")
     df.write.parquet(source)
-    stream = J.feature_stream(spark.readStream.schema(df.schema).parquet(source))
-    J.start(stream, J.candidate_sink(sink), scratch_path(spark, "progress")).awaitTermination()
+    J.start(spark.readStream.schema(df.schema).parquet(source), J.candidate_sink(sink), scratch_path(spark, "progress")).awaitTermination()
+    sink = f"{sink}/rows"
     pick = lambda d: rows(d.filter("entry IS NOT NULL OR exit_long").select("strategy_id", "ts", "entry", "exit_long", "manages_exit", F.round("confidence", 8)))
     expect = pick(G.candidates(df, X.feature_series(df)))
     assert pick(spark.read.parquet(sink)) == expect and len({r[0] for r in expect}) == 6
@@ -159,8 +159,8 @@ def test_late_bars_come_out_marked(spark):
     schema = spark.createDataFrame(bars, DDL).schema
     for part in (bars[10:], [bars[3], bars[39]]):
         spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(source)
-        J.start(J.feature_stream(spark.readStream.schema(schema).parquet(source)), J.table_sink(sink), progress).awaitTermination()
-    out = spark.read.parquet(sink)
+        J.start(spark.readStream.schema(schema).parquet(source), J.feature_sink(sink, layout="plain"), progress).awaitTermination()
+    out = spark.read.parquet(f"{sink}/rows")
     assert out.filter("NOT late").count() == 30 and [r.close for r in out.filter("late").collect()] == [103.0]
 
 
@@ -169,8 +169,8 @@ def test_streamed_features_skip_prices_without_logarithm(spark):
     source, sink = scratch_path(spark, "source"), scratch_path(spark, "sink")
     df = spark.createDataFrame([minute(i, p) for i, p in enumerate(prices)], DDL)
     df.write.parquet(source)
-    J.start(J.feature_stream(spark.readStream.schema(df.schema).parquet(source)), J.table_sink(sink), scratch_path(spark, "progress")).awaitTermination()
-    assert spark.read.parquet(sink).count() == len(prices)
+    J.start(spark.readStream.schema(df.schema).parquet(source), J.feature_sink(sink, layout="plain"), scratch_path(spark, "progress")).awaitTermination()
+    assert spark.read.parquet(f"{sink}/rows").count() == len(prices)
 
 
 def test_poison_messages_are_quarantined(spark):

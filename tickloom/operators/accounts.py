@@ -108,10 +108,14 @@ def equity_points(fills: DataFrame, marks: DataFrame, account: Sequence[str], in
     seen = seen.withColumns({"cash": F.coalesce("cash", start), **{c: F.coalesce(c, zero) for c in state[1:]}})
     worth = _amount(F.col("held").cast("decimal(18,8)") * F.col("price").cast("decimal(18,8)"))
     seen = seen.withColumns({"unrealized_pnl": worth - F.col("exposure"), "equity": F.col("cash") + worth})
-    equity = F.col("equity").cast("double")
+
+    def units(c: Column) -> Column:
+        # Whole 1e-8ths: the quotient of two is the double next to the exact ratio, so ties stay ties.
+        return F.rint(c.cast("double") * 1e8)
+
     return seen.withColumns({
-        "exposure_ratio": F.when(equity > 0, F.col("exposure").cast("double") / equity).otherwise(0.0),
-        "return_pct": F.when(F.lit(initial_cash > 0), (equity - initial_cash) / F.lit(initial_cash or 1.0)).otherwise(0.0)})
+        "exposure_ratio": F.when(F.col("equity") > 0, units(F.col("exposure")) / F.nullif(units(F.col("equity")), F.lit(0.0))).otherwise(0.0),
+        "return_pct": F.when(F.lit(initial_cash > 0), units(F.col("equity") - start) / F.lit(round((initial_cash or 1.0) * 1e8))).otherwise(0.0)})
 
 
 def exit_choice(positions: DataFrame, marks: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:

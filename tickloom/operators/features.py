@@ -7,13 +7,14 @@ function of ``(df, window)`` so that callers can pick a subset and a period.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.stats import ratio
-from tickloom.operators.series import Recursion, framed, positions, recursions, running
+from tickloom.operators.series import POS, Recursion, framed, positions, recursions, running, same_key_join
+from tickloom.session import stable
 
 KEYS = ("instrument", "timeframe")
 ORDER = ("close_time",)
@@ -155,11 +156,13 @@ def as_doubles(candles: DataFrame) -> DataFrame:
 
 
 def feature_series(
-    candles: DataFrame, config: FeatureConfig = FeatureConfig(), *, keys: Sequence[str] = KEYS, layout: str = "blocks", recursive: bool = True
+    candles: DataFrame, config: FeatureConfig = FeatureConfig(), *, keys: Sequence[str] = KEYS, layout: str = "blocks", recursive: bool | None = True,
+    also: Callable[[DataFrame, object], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per closed candle with all indicator families.
 
-    ``recursive=False`` leaves out EMA, ATR, RSI and EWMA volatility and the join they need.
+    ``recursive=False`` leaves out EMA, ATR, RSI and EWMA volatility and the join they need; None keeps the columns they
+    are made from. ``also`` adds columns over the same frames.
     """
     c = config
     bars = as_doubles(candles)
@@ -185,28 +188,86 @@ def feature_series(
             relative_volume(volume, w, c.relative_volume_period).alias("relative_volume"),
         )
 
-    rolled = framed(placed, keys, ORDER, frames, back=c.reach, layout=layout)
+    rolled = framed(placed, keys, ORDER, frames if also is None else lambda df, w: also(frames(df, w), w), back=c.reach, layout=layout)
+    if recursive is None:
+        return rolled
     if not recursive:
         return rolled.drop("_prev_close", "_row", "_past_return", "_pos")
-    change = close - F.col("_prev_close")
-    scanned = recursions(
-        rolled,
-        keys,
-        ORDER,
-        {
-            "ema": ema(close, c.ema_period),
-            "atr": wilder(true_range(F.col("high"), F.col("low"), F.col("_prev_close")), c.atr_period),
-            "_gain": wilder(F.greatest(change, F.lit(0.0)), c.rsi_period, start=2),
-            "_loss": wilder(F.greatest(-change, F.lit(0.0)), c.rsi_period, start=2),
-            "_variance": Recursion(F.col("log_return") * F.col("log_return"), 1.0 - c.ewma_lambda, start=2),
-        },
-        layout="plain",
-    )
+    scanned = recursions(rolled, keys, ORDER, _scans(c), layout="plain")
     return scanned.withColumns(
         {"rsi": rsi_from(F.col("_gain"), F.col("_loss")), "ewma_volatility": F.sqrt("_variance")}
     ).drop("_prev_close", "_row", "_past_return", "_gain", "_loss", "_variance", "_pos")
 
 
+def _scans(c: FeatureConfig) -> dict[str, Recursion]:
+    """The recursive indicators, over ``_prev_close`` and ``log_return`` of the frames."""
+    close, change = F.col("close"), F.col("close") - F.col("_prev_close")
+    return {
+        "ema": ema(close, c.ema_period),
+        "atr": wilder(true_range(F.col("high"), F.col("low"), F.col("_prev_close")), c.atr_period),
+        "_gain": wilder(F.greatest(change, F.lit(0.0)), c.rsi_period, start=2),
+        "_loss": wilder(F.greatest(-change, F.lit(0.0)), c.rsi_period, start=2),
+        "_variance": Recursion(F.col("log_return") * F.col("log_return"), 1.0 - c.ewma_lambda, start=2),
+    }
+
+
+# --- one batch after the other --------------------------------------------------------------------
+BAR = ("instrument", "timeframe", "open_time", "close_time", "open", "high", "low", "close", "volume")
+#: Values of the recursions after a bar, and the latest bandwidth known: with the bars a frame reaches back to, all that
+#: the next batch needs of those before it.
+CARRIED = ("ema", "atr", "_gain", "_loss", "_variance", "fast_ema", "slow_ema", "_known")
+STATE_DDL = "instrument string, timeframe string, open_time timestamp, close_time timestamp, open double, high double, low double, close double, volume double, n long, " + ", ".join(f"s_{c} double" for c in CARRIED)
+#: The spans of the two averages whose crossing is a signal, and the bars of a look-back return.
+CROSSOVER = (12, 26)
+LOOKBACK = 10
+STREAMED = (
+    "ret_1", "ret_5", "ret_15", "ret_60", "sma", "stddev", "zscore", "bb_middle", "bb_upper", "bb_lower", "percent_b", "bandwidth", "roc", "reg_slope", "reg_intercept", "reg_r2",
+    "autocorrelation", "realized_volatility", "relative_volume", "ema", "atr", "rsi", "ewma_volatility", "fast_ema", "slow_ema", "prev_diff", "diff", "lookback_return", "prev_bandwidth",
+    "last_bandwidth",
+)
+
+
+def kept_bars(config: FeatureConfig) -> int:
+    """Bars of a series that stay in its state: those the longest frame of the next bar reaches."""
+    return max(config.reach, CROSSOVER[1], LOOKBACK) + 2
+
+
+def continued(bars: DataFrame, state: DataFrame, config: FeatureConfig = FeatureConfig(), *, layout: str = "blocks") -> tuple[DataFrame, DataFrame]:
+    """(features of new bars, state after them): the block operators over a batch and each series' state before it.
+
+    ``bars`` (columns ``BAR``) are later than those of the state (``STATE_DDL``: the last ``kept_bars`` of each series
+    with their number ``n`` and the recursions' values). A recursion goes on from its value as one more summand that
+    decays, so nothing before the state is read again and blocks of one busy series run apart, as in
+    ``feature_series``. While a state holds its whole series, seeds included, the series is computed from its start.
+    """
+    kept = kept_bars(config)
+    ends = state.groupBy(*KEYS).agg(F.max("n").alias("_last"), F.count(F.lit(1)).alias("_held"))
+    fresh = bars.select(*BAR, F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"s_{c}") for c in CARRIED], F.lit(False).alias("_old"))
+    rows = same_key_join(state.withColumn("_old", F.lit(True)).select(fresh.columns).unionByName(fresh), ends, KEYS, "left")
+    placed = positions(rows, KEYS, ORDER, "blocks" if layout == "blocks" else layout)
+    beyond = F.coalesce(F.col("_last") > kept, F.lit(False))
+    placed = placed.withColumns({"n": F.coalesce(F.col("_last") - F.col("_held"), F.lit(0)) + F.col(POS), "_skip": F.col("_old") & beyond})
+    placed = placed.withColumn("_turn", F.col("_skip") & (F.col("n") == F.col("_last")))
+
+    def signals(df: DataFrame, w) -> DataFrame:
+        frame = w.rowsBetween(-(LOOKBACK - 1), 0)
+        change = gated(ratio(F.col("close"), F.first("close").over(frame)) - 1.0, F.col("close"), frame, LOOKBACK)
+        return df.withColumns({"lookback_return": change, "last_bandwidth": F.lag("bandwidth", 1).over(w)})
+
+    # The recursions and the running values each read their rows twice, so frames are kept, not computed again.
+    rolled = stable(feature_series(placed.withColumn("is_closed", F.lit(True)), config, layout=layout, recursive=None, also=signals))
+    scans = {**_scans(config), "fast_ema": ema(F.col("close"), CROSSOVER[0]), "slow_ema": ema(F.col("close"), CROSSOVER[1])}
+    scans = {n: replace(s, carry=F.when(F.col("_turn"), F.col(f"s_{n}")), skip=F.col("_skip")) for n, s in scans.items()}
+    scanned = recursions(rolled, KEYS, ORDER, scans, layout="plain").withColumn("diff", F.col("fast_ema") - F.col("slow_ema"))
+    scanned = stable(scanned)
+    own = F.when(F.col("_turn"), F.col("s__known")).when(~F.col("_skip"), F.col("bandwidth"))
+    known = running(scanned.withColumn("_own", own), KEYS, ORDER, {"prev_bandwidth": ("last", F.col("_own")), "prev_diff": ("last", F.col("diff"))}, inclusive=False, layout=layout)
+    done = stable(known.withColumns({"_known": F.coalesce("_own", "prev_bandwidth"), "rsi": rsi_from(F.col("_gain"), F.col("_loss")), "ewma_volatility": F.sqrt("_variance")}))
+    newest = done.groupBy(*KEYS).agg(F.max("n").alias("_newest"))
+    last = same_key_join(done, newest, KEYS).filter(F.col("n") > F.col("_newest") - kept)
+    return done.filter(~F.col("_old")).select(*BAR, *STREAMED), last.select(*BAR, "n", *[F.col(c).alias(f"s_{c}") for c in CARRIED])
+
+
 def previous_known(features: DataFrame, column: str, *, keys: Sequence[str] = KEYS, layout: str = "blocks") -> DataFrame:
     """Append the latest earlier non-NULL value of a column."""
     return running(features, keys, ORDER, {f"prev_{column}": ("last", F.col(column))}, inclusive=False, layout=layout)

@@ -191,12 +191,18 @@ def running(
 
 @dataclass(frozen=True)
 class Recursion:
-    """s = s + alpha*(x - s), seeded with the mean of ``seed_rows`` values from row ``start`` on."""
+    """s = s + alpha*(x - s), seeded with the mean of ``seed_rows`` values from row ``start`` on.
+
+    ``carry`` continues an earlier run: it holds that run's value on the last row of it and NULL elsewhere; ``skip`` is
+    true on the rows up to there, which then only serve as context.
+    """
 
     value: Column
     alpha: float
     start: int = 1
     seed_rows: int = 1
+    carry: Column | None = None
+    skip: Column | None = None
 
     @property
     def first(self) -> int:
@@ -237,6 +243,8 @@ def recursions(
         x = F.col(f"_x_{n}")
         seed = F.avg(x).over(base.rowsBetween(-(s.seed_rows - 1), 0)) if s.seed_rows > 1 else x
         step = F.when(pos < s.first, F.lit(0.0)).when(pos == s.first, seed).otherwise(x * s.alpha)
+        if s.carry is not None:
+            step = F.when(s.carry.isNotNull(), s.carry).when(s.skip, F.lit(0.0)).otherwise(step)
         placed = placed.withColumn(f"_b_{n}", step)
     local = placed.select(
         "*",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +40,10 @@ def tape_layout(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> st
     return measured_layout(events.select(F.lit("all").alias("k")) if pooled else events.select(F.col("event_type").alias("k")), ["k"])
 
 
-def tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame:
-    """events as trades: one instrument per event type, or all in one. A price is positive."""
+def raw_tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame:
+    """events as trades, whatever their price: one instrument per event type, or all in one."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return load(spark, sf_dir, "events").filter("value > 0").select(
+    return load(spark, sf_dir, "events").select(
         (F.lit("all") if pooled else F.col("event_type")).alias("instrument"),
         "ts",
         F.col("event_id").alias("trade_id"),
@@ -51,11 +53,21 @@ def tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame
     )
 
 
+def tape_rules() -> dict[str, Column]:
+    """What a trade has to keep; the query ``tape_quarantine`` counts those that do not."""
+    return {"price": F.col("price") > 0, "quantity": F.col("quantity") > 0, "ts": F.col("ts").isNotNull()}
+
+
+def tape(spark: SparkSession, sf_dir: str, *, pooled: bool = False) -> DataFrame:
+    """The events that are trades by the market rules."""
+    return raw_tape(spark, sf_dir, pooled=pooled).filter(reduce(and_, tape_rules().values()))
+
+
 TAPE_SQL = """tape AS (
   SELECT event_type AS instrument, ts, event_id AS trade_id, CAST(value AS DECIMAL(18,8)) AS price,
          CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS DECIMAL(18,8)) AS quantity,
          event_type IN ('click', 'purchase', 'view') AS is_buy
-  FROM events WHERE value > 0)"""
+  FROM events WHERE value > 0 AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0 AND ts IS NOT NULL)"""
 
 
 def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h", *, pooled: bool = False) -> DataFrame:

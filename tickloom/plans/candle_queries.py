@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tickloom.operators import candles as C
 from tickloom.operators import features as X
 from tickloom.operators import signals as S
+from tickloom.operators.reports import conform
 from tickloom.operators.series import Recursion, recursions
-from tickloom.plans.adapters import Columns, bars, bars_sql, r6, tape_layout, us
+from tickloom.plans.adapters import Columns, bars, bars_sql, r6, raw_tape, tape_layout, tape_rules, us
 from tickloom.plans.registry import Registry
 
 R = Registry()
@@ -101,26 +102,44 @@ R.add("strict_gate", gate,
  SELECT instrument, count(*) AS rows, (max(open_s) - min(open_s)) // 3600 + 1 - count(*) AS missing FROM both_sets GROUP BY instrument""")
 
 
+def cut_times(spark, sf_dir):
+    """The middle of the bars' time, at a full day, and the day before: where the stored part ends and the fetch begins."""
+    ends = bars(spark, sf_dir, "1h").agg(F.unix_seconds(F.min("open_time")), F.unix_seconds(F.max("open_time"))).first()
+    cut = ((ends[0] or 0) + (ends[1] or 0)) // 2 // 86400 * 86400
+    return F.timestamp_seconds(F.lit(cut)), F.timestamp_seconds(F.lit(cut - 86400))
+
+
 def merged(spark, sf_dir):
     """Existing bars end at the series' middle; the fetch overlaps them with changed volumes."""
-    b = bars(spark, sf_dir, "1h")
-    existing = b.filter("open_time < timestamp'2024-01-16'")
-    fetched = b.filter("open_time >= timestamp'2024-01-15'").withColumn("volume", (F.col("volume") + 1).cast("decimal(18,8)"))
+    b, (cut, overlap) = bars(spark, sf_dir, "1h"), cut_times(spark, sf_dir)
+    existing = b.filter(F.col("open_time") < cut)
+    fetched = b.filter(F.col("open_time") >= overlap).withColumn("volume", (F.col("volume") + 1).cast("decimal(18,8)"))
     return C.merge_incremental(existing, fetched)
 
 
-CUT, OVERLAP = 1705363200, 1705276800
+CUT_SQL = "(SELECT (min(open_s) + max(open_s)) // 2 // 86400 * 86400 FROM bars)"
 MERGED_SQL = f"""{bars_sql('1h')}, merged AS (
- SELECT * REPLACE (CASE WHEN open_s < {CUT} THEN volume ELSE volume + 1 END AS volume), open_s >= {CUT} AS is_new FROM bars)"""
+ SELECT * REPLACE (CASE WHEN open_s < {CUT_SQL} THEN volume ELSE volume + 1 END AS volume), open_s >= {CUT_SQL} AS is_new FROM bars)"""
 R.add("incremental_merge", lambda s, d: sized(merged(s, d)), f"WITH {MERGED_SQL} {ohlc_sql('merged')}")
 R.add("incremental_high_water",
-      lambda s, d: sized(C.fetch_since(bars(s, d, "1h"), C.high_water_mark(bars(s, d, "1h").filter("open_time < timestamp'2024-01-16'")))),
-      f"""WITH {bars_sql('1h')}, marks AS (SELECT instrument, max(close_s) AS m FROM bars WHERE open_s < {CUT} GROUP BY instrument),
+      lambda s, d: sized(C.fetch_since(bars(s, d, "1h"), C.high_water_mark(bars(s, d, "1h").filter(F.col("open_time") < cut_times(s, d)[0])))),
+      f"""WITH {bars_sql('1h')}, marks AS (SELECT instrument, max(close_s) AS m FROM bars WHERE open_s < {CUT_SQL} GROUP BY instrument),
  late AS (SELECT bars.* FROM bars LEFT JOIN marks USING (instrument) WHERE open_s >= coalesce(m, 1483228800)) {ohlc_sql('late')}""")
 R.add("update_summary",
       lambda s, d: C.update_summary(merged(s, d)).select("instrument", "candles_before", "candles_after", "candles_new", us("earliest"), us("latest")),
       f"""WITH {MERGED_SQL} SELECT instrument, count(*) FILTER (NOT is_new) AS candles_before, count(*) AS candles_after,
  count(*) FILTER (is_new) AS candles_new, min(open_s) * 1000000 AS earliest_us, max(close_s) * 1000000 AS latest_us FROM merged GROUP BY instrument""")
+
+
+def refused(spark, sf_dir):
+    """What the market rules keep out of the tape that all candle queries read, by instrument and rule."""
+    good, bad = conform(raw_tape(spark, sf_dir), tape_rules())
+    return good.select("instrument", F.lit("").alias("violations")).unionByName(bad.select("instrument", F.concat_ws(",", "violations").alias("violations"))).groupBy("instrument", "violations").agg(F.count(F.lit(1)).alias("n"))
+
+
+R.add("tape_quarantine", refused,
+      """SELECT event_type AS instrument, concat_ws(',', CASE WHEN NOT coalesce(value > 0, false) THEN 'price' END,
+ CASE WHEN NOT coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0, false) THEN 'quantity' END, CASE WHEN ts IS NULL THEN 'ts' END) AS violations, count(*) AS n FROM events GROUP BY ALL""")
 # Daily order totals span several years, so every look-back window differs.
 def daily(spark, sf_dir):
     from tickloom.plans.adapters import load

@@ -193,7 +193,12 @@ def account_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(*POSITION, "fill_id", (F.col("at") + F.make_dt_interval(days=F.lit(10))).alias("ts"), (F.col("price") * F.lit(Decimal("1.1"))).cast("decimal(18,8)").alias("price"))
 
 
-R.add("equity_point", lambda s, d: A.equity_points(fills(s, d), account_marks(s, d).withColumnRenamed("fill_id", "mark_id"), POSITION, 10_000.0, fills_layout(s, d)).select("mark_id", r6("cash"), r6("equity"), r6("unrealized_pnl"), r6("realized_pnl"), r6("exposure_ratio"), r6("return_pct")),
+def sixth(ratio: str):
+    """Six decimals of a double in double arithmetic, as SQL rounds it; many of these ratios are ties."""
+    return (F.round(F.col(ratio) * 1e6) / 1e6).alias(ratio)
+
+
+R.add("equity_point", lambda s, d: A.equity_points(fills(s, d), account_marks(s, d).withColumnRenamed("fill_id", "mark_id"), POSITION, 10_000.0, fills_layout(s, d)).select("mark_id", r6("cash"), r6("equity"), r6("unrealized_pnl"), r6("realized_pnl"), sixth("exposure_ratio"), sixth("return_pct")),
       f"""WITH {FILLS_SQL}, path AS (SELECT *, 1000000000 + sum(d_cash) OVER w AS cash, sum(d_cost) OVER w AS cost, sum(d_held) OVER w AS held, sum(d_net) OVER w AS net FROM moves WINDOW w AS (PARTITION BY instrument ORDER BY turn)),
  marked AS (SELECT m.fill_id AS mark_id, m.cents * 1100 AS mark, p.* FROM fills m JOIN path p ON p.instrument = m.instrument AND p.turn = (SELECT max(f.turn) FROM fills f WHERE f.instrument = m.instrument AND f.t <= m.t + INTERVAL 10 DAY)),
  worth AS (SELECT *, cash + held * mark AS equity FROM marked)

@@ -134,7 +134,7 @@ SHOWN = ("sma", "zscore", "percent_b", "reg_r2", "rsi", "atr")
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = Feed("bars", *halves(bars(spark, sf_dir, "1h"), "open_time"))
-    return feed.result(J.feature_stream(feed.stream)).select("instrument", us("close_time"), *[r6(c) for c in SHOWN])
+    return spark.read.parquet(f"{feed.played(feed.stream, J.feature_sink)}/rows").select("instrument", us("close_time"), *[r6(c) for c in SHOWN])
 
 
 R.add("stream_features", featured, CQ.R.sql["feature_snapshot"])
@@ -144,7 +144,8 @@ def warmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of the table's time, live, on state warmed up with the fifty bars before it."""
     early, rest = halves(bars(spark, sf_dir, "1h"), "open_time")
     feed = Feed("bars", rest)
-    return feed.result(J.feature_stream(feed.stream, history=early)).select("instrument", us("close_time"), r6("sma"), r6("zscore"))
+    path = feed.played(feed.stream, lambda p: J.feature_sink(p, history=early))
+    return spark.read.parquet(f"{path}/rows").select("instrument", us("close_time"), r6("sma"), r6("zscore"))
 
 
 R.add("stream_warmup", warmed,

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import asdict
 from datetime import timedelta
 from functools import reduce
 
@@ -20,12 +19,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tickloom import schemas as S
+from tickloom.operators import features as X
 from tickloom.operators import signals as G
 from tickloom.operators.books import DEPTH, WINDOW_SECONDS
-from tickloom.operators.features import FeatureConfig
 from tickloom.operators.joins import latest_per
+from tickloom.operators.series import same_key_join
+from tickloom.session import stable
 from tickloom.sources import commits, lake, messages
-from tickloom.streaming.indicators import COLUMNS, SeriesState
 
 TICK_WATERMARK = "5 seconds"
 # Fixed value: candles fed before going live.
@@ -131,45 +131,6 @@ class _JsonState(StatefulProcessor):
         pass
 
 
-class FeatureProcessor(_JsonState):
-    """Advances the indicators of one (instrument, timeframe). The last bar again is skipped; an older one comes out
-    marked ``late``, without features."""
-
-    def __init__(self, config: FeatureConfig) -> None:
-        self.config = config
-
-    def _run(self, pdf: pd.DataFrame) -> list[tuple]:
-        text = self.load()
-        state = SeriesState(**json.loads(text)) if text else SeriesState()
-        out = []
-        for row in pdf.sort_values("close_time").to_dict("records"):
-            ms = int(row["close_time"].timestamp() * 1000)
-            if ms < state.last_ms:
-                out.append((*(row[c] for c in BAR), *[None] * len(COLUMNS), True))
-            if ms <= state.last_ms:
-                continue
-            state.last_ms = ms
-            features = state.advance(row["high"], row["low"], row["close"], row["volume"], self.config)
-            out.append((*(row[c] for c in BAR), *(features[c] for c in COLUMNS), False))
-        self.save(json.dumps(asdict(state)))
-        return out
-
-    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        self._run(initial)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(self._run(pd.concat(list(rows))), columns=[*BAR, *COLUMNS, "late"])
-
-
-BAR = ("instrument", "timeframe", "open_time", "close_time", "open", "high", "low", "close", "volume")
-_BAR_TYPES = [T.StringType(), T.StringType(), T.TimestampType(), T.TimestampType(), *[T.DoubleType()] * 5]
-FEATURES = T.StructType([*[T.StructField(n, t) for n, t in zip(BAR, _BAR_TYPES)], *[T.StructField(n, T.DoubleType()) for n in COLUMNS], T.StructField("late", T.BooleanType())])
-
-
-def _bars(candles: DataFrame) -> DataFrame:
-    return candles.select(*[F.col(n).cast(t).alias(n) for n, t in zip(BAR, _BAR_TYPES)])
-
-
 def warmup(history: DataFrame, bars: int = WARMUP_BARS) -> DataFrame:
     """The newest candles of each series; a bounded list per key (k smallest by negative time)."""
     from pyspark.sql import Window
@@ -179,18 +140,47 @@ def warmup(history: DataFrame, bars: int = WARMUP_BARS) -> DataFrame:
     return history.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= bars).drop("_n")
 
 
-def feature_stream(candles: DataFrame, config: FeatureConfig = FeatureConfig(), history: DataFrame | None = None) -> DataFrame:
-    """All indicator columns per closed candle; ``history`` warms the state up before the first batch."""
-    use_rocksdb(candles.sparkSession)
-    grouped = _bars(candles).groupBy("instrument", "timeframe")
-    initial = None if history is None else _bars(warmup(history)).groupBy("instrument", "timeframe")
-    return grouped.transformWithStateInPandas(statefulProcessor=FeatureProcessor(config), outputStructType=FEATURES, outputMode="Append", timeMode="None", initialState=initial)
+def _bars(candles: DataFrame) -> DataFrame:
+    return candles.select(*[F.col(c).cast("double").alias(c) if c in ("open", "high", "low", "close", "volume") else F.col(c) for c in X.BAR])
+
+
+def feature_sink(path: str, config: X.FeatureConfig = X.FeatureConfig(), history: DataFrame | None = None, derive: Callable[[DataFrame], DataFrame] | None = None,
+                 layout: str = "blocks") -> Callable[[DataFrame, int], None]:
+    """All indicator columns of each batch's closed candles to ``rows``; ``history`` warms the state up before the first.
+
+    A batch runs through the block operators together with the state of its series, a table of some bars a series
+    (``features.continued``): no series is gone through row by row, and a busy one is spread over tasks. Bars that
+    are there already are left out; older ones come out marked ``late``, without features. ``derive`` makes other rows
+    of those of a batch. A batch that runs again starts from the state before it and writes the same.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, f"{path}/state") if v < batch_id]
+        none = spark.createDataFrame([], X.STATE_DDL)
+        if before:
+            state = spark.read.schema(X.STATE_DDL).parquet(f"{path}/state/v={before[-1]}")
+        else:
+            state = none if history is None else stable(X.continued(_bars(warmup(history)), none, config, layout=layout)[1])
+        newest = state.groupBy(*X.KEYS).agg(F.max("close_time").alias("_newest"))
+        # One row of a bar, whatever came twice.
+        values = [c for c in X.BAR if c not in (*X.KEYS, "close_time")]
+        once = _bars(batch).groupBy(*X.KEYS, "close_time").agg(F.min(F.struct(*values)).alias("_b")).select(*X.KEYS, "close_time", "_b.*").select(*X.BAR)
+        marked = same_key_join(once, newest, X.KEYS, "left")
+        late = F.coalesce(F.col("close_time") < F.col("_newest"), F.lit(False))
+        rows, after = X.continued(marked.filter("_newest IS NULL OR close_time > _newest").select(*X.BAR), state, config, layout=layout)
+        out = rows.withColumn("late", F.lit(False)).unionByName(marked.filter(late).select(*X.BAR, F.lit(True).alias("late")), allowMissingColumns=True)
+        (derive(out) if derive else out).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+        for old in before[:-1]:
+            lake.remove(spark, f"{path}/state/v={old}")
+
+    return write
 
 
 def candidate_rows(features: DataFrame) -> DataFrame:
     """Candidates of all six kinds from one batch of streamed features.
 
-    Six readers of a stream would each keep the indicator state again; a batch is read six times instead.
+    A batch is read six times; readers of a stream would each keep the indicator state.
     """
     ready = features.filter("NOT late").drop("late").withColumns({"z_score": F.col("zscore"), "mean": F.col("sma")})
     parts = [
@@ -202,13 +192,12 @@ def candidate_rows(features: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_sink(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        candidate_rows(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+def candidate_sink(path: str, layout: str = "blocks") -> Callable[[DataFrame, int], None]:
+    """``feature_sink`` of candidates."""
+    def derive(features: DataFrame) -> DataFrame:
+        return candidate_rows(stable(features))
 
-    return write
+    return feature_sink(path, derive=derive, layout=layout)
 
 
 _S, _D, _L, _TS = T.StringType(), T.DoubleType(), T.LongType(), T.TimestampType()
