@@ -200,3 +200,25 @@ def test_large_volumes_resample(spark):
 
     big = [(*minute(i, 1.0)[:-2], Decimal(9_000_000_000), True) for i in range(5)]
     assert C.resample(spark.createDataFrame(big, DDL), "1m", "5m").first().volume == 45_000_000_000
+
+
+def test_seen_bars_are_runs_and_none_is_lost(spark):
+    """Bars in any order, with copies, gaps that fill up late and one beside the grid: each comes once, and the runs stay few."""
+    from tickloom.operators import candles as C
+
+    rng = random.Random(3)
+    order = list(range(60))
+    rng.shuffle(order)
+    at = {b[2]: b for b in (minute(i, 100.0 + i) for i in range(60))}
+    beside = list(minute(7, 5.0))
+    beside[2], beside[3] = beside[2] + timedelta(seconds=30), beside[3] + timedelta(seconds=30)
+    bars = [minute(i, 100.0 + i) for i in order]
+    sink, got = scratch_path(spark, "sink"), []
+    batches = [bars[:40], bars[30:50] + bars[:3], [tuple(beside)], bars[10:], bars]
+    for n, part in enumerate(batches):
+        J.closed_once_sink(sink, layout="blocks" if n == 1 else "plain")(spark.createDataFrame(part + part[:2], DDL), n)
+        J.closed_once_sink(sink, layout="plain")(spark.createDataFrame(part, DDL), n)
+    got = spark.read.parquet(f"{sink}/rows").collect()
+    assert len(got) == 61 and len({r.open_time for r in got}) == 61 and len(at) == 60
+    runs = spark.read.schema(C.SEEN_DDL).parquet(f"{sink}/seen/v=4").collect()
+    assert len(runs) == 2 and sorted((r.end - r.start).total_seconds() for r in runs) == [0, 59 * 60]

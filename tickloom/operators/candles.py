@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import running
+from tickloom.operators.series import as_of, placed_once, running
 from tickloom.schemas import timeframe_seconds
+from tickloom.session import stable
 
 KEYS = ("instrument", "timeframe")
 
@@ -228,3 +229,32 @@ def mark_prices(candles: DataFrame, keys: Sequence[str] = ("instrument",)) -> Da
     )
 
 
+# --- exact de-duplication with bounded memory -----------------------------------------------------
+SEEN_DDL = "instrument string, timeframe string, step long, phase long, start timestamp, end timestamp"
+GRID = ("instrument", "timeframe", "step", "phase")
+
+
+def _on_grid(bars: DataFrame) -> DataFrame:
+    """Bars with the length of their grid in whole seconds and their place on it."""
+    length = F.unix_micros("close_time") - F.unix_micros("open_time")
+    step = F.greatest(F.ceil(length / 1_000_000) * 1_000_000, F.lit(1_000_000)).cast("long")
+    return bars.withColumn("step", step).withColumn("phase", F.pmod(F.unix_micros("open_time"), F.col("step")))
+
+
+def unseen(bars: DataFrame, seen: DataFrame, *, layout: str = "blocks") -> tuple[DataFrame, DataFrame]:
+    """(bars that ``seen`` does not hold, each once; ``seen`` with them): exact, however late a bar is.
+
+    ``seen`` (``SEEN_DDL``) holds runs of consecutive bars, so a series without gaps is one row for ever, and each gap
+    adds one until it is filled. Bars beside the grid of a series are runs of a grid of their own. A bar is looked up
+    by an as-of merge; runs that meet grow together. Of copies of a bar the smallest row stays.
+    """
+    rest = [c for c in bars.columns if c not in ("instrument", "timeframe", "open_time")]
+    once = bars.groupBy("instrument", "timeframe", "open_time").agg(F.min(F.struct(*rest)).alias("_b")).select("instrument", "timeframe", "open_time", "_b.*")
+    found = as_of(_on_grid(once), seen.select(*GRID, "start", F.col("end").alias("_end")), GRID, "open_time", "start", ["_end"], layout=layout)
+    new = stable(found.filter("_end IS NULL OR open_time > _end"))
+    runs = seen.select(*GRID, "start", "end").unionByName(new.select(*GRID, F.col("open_time").alias("start"), F.col("open_time").alias("end")))
+    placed = placed_once(runs, GRID, ["start"], layout)
+    before = running(placed, GRID, ["start"], {"_until": ("max", F.col("end"))}, inclusive=False, layout=layout)
+    apart = F.coalesce(F.unix_micros("start") > F.unix_micros("_until") + F.col("step"), F.lit(True))
+    numbered = running(before.withColumn("_apart", F.when(apart, 1)), GRID, ["start"], {"_run": ("count", F.col("_apart"))}, layout=layout)
+    return new.select(bars.columns), numbered.groupBy(*GRID, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")

@@ -68,7 +68,7 @@ def repeated_and_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second half of the bars first, then all of them: every bar of the first half is two weeks late."""
     b = bars(spark, sf_dir, "1h")
     feed = Feed("bars", halves(b, "open_time")[1], b)
-    return feed.result(J.closed_once(feed.stream))
+    return spark.read.parquet(f"{feed.played(feed.stream, J.closed_once_sink)}/rows")
 
 
 R.add("stream_candles", lambda s, d: two_feeds(s, d).select("instrument", "timeframe", us("open_time"), r6("close")), f"SELECT instrument, timeframe, open_time_us, close FROM ({KLINES}) CROSS JOIN (VALUES ('1m'), ('5m')) t(timeframe)")

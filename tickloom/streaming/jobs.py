@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tickloom import schemas as S
+from tickloom.operators import candles as C
 from tickloom.operators import features as X
 from tickloom.operators import signals as G
 from tickloom.operators.books import DEPTH, WINDOW_SECONDS
@@ -56,13 +57,33 @@ BAR_KEY = ["instrument", "timeframe", "open_time"]
 def closed_once(candles: DataFrame, delay: str | None = None) -> DataFrame:
     """Closed candles only, each bar once even if a reconnect repeats it.
 
-    Bars are remembered for good, so none is too late, however far apart instruments are. With ``delay`` the memory is
-    bounded by it; feed such a stream through ``late_sink`` first, which keeps and counts what comes later.
+    Bars are remembered for good, so none is too late, however far apart instruments are; ``closed_once_sink`` remembers
+    them as runs. With ``delay`` the memory is bounded by it; feed such a stream through ``late_sink`` first, which keeps
+    and counts what comes later.
     """
     closed = candles.filter("is_closed")
     return closed.dropDuplicates(BAR_KEY) if delay is None else closed.withWatermark("close_time", delay).dropDuplicatesWithinWatermark(BAR_KEY)
 
 
+def closed_once_sink(path: str, layout: str = "blocks") -> Callable[[DataFrame, int], None]:
+    """Closed candles, each bar once at any lateness, to ``rows``; what was seen is kept as runs of bars (``candles.unseen``).
+
+    Unlike the state of ``closed_once``, a row a bar for ever, a series without gaps takes one row. A batch that runs
+    again starts from the runs before it and writes the same.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, f"{path}/seen") if v < batch_id]
+        seen = spark.read.schema(C.SEEN_DDL).parquet(f"{path}/seen/v={before[-1]}") if before else spark.createDataFrame([], C.SEEN_DDL)
+        new, after = C.unseen(batch.filter("is_closed"), seen, layout=layout)
+        new.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{path}/seen/v={batch_id}")
+        for old in before[:-1]:
+            lake.remove(spark, f"{path}/seen/v={old}")
+
+    return write
+
+
 def candle_union(feeds: list[DataFrame]) -> DataFrame:
     """The feeds of several timeframes as one stream."""
     return reduce(DataFrame.unionByName, feeds)
