@@ -201,6 +201,15 @@ def test_texts_across_the_top_bit_are_one_component(spark):
     assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == [2, 3]
 
 
+def test_pipeline_stage_keeps_one_of_texts_across_the_top_bit(spark):
+    import corpus_pipeline
+
+    one, two = across_the_top_bit()
+    docs = spark.createDataFrame([(4, one, "en", "s", 1), (2, two, "en", "s", 1), (3, "something else altogether here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (-5, -5), (300, 301), (300, 302), (301, 302)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
