@@ -11,7 +11,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("resample", "validation_report", "feat_bollinger", "feat_rsi", "affine_scan", "strat_mean_reversion", "perf_trades", "eq_monthly", "judge_state_hysteresis", "q_timeline", "asof_join", "sig_deciles",
-          "book_best", "feature_grid", "ledger_close", "diag_pairs", "norm_ws_kline", "compact_day", "stream_closed_dedup")
+          "book_best", "feature_grid", "ledger_close", "diag_pairs", "norm_ws_kline", "compact_day", "stream_closed_dedup", "late_repair", "stream_robot_sync")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -18,6 +18,7 @@ from tickloom.plans.registry import Registry
 from tickloom.plans.source_queries import busiest_day, raw
 from tickloom.session import scratch_path
 from tickloom.sources import lake as K
+from tickloom.sources import published
 from tickloom.streaming import jobs as J
 
 R = Registry()
@@ -90,6 +91,21 @@ R.add("late_data", lambda s, d: late_ticks(s, d).groupBy("instrument", "late").a
  SELECT instrument, last AND ts < newest - INTERVAL 1 HOUR AS late, count(*) AS n FROM parted, mark GROUP BY ALL""")
 
 
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published hourly bars of the same ticks, late ones included: they equal those of the whole tape."""
+    t = tape(spark, sf_dir)
+    early, rest = halves(t, "ts")
+    feed = Feed("ticks", early, rest.filter("trade_id % 10 <> 0"), rest.filter("trade_id % 10 = 0"))
+    return published.read_bars(spark, feed.played(feed.stream, lambda p: J.bars_sink(p, "1h")))
+
+
+R.add("late_repair", lambda s, d: repaired(s, d).select("instrument", us("open_time"), *[r6(c) for c in ("open", "high", "low", "close", "volume")], "trades", "repaired"),
+      f"""WITH {bars_sql('1h')}, m AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS mid FROM tape),
+ parts AS (SELECT instrument, open_s, count(*) AS trades, count(DISTINCT CASE WHEN epoch_us(ts) < mid THEN 0 WHEN trade_id % 10 <> 0 THEN 1 ELSE 2 END) > 1 AS repaired FROM keyed, m GROUP BY ALL)
+ SELECT instrument, open_s * 1000000 AS open_time_us, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, trades, repaired
+ FROM bars JOIN parts USING (instrument, open_s)""")
+
+
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, order = ["instrument"], ["close_time"]
     early, rest = halves(bars(spark, sf_dir, "1h").select("instrument", "close_time", "close"), "close_time")
@@ -129,6 +145,38 @@ def reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R.add("stream_route", routed, ROUTED_SQL)
 R.add("stream_hot_reload", reloaded, ROUTED_SQL)
+
+
+def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars in two halves, with robots that start and stop between them: suppliers in credit run first, then those
+    in debt by more than 500 and those in credit by more than 1000. Candles by which each was warmed up, and those it got live."""
+    b = bars(spark, sf_dir, "1h")
+    early, rest = halves(b, "open_time")
+    feed = Feed("bars", early, rest)
+    balance = load(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("robot_id"), "s_acctbal")
+    all_robots = robots(spark, sf_dir).join(balance, "robot_id")
+
+    def at(when: Column, runs: Column) -> DataFrame:
+        return all_robots.select(*J.ROBOT, F.when(runs, "running").otherwise("stopped").alias("status"), when.alias("changed_at"))
+
+    # The second change is seen by the batch whose newest candle is behind it: the one of the later half.
+    ends = b.agg(F.max("close_time")).first()[0]
+    credit = F.col("s_acctbal")
+    log = at(F.timestamp_seconds(F.lit(0)), credit > 0).unionByName(at(F.lit(ends).cast("timestamp"), (credit > 1000) | (credit < -500)))
+    path = feed.played(feed.stream, lambda p: J.robot_sync_sink(p, lambda: log))
+    return spark.read.parquet(f"{path}/rows").groupBy("robot_id").agg(
+        F.count_if("warmup").alias("warmed"), F.count_if(~F.col("warmup")).alias("live"), F.max(F.unix_micros("close_time")).alias("latest_us"))
+
+
+R.add("stream_robot_sync", synced,
+      f"""WITH {bars_sql('1h')}, mid AS (SELECT (min(open_s) * 1000000 + max(open_s) * 1000000) // 2 AS mid FROM bars),
+ halved AS (SELECT instrument, close_s, open_s * 1000000 < mid AS early, row_number() OVER (PARTITION BY instrument, open_s * 1000000 < mid ORDER BY open_s DESC) AS back FROM bars, mid),
+ s AS (SELECT 'r' || CAST(s_suppkey AS VARCHAR) AS robot_id, list_extract(['click', 'error', 'purchase', 'signup', 'view'], s_nationkey % 5 + 1) AS instrument,
+   s_acctbal > 0 AS before, s_acctbal > 1000 OR s_acctbal < -500 AS after FROM supplier),
+ given AS (
+  SELECT robot_id, close_s, false AS warmup FROM halved JOIN s USING (instrument) WHERE CASE WHEN early THEN before ELSE after END
+  UNION ALL SELECT robot_id, close_s, true FROM halved JOIN s USING (instrument) WHERE early AND back <= 50 AND after AND NOT before)
+ SELECT robot_id, count(*) FILTER (warmup) AS warmed, count(*) FILTER (NOT warmup) AS live, max(close_s) * 1000000 AS latest_us FROM given GROUP BY robot_id""")
 SHOWN = ("sma", "zscore", "percent_b", "reg_r2", "rsi", "atr")
 
 

@@ -60,6 +60,10 @@ RAW_MESSAGES = table(("stream", _S), ("payload", _S), ("received_at", _TS))
 #: In the lake: what the desync log says, and where each symbol's book stands after the newest batch.
 DESYNC_ROWS = table(("kind", _S), ("expected", _L), ("got", _L), ("at_ms", _L), ("symbol", _S), ("date", T.DateType()))
 CONTINUITY = table(("last_uid", _L), ("segment", _L), ("seeded", _B), ("eff_ms", _L), ("symbol", _S), ("date", T.DateType()))
+PUBLISHED_BARS = table(
+    ("timeframe", _S), ("open_ms", _L), ("first_us", _L), ("first_id", _L), ("open", AT_REST), ("high", AT_REST), ("low", AT_REST), ("last_us", _L), ("last_id", _L), ("close", AT_REST),
+    ("volume", AT_REST), ("trades", _L), ("since", _L), ("revision", _L), ("symbol", _S), ("date", T.DateType()),
+)
 DESYNC_LOG = table(("symbol", _S), ("kind", _S), ("expected", _L), ("got", _L), ("at_ms", _L))
 SIGNALS = table(
     ("strategy_id", _S), ("instrument", _S), ("ts", _TS), ("direction", _S), ("confidence", _D), ("metadata", _S),

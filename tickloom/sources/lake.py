@@ -16,8 +16,8 @@ from tickloom.schemas import TICK_KINDS
 from tickloom.sources import commits
 from tickloom.sources.messages import fits_scale
 
-#: Kinds of rows in a lake: ticks, and what the ingest knows of them.
-KINDS = {**TICK_KINDS, "desync": S.DESYNC_ROWS, "continuity": S.CONTINUITY}
+#: Kinds of rows in a lake: ticks, what the ingest knows of them, and published bars.
+KINDS = {**TICK_KINDS, "desync": S.DESYNC_ROWS, "continuity": S.CONTINUITY, "bars": S.PUBLISHED_BARS}
 FILES_PER_DAY = 4
 FILE_BYTES = 512 * 1024 * 1024
 # The order rows of a kind are read in.
@@ -98,6 +98,12 @@ def _write_batch(rows: DataFrame, path: str, kind: str, batch: str) -> list[dict
     return commits.written(rows.sparkSession, path, kind, batch)
 
 
+def write_dealt(kind: str, rows: DataFrame, path: str, batch: str) -> list[dict]:
+    """``_write_batch`` of rows dealt by symbol, day and a bounded salt: a few files a day, and no task with a whole hot symbol."""
+    salt = F.pmod(F.xxhash64(*KINDS[kind].names), F.lit(FILES_PER_DAY))
+    return _write_batch(tick_rows(kind, rows).repartition("symbol", "date", salt), path, kind, batch)
+
+
 def append_all(tables: Mapping[str, DataFrame], path: str, batch: str | None = None, replace: Sequence[str] = ()) -> int | None:
     """Add rows of several kinds in one commit; its version, or None if the batch is in the table already.
 
@@ -112,8 +118,7 @@ def append_all(tables: Mapping[str, DataFrame], path: str, batch: str | None = N
     name = f"w-{uuid.uuid4().hex}"
 
     def write(kind: str) -> list[dict]:
-        salt = F.pmod(F.xxhash64(*KINDS[kind].names), F.lit(FILES_PER_DAY))
-        return _write_batch(tick_rows(kind, tables[kind]).repartition("symbol", "date", salt), path, kind, name)
+        return write_dealt(kind, tables[kind], path, name)
 
     # The kinds are jobs of their own; side by side they fill the cluster better than one after the other.
     with ThreadPoolExecutor(len(tables)) as pool:

@@ -26,7 +26,7 @@ from tickloom.operators.books import DEPTH, WINDOW_SECONDS
 from tickloom.operators.joins import latest_per
 from tickloom.operators.series import same_key_join
 from tickloom.session import stable
-from tickloom.sources import commits, lake, messages
+from tickloom.sources import commits, lake, messages, published
 
 TICK_WATERMARK = "5 seconds"
 # Fixed value: candles fed before going live.
@@ -111,10 +111,23 @@ def late_sink(path: str, clock: str, seconds: float) -> Callable[[DataFrame, int
     return write
 
 
+def bars_sink(path: str, timeframe: str, app: str = "bars") -> Callable[[DataFrame, int], None]:
+    """Trades of a batch into published bars, each batch one commit; late trades repair the bars they belong to.
+
+    What ``tumbling_candles`` leaves out is in these bars, at any lateness. Trades that come twice count twice: their
+    stream is de-duplicated before. Readers take ``published.read_bars``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        published.publish(batch, path, timeframe, batch_id, app)
+
+    return write
+
+
 def tumbling_candles(trades: DataFrame, seconds: int, delay: str = TICK_WATERMARK) -> DataFrame:
     """Bars from a trade stream; a bar appears once the watermark has passed its end.
 
-    Trades later than ``delay`` are not in their bar: part them by ``late_sink`` first, which keeps and counts them.
+    Trades later than ``delay`` are not in their bar: part them by ``late_sink`` first, which keeps and counts them, or
+    use ``bars_sink``, which repairs bars.
     """
     at = F.struct("ts", "trade_id")
     w = F.window("ts", f"{seconds} seconds")
@@ -397,3 +410,49 @@ def routed_sink(path: str, read_robots: Callable[[], DataFrame]) -> Callable[[Da
         route_to_robots(batch, read_robots()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+ROBOT = ("robot_id", "instrument", "timeframe", "candidate_kinds")
+
+
+def running_at(log: DataFrame, at) -> DataFrame:
+    """Of a table of robots with their changes (``ROBOT``, status, changed_at), those that run at ``at``."""
+    newest = F.max_by(F.struct(*ROBOT[1:], "status"), F.struct("changed_at", "status")).alias("_r")
+    return log.filter(F.col("changed_at") <= F.lit(at)).groupBy("robot_id").agg(newest).select("robot_id", "_r.*").filter("status = 'running'").select(*ROBOT)
+
+
+def robot_sync_sink(path: str, read_log: Callable[[], DataFrame], history: DataFrame | None = None, bars: int = WARMUP_BARS) -> Callable[[DataFrame, int], None]:
+    """Closed candles to the robots that run, which may start and stop between batches; ``rows`` are robot's candles.
+
+    The table of robots and their changes is read again for every batch and taken as of the batch's newest candle, so a
+    batch that runs again sees the same robots. A robot that starts gets the newest ``bars`` candles of its series from
+    before the batch first (``warmup`` true); one that stops, or changes its series, is taken out of ``active``, and a
+    robot that starts again is warmed up again. If none runs, those there are stay. Kept are one row a robot and
+    ``bars`` candles a series; the state before the last batch stays for one that runs again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, f"{path}/active") if v < batch_id]
+        closed = stable(batch.filter("is_closed"))
+        at = closed.agg(F.max("close_time")).first()[0]
+        if before:
+            active = spark.read.parquet(f"{path}/active/v={before[-1]}")
+            newest = spark.read.schema(closed.schema).parquet(f"{path}/newest/v={before[-1]}")
+        else:
+            active = read_log().select(*ROBOT).limit(0)
+            newest = closed.limit(0) if history is None else warmup(history.select(*closed.columns), bars)
+        wanted = active if at is None else running_at(read_log(), at)
+        wanted = stable(wanted if wanted.limit(1).count() else active)
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ROBOT[:3]]
+        added = wanted.alias("a").join(active.alias("b"), same, "left_anti")
+        live = closed.join(wanted, ["instrument", "timeframe"]).withColumn("warmup", F.lit(False))
+        first = newest.join(added, ["instrument", "timeframe"]).withColumn("warmup", F.lit(True))
+        first.unionByName(live).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        warmup(newest.unionByName(closed), bars).write.mode("overwrite").parquet(f"{path}/newest/v={batch_id}")
+        # Written last: a batch counts as done by it.
+        wanted.write.mode("overwrite").parquet(f"{path}/active/v={batch_id}")
+        for old in before[:-1]:
+            for part in ("active", "newest"):
+                lake.remove(spark, f"{path}/{part}/v={old}")
+
+    return write
