@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 
@@ -38,6 +39,47 @@ def test_long_logins_in_urls(spark):
     assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("url_login")] for r in secrets.report(docs).collect()} == want
 
 
+A, Z = "eyJ" + "a" * 12, "z" * 12
+TOKENS = [f"{A}.{A}.{Z}", f"x {A}.{A}.{Z},{A}.{A}.{Z}\U0001f600{A}.{A}.{Z}", f"{A}.{A}.{A}.{A}.{Z}", f"_{A}.{A}.{Z} {A}.{A}.{Z}", f"=é{A}.{A}.{Z}\n{A}.{A}.short", f"{A}.{A}"]
+
+
+def test_tokens_where_a_run_of_their_characters_begins(spark):
+    docs = spark.createDataFrame(list(enumerate(TOKENS)), "doc_id long, text string")
+    want = {i: [f"web_token:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", t)] for i, t in enumerate(TOKENS)}
+    assert [len(want[i]) for i in range(6)] == [1, 3, 1, 1, 1, 0]
+    assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("web_token")] for r in secrets.report(docs).collect()} == want
+
+
+def test_a_megabyte_of_token_starts_is_read_in_one_go(spark):
+    texts = ["eyJ" * 350_000, "-eyJ" * 260_000, "eyJaaaaaaaaaaaa." * 65_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begin = time.monotonic()
+    found = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    # A start at each of the places would take many minutes.
+    assert time.monotonic() - begin < 60
+    assert found[0] == found[1] == "" and found[2].startswith("web_token:0:47,web_token:48:95,")
+
+
+def test_sql_has_the_rules_of_the_operator(spark):
+    """Logins and tokens of any length, vertical tabs and other white space, all kinds of texts above."""
+    texts = TEXTS + TOKENS + [f"ftp://{'u' * 300}:{'p' * 400}@h", "x://a\x0bb:c@d x://a:b\x0b@c x://q:\u00a0@h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    got = secrets.report(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({secrets.sql()})").fetchall())
+
+
+def test_columns_named_like_those_inside(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef1", 5, 6, 7)], "doc_id long, text string, blob int, span int, number int")
+    assert [(r.doc_id, r.n_assign) for r in secrets.report(docs).collect()] == [(1, 1)]
+    found, ledger, paths = secrets.scan(docs)
+    r = paths.first()
+    assert sorted(paths.columns) == sorted(["doc_id", "path_blob", "path_span", "number", "blob", "span"]) and (r.path_blob, r.path_span, r.number, r.span.kind) == (5, 6, 7, "assign")
+    assert [df.count() for df in secrets.scan(docs.limit(0))] == [0, 0, 0]
+
+
 def test_query_equals_its_sql(spark):
     from tickloom.llm.queries import R
 

@@ -22,9 +22,11 @@ class Rule(NamedTuple):
     least: int
     #: Text without this literal holds no match ("" for none).
     literal: str
+    #: The group, at the match's end, whose place is the span (0: the match).
+    own: int = 0
 
 
-RULE_VERSION = 2
+RULE_VERSION = 3
 #: Tasks that share the paths of one blob.
 SALTS = 16
 # The base rules, in the order of their kinds.
@@ -39,12 +41,11 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, "xox"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, "eyJ"),
-    Rule("url_login", r"://[^\s/:@]+:[^\s/@]+@", 0, 1, "://"),
+    # Only where a run of token characters begins: each run is read once, however often it repeats its first letters.
+    Rule("web_token", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 0, 1, "eyJ", 1),
+    Rule("url_login", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1, "://"),
 )
 RULES = BASE + ADDED
-#: Rules of the registered SQL, which is kept as it was given: its user and password have at most 100 characters each.
-SQL_RULES = tuple(r._replace(pattern=r"://[^\s/:@]{1,100}:[^\s/@]{1,100}@") if r.kind == "url_login" else r for r in RULES)
 
 
 def _holds(text: Column, rule: Rule) -> Column:
@@ -53,12 +54,14 @@ def _holds(text: Column, rule: Rule) -> Column:
 
 
 def _matches(text: Column, number: int, rule: Rule) -> Column:
-    """struct(number, kind, matches: array of struct(gap, size, fine)), null if the text holds none."""
-    pattern = F.lit(rule.pattern)
+    """struct(number, kind, matches: array of struct(gap, size, own, fine)), null if the text holds none."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    fine = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x) >= rule.least)
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(sizes)).alias("gap"), sizes.alias("size"), fine.alias("fine"))
+
+    def sizes(group: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.length)
+
+    fine = F.transform(sizes(rule.group), lambda n: n >= rule.least)
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(sizes(0))).alias("gap"), sizes(0).alias("size"), sizes(rule.own).alias("own"), fine.alias("fine"))
     return F.when(_holds(text, rule), F.struct(F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), zipped.alias("matches")))
 
 
@@ -82,8 +85,8 @@ def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = blobs.select("blob", each).select("blob", "rule.number", "rule.kind", F.posexplode("rule.matches").alias("at", "match"))
     so_far = Window.partitionBy("blob", "number").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("match.gap") + F.col("match.size")).over(so_far)
-    return (rows.select("blob", "number", "kind", "match.size", "match.fine", end.alias("end")).filter("fine")
-            .select("blob", "number", "kind", (F.col("end") - F.col("size")).alias("start"), "end"))
+    return (rows.select("blob", "number", "kind", "match.own", "match.fine", end.alias("end")).filter("fine")
+            .select("blob", "number", "kind", (F.col("end") - F.col("own")).alias("start"), "end"))
 
 
 def _onto_paths(paths: DataFrame, found: DataFrame) -> DataFrame:
@@ -99,7 +102,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame
 
     ``ledger`` (blob, rule_version) and ``known`` (findings with rule_version) are those of earlier runs; only unseen
     pairs are scanned. The third table has every row of ``versions`` without its text, each with each of its spans
-    under this rule version, or once with null spans. Extra columns stay, but for ``text``.
+    under this rule version, or once with null spans. Extra columns stay, but for ``text``; a ``blob`` or ``span`` of
+    theirs comes out as ``path_blob``, ``path_span``, and names that begin with two underscores are taken. Null and empty
+    texts are one blob without findings, repeated rows stay, an empty table gives three empty ones.
     """
     new = unseen(versions, ledger, rule_version)
     found = findings(new, rules).withColumn("rule_version", F.lit(rule_version))
@@ -108,7 +113,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame
         found = known.unionByName(found)
     if ledger is not None:
         entries = ledger.select("blob", "rule_version").unionByName(entries)
-    paths = versions.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).drop("text")
+    address = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    paths = versions.withColumn("__blob", address).drop("text").withColumnsRenamed({"blob": "path_blob", "span": "path_span"})
     now = found.filter(F.col("rule_version") == rule_version).select(F.col("blob").alias("__blob"), F.struct("number", "kind", "start", "end").alias("span"))
     return found, entries, _onto_paths(paths, now).withColumnRenamed("__blob", "blob")
 
@@ -124,7 +130,8 @@ def _number_of(rule: int) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs`` (doc_id, text), scanned as blobs.
 
-    Null and empty texts hold nothing; repeated rows and null ids each keep their row; an empty table gives none.
+    Null and empty texts hold nothing; repeated rows and null ids each keep their row; an empty table gives none. Only
+    doc_id and text are read, so other columns may have any name.
     """
     found = findings(unseen(docs))
     spans = F.array_sort(F.collect_list(F.struct("start", "number", "kind", "end")))
@@ -142,13 +149,14 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def sql(rules: tuple[Rule, ...] = SQL_RULES) -> str:
-    """DuckDB SQL of the registered query."""
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL of the registered query, by the same rules."""
     parts = []
     for number, rule in enumerate(rules):
         p = _quoted(re.sub(r"\\x20", " ", rule.pattern))
         parts.append(f"""select row, {number} as number, '{rule.kind}' as kind,
           list_transform(regexp_extract_all(text, {p}, 0), lambda x: length(x)) as sizes,
+          list_transform(regexp_extract_all(text, {p}, {rule.own}), lambda x: length(x)) as owns,
           list_transform(regexp_extract_all(text, {p}, {rule.group}), lambda x: length(x) >= {rule.least}) as fine,
           list_transform(string_split_regex(text, {p}), lambda x: length(x)) as gaps
           from docs where regexp_matches(text, {p})""")
@@ -157,9 +165,9 @@ def sql(rules: tuple[Rule, ...] = SQL_RULES) -> str:
     return f"""
 with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
 arrays as ({" union all ".join(parts)}),
-matches as (select row, number, kind, generate_subscripts(sizes, 1) as nth, unnest(sizes) as size, unnest(fine) as fine, unnest(gaps[1:len(sizes)]) as gap from arrays),
+matches as (select row, number, kind, generate_subscripts(sizes, 1) as nth, unnest(sizes) as size, unnest(owns) as own, unnest(fine) as fine, unnest(gaps[1:len(sizes)]) as gap from arrays),
 ends as (select *, cast(sum(gap + size) over (partition by row, number order by nth) as bigint) as stop from matches),
-spans as (select row, number, stop - size as start, kind || ':' || (stop - size) || ':' || stop as span from ends where fine),
+spans as (select row, number, stop - own as start, kind || ':' || (stop - own) || ':' || stop as span from ends where fine),
 by_row as (select row, {counts}, string_agg(span, ',' order by start, number) as spans, string_agg(span, ',' order by start, number) filter (number < {len(BASE)}) as base from spans group by row)
 select doc_id, {names}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join by_row using (row)
 """
