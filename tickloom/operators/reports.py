@@ -172,13 +172,68 @@ def cumulative_pnl(trades: DataFrame, keys: Sequence[str], layout: str = "blocks
 
 
 def trade_export(trades: DataFrame, evaluations: DataFrame, strategy_switches: DataFrame, context: Sequence[str], layout: str = "blocks") -> DataFrame:
-    """Trades with the evaluation in force at entry and the latest switch around their life."""
-    judged = as_of(trades, evaluations, context, "opened_at", "evaluated_at", ["evaluated_at", "selected", "regime"], ["evaluation_id"], prefix="judge_", layout=layout)
+    """Trades with the evaluation in force at entry and the latest switch around their life.
+
+    What else evaluations say of regime and selection, and switches of their reason, comes along where it is there.
+    """
+    more = [c for c in ("regime_strength", "regime_summary", "selection_summary") if c in evaluations.columns]
+    judged = as_of(trades, evaluations, context, "opened_at", "evaluated_at", ["evaluated_at", "selected", "regime", *more], ["evaluation_id"], prefix="judge_", layout=layout)
+    reason = [c for c in ("reason",) if c in strategy_switches.columns]
     return interval_latest(
-        judged, strategy_switches, context, "opened_at", "closed_at", "switched_at", ["previous", "selected", "switched_at"], tie=["switch_id"], prefix="switch_", layout=layout
+        judged, strategy_switches, context, "opened_at", "closed_at", "switched_at", ["previous", "selected", "switched_at", *reason], tie=["switch_id"], prefix="switch_", layout=layout
     )
 
 
+# Columns of the trade file.
+TRADE_FILE = (
+    "trade_id", "robot_id", "robot_name", "symbol", "timeframe", "strategy_id", "strategy", "direction", "entry_confidence", "quantity", "entry_price", "exit_price", "opened_at", "closed_at",
+    "duration", "pnl_gross", "fees_paid", "spread_paid", "slippage_paid", "pnl_net", "exit_trigger", "exit_reason", "regime_at_entry", "regime_strength", "regime_summary", "selection_summary",
+    "judge_selected_strategy", "judge_evaluated_at", "related_switch", "related_switch_reason", "related_switch_at",
+)
+
+
+def held(opened: Column, closed: Column) -> Column:
+    """A holding time in hours and minutes, to the nearest minute; a dash if it ends before it begins."""
+    micros = F.unix_micros(closed) - F.unix_micros(opened)
+    minutes = F.floor((micros + 30_000_000) / 60_000_000)
+    hours = F.floor(minutes / 60)
+    rest = F.concat((minutes % 60).cast("string"), F.lit("m"))
+    return (F.when(micros.isNull() | (micros < 0), "\u2014").when(minutes < 1, "<1m")
+            .when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), rest)).otherwise(rest))
+
+
+def trade_file(exported: DataFrame, robots: DataFrame) -> DataFrame:
+    """Rows of ``trade_export`` with their robots (robot_id, robot_name, instrument, timeframe) in the columns of the trade file.
+
+    A trade belongs to the robot of its ``robot_id`` if it has one, else to that of its instrument. Strategies are their
+    kinds, directions, triggers, regimes and reasons their codes (sentences are the reader's), times ISO text. Columns
+    that trades or evaluations lack are null, and so is the robot of a trade that has none; no trade is lost.
+    """
+    by = "robot_id" if "robot_id" in exported.columns else "instrument"
+    joined = exported.join(robots.select(by, *[c for c in ("robot_id", "robot_name", "timeframe") if c != by]), by, "left")
+
+    def known(name: str) -> Column:
+        return F.col(name) if name in exported.columns else F.lit(None).cast("string")
+
+    def kind(name: str) -> Column:
+        # Instances are named prefix::kind or kind@instrument.
+        return F.substring_index(F.substring_index(known(name), "::", -1), "@", 1)
+
+    def iso(name: str) -> Column:
+        return F.date_format(known(name), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+    direction = F.coalesce(known("entry_direction"), F.when(F.lower("side") == "buy", "long").otherwise(F.col("side")))
+    switch = F.when(F.col("switch_switched_at").isNotNull(), F.concat(F.coalesce(kind("switch_previous"), F.lit("none")), F.lit(" > "), F.coalesce(kind("switch_selected"), F.lit("none"))))
+    made = {
+        "trade_id": F.col("position_id"), "symbol": F.col("instrument"), "strategy": kind("strategy_id"), "direction": direction, "opened_at": iso("opened_at"), "closed_at": iso("closed_at"),
+        "duration": held(F.col("opened_at"), F.col("closed_at")), "regime_at_entry": known("judge_regime"), "regime_strength": known("judge_regime_strength"),
+        "regime_summary": known("judge_regime_summary"), "selection_summary": known("judge_selection_summary"), "judge_selected_strategy": kind("judge_selected"),
+        "judge_evaluated_at": iso("judge_evaluated_at"), "related_switch": switch, "related_switch_reason": known("switch_reason"), "related_switch_at": iso("switch_switched_at"),
+        **{c: F.col(c) for c in ("robot_id", "robot_name", "timeframe")},
+    }
+    return joined.select(*[made.get(c, known(c)).alias(c) for c in TRADE_FILE])
+
+
 def decision_rows(evaluations: DataFrame) -> DataFrame:
     """One row per candidate inside each evaluation payload; both payload versions are read."""
     return decode_evaluations(evaluations).select("evaluation_id", "payload_version", F.explode("decisions").alias("d")).select(

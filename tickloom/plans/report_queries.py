@@ -15,6 +15,8 @@ from tickloom.operators.series import as_of
 from tickloom.plans import trade_queries as T
 from tickloom.plans.adapters import KIND_SQL, KINDS, TAPE_SQL, TRADES_SQL, closed_trades, load, r6, tape, us
 from tickloom.plans.registry import Registry
+from tickloom.session import scratch_path
+from tickloom.sources import lake as K
 
 R = Registry()
 
@@ -263,6 +265,38 @@ R.add("q_trade_export", lambda s, d: Q.trade_export(closed_trades(s, d), judgeme
       "position_id", us("judge_evaluated_at"), "judge_selected", "judge_regime", us("switch_switched_at"), "switch_selected", r6("pnl_net")),
       f"""WITH {ASOF_SQL} SELECT t.position_id, epoch_us(j.e) AS judge_evaluated_at_us, j.s AS judge_selected, j.r AS judge_regime, epoch_us(w.a) AS switch_switched_at_us, w.s AS switch_selected,
  round(CAST(pnl_net AS DOUBLE), 6) AS pnl_net FROM trades t LEFT JOIN judged USING (position_id) LEFT JOIN switched USING (position_id)""")
+
+
+def trade_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trades as the trade file, written as CSV and read back; summaries hold quotes, commas and a line break. One robot
+    an instrument, on hourly bars; prices, confidence and exits come from the numbers of the orders."""
+    n = F.col("position_id")
+    t = closed_trades(spark, sf_dir).withColumns({
+        "entry_confidence": (n % 100 / 100).cast("decimal(4,2)"), "entry_price": (n % 1000 + 100).cast("decimal(38,8)"), "exit_price": (n % 1000 + 101).cast("decimal(38,8)"),
+        "exit_trigger": F.when(n % 3 == 0, "stop_loss").when(n % 3 == 1, "signal"), "exit_reason": F.concat(F.lit("rule "), (n % 7).cast("string"))})
+    e = judgements(spark, sf_dir).withColumns({
+        "regime_strength": (F.col("evaluation_id") % 10 / 10).cast("decimal(2,1)"), "regime_summary": F.concat("regime", F.lit(" of\n"), "instrument"),
+        "selection_summary": F.concat(F.lit('"'), "selected", F.lit('", chosen'))})
+    robot = t.select("instrument").distinct().select(F.concat(F.lit("r-"), "instrument").alias("robot_id"), F.concat(F.lit("desk, "), "instrument").alias("robot_name"), "instrument", F.lit("1h").alias("timeframe"))
+    out = Q.trade_file(Q.trade_export(t, e, switch_rows(spark, sf_dir).withColumn("reason", F.lit("better_score")), ["instrument"]), robot)
+    path = scratch_path(spark, "trade-file")
+    K.write_csv(out, path)
+    return spark.read.csv(path, header=True, schema=out.schema, quote='"', escape='"', multiLine=True)
+
+
+AMOUNTS = ("quantity", "entry_price", "exit_price", "pnl_gross", "fees_paid", "spread_paid", "slippage_paid", "pnl_net", "entry_confidence", "regime_strength")
+ISO = "'%Y-%m-%dT%H:%M:%S.%fZ'"
+R.add("sink_trade_file", lambda s, d: trade_file(s, d).select(*[r6(c) if c in AMOUNTS else c for c in Q.TRADE_FILE]),
+      f"""WITH {ASOF_SQL}, t AS (
+  SELECT *, position_id % 100 / 100.0 AS entry_confidence, position_id % 1000 + 100 AS entry_price, position_id % 1000 + 101 AS exit_price, date_diff('minute', opened_at, closed_at) AS minutes FROM trades)
+ SELECT position_id AS trade_id, 'r-' || t.instrument AS robot_id, 'desk, ' || t.instrument AS robot_name, t.instrument AS symbol, '1h' AS timeframe, t.strategy_id, split_part(t.strategy_id, '::', 2) AS strategy, 'long' AS direction,
+  {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in AMOUNTS[:9])}, strftime(opened_at, {ISO}) AS opened_at, strftime(closed_at, {ISO}) AS closed_at,
+  (minutes // 60) || 'h ' || (minutes % 60) || 'm' AS duration, CASE position_id % 3 WHEN 0 THEN 'stop_loss' WHEN 1 THEN 'signal' END AS exit_trigger, 'rule ' || (position_id % 7) AS exit_reason,
+  j.r AS regime_at_entry, round(CAST(d.id % 10 / 10.0 AS DOUBLE), 6) AS regime_strength, j.r || ' of' || chr(10) || t.instrument AS regime_summary, '"' || j.s || '", chosen' AS selection_summary,
+  regexp_replace(regexp_replace(j.s, '^.*::', ''), '@.*$', '') AS judge_selected_strategy, strftime(j.e, {ISO}) AS judge_evaluated_at,
+  CASE WHEN w IS NOT NULL THEN 'long > ' || regexp_replace(regexp_replace(w.s, '^.*::', ''), '@.*$', '') END AS related_switch, CASE WHEN w IS NOT NULL THEN 'better_score' END AS related_switch_reason, strftime(w.a, {ISO}) AS related_switch_at
+ FROM t LEFT JOIN (SELECT position_id, j, i AS id FROM judged JOIN (SELECT position_id, max_by(id, epoch_us(created_at)::HUGEINT * 10000000000 + id) AS i
+  FROM trades t JOIN decisions d ON d.instrument = t.instrument AND NOT approved AND created_at <= opened_at GROUP BY 1) USING (position_id)) d USING (position_id) LEFT JOIN switched USING (position_id)""")
 R.add("q_judge_timeline", lambda s, d: Q.judge_timeline(judgements(s, d).select(F.col("evaluated_at").alias("at"), F.col("evaluation_id").alias("id")), switch_rows(s, d).select(F.col("switched_at").alias("at"), F.col("switch_id").alias("id"))).select(us("at"), "kind", "id"),
       f"""WITH {DECISIONS_SQL}, s AS (SELECT created_at, id FROM decisions WHERE trigger = 'strategy_switch' AND approved AND direction = 'long' ORDER BY created_at DESC, id DESC LIMIT 20),
  e AS (SELECT created_at, id FROM decisions WHERE NOT approved ORDER BY created_at DESC, id DESC LIMIT 24)
