@@ -145,3 +145,39 @@ def test_reports_cover_every_run(spark):
     graded = W.diagnostics(plain_)
     assert {r["class"] for r in graded.collect()} <= {"LOW_SAMPLE", "NO_EDGE", "FRICTION_LIMITED", "NET_POSITIVE"}
     assert W.pairs(graded).count() == 3 * 5 and W.consistency(graded).filter("consistent").count() > 0
+
+
+def test_reports_say_what_they_ran_on(spark):
+    def bar(symbol, arrived, day, close):
+        return (symbol, "1d", T0 + timedelta(days=day), T0 + timedelta(days=day + 1), Decimal(close), True, arrived)
+
+    start = T0.replace(tzinfo=None)
+    # GOOD is whole; HOLE lacks two days, has one bar twice and one that came late.
+    days = [(0, 100), (1, 110), (2, 120), (5, 90), (5, 90), (4, 80)]
+    data = [bar("GOOD", d, d, 50 + d) for d in range(200)] + [bar("HOLE", i, d, c) for i, (d, c) in enumerate(days)]
+    bars = spark.createDataFrame(data, "instrument string, timeframe string, open_time timestamp, close_time timestamp, close decimal(18,8), is_closed boolean, seq long")
+    for layout in ("plain", "blocks"):
+        cut = W.windowed(bars)
+        kept, skipped, report = W.strict(cut, "1d", layout, seq="seq")
+        assert {r.symbol for r in kept.collect()} == {"GOOD"} and {r.symbol for r in skipped.collect()} == {"HOLE"} and skipped.count() == 5
+        ran = W.run_data(cut, report)
+        hole = ran.filter("symbol = 'HOLE' AND window = 'full'").first()
+        assert (hole.candles_used, hole.gap_count, hole.total_missing, hole.duplicate_count, hole.out_of_order_count) == (6, 1, 2, 1, 1)
+        assert (hole.period_start, hole.period_end, round(hole.benchmark_return, 9)) == (start, start + timedelta(days=6), -0.1)
+        short = ran.filter("symbol = 'GOOD' AND window = '3m'").first()
+        assert short.is_clean and short.period_end == start + timedelta(days=200) and short.candles_used < 95
+        first = short.period_start
+        times = [(first - timedelta(days=1), first + timedelta(days=1)), (first, first + timedelta(days=1)), (short.period_end - timedelta(days=1), short.period_end), (short.period_end - timedelta(days=1), short.period_end + timedelta(days=1))]
+        trades = spark.createDataFrame([(i, "GOOD", "1d", "momentum", a, b, "closed", Decimal(3), Decimal(1), Decimal(2), Decimal(0), Decimal(0)) for i, (a, b) in enumerate(times)],
+                                       "position_id long, symbol string, timeframe string, strategy_id string, opened_at timestamp, closed_at timestamp, status string, pnl_gross decimal(18,5), fees_paid decimal(18,5), "
+                                       "pnl_net decimal(18,5), spread_paid decimal(18,5), slippage_paid decimal(18,5)").withColumn("side", F.lit("buy"))
+        within = W.trades_in_slices(trades, ran)
+        assert sorted(r.position_id for r in within.filter("window = '3m'").collect()) == [1, 2] and within.filter("window = 'full'").count() == 3
+        out = W.experiment_reports(within, ran, 1000.0, ["momentum", "mean_reversion"], layout=layout)
+        assert out.count() == 2 * 5 * 2
+        none = out.filter("symbol = 'HOLE' AND window = 'full' AND strategy_id = 'momentum'").first()
+        assert (none.total_trades, none.gap_count, none.positive_days, none.max_drawdown_pct, none.profit_factor) == (0, 1, 0, 0.0, None)
+        some = out.filter("symbol = 'GOOD' AND window = '3m' AND strategy_id = 'momentum'").first()
+        assert (some.total_trades, some.net_return_pct, some.gross_return_pct, some.positive_days) == (2, 0.004, 0.006, 2)
+    empty = W.experiment_reports(within.limit(0), ran, 1000.0, ["momentum"])
+    assert {r.total_trades for r in empty.collect()} == {0} and empty.count() == 10

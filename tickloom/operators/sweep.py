@@ -29,14 +29,32 @@ def windowed(candles: DataFrame) -> DataFrame:
     return cut.withColumn("instrument", F.concat_ws("@", "symbol", "window"))
 
 
-def strict(slices: DataFrame, timeframe: str, layout: str = "blocks") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of clean slices, skipped slices, validation report)."""
-    audited = C.audit(slices.withColumn("seq", F.unix_micros("open_time")), timeframe, keys=SLICE, layout=layout)
+def strict(slices: DataFrame, timeframe: str, layout: str = "blocks", seq: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of clean slices, skipped slices, validation report).
+
+    ``seq`` names the order of arrival, unique in a slice; without it rows count as arrived by open time, which shows gaps only.
+    """
+    placed = slices if seq else slices.withColumn("seq", F.unix_micros("open_time"))
+    audited = C.audit(placed, timeframe, seq=seq or "seq", keys=SLICE, layout=layout)
     report = C.validation_report(audited, SLICE)
     kept, skipped = C.strict_gate(slices, report, SLICE)
     return kept, skipped, report
 
 
+def run_data(slices: DataFrame, report: DataFrame) -> DataFrame:
+    """What each slice ran on: its period, candles used, data quality (the report of ``strict``) and buy-and-hold return."""
+    spans = slices.groupBy(*SLICE).agg(F.min("open_time").alias("period_start"), F.max("close_time").alias("period_end"))
+    return spans.join(report.withColumnRenamed("rows", "candles_used"), list(SLICE)).join(C.buy_and_hold(slices, SLICE), list(SLICE))
+
+
+def trades_in_slices(trades: DataFrame, data: DataFrame) -> DataFrame:
+    """Given closed trades (symbol, timeframe, strategy_id, opened_at, closed_at), once for each slice of ``data`` (``run_data``)
+    in whose period they were opened and closed. A series has as many slices as there are look-back windows."""
+    spans = data.select(*SLICE, "period_start", "period_end")
+    within = (F.col("opened_at") >= F.col("period_start")) & (F.col("closed_at") <= F.col("period_end"))
+    return trades.join(spans, ["symbol", "timeframe"]).filter(within).drop("period_start", "period_end")
+
+
 def trades_by_window(trades: DataFrame, keys: Sequence[str] = ("symbol", "timeframe")) -> DataFrame:
     """Given closed trades (keys, strategy_id, opened_at, closed_at), once for each look-back window they lie in.
 
@@ -47,15 +65,16 @@ def trades_by_window(trades: DataFrame, keys: Sequence[str] = ("symbol", "timefr
 
 
 def experiment_reports(trades: DataFrame, report: DataFrame, cash: float, kinds: Sequence[str] | None = None, layout: str = "blocks") -> DataFrame:
-    """One row per run of ``report`` (symbol, timeframe, window and its data quality) and strategy kind: performance,
-    equity, returns and drawdown of the given trades (``trades_by_window``); runs without trades too."""
+    """One row per run of ``report`` (a row a slice: ``run_data``, or any columns to carry) and strategy kind: performance,
+    equity, returns and drawdown of the given trades (``trades_in_slices``); runs without trades too, with zeros."""
     trades = stable(trades)
     keys = matrix(report.select(*SLICE).distinct(), kinds)
     done = performance(trades, RUN).join(max_drawdown(trades, RUN, layout=layout), list(RUN))
     path = running(trades, RUN, ["closed_at", "position_id"], {"_net": ("sum", F.col("pnl_net"))}, layout=layout)
     equity = path.select(*RUN, F.col("closed_at").alias("ts"), F.col("position_id").alias("seq"), (F.col("_net").cast("double") + cash).alias("equity"), (F.col("_net").cast("double") / cash).alias("return_pct"))
     curve = equity_report(equity, RUN, cash, layout=layout)
-    out = complete(done, keys, RUN).join(curve, list(RUN), "left").join(report, list(SLICE))
+    curve_figures = ["average_daily_return_pct", "positive_days", "negative_days", "flat_days", "max_drawdown_pct"]
+    out = complete(done, keys, RUN).join(curve, list(RUN), "left").fillna(0, subset=curve_figures).join(report, list(SLICE))
     return out.withColumns({"initial_balance": F.lit(cash), "gross_return_pct": F.col("gross_pnl") / F.lit(cash), "net_return_pct": F.coalesce("net_return_pct", F.lit(0.0))})
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import money as M
 from tickloom.operators import accounts as A
+from tickloom.operators import candles as C
 from tickloom.operators import ledger as L
 from tickloom.operators import signals as S
 from tickloom.operators import sweep as W
@@ -17,6 +20,8 @@ from tickloom.plans.adapters import TRADES_SQL, bars, bars_sql, closed_trades, l
 from tickloom.plans.candle_queries import frame, gated
 from tickloom.plans.registry import Registry
 from tickloom.plans.report_queries import INSTRUMENTS_SQL, POSITIONS_SQL, dims, instruments, marks, positions
+from tickloom.plans.trade_queries import performance_sql
+from tickloom.session import stable
 
 R = Registry()
 UNITS = {"tick": "0.01", "lot": "0.0001", "min_quantity": "0.0001", "min_notional": "10"}
@@ -240,34 +245,118 @@ R.add("dispatch", lambda s, d: S.dispatch(momentum_rows(s, d), instances_of(s, d
 RUN = list(W.RUN)
 
 
-def run_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed trades in every look-back window they lie in."""
-    t = closed_trades(spark, sf_dir).withColumns({"symbol": F.col("instrument"), "timeframe": F.lit("1d"), "strategy_id": F.substring_index("strategy_id", "::", -1)})
-    return W.trades_by_window(t)
+# Orders of even number run on daily candles, the others on weekly ones.
+SWEPT = ("1d", "1w")
 
 
-def run_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slices of the runs with how many trades of any strategy they have."""
-    return run_trades(spark, sf_dir).groupBy(*W.SLICE).agg(F.count(F.lit(1)).alias("slice_trades"))
+def run_slices(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """By timeframe: what each slice of candles (of order prices) ran on, the keys of clean slices, the skipped slices."""
+    prices = load(spark, sf_dir, "orders").filter("o_totalprice > 0").select(
+        F.concat(F.lit("i"), (F.col("o_custkey") % 5).cast("string")).alias("instrument"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("trade_id"),
+        F.col("o_totalprice").cast("decimal(18,8)").alias("price"), F.lit(1).cast("decimal(18,8)").alias("quantity"))
+    found = []
+    for timeframe in SWEPT:
+        # A row per bar and window; three aggregates read it.
+        cut = stable(W.windowed(C.candles_from_trades(prices, timeframe)))
+        kept, skipped, report = W.strict(cut, timeframe, trade_layout(spark, sf_dir))
+        found.append((W.run_data(cut, report), kept.select(*W.SLICE).distinct(), skipped))
+    return found
+
+
+def run_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable(reduce(DataFrame.unionByName, [data for data, _, _ in run_slices(spark, sf_dir)]))
+
+
+def run_trades(spark: SparkSession, sf_dir: str, data: DataFrame) -> DataFrame:
+    """Closed trades in every slice whose period they lie in."""
+    timeframe = F.when(F.col("position_id") % 2 == 0, SWEPT[0]).otherwise(SWEPT[1])
+    t = closed_trades(spark, sf_dir).withColumns({"symbol": F.col("instrument"), "timeframe": timeframe, "strategy_id": F.substring_index("strategy_id", "::", -1)})
+    return W.trades_in_slices(t, data)
+
+
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of the matrix behind the strict gate: its trades, or why its slice was skipped."""
+    parts = run_slices(spark, sf_dir)
+    clean = reduce(DataFrame.unionByName, [kept for _, kept, _ in parts])
+    skipped = reduce(DataFrame.unionByName, [bad for _, _, bad in parts])
+    data = reduce(DataFrame.unionByName, [d for d, _, _ in parts]).join(clean, list(W.SLICE), "left_semi")
+    trades = run_trades(spark, sf_dir, data).groupBy(*RUN).agg(F.count(F.lit(1)).alias("trades"), us_of("min", "opened_at", "first_us"), us_of("max", "closed_at", "last_us"))
+    ran = W.matrix(clean).join(trades, RUN, "left").select(*RUN, F.lit(False).alias("skipped"), F.coalesce("trades", F.lit(0)).alias("trades"), "first_us", "last_us", *[F.lit(0).cast("long").alias(c) for c in FAULTS])
+    none = F.lit(None).cast("long")
+    left_out = W.matrix(skipped).join(skipped.select(*W.SLICE, *FAULTS), list(W.SLICE)).select(*RUN, F.lit(True).alias("skipped"), F.lit(0).cast("long").alias("trades"), none.alias("first_us"), none.alias("last_us"), *FAULTS)
+    return ran.unionByName(left_out)
+
+
+def us_of(which: str, column: str, name: str) -> Column:
+    return F.unix_micros(getattr(F, which)(column)).alias(name)
+
+
+FAULTS = ("gap_count", "total_missing", "duplicate_count", "out_of_order_count")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full report of every run, clean or not, with what it ran on."""
+    data = run_data(spark, sf_dir)
+    return W.experiment_reports(run_trades(spark, sf_dir, data), data, 100_000.0, layout=trade_layout(spark, sf_dir))
+
+
+# Columns of a report beside its keys: as they are, to 6 decimals, and returns on a given balance to 10, which is all they have.
+REPORT_COUNTS = ("candles_used", *FAULTS, "total_trades", "winners", "losers", "average_duration_s", "positive_days", "negative_days", "flat_days")
+REPORT_FIGURES = ("benchmark_return", "win_rate", "gross_pnl", "net_pnl", "average_win", "average_loss", "profit_factor", "expectancy", "max_drawdown", "total_fees", "total_spread_cost",
+                  "total_slippage_cost", "average_daily_return_pct", "max_drawdown_pct")
+REPORT_RETURNS = ("gross_return_pct", "net_return_pct")
+
+
+def report_figures(df: DataFrame, named: Mapping[str, str] = {}) -> list[Column]:
+    """Columns of ``df`` to compare; ``named`` gives those with another name there."""
+    at = {c: named.get(c, c) for c in (*REPORT_COUNTS, *REPORT_FIGURES, *REPORT_RETURNS)}
+    return [*[F.col(at[c]).alias(at[c]) for c in REPORT_COUNTS if at[c] in df.columns], *[r6(at[c]) for c in REPORT_FIGURES if at[c] in df.columns],
+            *[(F.round(at[c], 10) + F.lit(0.0)).alias(at[c]) for c in REPORT_RETURNS if at[c] in df.columns]]
+
+
+WINDOWS_SQL = "(VALUES ('full', NULL), ('24m', 24), ('12m', 12), ('6m', 6), ('3m', 3)) v(span, months)"
+RUNS_SQL = f"""{TRADES_SQL},
+ candles AS (SELECT 'i' || CAST(o_custkey % 5 AS VARCHAR) AS symbol, timeframe, step, epoch_us(o_orderdate) // (step * 1000000) * step AS open_s,
+   CAST(max_by(CAST(o_totalprice AS DECIMAL(18,8)), epoch_us(o_orderdate)::HUGEINT * 10000000000 + o_orderkey) AS DOUBLE) AS close
+  FROM orders CROSS JOIN (VALUES ('1d', 86400::BIGINT), ('1w', 604800::BIGINT)) f(timeframe, step) WHERE o_totalprice > 0 GROUP BY ALL),
+ stops AS (SELECT symbol, timeframe, make_timestamp(max(open_s + step) * 1000000) AS stop FROM candles GROUP BY ALL),
+ cut AS (SELECT * FROM candles JOIN stops USING (symbol, timeframe) CROSS JOIN {WINDOWS_SQL} WHERE months IS NULL OR make_timestamp(open_s * 1000000) >= stop - to_months(months)),
+ holes AS (SELECT *, coalesce((open_s - lag(open_s) OVER (PARTITION BY symbol, timeframe, span ORDER BY open_s)) // step - 1, 0) AS missing FROM cut),
+ data AS (SELECT symbol, timeframe, span, min(open_s) * 1000000 AS period_start_us, max(open_s + step) * 1000000 AS period_end_us, count(*) AS candles_used, count(*) FILTER (missing > 0) AS gap_count,
+   CAST(sum(missing) AS BIGINT) AS total_missing, 0::BIGINT AS duplicate_count, 0::BIGINT AS out_of_order_count, (max_by(close, open_s) - min_by(close, open_s)) / min_by(close, open_s) AS benchmark_return
+  FROM holes GROUP BY ALL),
+ runs AS (SELECT symbol, d.timeframe, span, split_part(t.strategy_id, '::', 2) AS strategy_id, t.* EXCLUDE (instrument, strategy_id) FROM trades t JOIN data d
+  ON symbol = instrument AND d.timeframe = CASE WHEN position_id % 2 = 0 THEN '1d' ELSE '1w' END AND epoch_us(opened_at) >= period_start_us AND epoch_us(closed_at) <= period_end_us),
+ kinds AS (SELECT * FROM (VALUES {', '.join(f"('{k}')" for k in S.CATALOG)}) b(strategy_id))"""
+RUN_SQL = "symbol, timeframe, span, strategy_id"
+REPORTS_SQL = f"""{RUNS_SQL}, {performance_sql(RUN_SQL, 'runs')},
+ path AS (SELECT *, sum(pnl_net) OVER (PARTITION BY {RUN_SQL} ORDER BY closed_at, position_id) AS net FROM runs),
+ falls AS (SELECT *, 100000 + CAST(net AS DOUBLE) AS equity, max(net) OVER (PARTITION BY {RUN_SQL} ORDER BY closed_at, position_id) AS top FROM path),
+ drawn AS (SELECT {RUN_SQL}, CAST(max(greatest(top, 0) - net) AS DOUBLE) AS max_drawdown, max((100000 + CAST(top AS DOUBLE) - equity) / nullif(greatest(100000 + CAST(top AS DOUBLE), 0), 0)) AS max_drawdown_pct FROM falls GROUP BY ALL),
+ ends AS (SELECT {RUN_SQL}, date_trunc('day', closed_at) AS p, max_by(equity, epoch_us(closed_at)::HUGEINT * 10000000000 + position_id) AS e FROM falls GROUP BY ALL),
+ rets AS (SELECT *, coalesce((e - lag(e, 1, 100000) OVER q) / nullif(lag(e, 1, 100000) OVER q, 0), 0) AS r FROM ends WINDOW q AS (PARTITION BY {RUN_SQL} ORDER BY p)),
+ days AS (SELECT {RUN_SQL}, avg(r) AS average_daily_return_pct, count(*) FILTER (r > 0) AS positive_days, count(*) FILTER (r < 0) AS negative_days, count(*) FILTER (r = 0) AS flat_days FROM rets GROUP BY ALL),
+ reports AS (SELECT * REPLACE ({', '.join(f'coalesce({c}, 0) AS {c}' for c in (*REPORT_COUNTS[5:], *(c for c in REPORT_FIGURES if c not in ('benchmark_return', 'profit_factor'))))}),
+   coalesce(gross_pnl, 0) / 100000 AS gross_return_pct, coalesce(net_pnl, 0) / 100000 AS net_return_pct
+  FROM data CROSS JOIN kinds LEFT JOIN report USING ({RUN_SQL}) LEFT JOIN drawn USING ({RUN_SQL}) LEFT JOIN days USING ({RUN_SQL}))"""
+
+
+def report_figures_sql(named: Mapping[str, str] = {}) -> str:
+    shown = [(c, c) for c in REPORT_COUNTS] + [(f"round({c}, 6)", c) for c in REPORT_FIGURES] + [(f"round({c}, 10)", c) for c in REPORT_RETURNS]
+    return ", ".join(f"{v} AS {named.get(c, c)}" for v, c in shown)
 
 
-RUNS_SQL = f"""{TRADES_SQL}, ends AS (SELECT instrument, max(closed_at) AS stop FROM trades GROUP BY 1),
- runs AS (SELECT instrument AS symbol, w, split_part(strategy_id, '::', 2) AS strategy_id, position_id, opened_at, closed_at, pnl_gross, pnl_net FROM trades JOIN ends USING (instrument)
-  CROSS JOIN (VALUES ('full', NULL), ('24m', 24), ('12m', 12), ('6m', 6), ('3m', 3)) v(w, months) WHERE months IS NULL OR opened_at >= stop - to_months(months)),
- path AS (SELECT *, sum(pnl_net) OVER (PARTITION BY symbol, w, strategy_id ORDER BY closed_at, position_id) AS net FROM runs),
- falls AS (SELECT *, greatest(max(net) OVER (PARTITION BY symbol, w, strategy_id ORDER BY closed_at, position_id), 0) - net AS fall FROM path),
- done AS (SELECT symbol, w, strategy_id, count(*) AS n, count(*) FILTER (pnl_net > 0) AS winners, sum(pnl_gross) AS gross, sum(pnl_net) AS net, max(fall) AS fall FROM falls GROUP BY ALL),
- wanted AS (SELECT DISTINCT symbol, w, k AS strategy_id FROM runs CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in S.CATALOG)}) b(k))"""
 R.add("sweep_matrix", lambda s, d: W.matrix(W.windowed(bars(s, d, "1h")).select(*W.SLICE).distinct()),
       f"""WITH {bars_sql('1h')} SELECT DISTINCT instrument AS symbol, timeframe, w AS "window", k AS strategy_id FROM bars CROSS JOIN (VALUES ('full'), ('24m'), ('12m'), ('6m'), ('3m')) a(w)
  CROSS JOIN (VALUES {', '.join(f"('{k}')" for k in S.CATALOG)}) b(k)""")
-R.add("sweep_run", lambda s, d: run_trades(s, d).groupBy(*RUN).agg(F.count(F.lit(1)).alias("trades"), F.unix_micros(F.min("opened_at")).alias("first_us"), F.unix_micros(F.max("closed_at")).alias("last_us")),
-      f"""WITH {RUNS_SQL} SELECT symbol, '1d' AS timeframe, w AS "window", strategy_id, count(*) AS trades, epoch_us(min(opened_at)) AS first_us, epoch_us(max(closed_at)) AS last_us FROM runs GROUP BY ALL""")
-R.add("experiment_report", lambda s, d: W.experiment_reports(run_trades(s, d), run_slices(s, d), 100_000.0, layout=trade_layout(s, d)).select(
-    "symbol", "window", "strategy_id", "slice_trades", "total_trades", "winners", r6("net_pnl"), r6("gross_return_pct"), r6("net_return_pct"), r6("max_drawdown")),
-      f"""WITH {RUNS_SQL}, s AS (SELECT symbol, w, count(*) AS slice_trades FROM runs GROUP BY ALL)
- SELECT symbol, w AS "window", strategy_id, slice_trades, coalesce(n, 0) AS total_trades, coalesce(winners, 0) AS winners, round(coalesce(CAST(net AS DOUBLE), 0), 6) AS net_pnl, round(coalesce(CAST(gross AS DOUBLE), 0) / 100000, 6) AS gross_return_pct,
- round(coalesce(CAST(net AS DOUBLE), 0) / 100000, 6) AS net_return_pct, round(coalesce(CAST(fall AS DOUBLE), 0), 6) AS max_drawdown FROM wanted LEFT JOIN done USING (symbol, w, strategy_id) JOIN s USING (symbol, w)""")
+R.add("sweep_run", swept,
+      f"""WITH {RUNS_SQL}, done AS (SELECT {RUN_SQL}, count(*) AS trades, epoch_us(min(opened_at)) AS first_us, epoch_us(max(closed_at)) AS last_us FROM runs GROUP BY ALL)
+ SELECT symbol, timeframe, span AS "window", strategy_id, gap_count > 0 AS skipped, CASE WHEN gap_count > 0 THEN 0 ELSE coalesce(trades, 0) END AS trades, CASE WHEN gap_count = 0 THEN first_us END AS first_us,
+  CASE WHEN gap_count = 0 THEN last_us END AS last_us, {', '.join(FAULTS)} FROM data CROSS JOIN kinds LEFT JOIN done USING ({RUN_SQL})""")
+R.add("experiment_report", lambda s, d: (r := reports(s, d)).select(
+    *RUN, us("period_start"), us("period_end"), *report_figures(r), F.coalesce(F.size("monthly_returns"), F.lit(0)).cast("long").alias("months")),
+      f"""WITH {REPORTS_SQL}, m AS (SELECT {RUN_SQL}, count(DISTINCT date_trunc('month', closed_at)) AS months FROM runs GROUP BY ALL)
+ SELECT symbol, timeframe, span AS "window", strategy_id, period_start_us, period_end_us, {report_figures_sql()}, coalesce(months, 0) AS months FROM reports LEFT JOIN m USING ({RUN_SQL})""")
 
 
 def trade_layout(spark: SparkSession, sf_dir: str) -> str:

@@ -10,7 +10,7 @@ from tickloom.operators import books as B
 from tickloom.plans import book_queries as BQ
 from tickloom.plans.adapters import TRADES_SQL, bars, bars_sql, closed_trades, load, r6, us
 from tickloom.plans.candle_queries import ARRIVALS_SQL, REPORT_SQL, audited, ohlc_sql, sized
-from tickloom.plans.ledger_queries import DIAGNOSED_SQL, trade_reports
+from tickloom.plans.ledger_queries import DIAGNOSED_SQL, REPORTS_SQL, report_figures, report_figures_sql, reports, trade_reports
 from tickloom.plans.registry import Registry
 from tickloom.operators import sweep as W
 from tickloom.session import scratch_path
@@ -265,15 +265,17 @@ R.add("sink_trades_csv", csv_trip, f"""WITH {TRADES_SQL} SELECT position_id, str
 
 
 def summary_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 28 columns of all runs through the file; what a run lacks is a dash there."""
     path = scratch_path(spark, "summary")
-    r = trade_reports(spark, sf_dir)
-    blank = {c: F.lit(0.0) for c in {K.REPORT_NAMES.get(c, c) for c in K.SUMMARY_COLUMNS} - set(r.columns)}
-    table = K.summary_table(r.withColumns(blank))
-    K.write_csv(table, path)
-    return K.read_csv(spark, path, table.schema).select("symbol", "window", "strategy_id", "total_trades", r6("net_return_pct"))
+    table = K.summary_table(reports(spark, sf_dir))
+    K.write_csv(table, path, "-")
+    back = K.read_csv(spark, path, table.schema, "-")
+    return back.select(*W.RUN, *report_figures(back, SUMMARY_NAMES))
 
 
-R.add("sink_summary_csv", summary_trip, f'WITH {DIAGNOSED_SQL} SELECT symbol, w AS "window", strategy_id, n AS total_trades, round(net / 100000, 6) AS net_return_pct FROM diagnosed')
+SUMMARY_NAMES = {column: name for name, column in K.REPORT_NAMES.items()}
+R.add("sink_summary_csv", summary_trip,
+      f"""WITH {REPORTS_SQL} SELECT symbol, timeframe, "window", strategy_id, {', '.join(c for c in K.SUMMARY_COLUMNS[4:])} FROM (SELECT symbol, timeframe, span AS "window", strategy_id, {report_figures_sql(SUMMARY_NAMES)} FROM reports)""")
 
 
 def signal_report_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

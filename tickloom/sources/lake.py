@@ -236,12 +236,13 @@ def summary_table(reports: DataFrame) -> DataFrame:
     return reports.select(*[F.col(REPORT_NAMES.get(c, c)).alias(c) for c in SUMMARY_COLUMNS])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(df: DataFrame, path: str, missing: str = "") -> None:
+    """``missing`` stands for nulls (a summary has ``-``)."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', nullValue=missing)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, schema: StructType, missing: str = "") -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', nullValue=missing)
 
 
 def write_json(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
