@@ -49,6 +49,23 @@ def test_lines_against_plain(spark):
     assert linededup.report(docs.limit(0)).count() == 0
 
 
+def test_lines_of_hot_ids(spark):
+    # A third of the rows without an id, a third under one id, copies among both: losses go by id and text, a bounded row each.
+    texts = [f"line number {n % 40} of many\nanother long line {n % 7}\nown words of {n % 90}" for n in range(300)]
+    rows = [(None if n % 3 == 0 else 5 if n % 3 == 1 else 1000 - n, t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, __lost string, __Key int").repartition(6)
+    want = as_digest(plain_lines(rows))
+    assert sorted(map(tuple, linededup.report(docs, shard_lines=20, group_lines=50).collect()), key=str) == want
+    lost = linededup.losses(docs, shard_lines=20, group_lines=50).collect()
+    assert max(sum(len(part) for part in r.lost) // 16 for r in lost) <= 3
+    assert len({(r.key, r.route) for r in lost}) == len(lost) <= len({(i, t) for i, t in rows})
+    out = linededup.deduplicated(docs)
+    assert out.schema == docs.schema and out.count() == 300
+    long_text = "\n".join(f"a long text of many lines {n}" for n in range(30_000))
+    two = spark.createDataFrame([(1, "a long text of many lines 29999"), (2, long_text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in linededup.report(two).collect()) == [(1, 1, 0), (2, 30_000, 1)]
+
+
 def test_lines_of_the_table(spark):
     from tickloom.llm.queries import R
 

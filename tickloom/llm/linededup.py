@@ -6,7 +6,8 @@
    other key hits its bit), and by index a 64-bit fingerprint, the number of documents and the smallest document.
 3. The hash arrays of the documents are cut by shard and meet the shard's arrays, a bounded part of a hot shard at a
    time; numpy probes them (index, fingerprint, holder). No line is joined with a line.
-4. A document meets the hashes it loses by its id, and its text is cut again in one pass.
+4. A row meets the hashes it loses by its id and its text's hash, so rows of one id (or of none) do not gather in one
+   place, and its text is cut again in one pass.
 """
 
 from __future__ import annotations
@@ -96,21 +97,32 @@ def _key(docs: DataFrame):
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
 
 
+def _route(docs: DataFrame):
+    """Where a row's losses go, beside its key. Rows of one key that share it lose the same lines anyway."""
+    return F.xxhash64(docs["text"])
+
+
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs, h1, h2 (arrays as binary), n: the distinct (document, line) pairs of each slice of text."""
+    """docs, routes, h1, h2 (arrays as binary), n: the distinct (row, line) pairs of each slice of text; copies under one key count once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        owners, digests = [], []
-        for key, text in zip(batch.column("key").to_pylist(), raw_texts(batch)):
+        owners, routes, digests = [], [], []
+        seen: set[tuple[int, bytes]] = set()
+        for key, route, text in zip(batch.column("key").to_pylist(), batch.column("route").to_pylist(), raw_texts(batch)):
+            if (key, text) in seen:
+                continue
+            seen.add((key, text))
             keys = {k for line in text.split(b"\n") if (k := line_key(line, min_chars)) is not None}
             owners += [key] * len(keys)
+            routes += [route] * len(keys)
             digests += [xxhash.xxh3_128_digest(k) for k in keys]
         if not owners:
             return None
         h = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict({"docs": [np.array(owners, dtype=np.int64).tobytes()], "h1": [h[:, 0].tobytes()], "h2": [h[:, 1].tobytes()], "n": [len(owners)]})
+        return pa.RecordBatch.from_pydict({"docs": [np.array(owners, dtype=np.int64).tobytes()], "routes": [np.array(routes, dtype=np.int64).tobytes()],
+                                              "h1": [h[:, 0].tobytes()], "h2": [h[:, 1].tobytes()], "n": [len(owners)]})
 
-    return map_slices(docs.select(_key(docs).alias("key"), "text"), work, "docs binary, h1 binary, h2 binary, n long")
+    return map_slices(docs.select(_key(docs).alias("key"), _route(docs).alias("route"), "text"), work, "docs binary, routes binary, h1 binary, h2 binary, n long")
 
 
 def repeated(packed: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def index(lines: DataFrame, shards: int) -> DataFrame:
 
 
 def losses(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = SHARD_LINES, group_lines: int = GROUP_LINES) -> DataFrame:
-    """key, lost (arrays of line hashes as binary): what each document loses; documents that lose nothing have no row."""
+    """key, route, lost (arrays of 128-bit line hashes as binary): what each row loses; rows that lose nothing have none."""
     packed = stable(hashed_lines(docs, min_chars))
     total = packed.agg(F.sum("n")).first()[0] or 0
     shards = max(8, -(-total // shard_lines))
@@ -160,41 +172,52 @@ def losses(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = SHARD
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                owner, h1, h2 = (_hashes(batch, c, r) for c in ("docs", "h1", "h2"))
+                owner, route, h1, h2 = (_hashes(batch, c, r) for c in ("docs", "routes", "h1", "h2"))
                 shard = h1.view(np.int64) % shards
                 order = np.argsort(shard, kind="stable")
                 own, start = np.unique(shard[order], return_index=True)
                 parts = np.split(order, start[1:])
-                yield pa.RecordBatch.from_pydict({"shard": own.astype(np.int32), "docs": [owner[p].tobytes() for p in parts], "h1": [h1[p].tobytes() for p in parts],
-                                                  "h2": [h2[p].tobytes() for p in parts], "n": [len(p) for p in parts]})
+                yield pa.RecordBatch.from_pydict({"shard": own.astype(np.int32), "slice": pa.array([batch.column("slice")[r].as_py()] * len(own), pa.int64()), "n": [len(p) for p in parts],
+                                                  **{c: [a[p].tobytes() for p in parts] for c, a in (("docs", owner), ("routes", route), ("h1", h1), ("h2", h2))}})
 
-    probes = packed.select("docs", "h1", "h2").mapInArrow(cut, "shard int, docs binary, h1 binary, h2 binary, n long")
+    # The rows are a checkpoint's, so a slice made again has the same number.
+    sliced = packed.withColumn("slice", F.monotonically_increasing_id()).select("slice", "docs", "routes", "h1", "h2")
+    probes = sliced.mapInArrow(cut, "shard int, slice long, n long, docs binary, routes binary, h1 binary, h2 binary")
     groups = probes.groupBy("shard").agg(F.ceil(F.sum("n") / group_lines).cast("int").alias("parts"))
-    probes = probes.join(groups, "shard").withColumn("part", F.pmod(F.xxhash64("docs"), F.col("parts")).cast("int"))
+    probes = probes.join(groups, "shard").withColumn("part", F.pmod(F.xxhash64("slice"), F.col("parts")).cast("int"))
     copies = arrays.join(groups, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"key": [], "lost": []}
+        out: dict[str, list] = {"key": [], "route": [], "lost": []}
         if held.num_rows:
             row = {c: held.column(c)[0].as_py() for c in ("sizes", "words", "prints", "counts", "holders")}
             perfect = PerfectHash(np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["words"], np.uint64))
             prints, holder, count = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["holders"], np.int64), np.frombuffer(row["counts"], np.uint32)
             for r in range(asked.num_rows):
-                owner, h1, h2 = (np.frombuffer(asked.column(c)[r].as_py(), np.uint64) for c in ("docs", "h1", "h2"))
-                owner, at = owner.view(np.int64), perfect.index(h1, h2)
+                owner, route, h1, h2 = (np.frombuffer(asked.column(c)[r].as_py(), np.uint64) for c in ("docs", "routes", "h1", "h2"))
+                owner, route, at = owner.view(np.int64), route.view(np.int64), perfect.index(h1, h2)
                 known = np.flatnonzero(at >= 0)
                 at = at[known]
                 lost = known[(prints[at] == _fingerprint(h1[known], h2[known])) & (count[at] > 1) & (holder[at] != owner[known])]
                 if len(lost):
-                    lost = lost[np.argsort(owner[lost], kind="stable")]
-                    keys, start = np.unique(owner[lost], return_index=True)
-                    out["key"] += keys.tolist()
-                    out["lost"] += [h1[p].tobytes() for p in np.split(lost, start[1:])]
-        return pa.table({"key": pa.array(out["key"], pa.int64()), "lost": pa.array(out["lost"], pa.binary())})
+                    # In a fixed order, so that copies of a text give equal arrays.
+                    lost = lost[np.lexsort((h2[lost], h1[lost], route[lost], owner[lost]))]
+                    start = np.flatnonzero(np.r_[True, (owner[lost[1:]] != owner[lost[:-1]]) | (route[lost[1:]] != route[lost[:-1]])])
+                    out["key"] += owner[lost[start]].tolist()
+                    out["route"] += route[lost[start]].tolist()
+                    out["lost"] += [np.stack([h1[p], h2[p]], axis=1).tobytes() for p in np.split(lost, start[1:])]
+        return pa.table({"key": pa.array(out["key"], pa.int64()), "route": pa.array(out["route"], pa.int64()), "lost": pa.array(out["lost"], pa.binary())})
+
+    asked = probes.select("shard", "part", "docs", "routes", "h1", "h2").groupBy("shard", "part")
+    found = asked.cogroup(copies.drop("parts").groupBy("shard", "part")).applyInArrow(probe, "key long, route long, lost binary")
+    # A text loses one array a shard, however many copies of it stand under its key.
+    return found.groupBy("key", "route").agg(F.collect_set("lost").alias("lost"))
+
 
-    sides = (probes.select("shard", "part", "docs", "h1", "h2").groupBy("shard", "part"), copies.drop("parts").groupBy("shard", "part"))
-    found = sides[0].cogroup(sides[1]).applyInArrow(probe, "key long, lost binary")
-    return found.groupBy("key").agg(F.collect_list("lost").alias("lost"))
+def _unused(names: list[str], base: str) -> str:
+    while base.lower() in {n.lower() for n in names}:
+        base += "_"
+    return base
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = SHARD_LINES, group_lines: int = GROUP_LINES,
@@ -203,22 +226,24 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int =
 
     A line goes if its key (``line_key``) stands in two documents or more and this is not the one of smallest doc_id.
     Rows of one doc_id, repeated or not, are one document; null ids are one document too, after all others. A null
-    text stays null and counts as one empty line. ``counts`` names two more columns for lines before and dropped.
+    text stays null and counts as one empty line. An empty table stays empty, and texts of any length are read whole.
+    Further columns may have any names. ``counts`` names two more columns for lines before and dropped.
     """
     names = docs.columns
-    marked = docs.withColumn("__key", _key(docs))
-    lost = losses(docs, min_chars, shard_lines, group_lines).withColumnRenamed("key", "__key").withColumnRenamed("lost", "__lost")
+    key, route, gone_at = (_unused(names, c) for c in ("__key", "__route", "__lost"))
+    marked = docs.withColumns({key: _key(docs), route: _route(docs)})
+    lost = losses(docs, min_chars, shard_lines, group_lines).toDF(key, route, gone_at)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts or ())])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, gone = [], [], []
         nulls = batch.column("text").is_null().to_pylist()
-        for text, null, lost in zip(raw_texts(batch), nulls, batch.column("__lost").to_pylist()):
+        for text, null, lost in zip(raw_texts(batch), nulls, batch.column(gone_at).to_pylist()):
             own = text.split(b"\n")
             keep = own
             if lost:
-                hashes = {h for part in lost for h in np.frombuffer(part, np.uint64).tolist()}
-                keep = [line for line in own if (k := line_key(line, min_chars)) is None or int.from_bytes(xxhash.xxh3_128_digest(k)[:8], "little") not in hashes]
+                hashes = {part[at:at + 16] for part in lost for at in range(0, len(part), 16)}
+                keep = [line for line in own if (k := line_key(line, min_chars)) is None or xxhash.xxh3_128_digest(k) not in hashes]
             texts.append(None if null else b"\n".join(keep))
             lines.append(len(own))
             gone.append(len(own) - len(keep))
@@ -229,7 +254,7 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int =
             columns["n_chars"] = pa.compute.coalesce(size.cast(columns["n_chars"].type), columns["n_chars"]) if pa.types.is_integer(columns["n_chars"].type) else columns["n_chars"]
         return pa.RecordBatch.from_arrays([*columns.values(), *([pa.array(lines, pa.int64()), pa.array(gone, pa.int64())] if counts else [])], names=schema.names)
 
-    return map_slices(marked.join(lost, "__key", "left").select(*names, "__lost"), work, schema)
+    return map_slices(marked.join(lost, [key, route], "left").select(*names, gone_at), work, schema)
 
 
 def report(docs: DataFrame, **limits: int) -> DataFrame:
