@@ -51,6 +51,31 @@ def test_bin_completion_is_optimal_on_small_sets():
         assert packing.lower_bound(counts, capacity) <= sum(t for t, _ in plan) == fewest_bins(sizes, capacity)
 
 
+def test_a_filling_may_be_used_less_often_than_it_goes():
+    sizes = [4, 4, 13, 4, 13, 3, 3, 4, 6, 12, 4, 6, 12, 11]
+    plan = packing.bin_completion(Counter(sizes), 20)
+    check_plan(plan, Counter(sizes), 20)
+    assert sum(t for t, _ in plan) == 5
+    rng = random.Random(11)
+    for _ in range(60):
+        capacity = rng.choice([12, 20, 25])
+        sizes = [rng.choice([3, 4, 6, 7, 11, 12, 13][: 4 + rng.randint(0, 3)]) for _ in range(rng.randint(8, 13))]
+        sizes = [min(s, capacity) for s in sizes]
+        plan = packing.bin_completion(Counter(sizes), capacity)
+        check_plan(plan, Counter(sizes), capacity)
+        assert sum(t for t, _ in plan) == fewest_bins(sizes, capacity), (capacity, sizes)
+
+
+def test_any_stop_leaves_a_whole_packing():
+    rng = random.Random(4)
+    counts = Counter(rng.randint(300, 900) for _ in range(3000))
+    most = sum(t for t, _ in packing.best_fit(counts, 2048))
+    for work in (0, 1, 500, 50_000):
+        plan = packing.bin_completion(counts, 2048, work=work)
+        check_plan(plan, counts, 2048)
+        assert packing.lower_bound(counts, 2048) <= sum(t for t, _ in plan) <= most
+
+
 def test_search_beats_best_fit():
     # Best-fit decreasing needs 3 bins of 10 for these, two are enough.
     counts = {4: 2, 3: 4}
