@@ -100,6 +100,17 @@ def test_chunked_ids_are_the_tokenizers():
     assert tokens.encoded(odd, PATH) == [tokens.encoded([t], PATH)[0] for t in odd]
 
 
+def test_words_of_runs_are_the_tokenizers():
+    exact = Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    bits = ["foo", "Bar", "é", "ß", "ÿ", "×", "÷", "ª", "µ", "7", "42", "²", ",", ".", "...", "%%%", "'", "'s", "'LL", "<", "<|endoftext|>", "_", "-", "\n", "\n\n", "\t", "\u00a0", "漢", "a\u0301", "`", "~", "{}", "@", "&"]
+    texts = [" ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["it's a dog's.Life don't", "x 1a2b3c 1.5e10,7 a_b-c/d\ne.f\n g \nh", "b " + "y" * 100 + "," + "z" * 100]
+    want = [np.array(exact.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokens.encoded(texts, PATH) == want
+    assert [i for i in tokens.Encoder(PATH).encode(texts[::-1])] == want[::-1]
+
+
 def check_packed(rows, texts_by_id, capacity=2048):
     """Pieces rebuild every document; sequences are gapless and not too long."""
     exact = Tokenizer.from_file(PATH)

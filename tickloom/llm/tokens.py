@@ -61,14 +61,15 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
         split = [text.split(" ") for text in texts]
-        unseen = {w for words in split for w in words[1:] if w not in known}
+        heads = [words.pop(0) for words in split]
+        unseen = set().union(*split).difference(known)
         self.learn(list(unseen))
         out = []
-        for text, (head, *words) in zip(texts, split):
+        for text, head, words in zip(texts, heads, split):
             try:
                 if words and (not head or head[-1].isspace()):
                     raise TypeError
-                out.append(self.whole(head) + b"".join([known[w] for w in words]))
+                out.append(self.whole(head) + b"".join(map(known.__getitem__, words)))
             except TypeError:
                 out.append(b"".join([self.whole(c) for c in _CUT.split(text)]))
         for word in unseen:
